@@ -220,23 +220,19 @@ def _verified(pairs: DataFrame, known: DataFrame, scratch: Scratch, percent: int
     return scratch.keep(both(near, {"items": "i"}).mapInArrow(_similar(percent), "u long, v long"))
 
 
-def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(membership, roots) of docs (doc_id, text).
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows (key, node) of keys that several nodes have."""
+    by_key = "OVER (PARTITION BY key ORDER BY node)"
+    beside = keys.selectExpr("key", "node", f"lag(node) {by_key} AS before", f"lead(node) {by_key} AS after")
+    # of a repeated node the last row counts before a larger one, the first after a smaller one
+    return beside.where("before < node OR after > node").select("key", "node").distinct()
 
-    membership: doc_id, node, n_shingles, a row per input row; documents of one
-    node have one set. roots: node, root for nodes with links.
+
+def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80) -> DataFrame:
+    """node, root of all nodes that link over the keys they share.
+
+    groups: key, node, from shared_keys. known: node, n, sketch, items of those nodes. Both are written tables.
     """
-    scratch = Scratch(spark, "ngram")
-    docs = docs.select("doc_id", "text")
-    names = scratch.keep(docs.mapInArrow(_names(width), "doc_id long, node long, n_shingles long"))
-    keys = docs.mapInArrow(_keys(width, percent), "key long, node long")
-    by_key = "OVER (PARTITION BY key ORDER BY node)"
-    shared = keys.selectExpr("key", "node", f"lag(node) {by_key} AS before", f"lead(node) {by_key} AS after")
-    groups = scratch.keep(shared.where("before < node OR (before IS NULL AND after > node) OR (before = node AND after > node)").select("key", "node").distinct())
-    # a repeated node of a key that has no other node leaves one row behind; it makes no pair
-    chosen = groups.select("node").distinct()
-    one = names.join(chosen, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    known = scratch.keep(docs.join(one, "doc_id", "left_semi").mapInArrow(_sketches(width), SKETCH).dropDuplicates(["node"]))
     centre = groups.groupBy("key").agg(F.min("node").alias("u"))
     star = groups.join(centre, "key").where("u < node").select("u", F.col("node").alias("v")).distinct()
     links = _verified(star, known, scratch, percent)
@@ -271,7 +267,22 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     if not late.isEmpty():
         roots = components(scratch, links.unionByName(late))
     scratch.drop(groups, known, open_rows, more)
-    return names, roots
+    return roots
+
+
+def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(membership, roots) of docs (doc_id, text).
+
+    membership: doc_id, node, n_shingles, a row per input row; documents of one
+    node have one set. roots: node, root for nodes with links.
+    """
+    scratch = Scratch(spark, "ngram")
+    docs = docs.select("doc_id", "text")
+    names = scratch.keep(docs.mapInArrow(_names(width), "doc_id long, node long, n_shingles long"))
+    groups = scratch.keep(shared_keys(docs.mapInArrow(_keys(width, percent), "key long, node long")))
+    one = names.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    known = scratch.keep(docs.join(one, "doc_id", "left_semi").mapInArrow(_sketches(width), SKETCH).dropDuplicates(["node"]))
+    return names, linked(scratch, groups, known, percent)
 
 
 def ngram_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
