@@ -80,16 +80,16 @@ def common_counts(text: Column) -> Column:
 
 
 def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, the base counts, and the histograms classes and common."""
+    """doc_id, language, the base counts, and the histograms classes and common."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spoken = F.filter(F.split("body", SEPARATORS), lambda w: w != "")
     lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     symbols = F.regexp_replace("packed", r"[^#*$%&|<>]+", F.lit(""))
     return (
-        docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), *carry, text.alias("body"))
+        docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("language"), *carry, text.alias("body"))
         .select("*", F.regexp_replace("body", SEPARATORS, F.lit("")).alias("packed"))
         .select(
-            "doc_id", "lang", *carry,
+            "doc_id", "language", *carry,
             let(spoken, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
             F.length("packed").cast("long").alias("word_chars"),
             F.length(symbols).cast("long").alias("n_symbols"),
@@ -97,7 +97,7 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             class_counts(F.col("packed")).alias("classes"),
             common_counts(F.col("body")).alias("common"),
         )
-        .select("doc_id", "lang", *carry, "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "classes", "common")
+        .select("doc_id", "language", *carry, "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "classes", "common")
     )
 
 
@@ -108,9 +108,9 @@ def reference(rows: DataFrame) -> DataFrame:
     def share(c: str) -> Column:
         return let(total(F.col(c)), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))).alias(c)
 
-    shares = rows.select("lang", "base_failed", share("classes"), share("common"))
+    shares = rows.select("language", "base_failed", share("classes"), share("common"))
     means = lambda c, n: F.array(*[F.coalesce(F.avg(F.when(~F.col("base_failed"), F.col(c)[k])), F.lit(0.0)) for k in range(n)])
-    return shares.groupBy("lang").agg(means("classes", len(CLASSES) + 1).alias("all_classes"), means("common", len(WORDS) + 1).alias("all_common"))
+    return shares.groupBy("language").agg(means("classes", len(CLASSES) + 1).alias("all_classes"), means("common", len(WORDS) + 1).alias("all_common"))
 
 
 def distance(counts: Column, others: Column) -> Column:
@@ -129,10 +129,10 @@ def judged(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ()) ->
     """features with class_distance, word_distance, base_failed and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = Scratch(spark, "quality").keep(features(docs, carry).withColumn("base_failed", failed))
-    told = rows.join(reference(rows), "lang").withColumn("class_distance", F.round(distance(F.col("classes"), F.col("all_classes")), 6)).withColumn("word_distance", F.round(distance(F.col("common"), F.col("all_common")), 6))
+    told = rows.join(reference(rows), "language").withColumn("class_distance", F.round(distance(F.col("classes"), F.col("all_classes")), 6)).withColumn("word_distance", F.round(distance(F.col("common"), F.col("all_common")), 6))
     strange = F.col("word_distance") > WORD_LIMIT + F.sqrt(BINS / (8 * F.log(F.lit(2.0)) * F.greatest(F.col("n_words"), F.lit(1))))
     odd = (F.col("class_distance") > CLASS_LIMIT) | (strange & (F.col("class_distance") > CLASS_DOUBT))
-    return told.withColumn("kept", ~F.col("base_failed") & ~odd).drop("classes", "common", "all_classes", "all_common", "lang")
+    return told.withColumn("kept", ~F.col("base_failed") & ~odd).drop("classes", "common", "all_classes", "all_common", "language")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
