@@ -1,0 +1,170 @@
+"""SQL for DuckDB that computes the registry's queries from the tables alone."""
+
+from __future__ import annotations
+
+from ..operators.validate import FORBIDDEN, POLICY, QUOTED
+from ..sources.substrate import PLACES, STATUS
+
+
+def sid(kind: str, *fields: str) -> str:
+    parts = ", ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in fields)
+    return f"('{kind}_' || substr(sha256(concat_ws(chr(31), '{kind}/v1', {parts})), 1, 24))"
+
+
+_status = " ".join(f"WHEN doc_id % 23 = {k} THEN '{v}'" for k, v in STATUS.items())
+_place = lambda i: "CASE CAST(doc_id % 12 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{p.split('|')[i]}'" for k, p in enumerate(PLACES)) + " END"
+_up = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_at = f"OVER (PARTITION BY doc_id ORDER BY line_no, CASE WHEN kind = 'after' THEN 1 ELSE 0 END {_up})"
+_order = "PARTITION BY doc_id ORDER BY block, CASE WHEN kind = 'before' THEN 0 ELSE 1 END, CASE WHEN kind = 'before' THEN old_line ELSE new_line END"
+
+BASE = f"""
+WITH RECURSIVE f0 AS (SELECT doc_id, source, text, CASE {_status} ELSE 'modified' END AS status,
+  coalesce(source, 'none') || '/' || {_place(0)} || '/doc_' || doc_id || {_place(1)} AS path FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+files AS (SELECT *, CASE WHEN status <> 'added' THEN CASE WHEN status IN ('renamed', 'copied') THEN path || '.orig' ELSE path END END AS old_path,
+  CASE WHEN status <> 'deleted' THEN path END AS new_path, CASE WHEN status <> 'added' THEN '100644' END AS old_mode,
+  CASE WHEN status <> 'deleted' THEN CASE WHEN status = 'mode' THEN '100755' ELSE '100644' END END AS new_mode,
+  CASE WHEN status IN ('added', 'deleted') THEN status WHEN status IN ('mode', 'binary') THEN 'none' WHEN doc_id % 29 = 6 THEN 'spaces' ELSE 'lines' END AS edit FROM f0),
+l0 AS (SELECT doc_id, path, edit, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, len(string_split(text, chr(10))) AS n FROM files),
+lines AS (SELECT doc_id, path, edit, CAST(line_no AS BIGINT) AS line_no, content, (doc_id * 31 + line_no) % 11 AS k FROM l0 WHERE NOT (line_no = n AND content = '')),
+ev AS (
+  SELECT doc_id, path, line_no, 'keep' AS kind, content FROM lines WHERE edit = 'none' OR (edit = 'spaces' AND NOT (k = 1 AND content LIKE '% %')) OR (edit = 'lines' AND k NOT IN (0, 1))
+  UNION ALL SELECT doc_id, path, line_no, 'before', content FROM lines WHERE edit = 'deleted' OR (edit = 'spaces' AND k = 1 AND content LIKE '% %') OR (edit = 'lines' AND k IN (0, 1))
+  UNION ALL SELECT doc_id, path, line_no, 'after', CASE WHEN edit = 'added' THEN content WHEN edit = 'spaces' THEN replace(content, ' ', '  ') WHEN k = 1 THEN content || ' ~' ELSE '+ ' || content END
+    FROM lines WHERE edit = 'added' OR (edit = 'spaces' AND k = 1 AND content LIKE '% %') OR (edit = 'lines' AND k IN (1, 2))),
+p0 AS (SELECT *, CAST(sum(CASE WHEN kind = 'keep' THEN 1 ELSE 0 END) {_at} AS BIGINT) AS block, CAST(sum(CASE WHEN kind <> 'after' THEN 1 ELSE 0 END) {_at} AS BIGINT) AS old_line, CAST(sum(CASE WHEN kind <> 'before' THEN 1 ELSE 0 END) {_at} AS BIGINT) AS new_line FROM ev),
+snap AS (SELECT doc_id, path, 'before' AS side, old_line AS line, content FROM p0 WHERE kind <> 'after' UNION ALL SELECT doc_id, path, 'after', new_line, content FROM p0 WHERE kind <> 'before'),
+p1 AS (SELECT *, block - lag(block) OVER ({_order}) AS gap FROM p0 WHERE kind <> 'keep'),
+p2 AS (SELECT doc_id, path, kind AS side, CASE WHEN kind = 'before' THEN old_line ELSE new_line END AS line, block, CAST(sum(CASE WHEN gap IS NULL OR gap > 6 THEN 1 ELSE 0 END) OVER ({_order} {_up}) AS BIGINT) AS hunk_no, content FROM p1),
+ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hunk_no ORDER BY block, CASE WHEN side = 'before' THEN 0 ELSE 1 END, line) - 1 AS ordinal, sha256(content) AS content_hash FROM p2),
+li AS (SELECT *, {sid('line', 'path', 'hunk_no', 'side', 'line', 'ordinal', 'content_hash')} AS line_id FROM ch),
+s0 AS (SELECT *, CASE WHEN lag(block) OVER w = block AND lag(side) OVER w = side AND lag(line) OVER w = line - 1 THEN 0 ELSE 1 END AS cut FROM li WINDOW w AS (PARTITION BY doc_id, hunk_no ORDER BY ordinal)),
+s1 AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY doc_id, hunk_no ORDER BY ordinal {_up}) - 1 AS BIGINT) AS span_no FROM s0),
+s2 AS (SELECT doc_id, path, hunk_no, span_no, block, side, min(line) AS start_line, max(line) AS end_line, count(*) AS n_lines, string_agg(content_hash, ',' ORDER BY ordinal) AS hashes FROM s1 GROUP BY ALL),
+spans AS (SELECT *, {sid('span', 'path', 'hunk_no', 'side', 'start_line', 'end_line', 'span_no', 'hashes')} AS span_id FROM s2),
+rep AS (SELECT *, CASE WHEN side = 'before' AND lead(block) OVER w = block AND lead(side) OVER w = 'after' THEN lead(span_id) OVER w WHEN side = 'after' AND lag(block) OVER w = block AND lag(side) OVER w = 'before' THEN lag(span_id) OVER w END AS replacement_span_id FROM spans WINDOW w AS (PARTITION BY doc_id, hunk_no ORDER BY span_no)),
+ls AS (SELECT l.*, s.span_id FROM li l JOIN spans s ON l.doc_id = s.doc_id AND l.hunk_no = s.hunk_no AND l.side = s.side AND l.line BETWEEN s.start_line AND s.end_line),
+h0 AS (SELECT doc_id, path, hunk_no, min(line) FILTER (side = 'before') AS old_start, count(*) FILTER (side = 'before') AS old_count, min(line) FILTER (side = 'after') AS new_start, count(*) FILTER (side = 'after') AS new_count, count(DISTINCT block) AS n_blocks FROM ch GROUP BY ALL),
+hunks AS (SELECT *, {sid('hunk', 'path', 'hunk_no', 'old_start', 'old_count', 'new_start', 'new_count')} AS hunk_id FROM h0),
+u0 AS (SELECT doc_id, path, old_path, new_path, status, 'binary' AS kind FROM files WHERE status = 'binary'
+  UNION ALL SELECT doc_id, path, old_path, new_path, status, 'mode' FROM files WHERE old_mode IS DISTINCT FROM new_mode
+  UNION ALL SELECT doc_id, path, old_path, new_path, status, 'rename' FROM files WHERE status = 'renamed'
+  UNION ALL SELECT doc_id, path, old_path, new_path, status, 'copy' FROM files WHERE status = 'copied'
+  UNION ALL SELECT doc_id, path, old_path, new_path, status, 'text' FROM files WHERE doc_id IN (SELECT doc_id FROM ch)),
+u1 AS (SELECT * FROM u0 UNION ALL SELECT doc_id, path, old_path, new_path, status, 'unsupported' FROM files WHERE doc_id NOT IN (SELECT doc_id FROM u0)),
+units AS (SELECT *, {sid('unit', 'old_path', 'new_path', 'status', 'kind')} AS unit_id FROM u1),
+fm0 AS (SELECT doc_id, string_agg(regexp_replace(content, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}]+', '', 'g'), chr(10) ORDER BY line) FILTER (side = 'before') AS b, string_agg(regexp_replace(content, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}]+', '', 'g'), chr(10) ORDER BY line) FILTER (side = 'after') AS a,
+  string_agg(content, chr(10) ORDER BY line) FILTER (side = 'before') AS rb, string_agg(content, chr(10) ORDER BY line) FILTER (side = 'after') AS ra FROM ch GROUP BY doc_id),
+fm AS (SELECT doc_id, a IS NOT NULL AND b IS NOT NULL AND coalesce(a = b AND ra <> rb, false) AS formatting FROM fm0),
+c0 AS (SELECT f.*, m.formatting, lower(path) AS low, lower(string_split(path, '/')[-1]) AS name, lower(regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^./]+)$', 1)) AS suffix FROM files f LEFT JOIN fm m USING (doc_id)),
+classes AS (SELECT *, CASE WHEN status = 'unsupported' THEN 'unsupported' WHEN status = 'binary' THEN 'binary' WHEN status = 'renamed' THEN 'rename' WHEN status = 'added' THEN 'added' WHEN status = 'deleted' THEN 'deleted' WHEN status = 'mode' THEN 'mode'
+  WHEN formatting IS NULL THEN 'structural' WHEN name LIKE '%requirements.txt' THEN 'dependency' WHEN low LIKE '%/generated/%' THEN 'generated' WHEN low LIKE '%/schemas/%' THEN 'schema' WHEN suffix IN ('.yaml', '.yml', '.toml', '.ini', '.cfg', '.conf') THEN 'configuration'
+  WHEN low LIKE '%/tests/%' THEN 'tests' WHEN low LIKE '%/docs/%' OR suffix IN ('.md', '.rst', '.txt', '.adoc') THEN 'docs' WHEN formatting THEN 'formatting' WHEN suffix IN ('.py', '.js', '.ts', '.rs', '.go', '.java', '.rb', '.c', '.cpp') THEN 'behavioral' ELSE 'unresolved' END AS classification FROM c0),
+cl AS (SELECT *, CASE WHEN classification IN ('unsupported', 'binary', 'rename', 'added', 'deleted', 'mode', 'structural', 'dependency') THEN 'extracted' WHEN classification = 'unresolved' THEN 'unresolved' ELSE 'inferred' END AS confidence FROM classes),
+ci0 AS (SELECT s.doc_id, s.path, s.side, s.span_id, s.start_line, s.end_line, string_agg(n.content, chr(10) ORDER BY n.line) AS text FROM spans s JOIN snap n ON s.doc_id = n.doc_id AND s.side = n.side AND n.line BETWEEN s.start_line AND s.end_line GROUP BY ALL),
+ci AS (SELECT *, {sid('source', 'path', 'side', 'start_line', 'end_line', 'span_id')} AS citation_id, CAST(strlen(text) AS BIGINT) AS bytes FROM ci0),
+bu AS (SELECT *, CAST(sum(bytes) OVER (PARTITION BY doc_id) AS BIGINT) AS total, CAST(coalesce(sum(bytes) OVER (PARTITION BY doc_id ORDER BY bytes DESC, citation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS saved FROM ci),
+bud AS (SELECT *, total - saved > 1500 AND bytes > 0 AS omitted FROM bu),
+sym AS (SELECT doc_id, 'fn_' || line_no % 5 AS name, line_no AS line, line_no + (doc_id + line_no) % 7 AS end_line FROM lines WHERE line_no % 3 = 1),
+chl AS (SELECT DISTINCT doc_id, line FROM ch WHERE side = 'after'),
+enc AS (SELECT c.doc_id, c.line, s.name, s.line AS start, s.end_line AS stop, c.line = s.line AS direct FROM chl c JOIN sym s ON c.doc_id = s.doc_id AND (c.line = s.line OR (c.line > s.line AND c.line <= s.end_line))),
+best AS (SELECT doc_id, line, count(*) AS n, min(name) AS name, bool_or(direct) AS direct FROM (SELECT *, rank() OVER (PARTITION BY doc_id, line ORDER BY CASE WHEN direct THEN 0 ELSE 1 END, start DESC, stop) AS r FROM enc) WHERE r = 1 GROUP BY ALL),
+inn AS (SELECT c.doc_id, c.line, CASE WHEN n = 1 THEN name END AS symbol, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN direct THEN 'direct' ELSE 'enclosing' END AS how FROM chl c LEFT JOIN best b ON c.doc_id = b.doc_id AND c.line = b.line),
+own AS (SELECT line_id AS evidence_id, 'item_' || CASE WHEN ordinal % 17 = 3 THEN 99 ELSE hunk_no % 4 END AS owner_id FROM li WHERE (doc_id + ordinal) % 13 <> 5
+  UNION ALL SELECT line_id, 'item_0' FROM li WHERE (doc_id + ordinal) % 19 = 7 UNION ALL SELECT 'line_unknown' || doc_id, 'item_1' FROM files WHERE doc_id % 50 = 1),
+it AS (SELECT n, 'item_' || n AS item_id FROM range(4) t(n)),
+ic AS (SELECT citation_id AS ref, 'item_' || start_line % 4 AS item_id FROM ci UNION ALL SELECT span_id, 'item_' || start_line % 4 FROM spans WHERE start_line % 5 = 0 UNION ALL SELECT 'none_' || start_line, 'item_' || start_line % 4 FROM spans WHERE start_line % 7 = 0),
+items AS (SELECT conv_id * 100 + turn AS ord, 'i' || conv_id || '_' || turn AS item_id, CASE CAST((conv_id + turn) % 5 AS INTEGER) WHEN 0 THEN 'behavioral' WHEN 1 THEN 'structural' WHEN 2 THEN 'observer' WHEN 3 THEN 'ambiguity' ELSE 'unresolved' END AS kind,
+  CASE WHEN conv_id % 3 <> 0 THEN 'old' END AS before, CASE WHEN turn % 4 <> 1 THEN 'new' END AS after, conv_id % 2 = 0 AS has_before, turn % 3 <> 2 AS has_after, CASE CAST(conv_id % 6 AS INTEGER) WHEN 0 THEN 'before' WHEN 1 THEN 'after' END AS absence,
+  substr(text, 1, 40) || CASE CAST(conv_id % 4 AS INTEGER) WHEN 0 THEN ' It probably works.' WHEN 1 THEN ' It "probably" works.' WHEN 2 THEN ' It may work in May.' ELSE '' END AS statement,
+  CASE CAST((conv_id * 7 + turn) % 5 AS INTEGER) WHEN 0 THEN 'extracted' WHEN 1 THEN 'inferred' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'unresolved' ELSE 'unavailable' END AS confidence FROM conversations),
+itm AS (SELECT *, regexp_replace(statement, '{QUOTED.replace("'", "''")}', ' ', 'g') AS plain FROM items)
+"""
+
+_coverage = "CASE WHEN {0}_total = 0 THEN 1.0::DOUBLE ELSE {0}_owned / greatest({0}_total, 1)::DOUBLE END AS {0}_ratio"
+#: New sentences: some that the policy rejects, some that it does not.
+SENTENCES = [
+    "Review", "The severity is high for callers.", "Medium risk", "This change introduces a bug in parsing.", "A defect was found later.", "There is a memory flaw here.",
+    "It leaks tokens to the log.", "We recommend another name.", "The recommended fix is small.", "Each review finding is listed.",
+    "The parser now keeps blank lines.", "The flag `severity is high` is renamed.", "Callers receive a list.", "Reviewing is done elsewhere.",
+]
+FIELDS = ["title", "Severity", "statement", "risk", "next-step", "verdict", "summary", "priority"]
+
+
+def _policy() -> str:
+    cases = " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SENTENCES))
+    rows = f"SELECT item_id || '#' || k AS id, regexp_replace(CASE CAST(k AS INTEGER) {cases} END, '{QUOTED.replace(chr(39), chr(39) * 2)}', ' ', 'g') AS v FROM items, range({len(SENTENCES)}) t(k)"
+    hits = " UNION ALL ".join(f"SELECT id, {k} AS rule, '{intent}' AS intent FROM vals WHERE regexp_matches(v, '{p}')" for k, (intent, p) in enumerate(POLICY))
+    return f"{BASE}, vals AS ({rows}) {hits}"
+
+
+def _fields() -> str:
+    cases = " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(FIELDS))
+    return f"{BASE}, vals AS (SELECT item_id AS id, CASE CAST(ord % {len(FIELDS)} AS INTEGER) {cases} END AS field FROM items) SELECT id, field FROM vals WHERE replace(lower(field), '-', '_') IN ({', '.join(repr(x) for x in FORBIDDEN)})"
+
+
+_fact = sid("fact", "kind", "side", "path", "line", "symbol", "target", "confidence")
+_facts = f"""fa0 AS (SELECT 'changed_symbol' AS kind, '' AS side, path, i.line, symbol, how AS target, CASE WHEN how = 'ambiguous' THEN 'ambiguous' ELSE 'extracted' END AS confidence FROM inn i JOIN files f USING (doc_id)),
+fa AS (SELECT *, {_fact} AS fact_id FROM fa0)"""
+_edges = "edges AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS src, h AS dst FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages))"
+_up_edges = "e AS (SELECT p_partkey AS node, p_partkey // 2 AS parent FROM part WHERE p_partkey BETWEEN 2 AND 600 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey BETWEEN 10 AND 600 AND p_partkey % 5 = 0)"
+_reach = "up(node, ancestor) AS (SELECT node, node FROM (SELECT node FROM e UNION SELECT parent FROM e) UNION SELECT up.node, e.parent FROM up JOIN e ON up.ancestor = e.node)"
+
+SQL = {
+    "line_scan": f"{BASE} SELECT doc_id, line_no, CAST(length(content) AS BIGINT) AS n_chars, sha256(content) AS content_hash FROM lines",
+    "change_lines": f"{BASE} SELECT doc_id, path, side, line, block, hunk_no, ordinal, content FROM ch",
+    "hunk_grouping": f"{BASE} SELECT hunk_id, doc_id, hunk_no, old_start, old_count, new_start, new_count, n_blocks FROM hunks",
+    "span_islands": f"{BASE} SELECT doc_id, hunk_no, span_no, side, start_line, end_line, n_lines FROM spans",
+    "replacement_links": f"{BASE} SELECT span_id, side, replacement_span_id FROM rep WHERE replacement_span_id IS NOT NULL",
+    "stable_ids": f"{BASE} SELECT line_id, span_id FROM ls",
+    "units_nontext": f"{BASE} SELECT unit_id, doc_id, kind FROM units WHERE kind NOT IN ('text', 'unsupported')",
+    "units_unsupported": f"{BASE} SELECT unit_id, doc_id, kind FROM units WHERE kind = 'unsupported'",
+    "units_text": f"{BASE} SELECT unit_id, doc_id, kind FROM units WHERE kind = 'text'",
+    "classify_files": f"{BASE} SELECT doc_id, path, status, classification, confidence FROM cl",
+    "formatting_only": f"{BASE} SELECT doc_id, formatting FROM fm",
+    "groups_by_class": f"{BASE}, g AS (SELECT CASE WHEN kind IN ('binary', 'mode', 'rename', 'unsupported') THEN kind WHEN kind = 'copy' THEN 'structural' ELSE classification END AS group_class, unit_id FROM units JOIN cl USING (doc_id)) SELECT group_class, count(*) AS n_units, sha256(string_agg(unit_id, ',' ORDER BY unit_id)) AS units_hash, {sid('group', 'group_class')} AS group_id FROM g GROUP BY group_class",
+    "ledger_metrics": f"{BASE} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE status = 'added') AS added_files, (SELECT count(*) FROM files WHERE status = 'deleted') AS deleted_files, (SELECT count(*) FROM files WHERE status = 'renamed') AS renamed_files, (SELECT count(*) FROM ch) AS changed_lines, (SELECT count(*) FROM ch WHERE side = 'after') AS added_lines, (SELECT count(*) FROM ch WHERE side = 'before') AS deleted_lines, (SELECT count(*) FROM spans) AS spans, (SELECT count(*) FROM hunks) AS hunks, (SELECT count(*) FROM units) AS units, (SELECT count(*) FROM units WHERE kind = 'binary') AS binary_units, (SELECT count(*) FROM units WHERE kind = 'unsupported') AS unsupported_units, 1.0::DOUBLE AS line_ratio, 1.0::DOUBLE AS span_ratio, 1.0::DOUBLE AS hunk_ratio",
+    "metrics_by_source": f"{BASE}, r AS (SELECT doc_id, count(*) AS spans, count(replacement_span_id) AS replaced, CAST(sum(CASE WHEN side = 'after' THEN n_lines ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN side = 'before' THEN n_lines ELSE 0 END) AS BIGINT) AS deleted FROM rep GROUP BY doc_id) SELECT source, classification, count(*) AS files, CAST(sum(coalesce(spans, 0)) AS BIGINT) AS spans, CAST(sum(coalesce(added, 0)) AS BIGINT) AS added_lines, CAST(sum(coalesce(deleted, 0)) AS BIGINT) AS deleted_lines, CAST(sum(coalesce(replaced, 0)) AS BIGINT) AS replaced_spans FROM cl LEFT JOIN r USING (doc_id) GROUP BY ALL",
+    "inventory_diff": f"{BASE} SELECT doc_id, count(*) FILTER (side = 'before') AS ledger_deleted, count(*) FILTER (side = 'after') AS ledger_added, CAST(true AS BOOLEAN) AS equal FROM ch GROUP BY doc_id",
+    "citations_text": f"{BASE} SELECT citation_id, span_id, side, start_line, end_line, bytes, sha256(text) AS text_hash FROM ci",
+    "source_hash_check": f"{BASE} SELECT side, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_beyond FROM li GROUP BY side",
+    "hierarchy_violations": f"{BASE}, refs AS (SELECT line_id FROM ls WHERE ordinal % 7 <> 3 UNION ALL SELECT line_id FROM ls WHERE ordinal % 11 = 1), n AS (SELECT line_id, count(*) AS n FROM refs GROUP BY line_id) SELECT l.line_id, coalesce(n, 0) AS n_references FROM li l LEFT JOIN n USING (line_id) WHERE coalesce(n, 0) <> 1",
+    "orphan_references": f"{BASE} SELECT span_id FROM (SELECT span_id, hunk_no, doc_id FROM spans) s WHERE NOT EXISTS (SELECT 1 FROM hunks h WHERE h.doc_id = s.doc_id AND h.hunk_no = s.hunk_no AND h.hunk_no % 2 = 1)",
+    "id_collisions": f"{BASE} SELECT kind, count(*) AS n_ids, count(DISTINCT id) AS n_distinct FROM (SELECT 'line' AS kind, line_id AS id FROM li UNION ALL SELECT 'span', span_id FROM spans UNION ALL SELECT 'hunk', hunk_id FROM hunks UNION ALL SELECT 'unit', unit_id FROM units) GROUP BY kind",
+    "budget_omission": f"{BASE} SELECT citation_id, doc_id, bytes, omitted FROM bud",
+    "omissions": f"{BASE} SELECT {sid('omission', 'citation_id')} AS omission_id, citation_id, path, side, start_line, end_line, sha256(text) AS content_hash FROM bud WHERE omitted",
+    "changed_paths": f"{BASE} SELECT DISTINCT side, path FROM (SELECT 'before' AS side, old_path AS path FROM files UNION ALL SELECT 'after', new_path FROM files) WHERE path IS NOT NULL",
+    "changed_lines": f"{BASE} SELECT side, path, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM ch GROUP BY ALL",
+    "snapshot_digest": f"{BASE}, fh AS (SELECT side, path, sha256(string_agg(content, chr(10) ORDER BY line)) AS h FROM snap GROUP BY ALL) SELECT side, count(*) AS n_files, sha256(string_agg(path || ':' || h, chr(10) ORDER BY path || ':' || h)) AS digest FROM fh GROUP BY side",
+    "rename_candidates": f"{BASE}, a AS (SELECT sha256(text) AS h, min(path) AS new_path, count(*) AS n FROM files WHERE doc_id % 2 = 0 GROUP BY h), d AS (SELECT sha256(text) AS h, min(path) AS old_path, count(*) AS n FROM files WHERE doc_id % 2 = 1 GROUP BY h) SELECT old_path, new_path FROM a JOIN d USING (h) WHERE a.n = 1 AND d.n = 1",
+    "range_containment": f"{BASE} SELECT doc_id, line, name, start, stop FROM enc",
+    "innermost_symbol": f"{BASE} SELECT doc_id, line, symbol, how FROM inn",
+    "unresolved_lines": f"{BASE} SELECT doc_id, count(*) AS n_unresolved FROM inn WHERE symbol IS NULL GROUP BY doc_id",
+    "blast_radius": f"{BASE}, {_edges} SELECT DISTINCT symbol, kind, target FROM (SELECT dst AS symbol, 'caller' AS kind, src AS target FROM edges WHERE length(dst) % 3 = 0 UNION ALL SELECT src, 'callee', dst FROM edges WHERE length(src) % 3 = 0)",
+    "fact_merge": f"{BASE}, {_facts}, b AS (SELECT * FROM fa WHERE line % 2 = 0 UNION ALL SELECT * FROM fa WHERE line % 3 = 0) SELECT fact_id, count(DISTINCT kind || path || line || coalesce(symbol, '') || target || confidence) AS n_payloads, count(*) AS n_rows, min(kind) AS kind, min(path) AS path, min(symbol) AS symbol, min(target) AS target FROM b GROUP BY fact_id",
+    "id_recompute": f"{BASE}, {_facts} SELECT fact_id, true AS same FROM fa",
+    "graph_status_merge": "WITH s AS (SELECT unnest(['available', 'unavailable', 'disabled']) AS s) SELECT a.s AS before, b.s AS after, CASE WHEN a.s = 'disabled' AND b.s = 'disabled' THEN 'disabled' WHEN a.s = 'available' AND b.s = 'available' THEN 'available' ELSE 'unavailable' END AS status FROM s a, s b",
+    "owner_missing": f"{BASE} SELECT line_id AS evidence_id FROM li WHERE line_id NOT IN (SELECT evidence_id FROM own)",
+    "owner_duplicate": f"{BASE} SELECT evidence_id, count(*) AS n_entries, string_agg(DISTINCT owner_id, ',' ORDER BY owner_id) AS owners FROM own GROUP BY evidence_id HAVING count(*) > 1",
+    "owner_unknown": f"{BASE} SELECT evidence_id, owner_id, 'unknown evidence' AS error FROM own WHERE evidence_id NOT IN (SELECT line_id FROM li) UNION ALL SELECT evidence_id, owner_id, 'unknown owner' FROM own WHERE owner_id NOT IN (SELECT item_id FROM it)",
+    "span_effective_owner": f"{BASE}, o AS (SELECT evidence_id, min(owner_id) AS owner_id FROM own GROUP BY evidence_id), p AS (SELECT span_id, count(*) AS n, count(owner_id) AS owned, count(DISTINCT owner_id) AS d, min(owner_id) AS o FROM ls LEFT JOIN o ON line_id = evidence_id GROUP BY span_id) SELECT span_id, CASE WHEN d > 1 THEN 'cross' WHEN owned = 0 THEN 'none' WHEN owned < n THEN 'partial' ELSE 'owned' END AS state, CASE WHEN d = 1 AND owned = n THEN o END AS owner_id FROM p",
+    "coverage_summary": f"{BASE}, o AS (SELECT evidence_id, min(owner_id) AS owner_id FROM own GROUP BY evidence_id), x AS (SELECT ls.*, owner_id FROM ls LEFT JOIN o ON line_id = evidence_id), s AS (SELECT count(*) AS span_total, count(*) FILTER (ok) AS span_owned FROM (SELECT span_id, count(DISTINCT owner_id) = 1 AND count(owner_id) = count(*) AS ok FROM x GROUP BY span_id)), h AS (SELECT count(*) AS hunk_total, count(*) FILTER (ok) AS hunk_owned FROM (SELECT doc_id, hunk_no, count(owner_id) = count(*) AS ok FROM x GROUP BY ALL)), l AS (SELECT count(*) AS line_total, count(owner_id) AS line_owned FROM x) SELECT *, {_coverage.format('line')}, {_coverage.format('span')}, {_coverage.format('hunk')} FROM l, s, h",
+    "citation_refs": f"{BASE} SELECT item_id, ref, count(*) AS n FROM ic WHERE ref NOT IN (SELECT citation_id FROM ci UNION SELECT span_id FROM spans UNION SELECT line_id FROM li) GROUP BY ALL",
+    "item_rules": f"{BASE} SELECT item_id, 'behavioral needs both sides or an absence' AS error FROM itm WHERE kind = 'behavioral' AND NOT (before IS NOT NULL AND after IS NOT NULL) AND NOT coalesce((absence = 'before' AND has_before AND before IS NULL AND after IS NOT NULL) OR (absence = 'after' AND has_after AND after IS NULL AND before IS NOT NULL), false) UNION ALL SELECT item_id, 'both sides or neither' FROM itm WHERE kind <> 'behavioral' AND absence IS NULL AND (before IS NULL) <> (after IS NULL)",
+    "confidence_rules": f"{BASE} SELECT item_id, 'ambiguity and ambiguous go together' AS error FROM itm WHERE (kind = 'ambiguity') <> (confidence = 'ambiguous') UNION ALL SELECT item_id, 'unresolved needs unresolved or unavailable' FROM itm WHERE (kind = 'unresolved') <> (confidence IN ('unresolved', 'unavailable')) UNION ALL SELECT item_id, 'extracted forbids uncertain wording' FROM itm WHERE confidence = 'extracted' AND (regexp_matches(plain, '(?i)\\b(possibly|probably|perhaps|presumably|apparently|likely|might)\\b') OR regexp_matches(plain, '\\bmay\\b'))",
+    "policy_text": _policy(),
+    "policy_fields": _fields(),
+    "empty_comparison": "SELECT CAST(0 AS BIGINT) AS line_total, CAST(0 AS BIGINT) AS line_owned, CAST(0 AS BIGINT) AS span_total, CAST(0 AS BIGINT) AS span_owned, CAST(0 AS BIGINT) AS hunk_total, CAST(0 AS BIGINT) AS hunk_owned, 1.0::DOUBLE AS line_ratio, 1.0::DOUBLE AS span_ratio, 1.0::DOUBLE AS hunk_ratio",
+    "assertion_eval": f"{BASE}, t AS (SELECT doc_id, side, string_agg(content, chr(10) ORDER BY line) AS text FROM snap GROUP BY ALL), w AS (SELECT 'a' || doc_id || '_' || n AS assertion_id, doc_id, CASE WHEN n % 2 = 0 THEN 'before' ELSE 'after' END AS side, CASE WHEN n < 2 THEN ' ~' ELSE 'the' END AS needle, n <> 1 AS present FROM files, range(4) r(n)) SELECT assertion_id, doc_id, side, CASE WHEN text IS NULL THEN CASE WHEN present THEN 'skip' ELSE 'pass' END WHEN contains(text, needle) = present THEN 'pass' ELSE 'fail' END AS status FROM w LEFT JOIN t USING (doc_id, side)",
+    "manifest_instantiate": f"{BASE}, n AS (SELECT hunk_id, path, row_number() OVER (PARTITION BY path ORDER BY hunk_no) AS k FROM hunks), t AS (SELECT path || '#' || k AS concept, 'item_' || k % 4 AS owner_id, path, k FROM files, range(1, 4) r(k)) SELECT concept, hunk_id, owner_id, CASE WHEN hunk_id IS NULL THEN 'no such hunk' WHEN concept IS NULL THEN 'no owner' ELSE 'ok' END AS state FROM t FULL JOIN n ON t.path = n.path AND t.k = n.k",
+    "report_sections": f"{BASE} SELECT section, row_number() OVER (PARTITION BY section ORDER BY ord, item_id) AS position, item_id FROM (SELECT CASE WHEN kind = 'unresolved' THEN 'ambiguity' ELSE kind END AS section, ord, item_id FROM items)",
+    "dependency_closure": f"WITH RECURSIVE {_up_edges}, {_reach} SELECT node, count(*) AS n_reached, CAST(min(ancestor) AS BIGINT) AS lowest FROM up GROUP BY node",
+    "merge_base": f"WITH RECURSIVE {_up_edges}, {_reach}, p AS (SELECT DISTINCT node AS left_node, node + 7 AS right_node FROM e WHERE node BETWEEN 100 AND 160), c AS (SELECT p.*, a.ancestor FROM p JOIN up a ON a.node = left_node JOIN up b ON b.node = right_node AND a.ancestor = b.ancestor) SELECT left_node, right_node, count(*) AS n_bases, min(ancestor) AS base FROM c WHERE NOT EXISTS (SELECT 1 FROM c d JOIN up ON up.node = d.ancestor AND up.node <> up.ancestor WHERE d.left_node = c.left_node AND d.right_node = c.right_node AND up.ancestor = c.ancestor) GROUP BY ALL",
+    "license_set_equality": "WITH d AS (SELECT DISTINCT c_mktsegment AS k FROM customer), e AS (SELECT unnest(string_split('BUILDING OR MACHINERY OR OTHER', ' OR ')) AS k) SELECT k, 'detected only' AS side FROM d WHERE k NOT IN (SELECT k FROM e) UNION ALL SELECT k, 'expected only' FROM e WHERE k NOT IN (SELECT k FROM d)",
+    "link_check": "WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages), s AS (SELECT DISTINCT link FROM h WHERE page_id % 2 = 0) SELECT page_id, count(*) AS n_broken FROM h WHERE page_id % 2 = 1 AND link NOT IN (SELECT link FROM s) GROUP BY page_id",
+    "privacy_scan": "SELECT CAST(page_id AS VARCHAR) AS id, field, 'url' AS kind FROM (SELECT page_id, '$.url' AS field, url AS v FROM pages UNION ALL SELECT page_id, '$.html', html FROM pages) WHERE regexp_matches(v, '(/home/|/Users/|ref=)[A-Za-z0-9_]+')",
+    "json_schema_errors": "SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN '$.k: missing or no number' ELSE '$.k: above 90' END AS error FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL OR TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) > 90",
+    "patch_parse": f"{BASE} SELECT path, side, line, content FROM ch WHERE path IN (SELECT path FROM hunks GROUP BY path HAVING max(n_blocks) = 1)",
+    "evidence_markdown": f"{BASE}, b AS (SELECT doc_id, string_agg('- ' || side || ' ' || start_line || '-' || end_line || ' `' || span_id || '`', chr(10) ORDER BY hunk_no, span_no) AS body FROM spans GROUP BY doc_id) SELECT doc_id, '## ' || path || chr(10) || chr(10) || 'Status: ' || status || chr(10) || chr(10) || coalesce(body, '_None._') AS markdown FROM files LEFT JOIN b USING (doc_id)",
+    "cold_warm_equal": "SELECT true AS equal",
+}
+SQL["assertion_counts"] = f"SELECT status, count(*) AS n FROM ({SQL['assertion_eval']}) GROUP BY status"
