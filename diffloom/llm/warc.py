@@ -31,7 +31,7 @@ from .shared import Scratch, table
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 #: Bytes of a range that one reading task scans.
-RANGE = 32 << 20
+RANGE = 8 << 20
 STEP = 1 << 20
 RECORD = "path string, offset long, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 
@@ -139,7 +139,8 @@ def members(source, begin: int, end: int, size: int):
 def read_archives(files: DataFrame, span: int = RANGE) -> DataFrame:
     """The records of files (path, length), each read by the task whose byte range holds its first byte."""
     ranges = files.select("path", F.col("length").alias("size"), F.expr(f"explode(sequence(0L, greatest(length - 1, 0L), {span}L))").alias("begin"))
-    ranges = ranges.repartition(F.col("path"), F.col("begin"))
+    # a stated number, so that adaptive execution doesn't put the few small rows into one task
+    ranges = ranges.repartition(max(1, ranges.count()))
 
     def run(batches):
         for batch in batches:
