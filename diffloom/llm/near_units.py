@@ -23,6 +23,8 @@ from .ngram_join import SKETCH, linked, parity_sketch, shared_keys
 from .shared import Scratch, blocks, mix, range_hashes, string_buffers
 
 _U = np.uint64
+#: Size of the filter that is sent to tasks: 2 MB.
+FILTER_BITS = 1 << 24
 PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, node long"
 
 
@@ -72,8 +74,8 @@ class Units:
 
         return run
 
-    def distinct(self, bodies: bool):
-        """Each node once a task: its band keys, or its bytes."""
+    def distinct(self, bodies: np.ndarray | None = None):
+        """Each node once a task: its band keys, or its bytes where the filter of wanted nodes lets it pass."""
         find, hashes, bands, rows = self.find, self.hashes, self.bands, self.rows
 
         def run(batches):
@@ -85,14 +87,15 @@ class Units:
                     _, begin, end, _ = find(part, offsets[i : j + 1] - offsets[i])
                     node = range_hashes(part, begin, end).astype(np.int64)
                     new = []
+                    may = [True] * len(node) if bodies is None else passes(bodies, node).tolist()
                     for k, x in enumerate(node.tolist()):
-                        if x not in seen:
+                        if may[k] and x not in seen:
                             seen.add(x)
                             new.append(k)
                     if not new:
                         continue
                     begin, end, node = begin[new], end[new], node[new]
-                    if bodies:
+                    if bodies is not None:
                         raw = part.tobytes()
                         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([raw[a:z] for a, z in zip(begin, end, strict=True)], pa.binary())], ["node", "body"])
                     else:
@@ -101,20 +104,56 @@ class Units:
 
         return run
 
-    def sets(self):
+    def expand(self):
+        """A function that makes the sorted sets of a column of unit bytes."""
         hashes = self.hashes
 
+        def run(bodies: pa.Array) -> list[np.ndarray]:
+            data, offsets = string_buffers(bodies)
+            out = []
+            for i, j in blocks(offsets):
+                found, first = hashes(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i])
+                out += [np.unique(x) for x in np.split(found, first[1:])]
+            return out
+
+        return run
+
+    def sketches(self):
+        expand = self.expand()
+
         def run(batches):
             for batch in batches:
-                data, offsets = string_buffers(batch.column("body"))
-                for i, j in blocks(offsets):
-                    found, first = hashes(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i])
-                    items = [np.unique(x) for x in np.split(found, first[1:])]
-                    yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array([len(x) for x in items], pa.int32()), pa.array([parity_sketch(x).tobytes() for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["node", "n", "sketch", "items"])
+                sets = expand(batch.column("body"))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity_sketch(x).tobytes() for x in sets], pa.binary()), batch.column("body")], ["node", "n", "sketch", "items"])
 
         return run
 
 
+def places_of(nodes: np.ndarray) -> np.ndarray:
+    """The filter's bits of each node, a row for each of its hash functions."""
+    return np.stack([mix(nodes.astype(_U) + _U(k * 0x9E3779B97F4A7C15 % (1 << 64))) & _U(FILTER_BITS - 1) for k in (1, 2, 3)]).astype(np.int64)
+
+
+def passes(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = places_of(nodes)
+    return ((words[at >> 6] >> (at & 63).astype(_U)) & _U(1)).all(axis=0)
+
+
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits, whatever the number of nodes; what it lets pass is joined exactly afterwards."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(places_of(batch.column("node").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
+
+    bits = nodes.mapInArrow(run, "at long").groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in bits.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.view(_U)
+
+
 def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
     """(places, kept) of docs (doc_id, text).
 
@@ -126,11 +165,11 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     places = scratch.keep(docs.mapInArrow(units.places(), PLACE))
     text = docs.select("text")
-    groups = scratch.keep(shared_keys(text.mapInArrow(units.distinct(False), "key long, node long")))
+    groups = scratch.keep(shared_keys(text.mapInArrow(units.distinct(), "key long, node long")))
     chosen = groups.select("node").distinct()
-    bodies = text.mapInArrow(units.distinct(True), "node long, body binary").join(chosen, "node", "left_semi")
-    known = scratch.keep(bodies.mapInArrow(units.sets(), SKETCH).dropDuplicates(["node"]))
-    roots = linked(scratch, groups, known, percent)
+    bodies = text.mapInArrow(units.distinct(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")
+    known = scratch.keep(bodies.dropDuplicates(["node"]).mapInArrow(units.sketches(), SKETCH))
+    roots = linked(scratch, groups, known, percent, units.expand())
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no")
     per = places.groupBy("node").agg(F.min(order).alias("keep"), F.max(order["doc_key"]).alias("last"), F.count("*").alias("n"))
     placed = per.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -169,12 +169,16 @@ def _near(percent: int):
     return run
 
 
-def _similar(percent: int):
+def as_sets(items: pa.Array) -> list[np.ndarray]:
+    """Sets that are stored as their sorted hashes."""
+    return [np.frombuffer(x.as_buffer(), _U) for x in items]
+
+
+def _similar(percent: int, expand):
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("ia"), batch.column("ib"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), _U) for x in (a, b))
+            for a, b in zip(expand(batch.column("ia")), expand(batch.column("ib")), strict=True):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -208,7 +212,7 @@ def _dealt(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.withColumn("at", F.explode(pair)).select(*group, "at.i", "at.j", "at.side", "node", "root", "n", "sketch")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, scratch: Scratch, percent: int, expand) -> DataFrame:
     """The pairs (u, v) that link: first by sketches, the rest by the full sets."""
 
     def both(p: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -217,7 +221,7 @@ def _verified(pairs: DataFrame, known: DataFrame, scratch: Scratch, percent: int
         return p
 
     near = scratch.keep(both(pairs, {"n": "n", "sketch": "s"}).mapInArrow(_near(percent), "u long, v long"))
-    return scratch.keep(both(near, {"items": "i"}).mapInArrow(_similar(percent), "u long, v long"))
+    return scratch.keep(both(near, {"items": "i"}).mapInArrow(_similar(percent, expand), "u long, v long"))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -228,14 +232,15 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return beside.where("before < node OR after > node").select("key", "node").distinct()
 
 
-def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80) -> DataFrame:
+def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets) -> DataFrame:
     """node, root of all nodes that link over the keys they share.
 
     groups: key, node, from shared_keys. known: node, n, sketch, items of those nodes. Both are written tables.
+    expand turns a column of items into sorted arrays of hashes.
     """
     centre = groups.groupBy("key").agg(F.min("node").alias("u"))
     star = groups.join(centre, "key").where("u < node").select("u", F.col("node").alias("v")).distinct()
-    links = _verified(star, known, scratch, percent)
+    links = _verified(star, known, scratch, percent, expand)
     roots = components(scratch, links)
 
     held = groups.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -263,7 +268,7 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
     outer = dealt_hosts.unionByName(dealt_guests).join(sketch, "node").groupBy("anchor", "i", "j").applyInArrow(_block_pairs(percent), "u long, v long")
 
     more = scratch.keep(inner.unionByName(outer).distinct().join(star, ["u", "v"], "left_anti"))
-    late = _verified(more, known, scratch, percent)
+    late = _verified(more, known, scratch, percent, expand)
     if not late.isEmpty():
         roots = components(scratch, links.unionByName(late))
     scratch.drop(groups, known, open_rows, more)
