@@ -52,13 +52,13 @@ def kept_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with their remaining lines as text, all columns kept; documents that lose every line are dropped."""
     _, kept = kept_lines(spark, docs)
-    kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "lines")
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("lines").alias("_lines"))
     joined = docs.withColumn("_t", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
     word = r"[^\x20\x09-\x0D]"
     solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(word))
     # places among the lines with words; a line without any goes with its document's first kept line
-    left = F.array_join(F.transform(F.col("lines"), lambda k: F.get("_s", k)), "\n")
-    return joined.withColumn("_s", solid).where((F.size("_s") <= 0) | F.col("lines").isNotNull() | F.col("text").isNull()).withColumn("text", F.when(F.col("lines").isNotNull(), F.when(F.size("lines") == F.size("_s"), F.col("text")).otherwise(left)).otherwise(F.col("text"))).drop("_d", "_h", "_t", "_s", "lines")
+    left = F.array_join(F.transform(F.col("_lines"), lambda k: F.get("_s", k)), "\n")
+    return joined.withColumn("_s", solid).where((F.size("_s") <= 0) | F.col("_lines").isNotNull() | F.col("text").isNull()).withColumn("text", F.when(F.col("_lines").isNotNull(), F.when(F.size("_lines") == F.size("_s"), F.col("text")).otherwise(left)).otherwise(F.col("text"))).drop("_d", "_h", "_t", "_s", "_lines")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

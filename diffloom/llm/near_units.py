@@ -169,7 +169,8 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     chosen = groups.select("node").distinct()
     bodies = text.mapInArrow(units.distinct(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")
     known = scratch.keep(bodies.dropDuplicates(["node"]).mapInArrow(units.sketches(), SKETCH))
-    roots = linked(scratch, groups, known, percent, units.expand())
+    weight = places.groupBy("node").agg(F.count("*").alias("weight")).join(chosen, "node", "left_semi")
+    roots = linked(scratch, groups, known, percent, units.expand(), weight)
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no")
     per = places.groupBy("node").agg(F.min(order).alias("keep"), F.max(order["doc_key"]).alias("last"), F.count("*").alias("n"))
     placed = per.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -155,16 +155,28 @@ def _sketches(width: int):
     return run
 
 
+def distances(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Hamming distances of two columns of sketches, the larger one folded."""
+    (da, oa), (db, ob) = (string_buffers(x) for x in (a, b))
+    la, lb = np.diff(oa), np.diff(ob)
+    out = np.zeros(len(la), np.int64)
+    for size in np.unique(la * (1 << 32) + lb).tolist():
+        x, y = size >> 32, size & 0xFFFFFFFF
+        for rows in np.array_split(at := np.flatnonzero((la == x) & (lb == y)), 1 + len(at) * max(x, y) // (1 << 24)):
+            m, n = (d[o[rows][:, None] + np.arange(w)].view(_U) for d, o, w in ((da, oa, x), (db, ob, y)))
+            while m.shape[1] > n.shape[1]:
+                m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+            while n.shape[1] > m.shape[1]:
+                n = n[:, : n.shape[1] // 2] ^ n[:, n.shape[1] // 2 :]
+            out[rows] = np.bitwise_count(m ^ n).sum(axis=1)
+    return out
+
+
 def _near(percent: int):
     def run(batches):
         for batch in batches:
-            na, nb = (batch.column(c).to_numpy() .astype(np.int64) for c in ("na", "nb"))
-            far = np.zeros(len(na), np.int64)
-            for k, (a, b) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                a, b = (np.frombuffer(x.as_buffer(), _U) for x in (a, b))
-                m = min(len(a), len(b))
-                far[k] = np.bitwise_count(fold(a, m) ^ fold(b, m)).sum()
-            yield batch.select(["u", "v"]).filter(pa.array(may_link(na, nb, far, percent)))
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            yield batch.select(["u", "v"]).filter(pa.array(may_link(na, nb, distances(batch.column("sa"), batch.column("sb")), percent)))
 
     return run
 
@@ -232,14 +244,18 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return beside.where("before < node OR after > node").select("key", "node").distinct()
 
 
-def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets) -> DataFrame:
+def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets, weight: DataFrame | None = None) -> DataFrame:
     """node, root of all nodes that link over the keys they share.
 
     groups: key, node, from shared_keys. known: node, n, sketch, items of those nodes. Both are written tables.
+    weight: node, weight; a key's nodes are first held against its heaviest one, or the smallest if there are no weights.
     expand turns a column of items into sorted arrays of hashes.
     """
-    centre = groups.groupBy("key").agg(F.min("node").alias("u"))
-    star = groups.join(centre, "key").where("u < node").select("u", F.col("node").alias("v")).distinct()
+    if weight is None:
+        centre = groups.groupBy("key").agg(F.min("node").alias("u"))
+    else:
+        centre = groups.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("u"))
+    star = groups.join(centre, "key").where("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     links = _verified(star, known, scratch, percent, expand)
     roots = components(scratch, links)
 
@@ -270,7 +286,12 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
     more = scratch.keep(inner.unionByName(outer).distinct().join(star, ["u", "v"], "left_anti"))
     late = _verified(more, known, scratch, percent, expand)
     if not late.isEmpty():
-        roots = components(scratch, links.unionByName(late))
+        # the late links join components: contract to their roots, then rename
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        ends = late.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+        over = components(scratch, ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = scratch.keep(old.unionByName(over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))))
     scratch.drop(groups, known, open_rows, more)
     return roots
 
