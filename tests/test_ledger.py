@@ -1,0 +1,84 @@
+import os
+
+import duckdb
+import pytest
+
+from diffloom.functions.symbols import BraceRanges, PythonSymbols
+from diffloom.operators import graph, ledger, patch, validate
+from diffloom.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for p in os.listdir(SMALL):
+        c.sql(f"create view {p[:-8]} as select * from '{SMALL}/{p}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_oracle(spark, duck, name):
+    duck.register("got", registry.QUERIES[name](spark, SMALL).toArrow())
+    duck.execute(f"create or replace table want as {registry.SQL[name]}")
+    columns = ",".join(sorted(x[0] for x in duck.sql("describe want").fetchall()))
+    assert columns == ",".join(sorted(x[0] for x in duck.sql("describe got").fetchall()))
+    for a, b in (("got", "want"), ("want", "got")):
+        assert not duck.sql(f"select {columns} from {a} except all select {columns} from {b}").fetchall()
+
+
+def parsed(spark, text):
+    rows = patch.parse_patch(spark.createDataFrame([("p", text)], "path string, patch string"))
+    return sorted((r.side, r.line, r.ordinal, r.content) for r in rows.collect())
+
+
+def test_patch_replace(spark):
+    text = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n one\n-two\n+2\n+3\n"
+    assert parsed(spark, text) == [("after", 2, 1, "2"), ("after", 3, 2, "3"), ("before", 2, 0, "two")]
+    assert patch.count_errors(spark.createDataFrame([("p", text)], "path string, patch string")).count() == 0
+
+
+def test_patch_counts_and_carriage_return(spark):
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-old\r\n+new\n\\ No newline at end of file\n"
+    assert parsed(spark, text) == [("after", 1, 1, "new"), ("before", 1, 0, "old\r")]
+    wrong = text.replace("@@ -1 +1 @@", "@@ -1,9 +1 @@")
+    assert patch.count_errors(spark.createDataFrame([("p", wrong)], "path string, patch string")).count() == 1
+
+
+def test_spans_link_only_inside_a_block(spark):
+    rows = [(1, "p", "before", 1, 0, 1, 0, "a"), (1, "p", "after", 1, 0, 1, 1, "b"), (1, "p", "before", 3, 1, 1, 2, "c"), (1, "p", "after", 4, 2, 1, 3, "d")]
+    changes = spark.createDataFrame(rows, "doc_id long, path string, side string, line long, block long, hunk_no long, ordinal long, content string")
+    out = ledger.replacements(ledger.spans(changes)).orderBy("span_no").collect()
+    assert [r.replacement_span_id is not None for r in out] == [True, True, False, False]
+    assert out[0].replacement_span_id == out[1].span_id and out[1].replacement_span_id == out[0].span_id
+
+
+def test_innermost_and_tie(spark):
+    lines = spark.createDataFrame([(1, 5), (1, 20), (1, 1)], "doc_id long, line long")
+    symbols = spark.createDataFrame([(1, "outer", 1, 10), (1, "inner", 4, 6), (1, "x", 15, 30), (1, "y", 15, 30)], "doc_id long, name string, line long, end_line long")
+    got = {r.line: (r.symbol, r.how) for r in graph.innermost(lines, symbols).collect()}
+    assert got == {5: ("inner", "enclosing"), 20: (None, "ambiguous"), 1: ("outer", "direct")}
+
+
+def test_policy_ignores_quotes(spark):
+    texts = spark.createDataFrame([("a", "The severity is high."), ("b", "The text `severity is high` is gone."), ("c", "Review")], "id string, value string")
+    assert sorted((r.id, r.intent) for r in validate.policy_errors(texts).collect()) == [("a", "severity"), ("c", "heading")]
+
+
+def test_symbols():
+    assert list(PythonSymbols().eval("def f():\n    pass\nclass C:\n    def g(self):\n        pass\n")) == [("f", 1, 2), ("C", 3, 5), ("g", 4, 5)]
+    assert list(PythonSymbols().eval("def (")) == [] and list(PythonSymbols().eval(None)) == []
+    assert list(BraceRanges().eval("a {\n '}' /* { */ // }\n}\n")) == [(1, 3)]
+    assert list(BraceRanges().eval("{ }}")) == [(1, 1)][:0]
+
+
+def test_stream(spark, tmp_path):
+    from diffloom.streaming.patches import ledger_stream
+
+    (tmp_path / "in").mkdir()
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-old\n+new\n"
+    for name in "ab":
+        (tmp_path / "in" / name).write_text(text)
+        ledger_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
