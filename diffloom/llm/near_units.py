@@ -23,8 +23,8 @@ from .ngram_join import SKETCH, linked, parity_sketch, shared_keys
 from .shared import Scratch, blocks, mix, range_hashes, string_buffers
 
 _U = np.uint64
-#: Size of the filter that is sent to tasks: 2 MB.
-FILTER_BITS = 1 << 24
+#: Size of the filter that is sent to tasks, 1 MB, and the words of a piece of it that tasks combine.
+FILTER_BITS, FILTER_PIECE = 1 << 23, 1024
 PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, node long"
 
 
@@ -143,15 +143,22 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     """A Bloom filter of FILTER_BITS bits, whatever the number of nodes; what it lets pass is joined exactly afterwards."""
 
     def run(batches):
+        words = np.zeros(FILTER_BITS // 64, _U)
         for batch in batches:
-            at = np.unique(places_of(batch.column("node").to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
-
-    bits = nodes.mapInArrow(run, "at long").groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in bits.toLocalIterator():
-        out[r["word"]] = r["bits"]
-    return out.view(_U)
+            at = places_of(batch.column("node").to_numpy()).ravel()
+            np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(_U))
+        pieces = words.reshape(-1, FILTER_PIECE)
+        full = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pieces[k].tobytes() for k in full], pa.binary())], ["piece", "bits"])
+
+    def either(t: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), _U) for c in t.column("bits").chunks for x in c])
+        return pa.table({"piece": pa.array([t.column("piece")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    out = np.zeros((FILTER_BITS // 64 // FILTER_PIECE, FILTER_PIECE), _U)
+    for r in nodes.mapInArrow(run, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").toLocalIterator():
+        out[r["piece"]] = np.frombuffer(bytes(r["bits"]), _U)
+    return out.ravel()
 
 
 def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
