@@ -44,9 +44,10 @@ LINES = Units(find_lines, line_hashes, BANDS, ROWS)
 
 def kept_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id, text_hash, n_lines; kept: doc_id, text_hash, lines as sorted places among its lines)."""
-    places, classes = unit_classes(spark, docs, LINES, PERCENT, "lines")
-    kept = classes.select("keep").distinct().groupBy("keep.doc_id", "keep.text_hash").agg(F.array_sort(F.collect_list("keep.no")).alias("lines"))
-    return places.select("doc_id", "text_hash", "no").distinct().groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_lines")), kept
+    places, nodes = unit_classes(spark, docs, LINES, PERCENT, "lines")
+    firsts = nodes.where("NOT linked").select("keep").unionByName(nodes.where("linked").select("keep").distinct())
+    kept = firsts.groupBy("keep.doc_id", "keep.text_hash").agg(F.array_sort(F.collect_list("keep.no")).alias("lines"))
+    return places.groupBy("doc_id", "text_hash").agg((F.max("no") + 1).cast("long").alias("n_lines")), kept
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:

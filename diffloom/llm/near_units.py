@@ -25,7 +25,9 @@ from .shared import Scratch, blocks, mix, range_hashes, string_buffers
 _U = np.uint64
 #: Size of the filter that is sent to tasks, 1 MB, and the words of a piece of it that tasks combine.
 FILTER_BITS, FILTER_PIECE = 1 << 23, 1024
-PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, node long"
+PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, node long, keys array<long>"
+#: Bytes of text that are scanned at once, so that the arrays stay in the processor's cache.
+SCAN = 1 << 17
 
 
 def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,50 +59,54 @@ class Units:
         self.find, self.hashes, self.bands, self.rows = find, hashes, bands, rows
 
     def places(self):
-        find = self.find
+        """Every unit; the first of a node in its task carries the node's band keys, others none."""
+        find, hashes, bands, rows = self.find, self.hashes, self.bands, self.rows
 
         def run(batches):
+            seen: set[int] = set()
             for batch in batches:
                 data, offsets = string_buffers(batch.column("text"))
-                for i, j in blocks(offsets):
+                for i, j in blocks(offsets, SCAN):
                     part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                     row, begin, end, words = find(part, local)
                     points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
                     base = points[local[row]]
                     new = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
                     no = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
-                    columns = [batch.column("doc_id").take(pa.array(row + i)), batch.column("text_hash").take(pa.array(row + i)), *(pa.array(x.astype(np.int32)) for x in (no, points[begin] - base, points[end] - base, words)), pa.array(range_hashes(part, begin, end).astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "node"])
+                    node = range_hashes(part, begin, end).astype(np.int64)
+                    first = np.zeros(len(node), bool)
+                    for k, x in enumerate(node.tolist()):
+                        if x not in seen:
+                            seen.add(x)
+                            first[k] = True
+                    keys = signature_keys(*hashes(part, begin[first], end[first]), bands, rows) if first.any() else np.zeros(0, np.int64)
+                    places = (pa.array(x.astype(np.int32)) for x in (no, points[begin] - base, points[end] - base, words))
+                    starts = pa.array(np.concatenate(([0], np.cumsum(first) * bands)).astype(np.int32))
+                    columns = [batch.column("doc_id").take(pa.array(row + i)), batch.column("text_hash").take(pa.array(row + i)), *places, pa.array(node), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "node", "keys"])
 
         return run
 
-    def distinct(self, bodies: np.ndarray | None = None):
-        """Each node once a task: its band keys, or its bytes where the filter of wanted nodes lets it pass."""
-        find, hashes, bands, rows = self.find, self.hashes, self.bands, self.rows
+    def bodies(self, wanted: np.ndarray):
+        """The bytes of each node that the filter of wanted ones lets pass, once a task."""
+        find = self.find
 
         def run(batches):
             seen: set[int] = set()
             for batch in batches:
                 data, offsets = string_buffers(batch.column("text"))
-                for i, j in blocks(offsets):
+                for i, j in blocks(offsets, SCAN):
                     part = data[offsets[i] : offsets[j]]
                     _, begin, end, _ = find(part, offsets[i : j + 1] - offsets[i])
                     node = range_hashes(part, begin, end).astype(np.int64)
                     new = []
-                    may = [True] * len(node) if bodies is None else passes(bodies, node).tolist()
-                    for k, x in enumerate(node.tolist()):
-                        if may[k] and x not in seen:
+                    at = np.flatnonzero(passes(wanted, node))
+                    for k, x in zip(at.tolist(), node[at].tolist(), strict=True):
+                        if x not in seen:
                             seen.add(x)
                             new.append(k)
-                    if not new:
-                        continue
-                    begin, end, node = begin[new], end[new], node[new]
-                    if bodies is not None:
-                        raw = part.tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([raw[a:z] for a, z in zip(begin, end, strict=True)], pa.binary())], ["node", "body"])
-                    else:
-                        keys = signature_keys(*hashes(part, begin, end), bands, rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, bands))], ["key", "node"])
+                    if new:
+                        yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array([part[begin[k] : end[k]].tobytes() for k in new], pa.binary())], ["node", "body"])
 
         return run
 
@@ -162,24 +168,28 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """(places, kept) of docs (doc_id, text).
+    """(places, nodes) of docs (doc_id, text).
 
     places: doc_id, text_hash, no, begin, end, n_words, node of every unit, in
-    code points. kept: root, n_units, n_docs, and the first place of each
-    component as keep (doc_key, doc_id, text_hash, no), beside the nodes of it.
+    code points. nodes: node, keep, n_units, linked of every node: the first
+    place of its component as keep (doc_key, doc_id, text_hash, no), the units
+    of the component, and whether it has other nodes.
     """
     scratch = Scratch(spark, label)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    places = scratch.keep(docs.mapInArrow(units.places(), PLACE))
-    text = docs.select("text")
-    groups = scratch.keep(shared_keys(text.mapInArrow(units.distinct(), "key long, node long")))
+    scanned = scratch.keep(docs.mapInArrow(units.places(), PLACE))
+    places = scanned.drop("keys")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no")
+    per = scratch.keep(places.groupBy("node").agg(F.min(order).alias("keep"), F.count("*").alias("n_units")))
+    groups = scratch.keep(shared_keys(scanned.select(F.explode("keys").alias("key"), "node")))
     chosen = groups.select("node").distinct()
-    bodies = text.mapInArrow(units.distinct(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")
+    bodies = docs.select("text").mapInArrow(units.bodies(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")
     known = scratch.keep(bodies.dropDuplicates(["node"]).mapInArrow(units.sketches(), SKETCH))
-    weight = places.groupBy("node").agg(F.count("*").alias("weight")).join(chosen, "node", "left_semi")
-    roots = linked(scratch, groups, known, percent, units.expand(), weight)
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no")
-    per = places.groupBy("node").agg(F.min(order).alias("keep"), F.max(order["doc_key"]).alias("last"), F.count("*").alias("n"))
-    placed = per.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = placed.groupBy("root").agg(F.min("keep").alias("keep"), F.sum("n").alias("n_units"), F.max("last").alias("last"))
-    return places, scratch.keep(placed.select("node", "root").join(best, "root"))
+    weight = per.select("node", F.col("n_units").alias("weight")).join(chosen, "node", "left_semi")
+    roots = linked(scratch, groups, known, percent, units.expand(), weight, inline=True)
+    # only nodes with links meet by root; the others are their own class
+    placed = scratch.keep(per.join(roots, "node"))
+    best = placed.groupBy("root").agg(F.min("keep").alias("keep"), F.sum("n_units").alias("n_units"))
+    joined = placed.select("node", "root").join(best, "root").select("node", "keep", "n_units", F.lit(True).alias("linked"))
+    lone = per.join(roots.select("node"), "node", "left_anti").select("node", "keep", "n_units", F.lit(False).alias("linked"))
+    return places, lone.unionByName(joined)

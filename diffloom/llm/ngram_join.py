@@ -198,21 +198,50 @@ def _similar(percent: int, expand):
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs between the two sides of a block whose sketches don't exclude a link; side 0 stands on both sides."""
+def _hits(n: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row with the right rows whose sizes and sketches don't exclude a link; unequal sketches are folded."""
+    width = np.array([len(x) for x in sketches])
+    classes = [(w, right[width[right] == w]) for w in np.unique(width[right]).tolist()]
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    for k in left.tolist():
+        for w, rows in classes:
+            v = min(w, width[k])
+            # similar sets have sketches of equal widths or of neighbouring ones
+            if max(w, width[k]) > 2 * v:
+                continue
+            if (w, v) not in folded:
+                folded[w, v] = np.stack([fold(sketches[x], v) for x in rows])
+            far = np.bitwise_count(folded[w, v] ^ fold(sketches[k], v)).sum(axis=1, dtype=np.int64)
+            yield k, rows[may_link(n[rows], int(n[k]), far, percent)]
+
+
+def _block_pairs(percent: int, expand=None):
+    """Pairs between the two sides of a block whose sketches don't exclude a link; side 0 stands on both sides.
+
+    With expand, pairs are verified here on the column items, and only as many
+    links of roots are given as join what the block's links join.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        node, root, n, side = (t.column(c).to_numpy() for c in ("node", "root", "n", "side"))
+        node, root, n, side = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "root", "n", "side"))
         sketches = [np.frombuffer(x.as_buffer(), _U) for c in t.column("sketch").chunks for x in c]
-        width = min(len(x) for x in sketches)
-        m = np.stack([fold(x, width) for x in sketches])
         left, right = np.flatnonzero(side <= 1), np.flatnonzero((side == 0) | (side == 2))
-        us, vs = [], []
-        for k in left:
-            far = np.bitwise_count(m[right] ^ m[k]).sum(axis=1, dtype=np.int64)
-            hit = right[may_link(n[right].astype(np.int64), int(n[k]), far, percent) & (root[right] != root[k])]
-            us.append(np.minimum(node[hit], node[k]))
-            vs.append(np.maximum(node[hit], node[k]))
+        us, vs, sets, top = [], [], None, root.copy()
+        for k, hit in _hits(n, sketches, left, right, percent):
+            if expand is None:
+                hit = hit[root[hit] != root[k]]
+                us.append(np.minimum(node[hit], node[k]))
+                vs.append(np.maximum(node[hit], node[k]))
+                continue
+            for j in hit[top[hit] != top[k]].tolist():
+                if top[j] == top[k]:
+                    continue
+                sets = expand(t.column("items").combine_chunks()) if sets is None else sets
+                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
+                    us.append([min(root[k], root[j])])
+                    vs.append([max(root[k], root[j])])
+                    top[top == top[j]] = top[k]
         return pa.table({"u": pa.array(np.concatenate(us) if us else [], pa.int64()), "v": pa.array(np.concatenate(vs) if vs else [], pa.int64())})
 
     return run
@@ -221,7 +250,7 @@ def _block_pairs(percent: int):
 def _dealt(rows: DataFrame, group: list[str]) -> DataFrame:
     """Rows (group, node, root, n, sketch, part, of) to the pairs of blocks (i <= j) of their group that hold them."""
     pair = F.expr("transform(sequence(0, of - 1), x -> struct(least(part, x) AS i, greatest(part, x) AS j, IF(x = part, 0, IF(part < x, 1, 2)) AS side))")
-    return rows.withColumn("at", F.explode(pair)).select(*group, "at.i", "at.j", "at.side", "node", "root", "n", "sketch")
+    return rows.withColumn("at", F.explode(pair)).drop("part", "of").select(*group, "at.i", "at.j", "at.side", *[c for c in ("node", "root", "n", "sketch", "items") if c in rows.columns])
 
 
 def _verified(pairs: DataFrame, known: DataFrame, scratch: Scratch, percent: int, expand) -> DataFrame:
@@ -244,12 +273,13 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return beside.where("before < node OR after > node").select("key", "node").distinct()
 
 
-def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets, weight: DataFrame | None = None) -> DataFrame:
+def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets, weight: DataFrame | None = None, inline: bool = False) -> DataFrame:
     """node, root of all nodes that link over the keys they share.
 
     groups: key, node, from shared_keys. known: node, n, sketch, items of those nodes. Both are written tables.
     weight: node, weight; a key's nodes are first held against its heaviest one, or the smallest if there are no weights.
     expand turns a column of items into sorted arrays of hashes.
+    inline: blocks verify their pairs themselves; for items that are small enough to go with every block.
     """
     if weight is None:
         centre = groups.groupBy("key").agg(F.min("node").alias("u"))
@@ -263,7 +293,8 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high AND g > 2").select("key")
     size = roots.groupBy("root").agg(F.count("*").alias("members"))
     open_rows = scratch.keep(held.join(mixed, "key").join(size, "root", "left").select("key", "node", "root", (F.coalesce("members", F.lit(1)) >= LARGE).alias("large")))
-    sketch = known.select("node", "n", "sketch")
+    sketch = known if inline else known.select("node", "n", "sketch")
+    in_block = _block_pairs(percent, expand if inline else None)
 
     # nodes of small components: compared per key, once for each distinct set of nodes
     small = open_rows.where("NOT large")
@@ -271,7 +302,7 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
     once = sign.groupBy("g", "x", "y").agg(F.min("key").alias("key"))
     parts = F.ceil(F.col("g") / BLOCK).cast("int")
     rows = small.join(once.select("key", "g"), "key").join(sketch, "node").withColumn("of", parts).withColumn("part", F.expr("CAST(pmod(xxhash64(node, 3), of) AS INT)"))
-    inner = _dealt(rows, ["key"]).groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), "u long, v long")
+    inner = _dealt(rows, ["key"]).groupBy("key", "i", "j").applyInArrow(in_block, "u long, v long")
 
     # members of a large component against every node that shares a key with one of them
     anchors = open_rows.where("large").select("key", F.col("root").alias("anchor")).distinct()
@@ -281,10 +312,11 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
     slot = "CAST(pmod(xxhash64(node, 3), {0}) AS INT)"
     dealt_hosts = hosts.join(count, "anchor").selectExpr("anchor", "node", "root", f"{slot.format('h')} AS i", "explode(sequence(0, k - 1)) AS j", "1 AS side")
     dealt_guests = guests.join(count, "anchor").selectExpr("anchor", "node", "root", "explode(sequence(0, h - 1)) AS i", f"{slot.format('k')} AS j", "2 AS side")
-    outer = dealt_hosts.unionByName(dealt_guests).join(sketch, "node").groupBy("anchor", "i", "j").applyInArrow(_block_pairs(percent), "u long, v long")
+    outer = dealt_hosts.unionByName(dealt_guests).join(sketch, "node").groupBy("anchor", "i", "j").applyInArrow(in_block, "u long, v long")
 
-    more = scratch.keep(inner.unionByName(outer).distinct().join(star, ["u", "v"], "left_anti"))
-    late = _verified(more, known, scratch, percent, expand)
+    found = inner.unionByName(outer).distinct()
+    more = scratch.keep(found if inline else found.join(star, ["u", "v"], "left_anti"))
+    late = more if inline else _verified(more, known, scratch, percent, expand)
     if not late.isEmpty():
         # the late links join components: contract to their roots, then rename
         of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
