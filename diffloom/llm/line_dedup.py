@@ -15,19 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near_units import Units, grams, unit_classes
-from .shared import table
+from .shared import counts, table
 
 SHINGLE, PERCENT, BANDS, ROWS = 9, 80, 8, 3
 
 
 def find_lines(data: np.ndarray, offsets: np.ndarray):
     breaks = np.flatnonzero(data == 10)
-    begin = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
-    begin = begin[begin < len(data)]
+    cut = np.zeros(len(data) + 2, bool)
+    cut[offsets] = cut[breaks + 1] = True
+    begin = np.flatnonzero(cut[: len(data)])
     begin = begin[data[begin] != 10]
-    stops = np.union1d(breaks, offsets)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = cut[breaks] = True
+    stops = np.flatnonzero(cut)
     end = stops[np.searchsorted(stops, begin, "right")] if len(begin) else begin
-    solid = np.concatenate(([0], np.cumsum(~((data == 32) | ((data >= 9) & (data <= 13))))))
+    solid = counts(~((data == 32) | ((data >= 9) & (data <= 13))))
     full = solid[end] > solid[begin]
     begin, end = begin[full], end[full]
     return np.searchsorted(offsets, begin, "right") - 1, begin, end, solid[end] - solid[begin]
@@ -35,7 +38,7 @@ def find_lines(data: np.ndarray, offsets: np.ndarray):
 
 def line_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
     codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    points = counts((data & 0xC0) != 0x80)
     return grams(codes, points[begin], points[end], SHINGLE)
 
 
@@ -64,6 +67,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts, kept = kept_lines(spark, docs)
-    per = counts.join(kept.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    sizes, kept = kept_lines(spark, docs)
+    per = sizes.join(kept.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return per.select("doc_id", "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(F.array_join(F.col("lines").cast("array<string>"), ","), F.lit("")).alias("kept_lines"))

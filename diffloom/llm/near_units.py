@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import SKETCH, linked, parity_sketch, shared_keys
-from .shared import Scratch, blocks, mix, range_hashes, string_buffers
+from .shared import Scratch, blocks, counts, mix, range_hashes, string_buffers
 
 _U = np.uint64
 #: Size of the filter that is sent to tasks, 1 MB, and the words of a piece of it that tasks combine.
@@ -34,8 +34,12 @@ def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) ->
     """Hashes of the windows of each range, and where each range's hashes start; a shorter range is one window."""
     count = np.maximum(end - begin - width + 1, 1)
     first = np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count
-    at = np.repeat(begin - first, count) + np.arange(count.sum())
-    return range_hashes(codes, at, np.minimum(at + width, np.repeat(end, count))), first
+    n = len(codes) - width + 1
+    every = range_hashes(codes, slice(0, n), slice(width, None), width) if n > 0 else np.zeros(1, _U)
+    out = every[np.minimum(np.repeat(begin - first, count) + np.arange(count.sum()), max(n, 1) - 1)]
+    short = np.flatnonzero(end - begin < width)
+    out[first[short]] = range_hashes(codes, begin[short], end[short])
+    return out, first
 
 
 def signature_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -69,7 +73,7 @@ class Units:
                 for i, j in blocks(offsets, SCAN):
                     part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                     row, begin, end, words = find(part, local)
-                    points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+                    points = counts((part & 0xC0) != 0x80)
                     base = points[local[row]]
                     new = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
                     no = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))

@@ -198,21 +198,22 @@ def _similar(percent: int, expand):
     return run
 
 
-def _hits(n: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each left row with the right rows whose sizes and sketches don't exclude a link; unequal sketches are folded."""
+def _hits(n: np.ndarray, root: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of left and right rows of different roots whose sizes and sketches don't exclude a link; unequal sketches are folded."""
     width = np.array([len(x) for x in sketches])
-    classes = [(w, right[width[right] == w]) for w in np.unique(width[right]).tolist()]
-    folded: dict[tuple[int, int], np.ndarray] = {}
-    for k in left.tolist():
-        for w, rows in classes:
-            v = min(w, width[k])
-            # similar sets have sketches of equal widths or of neighbouring ones
-            if max(w, width[k]) > 2 * v:
+    of = {w: (left[width[left] == w], right[width[right] == w]) for w in np.unique(width).tolist()}
+    for w, (some, _) in of.items():
+        # similar sets have sketches of equal widths or of neighbouring ones
+        for v in (w // 2, w, 2 * w):
+            rows = of[v][1] if v in of else ()
+            if not len(some) or not len(rows):
                 continue
-            if (w, v) not in folded:
-                folded[w, v] = np.stack([fold(sketches[x], v) for x in rows])
-            far = np.bitwise_count(folded[w, v] ^ fold(sketches[k], v)).sum(axis=1, dtype=np.int64)
-            yield k, rows[may_link(n[rows], int(n[k]), far, percent)]
+            other = np.stack([fold(sketches[x], min(v, w)) for x in rows])
+            for part in np.array_split(some, 1 + len(some) * other.size // (1 << 20)):
+                own = np.stack([fold(sketches[x], min(v, w)) for x in part]) if len(part) else other[:0]
+                far = np.bitwise_count(own[:, None] ^ other).sum(axis=2, dtype=np.int64)
+                k, j = np.nonzero(may_link(n[part][:, None], n[rows], far, percent) & (root[part][:, None] != root[rows]))
+                yield part[k], rows[j]
 
 
 def _block_pairs(percent: int, expand=None):
@@ -227,13 +228,12 @@ def _block_pairs(percent: int, expand=None):
         sketches = [np.frombuffer(x.as_buffer(), _U) for c in t.column("sketch").chunks for x in c]
         left, right = np.flatnonzero(side <= 1), np.flatnonzero((side == 0) | (side == 2))
         us, vs, sets, top = [], [], None, root.copy()
-        for k, hit in _hits(n, sketches, left, right, percent):
+        for ks, js in _hits(n, root, sketches, left, right, percent):
             if expand is None:
-                hit = hit[root[hit] != root[k]]
-                us.append(np.minimum(node[hit], node[k]))
-                vs.append(np.maximum(node[hit], node[k]))
+                us.append(np.minimum(node[ks], node[js]))
+                vs.append(np.maximum(node[ks], node[js]))
                 continue
-            for j in hit[top[hit] != top[k]].tolist():
+            for k, j in zip(ks.tolist(), js.tolist(), strict=True):
                 if top[j] == top[k]:
                     continue
                 sets = expand(t.column("items").combine_chunks()) if sets is None else sets

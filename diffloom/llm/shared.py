@@ -14,6 +14,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
+_L = 0xD6E8FEB86659FD93
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -102,6 +103,13 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20):
         i = j
 
 
+def counts(mask: np.ndarray) -> np.ndarray:
+    """How many entries before each place are true, one more place than entries."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, dtype=np.int32, out=out[1:])
+    return out
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the first word of each row (one more entry than rows)."""
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -114,11 +122,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
+def range_hashes(data: np.ndarray, starts, ends, width: int | None = None) -> np.ndarray:
+    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand; starts and ends may be slices for ranges of one width."""
     pw, inv = powers(len(data) + 1)
-    total = np.concatenate(([_U(0)], np.cumsum((data.astype(_U) + _U(1)) * pw[: len(data)], dtype=_U)))
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    value = (data.astype(_U) + _U(1)) * pw[: len(data)]
+    if width is None and len(starts) and (ends > starts).all() and (ends[:-1] <= starts[1:]).all():
+        # ranges apart from each other are summed one by one
+        sums = np.add.reduceat(np.append(value, _U(0)), np.stack((starts, ends), axis=1).ravel())[::2]
+        return mix(sums * inv[starts] + (ends - starts).astype(_U) * _U(_L))
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum(value, out=total[1:])
+    size = (ends - starts).astype(_U) * _U(_L) if width is None else _U(width * _L % (1 << 64))
+    return mix((total[ends] - total[starts]) * inv[starts] + size)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
