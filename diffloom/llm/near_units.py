@@ -25,7 +25,7 @@ from .shared import Scratch, blocks, counts, mix, range_hashes, string_buffers
 _U = np.uint64
 #: Size of the filter that is sent to tasks, 1 MB, and the words of a piece of it that tasks combine.
 FILTER_BITS, FILTER_PIECE = 1 << 23, 1024
-PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, node long, keys array<long>"
+PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, word int, node long, keys array<long>"
 #: Bytes of text that are scanned at once, so that the arrays stay in the processor's cache.
 SCAN = 1 << 17
 
@@ -57,7 +57,7 @@ def signature_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int)
 
 
 class Units:
-    """What a unit is: find gives row, begin, end and words of each; hashes gives their shingles."""
+    """What a unit is: find gives row, begin, end, words and perhaps the first word's place of each; hashes gives their shingles."""
 
     def __init__(self, find: Callable, hashes: Callable, bands: int, rows: int):
         self.find, self.hashes, self.bands, self.rows = find, hashes, bands, rows
@@ -72,7 +72,8 @@ class Units:
                 data, offsets = string_buffers(batch.column("text"))
                 for i, j in blocks(offsets, SCAN):
                     part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                    row, begin, end, words = find(part, local)
+                    row, begin, end, words, *more = find(part, local)
+                    word = more[0] if more else np.zeros(len(row), np.int64)
                     points = counts((part & 0xC0) != 0x80)
                     base = points[local[row]]
                     new = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
@@ -84,10 +85,10 @@ class Units:
                             seen.add(x)
                             first[k] = True
                     keys = signature_keys(*hashes(part, begin[first], end[first]), bands, rows) if first.any() else np.zeros(0, np.int64)
-                    places = (pa.array(x.astype(np.int32)) for x in (no, points[begin] - base, points[end] - base, words))
+                    places = (pa.array(x.astype(np.int32)) for x in (no, points[begin] - base, points[end] - base, words, word))
                     starts = pa.array(np.concatenate(([0], np.cumsum(first) * bands)).astype(np.int32))
                     columns = [batch.column("doc_id").take(pa.array(row + i)), batch.column("text_hash").take(pa.array(row + i)), *places, pa.array(node), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "node", "keys"])
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "word", "node", "keys"])
 
         return run
 
@@ -101,7 +102,7 @@ class Units:
                 data, offsets = string_buffers(batch.column("text"))
                 for i, j in blocks(offsets, SCAN):
                     part = data[offsets[i] : offsets[j]]
-                    _, begin, end, _ = find(part, offsets[i : j + 1] - offsets[i])
+                    _, begin, end, *_ = find(part, offsets[i : j + 1] - offsets[i])
                     node = range_hashes(part, begin, end).astype(np.int64)
                     new = []
                     at = np.flatnonzero(passes(wanted, node))
@@ -174,16 +175,16 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
     """(places, nodes) of docs (doc_id, text).
 
-    places: doc_id, text_hash, no, begin, end, n_words, node of every unit, in
-    code points. nodes: node, keep, n_units, linked of every node: the first
-    place of its component as keep (doc_key, doc_id, text_hash, no), the units
+    places: doc_id, text_hash, no, begin, end, n_words, word, node of every unit,
+    in code points. nodes: node, keep, n_units, linked of every node: the first
+    place of its component as keep (doc_key, doc_id, text_hash, no, begin, end), the units
     of the component, and whether it has other nodes.
     """
     scratch = Scratch(spark, label)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     scanned = scratch.keep(docs.mapInArrow(units.places(), PLACE))
     places = scanned.drop("keys")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no", "begin", "end")
     per = scratch.keep(places.groupBy("node").agg(F.min(order).alias("keep"), F.count("*").alias("n_units")))
     groups = scratch.keep(shared_keys(scanned.select(F.explode("keys").alias("key"), "node")))
     chosen = groups.select("node").distinct()

@@ -1,32 +1,44 @@
-"""Substring dedup: paragraphs that repeat, by MinHash banding over word shingles.
+"""Substring dedup: passages that repeat, as paragraphs and as runs of words.
 
 A paragraph is a line. One of more than LONG words is cut further, at ends of
-sentences that its own words choose, so that a passage is cut alike wherever it
-stands: after a word that ends a sentence, if the word's hash is divisible by
-CUT and at least LEAST words stand before it. Pieces of fewer than LEAST words
-are no units. Two paragraphs link when the sets of their lower-cased five-word
-shingles have a Jaccard similarity of PERCENT or more; components of several
-paragraphs keep their first one, the others are to be removed. See near_units
-for ids, nulls and ties.
+sentences that its own words choose: after a word that ends a sentence, if the
+word's hash is divisible by CUT and at least LEAST words stand before it. Pieces
+of fewer than LEAST words are no units. Two paragraphs link when the sets of
+their lower-cased five-word shingles have a Jaccard similarity of PERCENT or
+more, found by MinHash banding; all but the first of a component are to be
+removed. See near_units for ids, nulls and ties.
+
+A passage that stands among other prose is no paragraph. So windows of words
+are held against each other too, by equality of their lower-cased words. A
+window begins at an edge and ends at the first edge LEAST or more words on.
+Edges are ends of lines and sentences, and words whose hash is divisible by
+EDGE: a word tells by itself whether it is one, so a passage has the same
+windows wherever it stands, also across lines. A window's first place is kept,
+others are to be removed; of a place that overlaps its first one, the rest is.
+
+What overlaps or has no word between it is joined to one passage. At the ends
+of a passage the words before its first edge and after its last one are left.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_units import Units, grams, unit_classes
-from .shared import lower_ascii, range_hashes, table, word_bounds
+from .near_units import SCAN, Units, grams, unit_classes
+from .shared import blocks, counts, lower_ascii, range_hashes, string_buffers, table, word_bounds
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 10, 3
-LEAST, LONG, CUT = 20, 120, 3
+LEAST, LONG, CUT, EDGE = 20, 120, 3, 4
+WINDOW = "doc_id long, text_hash long, begin int, end int, word int, n_words int, key long"
 
 
 def find_paragraphs(data: np.ndarray, offsets: np.ndarray):
     starts, ends, first = word_bounds(data, offsets)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     row = np.searchsorted(offsets, starts, "right") - 1
     breaks = np.concatenate(([0], np.cumsum(data == 10)))
     line = breaks[starts]
@@ -52,7 +64,7 @@ def find_paragraphs(data: np.ndarray, offsets: np.ndarray):
     a, z = a[order], z[order]
     long = z - a >= LEAST
     a, z = a[long], z[long]
-    return row[a], starts[a], ends[z - 1], z - a
+    return row[a], starts[a], ends[z - 1], z - a, a - first[row[a]]
 
 
 def paragraph_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
@@ -65,20 +77,74 @@ def paragraph_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
 PARAGRAPHS = Units(find_paragraphs, paragraph_hashes, BANDS, ROWS)
 
 
+def find_windows(data: np.ndarray, offsets: np.ndarray):
+    """Row, first and last byte, first word's place, words and key of each window."""
+    low = lower_ascii(data)
+    starts, ends, first = word_bounds(low, offsets)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 6
+    row = np.searchsorted(offsets, starts, "right") - 1
+    words = range_hashes(low, starts, ends)
+    line = counts(data == 10)[starts]
+    closes = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8)) | (words % np.uint64(EDGE) == 0)
+    new = (row[1:] != row[:-1]) | (line[1:] != line[:-1]) | closes[:-1]
+    edge = np.flatnonzero(np.concatenate(([True], new, [True])))
+    k = np.searchsorted(edge, edge[:-1] + LEAST)
+    a, k = edge[:-1][k < len(edge)], k[k < len(edge)]
+    z = edge[k]
+    inside = z <= first[row[a] + 1]
+    a, z = a[inside], z[inside]
+    return row[a], starts[a], ends[z - 1], a - first[row[a]], z - a, range_hashes(words, a, z).astype(np.int64)
+
+
+def _windows(batches):
+    for batch in batches:
+        data, offsets = string_buffers(batch.column("text"))
+        for i, j in blocks(offsets, SCAN):
+            part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            row, begin, end, word, n, key = find_windows(part, local)
+            points = counts((part & 0xC0) != 0x80)
+            base = points[local[row]]
+            columns = [batch.column(c).take(pa.array(row + i)) for c in ("doc_id", "text_hash")]
+            columns += [pa.array(x.astype(np.int32)) for x in (points[begin] - base, points[end] - base, word, n)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(key)], ["doc_id", "text_hash", "begin", "end", "word", "n_words", "key"])
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """The windows that stand at several places, with keep, the first place of each."""
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_windows, WINDOW).repartition("key")  # before the places are built, else they are shuffled too
+    place = "struct(coalesce(doc_id, 9223372036854775807L) AS doc_key, doc_id, text_hash, begin, end, word + n_words AS stop)"
+    beside = found.selectExpr("*", "count(1) OVER (PARTITION BY key) AS n_units", f"min({place}) OVER (PARTITION BY key) AS keep")
+    return beside.where("n_units > 1").drop("key")
+
+
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, no, begin, end (code points), n_words, class_doc_id and class_no (the kept one's), removed: paragraphs that repeat."""
+    """Passages that repeat: doc_id, text_hash, no (in its document), begin, end (code points), n_words, class_doc_id and class_begin (where its first part stands first), n_units (most places of a part), removed.
+
+    Parts to be removed and first places are joined separately; they may overlap.
+    """
     places, classes = unit_classes(spark, docs, PARAGRAPHS, PERCENT, "paragraphs")
-    classes = classes.where("n_units > 1").select("node", F.col("keep.doc_id").alias("class_doc_id"), F.col("keep.text_hash").alias("h"), F.col("keep.no").alias("class_no"), "n_units")
-    first = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("text_hash") == F.col("h")) & (F.col("no") == F.col("class_no"))
-    return places.join(classes, "node").select("doc_id", "no", "begin", "end", "n_words", "class_doc_id", "class_no", "n_units", (~first).alias("removed"))
+    columns = ["doc_id", "text_hash", "begin", "end", "word", "word + n_words AS stop", "keep.doc_id AS class_doc_id", "keep.begin AS class_begin", "n_units"]
+    same = "doc_id <=> keep.doc_id AND text_hash = keep.text_hash"
+    units = places.join(classes.where("n_units > 1").drop("linked"), "node").selectExpr(*columns, f"NOT ({same} AND begin = keep.begin) AS removed")
+    windows = repeated_windows(docs).selectExpr(*columns, f"NOT ({same} AND begin = keep.begin) AS removed", f"removed AND {same} AND begin < keep.end AS cut", "keep.end AS kept_end", "keep.stop AS kept_stop")
+    # of a place that overlaps its first one, what stands behind that
+    cut = windows.withColumns({"begin": F.expr("IF(cut, kept_end, begin)"), "word": F.expr("IF(cut, kept_stop, word)")}).where("begin < end AND word < stop").drop("cut", "kept_end", "kept_stop")
+    of = "PARTITION BY doc_id, text_hash, removed ORDER BY begin, end, class_doc_id, class_begin"
+    ahead = units.unionByName(cut).selectExpr("*", f"max(stop) OVER ({of} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached")
+    runs = ahead.selectExpr("*", f"sum(IF(reached >= word, 0, 1)) OVER ({of} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run")
+    first = lambda c: F.min_by(c, F.struct("begin", "end", "class_doc_id", "class_begin")).alias(c)
+    joined = runs.groupBy("doc_id", "text_hash", "removed", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), (F.max("stop") - F.min("word")).alias("n_words"), first("class_doc_id"), first("class_begin"), F.max("n_units").alias("n_units"))
+    no = "row_number() OVER (PARTITION BY doc_id, text_hash ORDER BY begin, end, removed) - 1 AS no"
+    return joined.selectExpr("doc_id", "text_hash", no, "begin", "end", "n_words", "class_doc_id", "class_begin", "n_units", "removed")
 
 
 def remove_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text without the paragraphs to be removed, for documents that lose any."""
-    gone = repeated_paragraphs(spark, docs).where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("gone"))
+    gone = repeated_paragraphs(spark, docs).where("removed").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("gone"))
     start = "named_struct('at', 0, 'parts', CAST(array() AS array<string>))"
     step = "(a, s) -> named_struct('at', s.end, 'parts', array_append(a.parts, substr(text, a.at + 1, s.begin - a.at)))"
-    return docs.select("doc_id", "text").join(gone, "doc_id").selectExpr("doc_id", f"aggregate(gone, {start}, {step}, a -> concat(array_join(a.parts, ''), substr(text, a.at + 1))) AS text")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(gone.withColumnsRenamed({"doc_id": "d"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash"))).selectExpr("doc_id", f"aggregate(gone, {start}, {step}, a -> concat(array_join(a.parts, ''), substr(text, a.at + 1))) AS text")
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

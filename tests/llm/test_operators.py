@@ -181,6 +181,25 @@ def test_paragraphs(spark, empty):
     assert paragraph_dedup.repeated_paragraphs(spark, empty).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    r = random.Random(12)
+    fresh = lambda k, n: " ".join(f"w{k}x{r.randint(0, 10**6)}" + ("." if d % 11 == 10 else "") for d in range(n))
+    passages = [fresh(100 + k, 55) for k in range(12)]
+    texts = [f"{fresh(2 * k, 30)} {p} {fresh(2 * k + 1, 25)}\nend" for k, p in enumerate(passages)] + [f"{fresh(50 + k, 70)} {p} {fresh(80 + k, 90)}" for k, p in enumerate(passages)]
+    texts += [fresh(200, 400), " ".join(["again."] * 100)]
+    rows = paragraph_dedup.repeated_paragraphs(spark, spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    for k, p in enumerate(passages):
+        for doc, removed in ((k, False), (12 + k, True)):
+            at = texts[doc].index(p)
+            covered = {c for x in rows if x.doc_id == doc and x.removed == removed for c in range(x.begin, x.end)}
+            # not a letter outside the passage, and most of it
+            assert covered <= set(range(at, at + len(p))) and len(covered) > 0.6 * len(p)
+    assert all(len(texts[x.doc_id][x.begin : x.end].split()) == x.n_words for x in rows)
+    assert not [x for x in rows if x.doc_id == 24]
+    # first place stays whole
+    assert min(x.begin for x in rows if x.doc_id == 25 and x.removed) >= len("again. ") * 20 - 1
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(100):
