@@ -222,6 +222,20 @@ def test_leaks(spark, empty):
     assert decontaminate.leaks(spark, docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [16, 24, 40])
+def test_short_paraphrased_items(n):
+    r = random.Random(n)
+    fresh = lambda k: [f"w{r.randint(0, 10**9)}" for _ in range(k)]
+    items = [fresh(n) for _ in range(40)]
+    # three of four words stay
+    docs = [" ".join(fresh(r.randint(40, 80)) + [w if k % 4 else f"v{k}" for k, w in enumerate(x)] + fresh(60)) for x in items]
+    mapped = np.random.default_rng(n).standard_normal((decontaminate.BUCKETS, 88)).astype(np.float32)
+    search = decontaminate._search([{"item_id": k, "text": " ".join(x)} for k, x in enumerate(items)], np.ones(decontaminate.BUCKETS), mapped)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(docs)], ["doc_id", "text"])
+    got = {(d, k) for b in search([batch]) for d, k in zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), strict=True)}
+    assert len(got & {(k, k) for k in range(40)}) >= 34 and all(d == k for d, k in got)
+
+
 def test_personal_data(spark, corpus, empty):
     texts = ["a@b.example x 10.0.0.1 and 300.1.1.1", "+49 (30) 123-4567 then 4111 1111 1111 1111", "1" * 5000 + " a" * 10, None, "x@y", "a.b@c.de_f@g.hi"]
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
