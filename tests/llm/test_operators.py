@@ -181,6 +181,11 @@ def test_paragraphs(spark, empty):
     assert paragraph_dedup.repeated_paragraphs(spark, empty).count() == 0
 
 
+def test_line_bands():
+    units = line_dedup.LINES
+    assert 1 - (1 - 0.8**units.rows) ** units.bands >= 0.999
+
+
 def test_passages_inside_lines(spark):
     r = random.Random(12)
     fresh = lambda k, n: " ".join(f"w{k}x{r.randint(0, 10**6)}" + ("." if d % 11 == 10 else "") for d in range(n))
