@@ -2,7 +2,8 @@
 
 Lines are cut at \\n; a line without a word is no unit and stays with its
 document. Shingles are windows of SHINGLE characters; two lines link when the
-Jaccard similarity of their sets is PERCENT or more. BANDS bands of ROWS rows
+Jaccard similarity of their sets is PERCENT or more; a letter changed within a
+line of 39 or more characters leaves it so. BANDS bands of ROWS rows
 find a pair at that similarity with a chance of 0.9992. See near_units for
 ids, nulls and ties. A document that loses all its lines is dropped: its lines
 stand elsewhere. One that had no line to begin with stays.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .near_units import Units, grams, unit_classes
 from .shared import counts, table
 
-SHINGLE, PERCENT, BANDS, ROWS = 9, 80, 10, 3
+SHINGLE, PERCENT, BANDS, ROWS = 4, 80, 10, 3
 
 
 def find_lines(data: np.ndarray, offsets: np.ndarray):

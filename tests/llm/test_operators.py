@@ -186,6 +186,22 @@ def test_line_bands():
     assert 1 - (1 - 0.8**units.rows) ** units.bands >= 0.999
 
 
+@pytest.mark.parametrize("n", [40, 48, 60, 75, 88, 90])
+def test_edits_in_short_lines(n):
+    def similar(a, b):
+        data = np.frombuffer((a + b).encode(), np.uint8)
+        h, first = line_dedup.line_hashes(data, np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]))
+        x, y = set(h[: first[1]].tolist()), set(h[first[1] :].tolist())
+        return 100 * len(x & y) >= line_dedup.PERCENT * len(x | y)
+
+    r = random.Random(n)
+    line = "".join(chr(r.randint(0x4E, 0x7A)) for _ in range(n)).replace("\\", "q")
+    middle = n // 2
+    assert similar(line, line[:middle] + "#" + line[middle + 1 :])
+    # a word of five letters changes eight shingles, which a line of 75 characters can bear
+    assert similar(line, line[:middle] + "#####" + line[middle + 5 :]) == (n >= 75)
+
+
 def test_passages_inside_lines(spark):
     r = random.Random(12)
     fresh = lambda k, n: " ".join(f"w{k}x{r.randint(0, 10**6)}" + ("." if d % 11 == 10 else "") for d in range(n))
