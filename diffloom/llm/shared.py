@@ -36,8 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Written tables after which the driver lets go of the shuffle files of finished jobs.
+TIDY = 3
+
+
 class Scratch:
-    """Written tables in the shared folder; they cut lineage and survive lost executors."""
+    """Written tables in the shared folder; they cut lineage and survive lost executors.
+
+    Spark removes the shuffle files and broadcasts of a finished job when the
+    driver collects its garbage, by default as late as its heap is full. An
+    operator of many small jobs asks for that after every few tables, so that
+    disk and driver hold what is in use.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
@@ -46,9 +56,14 @@ class Scratch:
         self.n += 1
         return f"{self.base}/{self.n}"
 
+    def tidy(self) -> None:
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, df: DataFrame) -> DataFrame:
         at = self.path()
         df.write.parquet(at)
+        if self.n % TIDY == 0:
+            self.tidy()
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
         return out
@@ -61,6 +76,18 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x.astype(_U, copy=True)
