@@ -250,7 +250,8 @@ def test_short_paraphrased_items(n):
     items = [fresh(n) for _ in range(40)]
     # three of four words stay
     docs = [" ".join(fresh(r.randint(40, 80)) + [w if k % 4 else f"v{k}" for k, w in enumerate(x)] + fresh(60)) for x in items]
-    mapped = np.random.default_rng(n).standard_normal((decontaminate.BUCKETS, 88)).astype(np.float32)
+    mapped = np.random.default_rng(n).standard_normal((decontaminate.BUCKETS + 1, 88)).astype(np.float32)
+    mapped[-1] = 0
     search = decontaminate._search([{"item_id": k, "text": " ".join(x)} for k, x in enumerate(items)], np.ones(decontaminate.BUCKETS), mapped)
     batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(docs)], ["doc_id", "text"])
     got = {(d, k) for b in search([batch]) for d, k in zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), strict=True)}
