@@ -10,7 +10,10 @@ checked: ghp_/gho_/ghu_/ghs_/ghr_/npm_ tokens whose last six characters are
 the base-62 CRC-32 of the rest, and jwt: three base64url parts whose header is
 JSON with an "alg".
 
-Null texts are empty. Rows keep their ids; extra columns are ignored.
+Matches of one kind are leftmost and don't overlap; spans of several kinds
+may, and both are given, by start and then by kind. Null texts are empty. Rows
+keep their ids, null or repeated ones too, and equal rows are told apart by
+nothing; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ ANCHORED = {
     "assign": re.compile(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "checked": re.compile(r"(gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)"),
+    # a run is tried at its beginning only, so that a long one costs no more than its length
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)"),
 }
 HEX = re.compile(r"[0-9a-f]{32,}")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,9 +56,10 @@ def checksum(body: str) -> str:
 
 def jwt_header(part: str) -> bool:
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except (ValueError, RecursionError):  # no base64, no UTF-8, no JSON, or one that is nested too deeply to be a header
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 def holds(kind: str, m: re.Match) -> bool:
