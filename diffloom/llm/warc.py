@@ -1,18 +1,27 @@
 """WARC archives: a writer and a splittable reader.
 
 Each record is a gzip member of its own. Reading splits every file into byte
-ranges: a task scans its range for the gzip magic, tries each candidate by
-inflating its first bytes and asking for a WARC version line, and owns the
-records that start inside its range, reading past its end where the last one
-needs it. A false magic inside compressed data fails that test, or lies inside
-a record already read.
+ranges: a task scans its range for the gzip magic and decodes each candidate:
+a member is valid if it is whole, its checksum holds and it begins with a WARC
+version line and headers that give the length of its block. The task owns the
+records that start inside its range and reads past its end where the last one
+needs it. Behind a valid member the next one begins at once.
+
+Where a range begins inside a member, a payload may itself hold valid members,
+stored uncompressed. So the first candidate of a range must lead from member
+to member to the range's end; one that comes to something else on the way is
+taken only if no later one gets so far. A damaged member is skipped.
 
 Among records with equal payloads the one with the smallest page_id is a
 response, the others are revisits that refer to it.
 
 Writers put a file under a name of their own and move it into place, so a task
 that is run again replaces nothing and leaves no second copy. Null html is an
-empty payload. Repeated page_ids are separate records.
+empty payload. A null page_id is written as an empty one; it is no one's
+response if others have the same payload. Repeated page_ids are separate
+records. Extra columns are ignored; an empty table makes no file and gives no
+record. Header names are read in any case, with or without a space behind the
+colon; a record without a type or with a length that is no number is damaged.
 """
 
 from __future__ import annotations
@@ -30,8 +39,8 @@ from .shared import Scratch, table
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
-#: Bytes of a range that one reading task scans.
-RANGE = 8 << 20
+#: Bytes of a range that is scanned at once, and ranges of a task where there are many.
+RANGE, RANGES = 8 << 20, 128
 STEP = 1 << 20
 RECORD = "path string, offset long, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 
@@ -53,10 +62,26 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
+    """Headers by lower-case name, and the block; None for what is no record."""
+    head, end, rest = raw.partition(b"\r\n\r\n")
+    if not end or not head.startswith(VERSION):
+        return None
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:  # a folded header goes on
+            fields[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            return None
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    length = fields.get("content-length", "")
+    if not length.isascii() or not length.isdigit() or int(length) > len(rest) or not fields.get("warc-type"):
+        return None
+    return fields, rest[: int(length)]
 
 
 def _clean(value) -> str:
@@ -89,58 +114,91 @@ def write_archives(pages: DataFrame, to: str) -> DataFrame:
     return pages.mapInArrow(run, "path string, length long")
 
 
-def members(source, begin: int, end: int, size: int):
-    """(offset, content) of the records that start in [begin, end)."""
-    at, window, base = begin, b"", begin
-    while at < end:
-        if at - base >= len(window):
-            base, window = at, source.read_at(min(STEP, size - at), at) if at < size else b""
-            if not window:
-                return
-        k = window.find(MAGIC, at - base)
-        if k < 0 or k + 64 > len(window) and base + len(window) < size:
-            # a magic may lie across the window's edge, and a header needs some bytes: look again from there
-            new = base + (k if k >= 0 else max(at - base, len(window) - 2))
-            if base + len(window) >= size:
-                return
-            if new >= end:
-                return
-            window, base, at = source.read_at(min(STEP, size - new), new), new, new
-            continue
-        start = base + k
-        if start >= end:
-            return
-        unpack, out, ahead, where, good = zlib.decompressobj(31), [], window[k:], start, False
+class Source:
+    """An open file that is read in windows."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.base, self.window = file, size, 0, b""
+
+    def ahead(self, at: int) -> bytes:
+        """What is held from this place on, at least some bytes unless the file ends."""
+        if not self.base <= at < self.base + len(self.window):
+            self.base, self.window = at, self.file.read_at(min(STEP, self.size - at), at) if at < self.size else b""
+        return self.window[at - self.base :]
+
+    def magic(self, at: int, end: int) -> int | None:
+        """The next place before end where the magic stands."""
+        while at < end:
+            held = self.ahead(at)
+            if len(held) < len(MAGIC):  # it may lie across the window's edge
+                held = self.file.read_at(min(STEP, self.size - at), at)
+                self.base, self.window = at, held
+            k = held.find(MAGIC)
+            if k >= 0:
+                return at + k if at + k < end else None
+            if at + len(held) >= self.size:
+                return None
+            at += max(1, len(held) - len(MAGIC) + 1)
+        return None
+
+    def member(self, at: int) -> tuple[int, tuple[dict[str, str], bytes]] | None:
+        """Where the member at this place ends, and its record, if it is a whole valid one."""
+        unpack, out, where, good = zlib.decompressobj(31), [], at, False
         try:
-            while True:
-                out.append(unpack.decompress(ahead))
+            while not unpack.eof:
+                held = self.ahead(where)
+                if not held:
+                    return None
+                out.append(unpack.decompress(held))
+                where += len(held)
                 if not good and sum(map(len, out)) >= len(VERSION):
-                    good = b"".join(out)[: len(VERSION)] == VERSION
+                    good = b"".join(out).startswith(VERSION)
                     if not good:
-                        break
-                where += len(ahead)
-                if unpack.eof:
-                    break
-                ahead = source.read_at(min(STEP, size - where), where) if where < size else b""
-                if not ahead:
-                    good = False
-                    break
+                        return None
         except zlib.error:
-            good = False
-        if good:
-            yield start, b"".join(out)
-            at = where - len(unpack.unused_data)
+            return None
+        found = parse(b"".join(out))
+        return found and (where - len(unpack.unused_data), found)
+
+    def reaches(self, at: int, end: int) -> int:
+        """How far members follow each other from this place, to end or the file's end at most."""
+        while at < min(end, self.size) and self.ahead(at).startswith(MAGIC) and (found := self.member(at)):
+            at = found[0]
+        return at
+
+    def first(self, begin: int, end: int) -> int | None:
+        """Where the range's first record starts."""
+        best, far, at = None, -1, begin
+        while (k := self.magic(at, end)) is not None:
+            reached = self.reaches(k, end)
+            if reached >= min(end, self.size):
+                return k
+            if reached > max(far, k):
+                best, far = k, reached
+            # what a chain has passed needn't be tried again
+            at = max(k + 1, reached)
+        return best
+
+
+def members(file, begin: int, end: int, size: int):
+    """(offset, record) of the records that start in [begin, end)."""
+    source = Source(file, size)
+    at = source.first(begin, end) if begin else source.magic(0, end)
+    while at is not None and at < end:
+        found = source.member(at) if source.ahead(at).startswith(MAGIC) else None
+        if found:
+            yield at, found[1]
+            at = found[0]
         else:
-            at = start + 1
-        if at < base or at - base > len(window):
-            base, window = at, b""
+            at = source.magic(at + 1, end)
 
 
 def read_archives(files: DataFrame, span: int = RANGE) -> DataFrame:
     """The records of files (path, length), each read by the task whose byte range holds its first byte."""
     ranges = files.select("path", F.col("length").alias("size"), F.expr(f"explode(sequence(0L, greatest(length - 1, 0L), {span}L))").alias("begin"))
-    # a stated number, so that adaptive execution doesn't put the few small rows into one task
-    ranges = ranges.repartition(max(1, ranges.count()))
+    # a stated number, so that adaptive execution doesn't put the few small rows into one task; many ranges share tasks
+    n = ranges.count()
+    ranges = ranges.repartition(max(1, min(n, 4 * files.sparkSession.sparkContext.defaultParallelism), -(-n // RANGES)))
 
     def run(batches):
         for batch in batches:
@@ -148,11 +206,12 @@ def read_archives(files: DataFrame, span: int = RANGE) -> DataFrame:
                 disk, at = filesystem(part["path"])
                 rows = []
                 with disk.open_input_file(at) as source:
-                    for offset, raw in members(source, part["begin"], min(part["begin"] + span, part["size"]), part["size"]):
-                        head, block = parse(raw)
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        kind = head["WARC-Type"]
-                        rows.append((part["path"], offset, kind, head["WARC-Record-ID"], head.get("WARC-Target-URI"), head.get("WARC-Refers-To"), head.get("WARC-Payload-Digest", "").removeprefix("sha1:") if kind == "revisit" else digest(payload), int(head.get("X-Payload-Length", 0)) if kind == "revisit" else len(payload), None if kind == "revisit" else payload))
+                    for offset, (head, block) in members(source, part["begin"], min(part["begin"] + span, part["size"]), part["size"]):
+                        kind = head["warc-type"]
+                        # what stands behind the headers of a response; other records have their block as payload
+                        payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "revisit") and block.startswith(b"HTTP/") else block
+                        told = head.get("x-payload-length", "")
+                        rows.append((part["path"], offset, kind, head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:") if kind == "revisit" else digest(payload), (int(told) if told.isascii() and told.isdigit() else None) if kind == "revisit" else len(payload), None if kind == "revisit" else payload))
                         if len(rows) == 64:
                             yield _records(rows)
                             rows = []
