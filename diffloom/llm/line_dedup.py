@@ -4,7 +4,7 @@ Lines are cut at \\n; a line without a word is no unit and stays with its
 document. Shingles are windows of SHINGLE characters; two lines link when the
 Jaccard similarity of their sets is PERCENT or more; a letter changed within a
 line of 39 or more characters leaves it so. BANDS bands of ROWS rows
-find a pair at that similarity with a chance of 0.9992. See near_units for
+find a pair at that similarity with a chance of 0.9994. See near_units for
 ids, nulls and ties. A document that loses all its lines is dropped: its lines
 stand elsewhere. One that had no line to begin with stays.
 """
@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near_units import Units, grams, unit_classes
-from .shared import counts, table
+from .shared import counts, fresh, table
 
-SHINGLE, PERCENT, BANDS, ROWS = 4, 80, 10, 3
+SHINGLE, PERCENT, BANDS, ROWS = 4, 80, 14, 4
 
 
 def find_lines(data: np.ndarray, offsets: np.ndarray):
@@ -57,13 +57,14 @@ def kept_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFra
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with their remaining lines as text, all columns kept; documents that lose every line are dropped."""
     _, kept = kept_lines(spark, docs)
-    kept = kept.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("lines").alias("_lines"))
-    joined = docs.withColumn("_t", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
-    word = r"[^\x20\x09-\x0D]"
-    solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(word))
+    d, h, left, t, s = fresh(docs, "_d", "_h", "_lines", "_t", "_s")
+    kept = kept.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("lines").alias(left))
+    joined = docs.withColumn(t, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(h)), "left")
+    solid = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # places among the lines with words; a line without any goes with its document's first kept line
-    left = F.array_join(F.transform(F.col("_lines"), lambda k: F.get("_s", k)), "\n")
-    return joined.withColumn("_s", solid).where((F.size("_s") <= 0) | F.col("_lines").isNotNull() | F.col("text").isNull()).withColumn("text", F.when(F.col("_lines").isNotNull(), F.when(F.size("_lines") == F.size("_s"), F.col("text")).otherwise(left)).otherwise(F.col("text"))).drop("_d", "_h", "_t", "_s", "_lines")
+    shorter = F.array_join(F.transform(F.col(left), lambda k: F.get(s, k)), "\n")
+    text = F.when(F.col(left).isNotNull() & (F.size(left) < F.size(s)), shorter).otherwise(F.col("text"))
+    return joined.withColumn(s, solid).where((F.size(s) <= 0) | F.col(left).isNotNull() | F.col("text").isNull()).withColumn("text", text).drop(d, h, t, s, left)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

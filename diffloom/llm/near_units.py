@@ -2,12 +2,18 @@
 
 A unit is a part of a text, such as a line. Units of equal bytes are one node.
 Each node's shingle hashes give a MinHash signature; nodes that agree on a band
-meet by an equi-join, are held against each other by bit sketches, then by the
-exact Jaccard similarity of the full sets, and form components. Of each
-component the unit that comes first by document id, text and place is kept.
+meet. What meets by chance goes at once: two bits of each hash function make a
+short signature, and a node of a small group goes on only if another one's
+differs in no more functions than similar ones do (see most_apart). The rest are
+held against each other by bit sketches, then by the exact Jaccard similarity
+of the full sets, and form components. Of each component the unit that comes
+first by document id, text and place is kept.
 
 Rows of one id and one text are one document: what is kept or removed in one
-of them is so in all. Null ids come last. Null or empty texts have no units.
+of them is so in all. Null ids come last. Null or empty texts have no units;
+repeated lines are several units of one node. Very long texts are scanned in
+parts, very long units whole. Extra columns are ignored; an empty table gives
+empty results.
 """
 
 from __future__ import annotations
@@ -19,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ngram_join import SKETCH, linked, parity_sketch, shared_keys
+from .ngram_join import SKETCH, linked, parity_sketch
 from .shared import Scratch, blocks, counts, mix, range_hashes, string_buffers
 
 _U = np.uint64
-#: Size of the filter that is sent to tasks, 1 MB, and the words of a piece of it that tasks combine.
-FILTER_BITS, FILTER_PIECE = 1 << 23, 1024
-PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, word int, node long, keys array<long>"
+#: Least and most bits of the filter that is sent to tasks (8 MB), and the words of a piece of it that tasks combine.
+FILTER_BITS, FILTER_PIECE = (1 << 20, 1 << 26), 1024
+PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, word int, node long, sign long, more int, keys array<long>"
+#: Hash functions of a signature.
+SIGNED = 48
+#: Nodes of a key up to which each is held against each by signature; rows of a larger group all go on.
+GROUP = 256
 #: Bytes of text that are scanned at once, so that the arrays stay in the processor's cache.
 SCAN = 1 << 17
 
@@ -42,18 +52,102 @@ def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) ->
     return out, first
 
 
-def signature_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys, a row for each unit."""
+def signature_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys, a row for each unit, and a signature with two bits of each hash function, of 32 in a long and of SIGNED - 32 in an int."""
     low = (hashes >> _U(32)).astype(np.uint32)
     factors = mix(np.arange(1, bands * rows + 1, dtype=_U))
-    out = np.empty((len(first), bands), _U)
+    out, sign, more = np.empty((len(first), bands), _U), np.zeros(len(first), _U), np.zeros(len(first), np.uint32)
     for band in range(bands):
         key = np.full(len(first), band + 1, _U)
-        for f in factors[band * rows : (band + 1) * rows]:
-            least = np.minimum.reduceat(low * np.uint32(int(f) & 0xFFFFFFFF | 1) ^ np.uint32(int(f) >> 32), first)
-            key = mix(key * _U(0x9E3779B97F4A7C15) + least.astype(_U))
+        for k, f in enumerate(factors[band * rows : (band + 1) * rows], band * rows):
+            least = mix(np.minimum.reduceat(low * np.uint32(int(f) & 0xFFFFFFFF | 1) ^ np.uint32(int(f) >> 32), first).astype(_U))
+            key = mix(key * _U(0x9E3779B97F4A7C15) + least)
+            if k < 32:
+                sign |= (least & _U(3)) << _U(2 * k)
+            elif k < SIGNED:
+                more |= (least & _U(3)).astype(np.uint32) << np.uint32(2 * (k - 32))
         out[:, band] = key
-    return out.astype(np.int64)
+    return out.astype(np.int64), sign.astype(np.int64), more.astype(np.int32)
+
+
+def most_apart(functions: int, percent: int) -> int:
+    """The functions in which signatures of similar units may differ: the mean and 4.5 standard deviations, which of 30,000 pairs at the limit fewer than one exceeds."""
+    n, p = min(functions, SIGNED), 0.75 * (100 - percent) / 100
+    return int(n * p + 4.5 * (n * p * (1 - p)) ** 0.5)
+
+
+def apart(a: np.ndarray, b: np.ndarray, odd) -> np.ndarray:
+    """In how many pairs of bits signatures differ; odd has every second bit."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> x.dtype.type(1)) & odd)
+
+
+def _met(key: np.ndarray, node: np.ndarray, sign: np.ndarray, more: np.ndarray, most: int) -> np.ndarray:
+    """The rows, in order of key and node, that are worth a closer look: of each key the nodes that some other is near, or all if there are many."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(_new(key, node))
+    key, sign, more = key[at], sign[at].astype(_U), more[at].astype(np.uint32)
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.repeat(np.diff(np.append(begin, len(key))), np.diff(np.append(begin, len(key))))
+    keep = size > GROUP
+    rows = np.flatnonzero((size > 1) & ~keep)
+    for step in range(1, GROUP):
+        rows = rows[rows + step < len(key)]
+        rows = rows[key[rows] == key[rows + step]]
+        if not len(rows):
+            break
+        far = apart(sign[rows], sign[rows + step], _U(0x5555555555555555)) + apart(more[rows], more[rows + step], np.uint32(0x55555555))
+        near = rows[far <= most]
+        keep[near] = keep[near + step] = True
+    return at[keep]
+
+
+def _new(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    return np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+
+
+def met_keys(keyed: DataFrame, most: int) -> DataFrame:
+    """The rows (key, node) of keys (key, node, sign, more) that several nodes have, without those that meet by chance."""
+    names = ("key", "node", "sign", "more")
+
+    def run(batches):
+        held, passing, last_node = None, None, None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows, held = [np.concatenate(x) for x in zip(held, rows, strict=True)], None
+            key, node = rows[:2]
+            # a key of very many nodes goes on as it comes, others when they are complete
+            through = int(np.searchsorted(key, passing, "right")) if passing is not None else 0
+            if through:
+                new = _new(key[:through], node[:through])
+                new[0] = node[0] != last_node
+                yield _rows(key[:through][new], node[:through][new])
+                last_node = node[through - 1]
+                rows = [x[through:] for x in rows]
+                key, node = rows[:2]
+            if not len(key):
+                continue
+            passing, last = None, int(np.searchsorted(key, key[-1], "left"))
+            if len(key) - last > GROUP * GROUP:
+                passing, last_node = key[-1], node[-1]
+                new = _new(key[last:], node[last:])
+                yield _rows(key[last:][new], node[last:][new])
+            else:
+                held = [x[last:] for x in rows]
+            some = _met(*[x[:last] for x in rows], most)
+            yield _rows(key[some], node[some])
+        if held is not None:
+            some = _met(*held, most)
+            yield _rows(held[0][some], held[1][some])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+
+
+def _rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
 
 class Units:
@@ -84,11 +178,13 @@ class Units:
                         if x not in seen:
                             seen.add(x)
                             first[k] = True
-                    keys = signature_keys(*hashes(part, begin[first], end[first]), bands, rows) if first.any() else np.zeros(0, np.int64)
+                    signs, mores, keys = np.zeros(len(node), np.int64), np.zeros(len(node), np.int32), np.zeros(0, np.int64)
+                    if first.any():
+                        keys, signs[first], mores[first] = signature_keys(*hashes(part, begin[first], end[first]), bands, rows)
                     places = (pa.array(x.astype(np.int32)) for x in (no, points[begin] - base, points[end] - base, words, word))
                     starts = pa.array(np.concatenate(([0], np.cumsum(first) * bands)).astype(np.int32))
-                    columns = [batch.column("doc_id").take(pa.array(row + i)), batch.column("text_hash").take(pa.array(row + i)), *places, pa.array(node), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "word", "node", "keys"])
+                    columns = [batch.column("doc_id").take(pa.array(row + i)), batch.column("text_hash").take(pa.array(row + i)), *places, pa.array(node), pa.array(signs), pa.array(mores), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "word", "node", "sign", "more", "keys"])
 
         return run
 
@@ -140,34 +236,46 @@ class Units:
         return run
 
 
-def places_of(nodes: np.ndarray) -> np.ndarray:
+def places_of(nodes: np.ndarray, bits: int) -> np.ndarray:
     """The filter's bits of each node, a row for each of its hash functions."""
-    return np.stack([mix(nodes.astype(_U) + _U(k * 0x9E3779B97F4A7C15 % (1 << 64))) & _U(FILTER_BITS - 1) for k in (1, 2, 3)]).astype(np.int64)
+    return np.stack([mix(nodes.astype(_U) + _U(k * 0x9E3779B97F4A7C15 % (1 << 64))) & _U(bits - 1) for k in (1, 2, 3)]).astype(np.int64)
 
 
 def passes(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    at = places_of(nodes)
+    at = places_of(nodes, 64 * len(words))
     return ((words[at >> 6] >> (at & 63).astype(_U)) & _U(1)).all(axis=0)
 
 
+def filter_bits(n: int) -> int:
+    """About 8 bits a node, a power of two within FILTER_BITS."""
+    bits, most = FILTER_BITS
+    while bits < min(8 * n, most):
+        bits *= 2
+    return bits
+
+
 def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits, whatever the number of nodes; what it lets pass is joined exactly afterwards."""
+    """A Bloom filter of a bounded number of bits, whatever the number of nodes; what it lets pass is joined exactly afterwards."""
+    bits = filter_bits(nodes.count())
 
     def run(batches):
-        words = np.zeros(FILTER_BITS // 64, _U)
+        words = np.zeros(bits // 64, _U)
         for batch in batches:
-            at = places_of(batch.column("node").to_numpy()).ravel()
+            at = places_of(batch.column("node").to_numpy(), bits).ravel()
             np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(_U))
         pieces = words.reshape(-1, FILTER_PIECE)
         full = np.flatnonzero(pieces.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pieces[k].tobytes() for k in full], pa.binary())], ["piece", "bits"])
 
     def either(t: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), _U) for c in t.column("bits").chunks for x in c])
-        return pa.table({"piece": pa.array([t.column("piece")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    out = np.zeros((FILTER_BITS // 64 // FILTER_PIECE, FILTER_PIECE), _U)
-    for r in nodes.mapInArrow(run, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").toLocalIterator():
+        joined = np.zeros(FILTER_PIECE, _U)
+        for c in t.column("bits").chunks:
+            for x in c:
+                joined |= np.frombuffer(x.as_buffer(), _U)
+        return pa.table({"piece": pa.array([t.column("piece")[0].as_py()], pa.int32()), "bits": pa.array([joined.tobytes()], pa.binary())})
+
+    out = np.zeros((bits // 64 // FILTER_PIECE, FILTER_PIECE), _U)
+    for r in nodes.mapInArrow(run, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect():
         out[r["piece"]] = np.frombuffer(bytes(r["bits"]), _U)
     return out.ravel()
 
@@ -183,11 +291,13 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     scratch = Scratch(spark, label)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     scanned = scratch.keep(docs.mapInArrow(units.places(), PLACE))
-    places = scanned.drop("keys")
+    places = scanned.drop("sign", "more", "keys")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no", "begin", "end")
     per = scratch.keep(places.groupBy("node").agg(F.min(order).alias("keep"), F.count("*").alias("n_units")))
-    groups = scratch.keep(shared_keys(scanned.select(F.explode("keys").alias("key"), "node")))
-    chosen = groups.select("node").distinct()
+    most = most_apart(units.bands * units.rows, percent)
+    groups = scratch.keep(met_keys(scanned.select(F.explode("keys").alias("key"), "node", "sign", "more"), most))
+    scratch.tidy()
+    chosen = scratch.keep(groups.select("node").distinct())
     bodies = docs.select("text").mapInArrow(units.bodies(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")
     known = scratch.keep(bodies.dropDuplicates(["node"]).mapInArrow(units.sketches(), SKETCH))
     weight = per.select("node", F.col("n_units").alias("weight")).join(chosen, "node", "left_semi")

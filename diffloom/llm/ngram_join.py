@@ -43,6 +43,8 @@ BAND = 1.6
 LARGE = 16
 #: Rows of a block when the nodes of a key or component are compared.
 BLOCK = 256
+#: Parts that the members of a large component are dealt to, so that none of its joins gathers them in one task.
+SALT = 64
 SKETCH = "node long, n int, sketch binary, items binary"
 
 
@@ -122,7 +124,7 @@ def _names(width: int):
     def run(batches):
         for batch in batches:
             found = [(set_id(s), len(s)) for _, s in _sets(batch, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "text_hash", "node", "n_shingles"])
 
     return run
 
@@ -144,11 +146,18 @@ def _keys(width: int, percent: int):
 
 
 def _sketches(width: int):
+    """Each set once a task."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            found = [s for _, s in _sets(batch, width)]
+            found = {}
+            for _, s in _sets(batch, width):
+                if (node := set_id(s)) not in seen:
+                    seen.add(node)
+                    found[node] = s
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([parity_sketch(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
+                [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int32()), pa.array([parity_sketch(s).tobytes() for s in found.values()], pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())],
                 ["node", "n", "sketch", "items"],
             )
 
@@ -291,8 +300,12 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
 
     held = groups.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high AND g > 2").select("key")
-    size = roots.groupBy("root").agg(F.count("*").alias("members"))
-    open_rows = scratch.keep(held.join(mixed, "key").join(size, "root", "left").select("key", "node", "root", (F.coalesce("members", F.lit(1)) >= LARGE).alias("large")))
+    salt = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALT)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    opened = scratch.keep(held.join(mixed, "key").select("key", "node", "root", salt))
+    size = roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") >= LARGE)
+    large = size.join(opened.groupBy("root").agg(F.lit(True).alias("large")), "root").select("root", "large", salts)
+    open_rows = scratch.keep(opened.join(large, ["root", "salt"], "left").select("key", "node", "root", "salt", F.coalesce("large", F.lit(False)).alias("large")))
     sketch = known if inline else known.select("node", "n", "sketch")
     in_block = _block_pairs(percent, expand if inline else None)
 
@@ -306,25 +319,27 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
 
     # members of a large component against every node that shares a key with one of them
     anchors = open_rows.where("large").select("key", F.col("root").alias("anchor")).distinct()
-    guests = open_rows.join(anchors, "key").where("root <> anchor").select("anchor", "node", "root").distinct()
-    hosts = roots.join(guests.select(F.col("anchor").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("anchor"), "node", "root")
-    count = hosts.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h")).join(guests.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "anchor")
+    guests = scratch.keep(open_rows.join(anchors, "key").where("root <> anchor").select("anchor", "node", "root", "salt").distinct())
+    visited = guests.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    hosts = roots.select(F.col("root").alias("anchor"), "node", "root", salt).join(visited.select("anchor", salts), ["anchor", "salt"], "left_semi")
+    count = scratch.keep(hosts.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h")).join(visited, "anchor"))
+    counted = count.select("anchor", "h", "k", salts)
     slot = "CAST(pmod(xxhash64(node, 3), {0}) AS INT)"
-    dealt_hosts = hosts.join(count, "anchor").selectExpr("anchor", "node", "root", f"{slot.format('h')} AS i", "explode(sequence(0, k - 1)) AS j", "1 AS side")
-    dealt_guests = guests.join(count, "anchor").selectExpr("anchor", "node", "root", "explode(sequence(0, h - 1)) AS i", f"{slot.format('k')} AS j", "2 AS side")
+    dealt_hosts = hosts.join(counted, ["anchor", "salt"]).selectExpr("anchor", "node", "root", f"{slot.format('h')} AS i", "explode(sequence(0, k - 1)) AS j", "1 AS side")
+    dealt_guests = guests.join(counted, ["anchor", "salt"]).selectExpr("anchor", "node", "root", "explode(sequence(0, h - 1)) AS i", f"{slot.format('k')} AS j", "2 AS side")
     outer = dealt_hosts.unionByName(dealt_guests).join(sketch, "node").groupBy("anchor", "i", "j").applyInArrow(in_block, "u long, v long")
 
     found = inner.unionByName(outer).distinct()
     more = scratch.keep(found if inline else found.join(star, ["u", "v"], "left_anti"))
     late = more if inline else _verified(more, known, scratch, percent, expand)
-    if not late.isEmpty():
+    if late.agg(F.count("*")).first()[0]:
         # the late links join components: contract to their roots, then rename
         of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
         ends = late.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
         over = components(scratch, ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
         old = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         roots = scratch.keep(old.unionByName(over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))))
-    scratch.drop(groups, known, open_rows, more)
+    scratch.drop(groups, known, opened, open_rows, guests, count, more)
     return roots
 
 
@@ -335,17 +350,19 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     node have one set. roots: node, root for nodes with links.
     """
     scratch = Scratch(spark, "ngram")
-    docs = docs.select("doc_id", "text")
-    names = scratch.keep(docs.mapInArrow(_names(width), "doc_id long, node long, n_shingles long"))
-    groups = scratch.keep(shared_keys(docs.mapInArrow(_keys(width, percent), "key long, node long")))
-    one = names.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    known = scratch.keep(docs.join(one, "doc_id", "left_semi").mapInArrow(_sketches(width), SKETCH).dropDuplicates(["node"]))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    names = scratch.keep(docs.mapInArrow(_names(width), "doc_id long, text_hash long, node long, n_shingles long"))
+    groups = scratch.keep(shared_keys(docs.select("text").mapInArrow(_keys(width, percent), "key long, node long")))
+    # a text of each node that shares a key, whatever its ids
+    one = names.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    known = scratch.keep(docs.join(one, "text_hash", "left_semi").select("text").mapInArrow(_sketches(width), SKETCH).dropDuplicates(["node"]))
     return names, linked(scratch, groups, known, percent)
 
 
 def ngram_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_copies (rows with the same set)."""
     names, roots = jaccard_links(spark, docs, width, percent)
+    names = names.drop("text_hash")
     least = names.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
