@@ -1 +1,3 @@
-"""Change accounting on Spark: line ledgers, citations, ownership and reports as DataFrame queries."""
+"""Change ledgers on Spark; see api for the entry points."""
+
+__version__ = "0.2.0"

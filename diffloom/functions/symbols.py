@@ -9,19 +9,26 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ids import suffix_of
+
 # executors need no copy of this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RANGE = "name string, line long, end_line long"
+#: Suffixes of languages that are read, and those among them whose blocks are indented or have no braces.
+SUPPORTED = [".c", ".cc", ".cpp", ".cxx", ".go", ".h", ".hh", ".hpp", ".java", ".js", ".jsx", ".php", ".py", ".rb", ".rs", ".ts", ".tsx"]
+BRACES = [s for s in SUPPORTED if s not in (".py", ".rb")]
+#: Declarations of brace languages that are found: a function, class or the like with its opening brace on the line.
+DECLARED = r"^\s*((?:(?:export|default|public|private|protected|static|async|pub|abstract|final|inline|extern|unsafe)\s+)*(?:function|func|fn|class|struct|interface|enum|impl|trait)\s+([A-Za-z_$][A-Za-z0-9_$]*)[^{]*\{)"
 
 
 class PythonSymbols:
-    """name, line, end_line of functions and classes; a text that doesn't parse has none, an identity that repeats is dropped."""
+    """name, line, end_line of functions and classes, and parsed; a text that doesn't parse gives one row without a name. An identity that repeats is dropped."""
 
     def eval(self, text: str):
         try:
             tree = ast.parse(text or "")
         except (SyntaxError, ValueError, RecursionError):
+            yield None, None, None, False
             return
         seen: dict[tuple[str, int], int] = {}
         twice = set()
@@ -30,23 +37,21 @@ class PythonSymbols:
                 key = (node.name, node.lineno)
                 twice |= {key} & seen.keys()
                 seen[key] = node.end_lineno
-        for (name, line), end in sorted(seen.items(), key=lambda x: x[0][1]):
+        for (name, line), end in sorted(seen.items(), key=lambda x: (x[0][1], x[0][0])):
             if (name, line) not in twice:
-                yield name, line, end
+                yield name, line, end, True
 
 
 class BraceRanges:
-    """line, end_line of brace pairs outside strings and comments; an unbalanced text has none."""
+    """line and column (from 0) of each opening brace outside strings and comments, and the line of its closing one; an unbalanced text has none."""
 
     def eval(self, text: str):
-        opened, found, line, k, state = [], [], 1, 0, ""
+        opened, found, line, begin, k, state = [], [], 1, 0, 0, ""
         text = text or ""
         while k < len(text):
-            c, two = text[k], text[k : k + 2]
-            line += c == "\n"
+            c, two, at = text[k], text[k : k + 2], k
             if state in ("'", '"', "`"):
                 if c == "\\":
-                    line += text[k + 1 : k + 2] == "\n"
                     k += 1
                 elif c == state:
                     state = ""
@@ -60,22 +65,61 @@ class BraceRanges:
             elif c in "'\"`":
                 state = c
             elif c == "{":
-                opened.append(line)
+                opened.append((line, at - begin))
             elif c == "}":
                 if not opened:
                     return
-                found.append((opened.pop(), line))
+                found.append((*opened.pop(), line))
+            for x in range(at, min(k + 1, len(text))):
+                if text[x] == "\n":
+                    line, begin = line + 1, x + 1
             k += 1
         if not opened and state in ("", "//"):
             yield from sorted(found)
 
 
 def python_symbols(texts: DataFrame) -> DataFrame:
-    """key and RANGE for texts (key, text)."""
-    table = F.udtf(PythonSymbols, returnType=RANGE)
+    """The columns of texts with name, line, end_line, parsed of each symbol in text."""
+    table = F.udtf(PythonSymbols, returnType="name string, line long, end_line long, parsed boolean")
     return texts.lateralJoin(table(F.col("text").outer()))
 
 
 def brace_ranges(texts: DataFrame) -> DataFrame:
-    table = F.udtf(BraceRanges, returnType="line long, end_line long")
+    """The columns of texts with line, column, end_line of each pair of braces in text."""
+    table = F.udtf(BraceRanges, returnType="line long, column long, end_line long")
     return texts.lateralJoin(table(F.col("text").outer()))
+
+
+def declared(texts: DataFrame) -> DataFrame:
+    """doc_id, name, line, signature, column (of its brace) of declarations in brace languages, by pattern."""
+    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "source")).where(F.col("source").rlike(DECLARED))
+    return rows.select("doc_id", F.regexp_extract("source", DECLARED, 2).alias("name"), (F.col("p") + 1).cast("long").alias("line"), F.trim(F.regexp_extract("source", DECLARED, 1)).alias("signature"), (F.instr("source", "{") - 1).cast("long").alias("column"), F.col("source").alias("source"))
+
+
+def brace_symbols(texts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """doc_id, name, line, end_line of symbols (doc_id, name, line, signature) whose line has their signature up to the brace, and whose brace is closed. An identity that repeats has no range."""
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "source")).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), "source", (F.instr("source", "{") - 1).cast("long").alias("column")).where("column >= 0")
+    upto = lambda c: F.trim(F.substring_index(F.col(c), "{", 1))
+    told = symbols.where(F.col("signature").contains("{")).join(lines, ["doc_id", "line"]).where(upto("signature") == upto("source"))
+    closed = told.select("doc_id", "name", "line", "column").join(brace_ranges(texts.select("doc_id", "text")).select("doc_id", "line", "column", "end_line"), ["doc_id", "line", "column"])
+    return closed.groupBy("doc_id", "name", "line").agg(F.count("*").alias("n"), F.min("end_line").alias("end_line")).where("n = 1").drop("n")
+
+
+def symbol_table(files: DataFrame) -> DataFrame:
+    """doc_id, name, line, end_line (null without a verified range), confidence and provenance of the symbols of files (doc_id, path, text), by suffix.
+
+    Python is parsed; declarations of brace languages are found by pattern, so
+    they are inferred. Other languages have no symbols.
+    """
+    end = suffix_of("path")
+    python = python_symbols(files.where(end == ".py").select("doc_id", "text")).where("parsed").select("doc_id", "name", "line", "end_line", F.lit("extracted").alias("confidence"), F.lit("parser:ast").alias("provenance"))
+    braces = files.where(end.isin(BRACES)).select("doc_id", "text")
+    found = declared(braces)
+    ranges = brace_symbols(braces, found.select("doc_id", "name", "line", "signature"))
+    other = found.select("doc_id", "name", "line").join(ranges, ["doc_id", "name", "line"], "left").withColumns({"confidence": F.lit("inferred"), "provenance": F.lit("parser:regex")})
+    return python.unionByName(other.select(*python.columns))
+
+
+def unparsed(files: DataFrame) -> DataFrame:
+    """doc_id of Python files that don't parse."""
+    return python_symbols(files.where(suffix_of("path") == ".py").select("doc_id", "text")).where("NOT parsed").select("doc_id")

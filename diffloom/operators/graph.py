@@ -2,53 +2,236 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import stable_id
+from ..functions.ids import normal_path, stable_id, suffix_of
+from ..functions.symbols import SUPPORTED
+from ..sources.tables import written
+from .validate import CONFIDENCE
+
+#: Lines of a bucket in which ranges meet lines.
+BUCKET = 64
+FACT = ("kind", "side", "path", "line", "symbol", "target", "confidence", "provenance")
+#: Kinds of facts, and modes of enrichment.
+FACT_KINDS = ["definition", "changed_symbol", "enclosing_symbol", "changed_file", "unsupported", "symbol", "caller", "callee", "static_test", "importer"]
+MODES = ("auto", "off", "required")
+
+
+def confidence(value: Column) -> Column:
+    """One of the epistemic categories; anything else is unresolved."""
+    plain = F.lower(F.trim(value))
+    return F.when(plain.isin(CONFIDENCE), plain).otherwise("unresolved")
+
+
+def line_number(value: Column) -> Column:
+    """An integer of 1 or more, else null."""
+    n = value.try_cast("long")
+    return F.when(n >= 1, n)
+
+
+def parser_confidence(value: Column, parser: Column) -> Column:
+    """What a pattern finds is inferred at most."""
+    return F.when((parser == "regex") & (value == "extracted"), "inferred").otherwise(value)
 
 
 def enclosing(changed: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Changed lines joined with the symbols whose range holds them: start < line <= end, or exactly on a declaration."""
-    s = symbols.selectExpr("doc_id", "name", "line AS start", "end_line AS stop")
-    return changed.join(s, "doc_id").where("line = start OR (line > start AND line <= stop)")
+    """Changed lines joined with the symbols whose range holds them: start < line <= end, or exactly on a declaration.
 
+    Ranges are cut at multiples of BUCKET, so that a line meets the ranges
+    around it and not all of its file.
+    """
+    s = symbols.selectExpr("doc_id", "name", "line AS start", "end_line AS stop", f"explode(sequence(line div {BUCKET}, coalesce(end_line, line) div {BUCKET})) AS bucket")
+    return changed.withColumn("bucket", F.expr(f"line div {BUCKET}")).join(s, ["doc_id", "bucket"]).where("line = start OR (line > start AND line <= stop)").drop("bucket")
 
-def innermost(changed: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The symbol of each changed line: an exact declaration first, else the innermost range; a tie leaves the line unresolved."""
+
+def selected(changed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """doc_id, line, name, start, direct: for each changed line all symbols declared on it, else the innermost range around it if no other one has the same ends."""
     hit = enclosing(changed, symbols).selectExpr("*", "line = start AS direct")
-    order = "OVER (PARTITION BY doc_id, line ORDER BY IF(direct, 0, 1), start DESC, stop)"
-    best = hit.selectExpr("*", f"rank() {order} AS r").where("r = 1")
-    one = best.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.min("name").alias("name"), F.max("direct").alias("direct"))
-    return changed.join(one, ["doc_id", "line"], "left").selectExpr("doc_id", "line", "IF(n = 1, name, NULL) AS symbol", "CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN direct THEN 'direct' ELSE 'enclosing' END AS how")
+    order = "OVER (PARTITION BY doc_id, line ORDER BY IF(direct, 0, 1), IF(direct, 0, -start), IF(direct, 0, stop))"
+    best = hit.selectExpr("*", f"rank() {order} AS r").where("r = 1").selectExpr("*", "count(1) OVER (PARTITION BY doc_id, line) AS n")
+    return best.where("direct OR n = 1").select("doc_id", "line", "name", "start", "direct")
 
 
-def neighbours(selected: DataFrame, edges: DataFrame) -> DataFrame:
-    """One hop from selected symbols (symbol) over edges (src, dst): callers and callees, with how often a name is defined."""
-    callers = edges.join(selected.select(F.col("symbol").alias("dst")).distinct(), "dst").select(F.col("dst").alias("symbol"), F.lit("caller").alias("kind"), F.col("src").alias("target"))
-    callees = edges.join(selected.select(F.col("symbol").alias("src")).distinct(), "src").select(F.col("src").alias("symbol"), F.lit("callee").alias("kind"), F.col("dst").alias("target"))
-    return callers.unionByName(callees).distinct()
+def innermost(changed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Each changed line with symbol and how: direct, enclosing, or unresolved; of several direct ones the first by name."""
+    one = selected(changed, symbols).groupBy("doc_id", "line").agg(F.min("name").alias("symbol"), F.max("direct").alias("direct"))
+    return changed.join(one, ["doc_id", "line"], "left").selectExpr("doc_id", "line", "symbol", "CASE WHEN symbol IS NULL THEN 'unresolved' WHEN direct THEN 'direct' ELSE 'enclosing' END AS how")
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("fact_id", stable_id("fact", "kind", "side", "path", "line", "symbol", "target", "confidence"))
+    """Rows of FACT with fact_id, each once."""
+    return rows.select(*FACT).distinct().withColumn("fact_id", stable_id("fact", *FACT))
+
+
+def file_facts(files: DataFrame, changed: DataFrame, symbols: DataFrame, unparsed: DataFrame, side: str) -> DataFrame:
+    """Facts of changed files (doc_id, path, n_lines) from their changed lines (doc_id, line) and symbols.
+
+    A file without changed lines, of an unsupported language or that doesn't
+    parse has one fact that says so. Others have a definition and a changed or
+    enclosing symbol for each symbol selected, an unresolved row for each line
+    without one, and one if a changed line lies beyond the file's end.
+    """
+    has = files.join(changed.groupBy("doc_id").agg(F.max("line").alias("last")), "doc_id", "left").join(unparsed.withColumn("broken", F.lit(True)), "doc_id", "left")
+    state = F.when(F.col("last").isNull(), "no-changed-lines").when(~F.coalesce(suffix_of("path").isin(SUPPORTED), F.lit(False)), "unsupported-language").when(F.col("broken"), "parse-unavailable")
+    told = has.withColumn("state", state)
+    null = F.lit(None).cast("string")
+    row = lambda df, kind, line, symbol, sure, provenance: df.select(kind.alias("kind"), F.lit(side).alias("side"), "path", line.cast("long").alias("line"), symbol.alias("symbol"), null.alias("target"), sure.alias("confidence"), provenance.alias("provenance"))
+    plain = told.where("state IS NOT NULL")
+    first = row(plain, F.when(F.col("state") == "unsupported-language", "unsupported").otherwise("changed_file"), F.lit(None), null, F.when(F.col("state") == "no-changed-lines", "unresolved").otherwise("unavailable"), F.concat(F.lit("graph:"), "state"))
+    read = told.where("state IS NULL").select("doc_id", "path", "n_lines")
+    lines = changed.join(read, "doc_id")
+    valid = lines.where("line BETWEEN 1 AND n_lines").select("doc_id", "line").distinct()
+    chosen = selected(valid, symbols)
+    per = chosen.groupBy("doc_id", "name", F.col("start").alias("line")).agg(F.max("direct").alias("direct")).join(symbols.select("doc_id", "name", "line", F.col("confidence").alias("sure"), "provenance"), ["doc_id", "name", "line"]).join(read.select("doc_id", "path"), "doc_id")
+    two = F.explode(F.array(F.struct(F.lit("definition").alias("k"), F.col("sure").alias("c")), F.struct(F.when(F.col("direct"), "changed_symbol").otherwise("enclosing_symbol").alias("k"), F.when(F.col("direct"), F.col("sure")).otherwise("inferred").alias("c"))))
+    second = row(per.withColumn("x", two), F.col("x.k"), F.col("line"), F.col("name"), F.col("x.c"), F.col("provenance"))
+    lost = valid.join(chosen.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti").join(read.select("doc_id", "path"), "doc_id")
+    third = row(lost, F.lit("changed_file"), F.col("line"), null, F.lit("unresolved"), F.lit("graph:no-verified-containment"))
+    beyond = lines.where("line < 1 OR line > n_lines").select("doc_id", "path").distinct()
+    fourth = row(beyond, F.lit("changed_file"), F.lit(None), null, F.lit("unresolved"), F.lit("graph:invalid-changed-line"))
+    return facts(first.unionByName(second).unionByName(third).unionByName(fourth))
+
+
+def impact_facts(names: DataFrame, definitions: DataFrame, parsed: DataFrame, edges: DataFrame, snapshot: DataFrame, side: str) -> DataFrame:
+    """One hop from selected names (symbol), by bare name.
+
+    definitions (name, path, line) that aren't parsed (name, path, line) already
+    are given, as ambiguous if the name has several. edges (kind: caller,
+    callee, static_test, importer; symbol, target, path, confidence) follow. A
+    name without definition is an unresolved symbol. What refers to a path or
+    line that the snapshot (path, n_lines) doesn't have loses its path.
+    """
+    null, known = F.lit(None).cast("string"), snapshot.select("path", "n_lines")
+    chosen = names.select("symbol").distinct()
+    row = lambda df, kind, path, line, target, sure, provenance: df.select(kind.alias("kind"), F.lit(side).alias("side"), path.alias("path"), line.cast("long").alias("line"), "symbol", target.alias("target"), sure.alias("confidence"), provenance.alias("provenance"))
+    own = definitions.withColumnRenamed("name", "symbol").join(chosen, "symbol", "left_semi")
+    lost = chosen.join(own.select("symbol"), "symbol", "left_anti")
+    first = row(lost, F.lit("symbol"), F.lit(""), F.lit(None), null, F.lit("unresolved"), F.lit("graph"))
+    many = own.groupBy("symbol").agg((F.count("*") > 1).alias("many"))
+    placed = own.withColumn("path", normal_path("path")).join(known, "path", "left").withColumn("valid", F.coalesce(F.col("line").between(F.lit(1), F.col("n_lines")), F.lit(False)))
+    second = row(placed.where("NOT valid"), F.lit("definition"), F.lit(""), F.lit(None), null, F.lit("unresolved"), F.lit("graph:invalid-reference"))
+    new = placed.where("valid").join(parsed.select(F.col("name").alias("symbol"), "path", "line"), ["symbol", "path", "line"], "left_anti").join(many, "symbol")
+    third = row(new, F.lit("definition"), F.col("path"), F.col("line"), null, F.when(F.col("many"), "ambiguous").otherwise("unresolved"), F.lit("graph:unknown-parser"))
+    # each edge once for every definition of its name; ids make equal ones one fact
+    near = edges.join(own.select("symbol").distinct(), "symbol", "left_semi").withColumn("path", normal_path("path")).join(known, "path", "left").withColumn("valid", F.col("n_lines").isNotNull())
+    sure = F.when(F.col("kind") == "importer", "unresolved").otherwise(confidence(F.col("confidence")))
+    fourth = row(near, F.col("kind"), F.when(F.col("valid"), F.col("path")).otherwise(""), F.lit(None), F.when(F.col("kind") != "importer", F.col("target")), F.when(F.col("valid"), sure).otherwise("unresolved"), F.when(F.col("valid"), F.lit("graph:unknown-parser")).otherwise("graph:invalid-reference"))
+    return facts(first.unionByName(second).unionByName(third).unionByName(fourth))
+
+
+def call_edges(calls: DataFrame) -> DataFrame:
+    """Edges of calls (caller, callee, path): callers, callees, tests (calls from test files) and importers (paths that call a name)."""
+    name = F.element_at(F.split("path", "/"), -1)
+    test = F.arrays_overlap(F.split("path", "/"), F.array(F.lit("test"), F.lit("tests"))) | name.startswith("test_")
+    edge = lambda df, kind, symbol, target: df.select(F.lit(kind).alias("kind"), symbol.alias("symbol"), target.alias("target"), "path", F.lit("inferred").alias("confidence"))
+    rows = edge(calls, "caller", F.col("callee"), F.col("caller")).unionByName(edge(calls, "callee", F.col("caller"), F.col("callee"))).unionByName(edge(calls.where(test), "static_test", F.col("callee"), F.col("caller")))
+    return rows.unionByName(edge(calls, "importer", F.col("callee"), F.lit(None).cast("string"))).distinct()
+
+
+def enrich(found: DataFrame, impact: DataFrame, files: DataFrame, side: str) -> DataFrame:
+    """Facts of both kinds, each id once; a changed file is unresolved if there is no fact at all for its path."""
+    both = found.unionByName(impact)
+    bare = files.join(both.where("path <> ''").select("path").distinct(), "path", "left_anti")
+    none = facts(bare.select(F.lit("changed_file").alias("kind"), F.lit(side).alias("side"), "path", F.lit(None).cast("long").alias("line"), *[F.lit(None).cast("string").alias(c) for c in ("symbol", "target")], F.lit("unresolved").alias("confidence"), F.lit("graph:no-resolved-symbol").alias("provenance")))
+    return both.unionByName(none).dropDuplicates(["fact_id"])
+
+
+def incomplete(facts_: DataFrame) -> DataFrame:
+    """Facts that a required enrichment must not have."""
+    return facts_.where("kind = 'unsupported' OR confidence IN ('unresolved', 'unavailable')")
+
+
+def enriched(facts_: DataFrame, mode: str = "auto") -> tuple[str, DataFrame]:
+    """(status, facts) by mode: off gives none; required raises ValueError if a fact is unsupported, unresolved or unavailable."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "off":
+        return "disabled", facts_.where("false")
+    if mode == "required" and (bad := incomplete(facts_).select("kind", "path", "symbol").first()):
+        raise ValueError(f"required enrichment is incomplete: {bad.kind} fact for {bad.path or bad.symbol or 'unknown'}")
+    return "available", facts_
+
+
+def in_order(facts_: DataFrame, merged: bool = True) -> DataFrame:
+    """Facts with n, their place: by side (before first), path, line, kind and id in a merged graph; by path, line, kind, symbol, target and id in one side's result.
+
+    The place is counted within each path, paths being in order themselves, so that no task sorts everything.
+    """
+    rest = "coalesce(line, 0), kind, fact_id" if merged else "coalesce(line, 0), kind, coalesce(symbol, ''), coalesce(target, ''), fact_id"
+    return facts_.selectExpr("*", "IF(side = 'before', 0, 1) AS side_rank", f"row_number() OVER (PARTITION BY side, path ORDER BY {rest}) AS n")
+
+
+def order_faults(received: DataFrame) -> DataFrame:
+    """Received facts (pos and FACT, fact_id) that stand before a smaller one, repeat an id, or whose id isn't the hash of their fields."""
+    order = "struct(path, coalesce(line, 0) AS line, kind, coalesce(symbol, '') AS symbol, coalesce(target, '') AS target, fact_id)"
+    per = "PARTITION BY result ORDER BY pos"
+    rows = received.selectExpr("*", f"lag({order}) OVER ({per}) > {order} AS late", "count(1) OVER (PARTITION BY result, fact_id) > 1 AS twice").withColumn("forged", F.col("fact_id") != stable_id("fact", *FACT))
+    error = F.filter(F.array(F.when(F.col("late"), F.lit("out of order")), F.when(F.col("twice"), F.lit("repeated id")), F.when(F.col("forged"), F.lit("wrong id"))), lambda x: x.isNotNull())
+    return rows.select("result", "pos", F.explode(error).alias("error"))
+
+
+def invalid_facts(received: DataFrame) -> DataFrame:
+    """result, pos, field of received facts with values that no fact may have."""
+    bad = {
+        "kind": ~F.coalesce(F.col("kind").isin(FACT_KINDS), F.lit(False)), "side": ~F.coalesce(F.col("side").isin("before", "after"), F.lit(False)),
+        "path": F.col("path").isNull() | ((F.col("path") != "") & ~F.col("path").eqNullSafe(normal_path("path"))), "line": F.coalesce(F.col("line") < 1, F.lit(False)),
+        "confidence": ~F.coalesce(F.col("confidence").isin(CONFIDENCE), F.lit(False)), "provenance": F.coalesce("provenance", F.lit("")) == "",
+    }
+    fields = F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond in bad.items()]), lambda x: x.isNotNull())
+    return received.select("result", "pos", F.explode(fields).alias("field"))
 
 
 def merged(before: DataFrame, after: DataFrame) -> DataFrame:
     """Facts of both sides by id; n_payloads over 1 is a conflict."""
     both = before.unionByName(after)
-    payload = F.struct(*[c for c in both.columns if c != "fact_id"])
-    return both.groupBy("fact_id").agg(F.countDistinct(F.to_json(payload)).alias("n_payloads"), F.count("*").alias("n_rows"), *[F.min(c).alias(c) for c in ("kind", "path", "symbol", "target")])
+    payload = F.to_json(F.struct(*FACT), {"ignoreNullFields": "false"})
+    return both.groupBy("fact_id").agg(F.count_distinct(payload).alias("n_payloads"), F.count("*").alias("n_rows"), *[F.min(c).alias(c) for c in ("kind", "path", "symbol", "target")])
+
+
+def merged_status(before: Column, after: Column) -> Column:
+    same = lambda v: (before == v) & (after == v)
+    return F.when(same("disabled"), "disabled").when(same("available"), "available").otherwise("unavailable")
+
+
+def merged_results(rows: DataFrame) -> DataFrame:
+    """rows (id, and status, provider, version, cache_key of both sides as before_ and after_) with the merged ones and missing, sides that are unavailable without a diagnostic (before_diagnostics, after_diagnostics)."""
+    b, a = (lambda c: F.col(f"before_{c}")), (lambda c: F.col(f"after_{c}"))
+    key = F.when(b("cache_key").isNotNull() | a("cache_key").isNotNull(), F.concat_ws(":", F.coalesce(b("cache_key"), F.lit("none")), F.coalesce(a("cache_key"), F.lit("none"))))
+    silent = F.array_join(F.filter(F.array(*[F.when((F.col(f"{s}_status") == "unavailable") & (F.col(f"{s}_diagnostics") == 0), F.lit(s)) for s in ("before", "after")]), lambda x: x.isNotNull()), ",")
+    return rows.select("id", merged_status(b("status"), a("status")).alias("status"), F.when(b("provider") == a("provider"), a("provider")).otherwise(F.concat_ws("+", b("provider"), a("provider"))).alias("provider"), F.when(b("version").eqNullSafe(a("version")), a("version")).alias("version"), key.alias("cache_key"), silent.alias("missing"))
+
+
+def neighbours(chosen: DataFrame, edges: DataFrame) -> DataFrame:
+    """One hop from chosen symbols (symbol) over edges (src, dst): callers and callees."""
+    callers = edges.join(chosen.select(F.col("symbol").alias("dst")).distinct(), "dst").select(F.col("dst").alias("symbol"), F.lit("caller").alias("kind"), F.col("src").alias("target"))
+    callees = edges.join(chosen.select(F.col("symbol").alias("src")).distinct(), "src").select(F.col("src").alias("symbol"), F.lit("callee").alias("kind"), F.col("dst").alias("target"))
+    return callers.unionByName(callees).distinct()
+
 
+def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Reachability over (node, parent): node, ancestor, itself included, each pair once.
 
-def ancestors(spark, edges: DataFrame, depth: int = 100) -> DataFrame:
-    """Reachability over (node, parent): node, ancestor, itself included. A recursive query, so cycles must not occur."""
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(f"WITH RECURSIVE up(node, ancestor) MAX RECURSION LEVEL {depth} AS (SELECT node, node FROM (SELECT node FROM _edges UNION SELECT parent FROM _edges) UNION ALL SELECT up.node, _edges.parent FROM up JOIN _edges ON up.ancestor = _edges.node) SELECT DISTINCT node, ancestor FROM up")
+    Each round joins what is known with itself, so paths double in length: a
+    chain of n links takes log2(n) rounds, and there is no limit to its length.
+    Cycles are allowed. Rounds are written tables.
+    """
+    links = edges.select("node", F.col("parent").alias("ancestor")).where("node <> parent").distinct()
+    ends = edges.select(F.explode(F.array("node", "parent")).alias("node")).distinct().select("node", F.col("node").alias("ancestor"))
+    reach = written(spark, links, "reach")
+    n = reach.count()
+    while True:
+        on = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
+        new = written(spark, reach.unionByName(reach.join(on, "ancestor").select("node", F.col("further").alias("ancestor"))).distinct(), "reach")
+        m = new.count()
+        reach = new
+        if m == n:
+            return reach.where("node <> ancestor").unionByName(ends)
+        n = m
 
 
 def merge_base(up: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For pairs (left_node, right_node): common ancestors that no other common ancestor descends from, and their number."""
+    """For pairs (left_node, right_node): common ancestors that no other common ancestor descends from, and their number; only a number of 1 is a merge base."""
     left = pairs.join(up.withColumnsRenamed({"node": "left_node"}), "left_node")
     right = pairs.join(up.withColumnsRenamed({"node": "right_node"}), "right_node")
     both = left.join(right, ["left_node", "right_node", "ancestor"])

@@ -2,273 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import explains, graphs, ledgers, releases
+from .base import Ledger
 
-from ..functions.ids import stable_id
-from ..functions.symbols import brace_ranges, python_symbols
-from ..operators import citations as C
-from ..operators import graph as G
-from ..operators import ledger as L
-from ..operators import patch as P
-from ..operators import report as R
-from ..operators import validate as V
-from ..sources import substrate as S
-from ..sources.tables import table
-from .oracle import FIELDS, SENTENCES, SQL  # noqa: F401
-
-BUDGET = 1500
-
-
-class Ledger:
-    """The relations of one comparison, each built when first asked for."""
-
-    def __init__(self, spark, sf_dir):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.files, self.lines, self.events, self.changes = S.substrate(spark, sf_dir)
-
-    spans = property(lambda self: L.spans(self.changes))
-    linked = property(lambda self: L.replacements(self.spans))
-    ids = property(lambda self: S.line_ids(self.changes))
-    in_spans = property(lambda self: L.line_spans(self.changes, self.spans))
-    hunks = property(lambda self: L.hunks(self.changes))
-    units = property(lambda self: L.units(self.files, self.changes))
-    classes = property(lambda self: L.classified(self.files, self.changes))
-    snapshot = property(lambda self: C.snapshot_lines(self.events))
-    cited = property(lambda self: C.citations(self.spans, self.snapshot))
-
-    @property
-    def symbols(self):
-        return self.lines.where("line_no % 3 = 1").selectExpr("doc_id", "concat('fn_', line_no % 5) AS name", "line_no AS line", "line_no + (doc_id + line_no) % 7 AS end_line")
-
-    @property
-    def changed(self):
-        return self.changes.where("side = 'after'").select("doc_id", "line").distinct()
-
-    @property
-    def owners(self):
-        a = self.ids.where("(doc_id + ordinal) % 13 <> 5").selectExpr("line_id AS evidence_id", "concat('item_', IF(ordinal % 17 = 3, 99, hunk_no % 4)) AS owner_id")
-        b = self.ids.where("(doc_id + ordinal) % 19 = 7").selectExpr("line_id AS evidence_id", "'item_0' AS owner_id")
-        c = self.files.where("doc_id % 50 = 1").selectExpr("concat('line_unknown', doc_id) AS evidence_id", "'item_1' AS owner_id")
-        return a.unionByName(b).unionByName(c)
-
-    @property
-    def owner_items(self):
-        return self.spark.range(4).selectExpr("concat('item_', id) AS item_id")
-
-    @property
-    def items(self):
-        rows = table(self.spark, self.sf_dir, "conversations")
-        pick = lambda by, names: f"element_at(array({', '.join('NULL' if n is None else repr(n) for n in names)}), CAST({by} AS INT) + 1)"
-        return rows.selectExpr(
-            "conv_id * 100 + turn AS ord", "concat('i', conv_id, '_', turn) AS item_id",
-            pick("(conv_id + turn) % 5", ["behavioral", "structural", "observer", "ambiguity", "unresolved"]) + " AS kind",
-            "IF(conv_id % 3 <> 0, 'old', NULL) AS before", "IF(turn % 4 <> 1, 'new', NULL) AS after", "conv_id % 2 = 0 AS has_before", "turn % 3 <> 2 AS has_after",
-            pick("conv_id % 6", ["before", "after", None, None, None, None]) + " AS absence",
-            "concat(substr(text, 1, 40), " + pick("conv_id % 4", [" It probably works.", ' It "probably" works.', " It may work in May.", ""]) + ") AS statement",
-            pick("(conv_id * 7 + turn) % 5", ["extracted", "inferred", "ambiguous", "unresolved", "unavailable"]) + " AS confidence",
-        )
-
-    @property
-    def facts(self):
-        rows = G.innermost(self.changed, self.symbols).join(self.files.select("doc_id", "path"), "doc_id")
-        return G.facts(rows.selectExpr("'changed_symbol' AS kind", "'' AS side", "path", "line", "symbol", "how AS target", "IF(how = 'ambiguous', 'ambiguous', 'extracted') AS confidence"))
-
-    @property
-    def texts(self):
-        return self.snapshot.groupBy("doc_id", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("text"))
-
-
-def _metrics_by_source(x):
-    per = x.linked.groupBy("doc_id").agg(F.count("*").alias("spans"), F.count("replacement_span_id").alias("replaced"), F.sum(F.when(F.col("side") == "after", F.col("n_lines")).otherwise(0)).alias("added"), F.sum(F.when(F.col("side") == "before", F.col("n_lines")).otherwise(0)).alias("deleted"))
-    total = lambda c, name: F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(name)
-    return x.classes.join(per, "doc_id", "left").groupBy("source", "classification").agg(F.count("*").alias("files"), total("spans", "spans"), total("added", "added_lines"), total("deleted", "deleted_lines"), total("replaced", "replaced_spans"))
-
-
-def _inventory(x):
-    """Counts of the ledger beside counts straight from the events."""
-    ledger = x.changes.groupBy("doc_id").agg(F.count_if(F.col("side") == "before").alias("ledger_deleted"), F.count_if(F.col("side") == "after").alias("ledger_added"))
-    direct = x.events.where("kind <> 'keep'").groupBy("doc_id").agg(F.count_if(F.col("kind") == "before").alias("d"), F.count_if(F.col("kind") == "after").alias("a"))
-    return ledger.join(direct, "doc_id", "full").selectExpr("doc_id", "ledger_deleted", "ledger_added", "ledger_deleted <=> d AND ledger_added <=> a AS equal")
-
-
-def _violations(x):
-    refs = x.in_spans.where("ordinal % 7 <> 3").select("line_id").unionByName(x.in_spans.where("ordinal % 11 = 1").select("line_id"))
-    return V.violations(x.ids, "line_id", refs, "line_id")
-
-
-def _collisions(x):
-    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"))
-    rows = one(x.ids, "line").unionByName(one(x.spans, "span")).unionByName(one(x.hunks, "hunk")).unionByName(one(x.units, "unit"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n_ids"), F.countDistinct("id").alias("n_distinct"))
-
-
-def _renames(x):
-    side = lambda odd, name: x.files.where(f"doc_id % 2 = {odd}").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("path").alias(name), F.count("*").alias("n")).where("n = 1").drop("n")
-    return side(0, "new_path").join(side(1, "old_path"), "h").select("old_path", "new_path")
-
-
-def _edges(x):
-    pages = table(x.spark, x.sf_dir, "pages")
-    return pages.select(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("dst")).distinct()
-
-
-def _blast(x):
-    e = _edges(x)
-    chosen = e.selectExpr("dst AS symbol").unionByName(e.selectExpr("src AS symbol")).where("length(symbol) % 3 = 0").distinct()
-    return G.neighbours(chosen, e)
-
-
-def _statuses(x):
-    s = x.spark.sql("SELECT explode(array('available', 'unavailable', 'disabled')) AS s")
-    pair = s.selectExpr("s AS before").crossJoin(s.selectExpr("s AS after"))  # three by three constants
-    return pair.selectExpr("before", "after", "CASE WHEN before = 'disabled' AND after = 'disabled' THEN 'disabled' WHEN before = 'available' AND after = 'available' THEN 'available' ELSE 'unavailable' END AS status")
-
-
-def _references(x):
-    cited = x.cited.selectExpr("citation_id AS ref", "concat('item_', start_line % 4) AS item_id")
-    s = x.spans
-    refs = cited.unionByName(s.where("start_line % 5 = 0").selectExpr("span_id AS ref", "concat('item_', start_line % 4) AS item_id")).unionByName(s.where("start_line % 7 = 0").selectExpr("concat('none_', start_line) AS ref", "concat('item_', start_line % 4) AS item_id"))
-    known = x.cited.selectExpr("citation_id AS ref").unionByName(s.selectExpr("span_id AS ref")).unionByName(x.ids.selectExpr("line_id AS ref")).distinct()
-    return refs.join(known, "ref", "left_anti").groupBy("item_id", "ref").agg(F.count("*").alias("n"))
-
-
-def _policy(x):
-    texts = x.items.select("item_id", F.posexplode(F.array(*[F.lit(s) for s in SENTENCES])).alias("k", "value"))
-    return V.policy_errors(texts.select(F.concat_ws("#", "item_id", "k").alias("id"), "value"))
-
-
-def _policy_fields(x):
-    field = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), (F.col("ord") % len(FIELDS) + 1).cast("int"))
-    return V.forbidden_fields(x.items.select(F.col("item_id").alias("id"), field.alias("field")))
-
-
-def _wanted(x):
-    return x.files.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).selectExpr("concat('a', doc_id, '_', n) AS assertion_id", "doc_id", "IF(n % 2 = 0, 'before', 'after') AS side", "IF(n < 2, ' ~', 'the') AS needle", "n <> 1 AS present")
-
-
-def _manifest(x):
-    hunks = x.hunks.selectExpr("hunk_id", "path", "CAST(row_number() OVER (PARTITION BY path ORDER BY hunk_no) AS LONG) AS k")
-    wanted = x.files.select("path", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("k")).selectExpr("path", "k", "concat(path, '#', k) AS concept", "concat('item_', k % 4) AS owner_id")
-    return wanted.join(hunks, ["path", "k"], "full").selectExpr("concept", "hunk_id", "owner_id", "CASE WHEN hunk_id IS NULL THEN 'no such hunk' WHEN concept IS NULL THEN 'no owner' ELSE 'ok' END AS state")
-
-
-def _parents(x):
-    part = table(x.spark, x.sf_dir, "part")
-    half = part.where("p_partkey BETWEEN 2 AND 600").selectExpr("p_partkey AS node", "p_partkey div 2 AS parent")
-    return half.unionByName(part.where("p_partkey BETWEEN 10 AND 600 AND p_partkey % 5 = 0").selectExpr("p_partkey AS node", "p_partkey - 3 AS parent")).distinct()
-
-
-def _closure(x):
-    return G.ancestors(x.spark, _parents(x)).groupBy("node").agg(F.count("*").alias("n_reached"), F.min("ancestor").alias("lowest"))
-
-
-def _merge_base(x):
-    e = _parents(x)
-    return G.merge_base(G.ancestors(x.spark, e), e.where("node BETWEEN 100 AND 160").selectExpr("node AS left_node", "node + 7 AS right_node").distinct())
-
-
-def _set_equality(x):
-    found = table(x.spark, x.sf_dir, "customer").selectExpr("c_mktsegment AS k").distinct()
-    wanted = x.spark.range(1).select(F.explode(F.split(F.lit("BUILDING OR MACHINERY OR OTHER"), " OR ")).alias("k"))
-    only = lambda a, b, side: a.join(b, "k", "left_anti").withColumn("side", F.lit(side))
-    return only(found, wanted, "detected only").unionByName(only(wanted, found, "expected only"))
-
-
-def _links(x):
-    rows = table(x.spark, x.sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("link")).distinct()
-    return rows.where("page_id % 2 = 1").join(rows.where("page_id % 2 = 0").select("link").distinct(), "link", "left_anti").groupBy("page_id").agg(F.count("*").alias("n_broken"))
-
-
-def _privacy(x):
-    leaves = table(x.spark, x.sf_dir, "pages").select("page_id", F.explode(V.string_leaves(F.lit("$"), F.create_map(F.lit("url"), "url", F.lit("html"), "html"))).alias("e"))
-    return leaves.where(F.col("e.value").rlike("(/home/|/Users/|ref=)[A-Za-z0-9_]+")).select(F.col("page_id").cast("string").alias("id"), F.col("e.path").alias("field"), F.lit("url").alias("kind"))
-
-
-def _schema_errors(x):
-    k = F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999999"))
-    return table(x.spark, x.sf_dir, "events").select("event_id", F.when(k.isNull(), "$.k: missing or no number").when(k > 90, "$.k: above 90").alias("error")).where("error IS NOT NULL")
-
-
-def _round_trip(x):
-    """Patches of files whose hunks have one block each, written and parsed again."""
-    one = x.hunks.groupBy("path").agg(F.max("n_blocks").alias("m")).where("m = 1").select("path")
-    patches = P.write_patch(x.changes.join(one, "path", "left_semi"), x.hunks.join(one, "path", "left_semi"))
-    return P.parse_patch(patches).select("path", "side", "line", "content")
-
-
-def _repeatable(x):
-    """Two builds of the ledger have the same lines, spans and classes."""
-    again = Ledger(x.spark, x.sf_dir)
-    hash_of = lambda df, *c: df.agg(F.expr(f"bit_xor(xxhash64({', '.join(c)}))").alias("h"), F.count("*").alias("n"))
-    pairs = [(hash_of(a, *c), hash_of(b, *c)) for a, b, c in ((x.ids, again.ids, ("line_id",)), (x.spans, again.spans, ("span_id",)), (x.classes, again.classes, ("doc_id", "classification")))]
-    rows = None
-    for a, b in pairs:
-        one = a.unionByName(b).agg((F.countDistinct("h", "n") == 1).alias("equal"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.agg(F.bool_and("equal").alias("equal"))
-
-
-#: name: function of a Ledger.
-_BUILD = {
-    "line_scan": lambda x: x.lines.select("doc_id", "line_no", F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("content_hash")),
-    "change_lines": lambda x: x.changes,
-    "hunk_grouping": lambda x: x.hunks.select("hunk_id", "doc_id", "hunk_no", "old_start", "old_count", "new_start", "new_count", "n_blocks"),
-    "span_islands": lambda x: x.spans.select("doc_id", "hunk_no", "span_no", "side", "start_line", "end_line", "n_lines"),
-    "replacement_links": lambda x: x.linked.where("replacement_span_id IS NOT NULL").select("span_id", "side", "replacement_span_id"),
-    "stable_ids": lambda x: x.in_spans.select("line_id", "span_id"),
-    "units_nontext": lambda x: x.units.where("kind NOT IN ('text', 'unsupported')").select("unit_id", "doc_id", "kind"),
-    "units_unsupported": lambda x: x.units.where("kind = 'unsupported'").select("unit_id", "doc_id", "kind"),
-    "units_text": lambda x: x.units.where("kind = 'text'").select("unit_id", "doc_id", "kind"),
-    "classify_files": lambda x: x.classes.select("doc_id", "path", "status", "classification", "confidence"),
-    "formatting_only": lambda x: L.formatting_only(x.changes),
-    "groups_by_class": lambda x: L.groups(x.units, x.classes),
-    "ledger_metrics": lambda x: L.metrics(x.files, x.changes, x.spans, x.hunks, x.units),
-    "metrics_by_source": _metrics_by_source,
-    "inventory_diff": _inventory,
-    "citations_text": lambda x: x.cited.select("citation_id", "span_id", "side", "start_line", "end_line", "bytes", F.sha2("text", 256).alias("text_hash")),
-    "source_hash_check": lambda x: C.source_check(x.ids, x.snapshot),
-    "hierarchy_violations": _violations,
-    "orphan_references": lambda x: x.spans.join(x.hunks.where("hunk_no % 2 = 1").select("doc_id", "hunk_no"), ["doc_id", "hunk_no"], "left_anti").select("span_id"),
-    "id_collisions": _collisions,
-    "budget_omission": lambda x: C.budget(x.cited, BUDGET).select("citation_id", "doc_id", "bytes", "omitted"),
-    "omissions": lambda x: C.omissions(C.budget(x.cited, BUDGET)),
-    "changed_paths": lambda x: x.files.select(F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("old_path").alias("path")), F.struct(F.lit("after").alias("side"), F.col("new_path").alias("path")))).alias("p")).select("p.*").where("path IS NOT NULL").distinct(),
-    "changed_lines": lambda x: x.changes.groupBy("side", "path").agg(F.array_join(F.array_sort(F.collect_list("line")).cast("array<string>"), ",").alias("lines")),
-    "snapshot_digest": lambda x: C.digests(x.snapshot),
-    "rename_candidates": _renames,
-    "range_containment": lambda x: G.enclosing(x.changed, x.symbols).select("doc_id", "line", "name", "start", "stop"),
-    "innermost_symbol": lambda x: G.innermost(x.changed, x.symbols),
-    "unresolved_lines": lambda x: G.innermost(x.changed, x.symbols).where("symbol IS NULL").groupBy("doc_id").agg(F.count("*").alias("n_unresolved")),
-    "blast_radius": _blast,
-    "fact_merge": lambda x: G.merged(x.facts.where("line % 2 = 0"), x.facts.where("line % 3 = 0")),
-    "id_recompute": lambda x: x.facts.select("fact_id", (F.col("fact_id") == stable_id("fact", "kind", "side", "path", "line", "symbol", "target", "confidence")).alias("same")),
-    "graph_status_merge": _statuses,
-    "owner_missing": lambda x: V.missing(x.ids.selectExpr("line_id AS evidence_id"), x.owners),
-    "owner_duplicate": lambda x: V.duplicates(x.owners),
-    "owner_unknown": lambda x: V.unknown(x.owners, x.ids.selectExpr("line_id AS evidence_id"), x.owner_items),
-    "span_effective_owner": lambda x: V.span_owner(x.in_spans, x.owners),
-    "coverage_summary": lambda x: V.coverage(x.in_spans, x.owners, x.spans),
-    "citation_refs": _references,
-    "item_rules": lambda x: V.item_errors(x.items).where("error LIKE '%sides%'"),
-    "confidence_rules": lambda x: V.item_errors(x.items).where("error NOT LIKE '%sides%'"),
-    "policy_text": _policy,
-    "policy_fields": _policy_fields,
-    "empty_comparison": lambda x: V.coverage(x.in_spans.where("false"), x.owners.where("false"), x.spans.where("false")),
-    "assertion_eval": lambda x: R.assertions(_wanted(x), x.texts),
-    "assertion_counts": lambda x: R.assertions(_wanted(x), x.texts).groupBy("status").agg(F.count("*").alias("n")),
-    "manifest_instantiate": _manifest,
-    "report_sections": lambda x: R.sections(x.items),
-    "dependency_closure": _closure,
-    "merge_base": _merge_base,
-    "license_set_equality": _set_equality,
-    "link_check": _links,
-    "privacy_scan": _privacy,
-    "json_schema_errors": _schema_errors,
-    "patch_parse": _round_trip,
-    "evidence_markdown": lambda x: R.evidence_markdown(x.files, x.spans),
-    "cold_warm_equal": _repeatable,
-    "python_symbols": lambda x: python_symbols(x.files.selectExpr("doc_id", "concat('def f', doc_id, '():\\n    return 1\\n\\nclass C:\\n    def g(self):\\n        return \"', source, '\"\\n') AS text")).drop("text"),
-    "brace_symbols": lambda x: brace_ranges(x.files.selectExpr("doc_id", "concat('fn a() {\\n if x {\\n}\\n}\\n// {\\n', IF(doc_id % 7 = 0, '}', ''), '\\n') AS text")).drop("text"),
-}
+_BUILD = {**ledgers.BUILD, **graphs.BUILD, **explains.BUILD, **releases.BUILD}
 
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(Ledger(spark, sf_dir))) for name, build in _BUILD.items()}
+
+SQL = {**ledgers.SQL, **graphs.SQL, **explains.SQL, **releases.SQL}

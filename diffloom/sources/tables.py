@@ -1,9 +1,14 @@
-"""Readers of the driver tables and of stored patches."""
+"""Readers of the driver tables, of stored patches and of JSON documents; written tables; run tables."""
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,3 +18,98 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def patches(spark: SparkSession, path: str) -> DataFrame:
     """comparison_id, content (binary) of stored unified patches."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("comparison_id"), "content")
+
+
+def load_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One row for each JSON document at path; a file that holds no object raises an error."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = set_dir.get() if set_dir.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="diffloom-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage."""
+    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+class Store:
+    """Tables by key under one folder, each with a manifest that is written last.
+
+    A table is used again only if its manifest has the same facts; one without
+    a manifest, or with another one, is written anew. There is one writer, so
+    no lock is needed; Spark's committer moves files into place at the end.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _manifest(self, key: str) -> dict | None:
+        try:
+            rows = self.spark.read.text(f"{self.folder}/{key}/manifest").collect()
+        except Exception as e:  # not there yet
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+        return json.loads(rows[0].value) if len(rows) == 1 else None
+
+    def keep(self, key: str, build, **facts) -> DataFrame:
+        """The table of this key, built by build() unless it is there with these facts."""
+        if not all(c.isalnum() or c in "-_" for c in key):
+            raise ValueError(f"unsafe key {key!r}")
+        at, wanted = f"{self.folder}/{key}/data", {"key": key, **facts}
+        if self._manifest(key) != wanted:
+            build().write.mode("overwrite").parquet(at)
+            self.spark.createDataFrame([(json.dumps(wanted, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{key}/manifest")
+        return self.spark.read.parquet(at)
+
+
+class Runs:
+    """A table of runs in two phases: begin() leaves one that awaits its explanation, finish() closes it if nothing about it has changed."""
+
+    SCHEMA = "run_id string, comparison string, budget long, status string, step int"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.at = spark, f"{folder.rstrip('/')}/runs"
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.at)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], self.SCHEMA)
+            raise
+
+    def _add(self, *row) -> None:
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.at)
+
+    def begin(self, comparison: str, budget: int) -> str:
+        run = uuid.uuid4().hex
+        self._add(run, comparison, budget, "awaiting_explanation", 1)
+        return run
+
+    def state(self, run: str):
+        """The run's latest row, None for an unknown run."""
+        return self.rows().where(F.col("run_id") == run).orderBy(F.desc("step")).first()
+
+    def finish(self, run: str, comparison: str) -> None:
+        last = self.state(run)
+        if last is None or last.status != "awaiting_explanation":
+            raise ValueError(f"run {run} awaits no explanation")
+        if last.comparison != comparison:
+            raise ValueError(f"run {run} is of another comparison")
+        self._add(run, comparison, last.budget, "complete", last.step + 1)

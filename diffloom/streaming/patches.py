@@ -18,7 +18,7 @@ def ledger_stream(spark: SparkSession, folder: str, to: str, checkpoint: str):
     files = spark.readStream.format("text").option("wholetext", "true").load(folder).select(F.col("value").alias("patch"), F.sha2("value", 256).alias("path"))
 
     def add(batch: DataFrame, _: int) -> None:
-        lines = parse_patch(batch.dropDuplicates(["path"])).withColumn("line_id", stable_id("line", "k", "path", "hunk_no", "side", "line", "ordinal", "content"))
+        lines = parse_patch(batch.dropDuplicates(["path"])).withColumn("line_id", stable_id("line", "key", "path", "hunk_no", "side", "line", "ordinal", "content_hash", "no_newline"))
         try:
             known = spark.read.parquet(to).select("line_id")
         except Exception as e:  # the table isn't there before the first batch
