@@ -238,3 +238,19 @@ def merge_base(up: DataFrame, pairs: DataFrame) -> DataFrame:
     lower = both.alias("a").join(up.where("node <> ancestor").alias("u"), F.col("a.ancestor") == F.col("u.node")).select("left_node", "right_node", F.col("u.ancestor").alias("ancestor")).distinct()
     best = both.join(lower, ["left_node", "right_node", "ancestor"], "left_anti")
     return best.groupBy("left_node", "right_node").agg(F.count("*").alias("n_bases"), F.min("ancestor").alias("base"))
+
+
+def request_errors(requests: DataFrame) -> DataFrame:
+    """id, error of requests (id, side, paths, lines: map of path to line numbers): sides and paths are as facts have them, paths and lines sorted and once each, lines of known paths."""
+    ordered = lambda a: a == F.array_sort(F.array_distinct(a))
+    keys = F.map_keys("lines")
+    rules = [
+        ("unknown side", ~F.coalesce(F.col("side").isin("before", "after"), F.lit(False))),
+        ("paths not sorted or repeated", ~ordered(F.col("paths"))),
+        ("unsafe path", F.exists("paths", lambda p: ~p.eqNullSafe(normal_path(p)))),
+        ("lines not sorted or repeated", F.exists(F.map_values("lines"), lambda v: ~ordered(v))),
+        ("line below 1", F.exists(F.map_values("lines"), lambda v: F.exists(v, lambda x: x < 1))),
+        ("lines of no path", F.size(F.array_except(keys, F.col("paths"))) > 0),
+    ]
+    errors = F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(text)) for text, cond in rules]), lambda x: x.isNotNull())
+    return requests.select("id", F.explode(errors).alias("error"))

@@ -197,3 +197,8 @@ def metrics(files: DataFrame, hunks_: DataFrame, spans_: DataFrame, units_: Data
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
     return out.selectExpr("*", "1.0D AS line_coverage_ratio", "1.0D AS hunk_coverage_ratio", "1.0D AS unit_coverage_ratio")
+
+
+def files_in_order(files: DataFrame) -> DataFrame:
+    """Files by path (after, else before) and status, range-partitioned, so that no task sorts all."""
+    return files.withColumn("at", F.coalesce("new_path", "old_path", F.lit(""))).orderBy("at", "status")

@@ -220,3 +220,26 @@ def pinned(texts: DataFrame, pins: DataFrame) -> DataFrame:
 def shifted_headings(text: Column) -> Column:
     """Markdown with every heading one level lower."""
     return F.regexp_replace(text, r"(?m)^(#{1,5}) ", "#$1 ")
+
+
+def under(manifest: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Rows of a manifest whose path is one of these or lies in one that ends with a slash."""
+    good = F.lit(False)
+    for p in prefixes:
+        good = good | (F.col("path").startswith(p) if p.endswith("/") else F.col("path") == p)
+    return manifest.where(good)
+
+
+def only_row(manifest: DataFrame, path: str):
+    """The one row of a path; ValueError if there is none or several."""
+    rows = manifest.where(F.col("path") == path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} stands {'several times' if rows else 'nowhere'} in the manifest")
+    return rows[0]
+
+
+def acquisition_errors(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """id, error of pinned inputs: expected (id, n_rows, hash) against found (id, n_rows, hash)."""
+    rows = expected.join(found.select("id", F.col("n_rows").alias("n"), F.col("hash").alias("h")), "id", "left")
+    error = F.when(F.col("n").isNull(), "missing").when(F.col("n") != F.col("n_rows"), "other number of rows").when(F.col("h") != F.col("hash"), "other content")
+    return rows.select("id", error.alias("error")).where("error IS NOT NULL")

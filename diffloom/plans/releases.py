@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ids import normal_path
+from ..functions.text import canonical_json
 from ..operators import graph as G
+from ..operators import ledger as L
 from ..operators import release as X
 from ..operators import scopes as O
 from ..sources import snapshot as N
@@ -191,7 +193,43 @@ def _materials(x):
     return X.license_materials(x.table("part").selectExpr("p_partkey AS id", f"{pick('p_partkey', NAMES)} AS path", "p_name AS content"))
 
 
+def _order(x):
+    """Each file with the one before it in order, within its first letter."""
+    rows = L.files_in_order(x.files)
+    return rows.selectExpr("path", "lag(path) OVER (PARTITION BY substr(at, 1, 1) ORDER BY at, status) AS before")
+
+
+def _diagnostics(x):
+    """Diagnostics in order of their JSON, per code."""
+    row = F.struct(F.expr(pick("id", ["a", "b", "c"])).alias("code"), F.col("name").alias("message"), F.expr("IF(id % 2 = 0, 'before', 'after')").alias("side"))
+    return _files(x).select("id", F.expr(pick("id", ["a", "b", "c"])).alias("code"), canonical_json(row).alias("json")).selectExpr("id", "code", "CAST(row_number() OVER (PARTITION BY code ORDER BY json) AS LONG) AS place")
+
+
+def _requests(x):
+    """Requests with planted faults, by customer."""
+    paths = "CASE CAST(id % 4 AS INT) WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('b', 'a') WHEN 2 THEN array('a', 'a', 'b') ELSE array('a', '../b') END"
+    lines = "CASE CAST(id % 5 AS INT) WHEN 0 THEN map('a', array(1, 2)) WHEN 1 THEN map('a', array(2, 1)) WHEN 2 THEN map('a', array(0, 1)) WHEN 3 THEN map('z', array(1)) ELSE map('a', array(3, 3)) END"
+    return G.request_errors(_files(x).selectExpr("id", "element_at(array('before', 'after', 'both'), CAST(id % 3 AS INT) + 1) AS side", f"{paths} AS paths", f"{lines} AS lines"))
+
+
+def _implementation(x):
+    rows = x.files.select("path", F.sha2("text", 256).alias("hash"))
+    return X.under(rows, ["src1/", "src2/src/", "none"])
+
+
+def _acquired(x):
+    """Pinned inputs by source: every 5th has another number of rows, every 7th other content, every 9th is missing."""
+    per = x.files.groupBy("source").agg(F.count("*").alias("n_rows"), F.max("doc_id").alias("m")).select(F.coalesce("source", F.lit("none")).alias("id"), "n_rows", F.col("m").cast("string").alias("hash"), "m")
+    found = per.where("m % 9 <> 2").selectExpr("id", "IF(m % 5 = 1, n_rows + 1, n_rows) AS n_rows", "IF(m % 7 = 3, 'x', hash) AS hash")
+    return X.acquisition_errors(per.drop("m"), found)
+
+
 BUILD = {
+    "files_order": _order,
+    "diagnostics_order": _diagnostics,
+    "request_errors": _requests,
+    "implementation_files": _implementation,
+    "acquired_inputs": _acquired,
     "remote_urls": _remotes,
     "safe_paths": _paths,
     "scope_errors": lambda x: O.scope_errors(_scopes(x)),
@@ -248,7 +286,16 @@ _leaf = """
 lf AS (SELECT page_id, unnest([{'path': '$.page.url', 'name': 'url', 'value': url}, {'path': '$.page.started_at_utc', 'name': 'started_at_utc', 'value': '2024'}, {'path': '$.page.run_seconds', 'name': 'run_seconds', 'value': CAST(page_id AS VARCHAR)}, {'path': '$.notes[0]', 'name': 'notes', 'value': '/home/user' || page_id % 7 || '/x'}, {'path': '$.notes[1]', 'name': 'notes', 'value': 'C:\\Users\\me'}, {'path': '$.notes[2]', 'name': 'notes', 'value': 'plain'}, {'path': '$.list[0].at', 'name': 'at', 'value': 'file:///tmp/x'}, {'path': '$.list[0].pid_path', 'name': 'pid_path', 'value': '/root/' || page_id}, {'path': '$.hostname', 'name': 'hostname', 'value': 'host1'}], recursive := true) FROM pages)"""
 _own = "ow AS (SELECT p_size AS id, CASE WHEN p_partkey % 31 = 4 THEN '../' ELSE '' END || 'f' || p_partkey AS path, p_partkey AS p FROM part)"
 
+_bad_requests = [
+    ("unknown side", "id % 3 = 2"), ("paths not sorted or repeated", "id % 4 IN (1, 2, 3)"), ("unsafe path", "id % 4 = 3"), ("lines not sorted or repeated", "id % 5 IN (1, 4)"), ("line below 1", "id % 5 = 2"), ("lines of no path", "id % 5 = 3"),
+]
+
 SQL = {
+    "files_order": f"{BASE} SELECT path, lag(path) OVER (PARTITION BY substr(coalesce(new_path, old_path), 1, 1) ORDER BY coalesce(new_path, old_path), status) AS before FROM files",
+    "diagnostics_order": f"WITH f AS ({_f}), j AS (SELECT id, {choose('id', ['a', 'b', 'c'])} AS code, name, CASE WHEN id % 2 = 0 THEN 'before' ELSE 'after' END AS side FROM f) SELECT id, code, row_number() OVER (PARTITION BY code ORDER BY CAST(json_object('code', code, 'message', name, 'side', side) AS VARCHAR)) AS place FROM j",
+    "request_errors": " UNION ALL ".join(f"SELECT id, {quote(e)} AS error FROM ({_f}) WHERE {c}" for e, c in _bad_requests),
+    "implementation_files": f"{BASE} SELECT path, sha256(text) AS hash FROM files WHERE starts_with(path, 'src1/') OR starts_with(path, 'src2/src/')",
+    "acquired_inputs": f"{BASE}, p AS (SELECT coalesce(source, 'none') AS id, max(doc_id) AS m FROM files GROUP BY source) SELECT id, CASE WHEN m % 9 = 2 THEN 'missing' WHEN m % 5 = 1 THEN 'other number of rows' ELSE 'other content' END AS error FROM p WHERE m % 9 = 2 OR m % 5 = 1 OR m % 7 = 3",
     "remote_urls": f"SELECT id, {choose('id', REPOS)} AS repository, regexp_replace(regexp_replace({choose('id', URLS)}, '/+$', ''), '\\.git$', '') AS canonical FROM ({_f})",
     "safe_paths": f"SELECT id, {choose('id', NORMAL)} AS normal, {_bools('id', SAFE)} AS safe FROM ({_f})",
     "scope_errors": f"WITH fi AS ({_f}), {_scopes_sql}, x AS (SELECT id, {_scope_error} AS error FROM sc) SELECT * FROM x WHERE error IS NOT NULL",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -78,6 +79,18 @@ class Store:
         return self.spark.read.parquet(at)
 
 
+def cache_root(spark: SparkSession) -> str:
+    """Where stores are kept: diffloom.cache.dir of the session, else a folder beside the scratch tables."""
+    return spark.conf.get("diffloom.cache.dir", None) or f"{shared_dir(spark)}/cache"
+
+
+def repository_store(spark: SparkSession, repository: str) -> Store:
+    """The store of a repository, by its id of 64 hex digits."""
+    if not re.fullmatch("[0-9a-f]{64}", repository):
+        raise ValueError(f"no repository id: {repository!r}")
+    return Store(spark, f"{cache_root(spark)}/{repository}")
+
+
 class Runs:
     """A table of runs in two phases: begin() leaves one that awaits its explanation, finish() closes it if nothing about it has changed."""
 
