@@ -11,7 +11,7 @@ from ..operators import citations as C
 from ..operators import ledger as L
 from ..operators import patch as P
 from ..sources import substrate as S
-from ..sources.tables import table
+from ..sources.tables import table, written
 
 BUDGET = 4000
 
@@ -20,12 +20,20 @@ class Ledger:
     """The relations of one comparison, each built when first asked for."""
 
     def __init__(self, spark, sf_dir):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._stored = spark, sf_dir, set()
         self.files, self.lines, self.placed, self.hunk_lines = S.substrate(spark, sf_dir)
 
     def table(self, name):
         return table(self.spark, self.sf_dir, name)
 
+    def store(self, *names):
+        """Writes these relations once, for queries that use them in many branches; from then on they are read."""
+        for name in names:
+            if name not in self._stored:
+                self.__dict__[name] = written(self.spark, getattr(self, name), name)
+                self._stored.add(name)
+        return self
+
     changes = cached_property(lambda self: S.changes(self.hunk_lines))
     hunks = cached_property(lambda self: L.hunks(self.hunk_lines, self.files))
     changed = cached_property(lambda self: L.changed(self.hunks))

@@ -111,8 +111,14 @@ def _repeated(x):
     return V.repeated_ids(first.unionByName(again))
 
 
+def _stored(x):
+    """Spans and units are written once; owners come from them in many branches."""
+    x.store("spans", "units")
+    return explained(x)
+
+
 def _coverage(x):
-    e = explained(x)
+    e = _stored(x)
     return V.coverage(x.ids, e.owners, x.units, e.cited)
 
 
@@ -165,14 +171,14 @@ def _json(x):
 
 
 BUILD = {
-    "owner_missing": lambda x: V.missing(explained(x).required, explained(x).owners),
-    "owner_duplicate": lambda x: V.duplicates(explained(x).entries.where("coalesce(owner_id, '') <> ''").join(explained(x).ownable, "evidence_id", "left_semi")),
-    "owner_unknown": lambda x: V.owner_errors(explained(x).entries, explained(x).ownable, explained(x).owners_of),
-    "owned_lines": lambda x: x.ids.selectExpr("line_id AS evidence_id").join(explained(x).owners, "evidence_id"),
-    "span_effective_owner": lambda x: V.span_owner(x.ids, explained(x).owners).select("span_id", "state", "owner_id", "error"),
+    "owner_missing": lambda x: V.missing(_stored(x).required, _stored(x).owners),
+    "owner_duplicate": lambda x: V.duplicates(_stored(x).entries.where("coalesce(owner_id, '') <> ''").join(_stored(x).ownable, "evidence_id", "left_semi")),
+    "owner_unknown": lambda x: V.owner_errors(_stored(x).entries, _stored(x).ownable, _stored(x).owners_of),
+    "owned_lines": lambda x: _stored(x).x.ids.selectExpr("line_id AS evidence_id").join(explained(x).owners, "evidence_id"),
+    "span_effective_owner": lambda x: V.span_owner(_stored(x).x.ids, explained(x).owners).select("span_id", "state", "owner_id", "error"),
     "coverage_summary": _coverage,
     "empty_comparison": _empty,
-    "citation_refs": lambda x: V.citation_errors(explained(x).cited, explained(x).references).groupBy("item_id", "error").agg(F.count("*").alias("n")),
+    "citation_refs": lambda x: V.citation_errors(_stored(x).cited, _stored(x).references).groupBy("item_id", "error").agg(F.count("*").alias("n")),
     "item_rules": lambda x: V.item_errors(explained(x).items).where("error NOT LIKE '%need%' AND error NOT LIKE '%wording'"),
     "confidence_rules": lambda x: V.item_errors(explained(x).items).where("error LIKE '%need%' OR error LIKE '%wording'"),
     "policy_text": lambda x: V.policy_errors(_texts(x)),
@@ -187,8 +193,8 @@ BUILD = {
     "canonical_json": _json,
     "assertion_eval": lambda x: R.assertions(_wanted(x), x.texts),
     "assertion_counts": lambda x: R.assertions(_wanted(x), x.texts).groupBy("status").agg(F.count("*").alias("n")),
-    "manifest_instantiate": lambda x: X.instantiated(_template(x), x.hunks, x.units, x.ids)[0],
-    "manifest_errors": lambda x: X.instantiated(_template(x), x.hunks, x.units, x.ids)[1],
+    "manifest_instantiate": lambda x: X.instantiated(_template(x.store("hunks", "spans", "units")), x.hunks, x.units, x.ids)[0],
+    "manifest_errors": lambda x: X.instantiated(_template(x.store("hunks", "units")), x.hunks, x.units, x.ids)[1],
 }
 
 _bool = lambda c: f"coalesce({c}, false)"

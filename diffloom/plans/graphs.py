@@ -11,6 +11,7 @@ from ..functions.symbols import BRACES, SUPPORTED, brace_symbols, declared, pyth
 from ..operators import graph as G
 from ..sources import code as S
 from ..sources import snapshot as N
+from ..sources.tables import written
 from .base import BASE, PATCH, sid
 from .ledgers import BUDGETED
 
@@ -23,6 +24,12 @@ class Graph:
     def __init__(self, ledger):
         self.x = ledger
 
+    def store(self, *names):
+        """Writes these relations once; from then on they are read."""
+        for name in names:
+            self.__dict__[name] = written(self.x.spark, getattr(self, name), name)
+        return self
+
     sources = cached_property(lambda self: S.sources(self.x.files, self.x.lines))
     symbols = cached_property(lambda self: symbol_table(self.sources))
     ranged = cached_property(lambda self: self.symbols.where("end_line IS NOT NULL"))
@@ -53,6 +60,13 @@ def graph(x) -> Graph:
     return x._graph
 
 
+def stored(x) -> Graph:
+    """The graph with its symbols, changed lines and facts written once, for queries that use them in many branches."""
+    if not hasattr(x, "_graph"):
+        graph(x).store("sources", "symbols", "changed", "found")
+    return x._graph
+
+
 def _pages(x):
     return x.table("pages").select(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("dst")).distinct()
 
@@ -64,13 +78,13 @@ def _blast(x):
 
 def _merged(x):
     """Both halves of the facts; every 13th line's facts have another target in the second one, under the same id."""
-    f = graph(x).found
+    f = stored(x).found
     return G.merged(f.where("coalesce(line, 0) % 2 = 0"), f.where("coalesce(line, 0) % 3 = 0").withColumn("target", F.expr("IF(line % 13 = 0, 'x', target)")))
 
 
 def _received(x):
     """Facts as received: in order, but every 7th a place later, every 29th twice, and every 31st with another symbol under its id."""
-    at = graph(x).found.selectExpr("*", "path AS result", "row_number() OVER (PARTITION BY path ORDER BY coalesce(line, 0), kind, coalesce(symbol, ''), coalesce(target, ''), fact_id) AS n")
+    at = stored(x).found.selectExpr("*", "path AS result", "row_number() OVER (PARTITION BY path ORDER BY coalesce(line, 0), kind, coalesce(symbol, ''), coalesce(target, ''), fact_id) AS n")
     moved = at.selectExpr(*G.FACT, "fact_id", "result", "IF(n % 7 = 0, n * 10 + 15, n * 10) AS pos", "n")
     twice = moved.where("n % 29 = 0").withColumn("pos", F.col("pos") + 1)
     return moved.withColumn("symbol", F.expr("IF(n % 31 = 0, 'forged', symbol)")).unionByName(twice).drop("n")
@@ -78,7 +92,7 @@ def _received(x):
 
 def _invalid(x):
     """Facts with fields that no fact has, by row number."""
-    at = graph(x).found.selectExpr(*G.FACT, "path AS result", "row_number() OVER (PARTITION BY path ORDER BY coalesce(line, 0), kind, coalesce(symbol, ''), fact_id) AS pos")
+    at = stored(x).found.selectExpr(*G.FACT, "path AS result", "row_number() OVER (PARTITION BY path ORDER BY coalesce(line, 0), kind, coalesce(symbol, ''), fact_id) AS pos")
     bad = lambda k, c, value: f"IF(pos % 6 = {k}, {value}, {c}) AS {c}"
     return G.invalid_facts(at.selectExpr("result", "pos", bad(0, "kind", "'guess'"), bad(1, "side", "'both'"), bad(2, "path", "concat('/', path)"), bad(3, "line", "0L"), bad(4, "confidence", "'sure'"), bad(5, "provenance", "''"), "symbol", "target"))
 
@@ -135,10 +149,10 @@ BUILD = {
     "innermost_symbol": lambda x: G.innermost(graph(x).changed, graph(x).ranged),
     "unresolved_lines": lambda x: G.innermost(graph(x).changed, graph(x).ranged).where("symbol IS NULL").groupBy("doc_id").agg(F.count("*").alias("n_unresolved")),
     "graph_file_facts": lambda x: graph(x).found.select("fact_id", *G.FACT),
-    "graph_impact": lambda x: graph(x).impact.select("fact_id", *G.FACT),
-    "graph_enrich": lambda x: graph(x).enriched.groupBy("kind", "confidence").agg(F.count("*").alias("n_facts"), F.count_distinct("fact_id").alias("n_ids")),
-    "graph_incomplete": lambda x: G.incomplete(graph(x).enriched).groupBy("kind", "confidence").agg(F.count("*").alias("n")),
-    "fact_order": lambda x: G.in_order(graph(x).found).select("fact_id", "side_rank", "path", F.col("n").cast("long").alias("n")),
+    "graph_impact": lambda x: stored(x).impact.select("fact_id", *G.FACT),
+    "graph_enrich": lambda x: stored(x).enriched.groupBy("kind", "confidence").agg(F.count("*").alias("n_facts"), F.count_distinct("fact_id").alias("n_ids")),
+    "graph_incomplete": lambda x: G.incomplete(stored(x).enriched).groupBy("kind", "confidence").agg(F.count("*").alias("n")),
+    "fact_order": lambda x: G.in_order(stored(x).found).select("fact_id", "side_rank", "path", F.col("n").cast("long").alias("n")),
     "fact_faults": lambda x: G.order_faults(_received(x)).groupBy("result", "error").agg(F.count("*").alias("n")),
     "fact_fields": _invalid,
     "fact_merge": _merged,

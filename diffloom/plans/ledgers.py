@@ -59,16 +59,19 @@ def _manifest(x):
 
 
 def _facts(x):
-    from .graphs import graph
+    from .graphs import stored
 
-    return graph(x).found
+    return stored(x).found
 
 
 def _evidence(x):
+    x.store("hunks", "linked")
+    x.__dict__["spans"] = x.linked
     return R.evidence_markdown(x.files.join(x.classes.select("doc_id", "classification", "confidence"), "doc_id"), x.units, x.hunks, x.linked, x.ids, x.budgeted)
 
 
 def _metrics(x):
+    x.store("hunks", "units")
     return L.metrics(x.files, x.hunks, x.spans, x.units, x.budgeted, _facts(x), x.groups, x.patches)
 
 
