@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filters import node_filter, passes
 from .ngram_join import SKETCH, linked, parity_sketch
-from .shared import Scratch, blocks, counts, mix, range_hashes, string_buffers
+from .shared import SEEN, Scratch, blocks, counts, mix, range_hashes, string_buffers
 
 _U = np.uint64
-#: Least and most bits of the filter that is sent to tasks (8 MB), and the words of a piece of it that tasks combine.
-FILTER_BITS, FILTER_PIECE = (1 << 20, 1 << 26), 1024
-PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, word int, node long, sign long, more int, keys array<long>"
+PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, word int, node long, twin_of long, sign long, more int, keys array<long>"
 #: Hash functions of a signature.
 SIGNED = 48
 #: Nodes of a key up to which each is held against each by signature; rows of a larger group all go on.
@@ -40,13 +39,18 @@ GROUP = 256
 SCAN = 1 << 17
 
 
-def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of each range, and where each range's hashes start; a shorter range is one window."""
+def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of each range, and where each range's hashes start; a shorter range is one window. Ranges may have widths of their own."""
+    width = np.broadcast_to(width, begin.shape)
     count = np.maximum(end - begin - width + 1, 1)
     first = np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count
-    n = len(codes) - width + 1
-    every = range_hashes(codes, slice(0, n), slice(width, None), width) if n > 0 else np.zeros(1, _U)
-    out = every[np.minimum(np.repeat(begin - first, count) + np.arange(count.sum()), max(n, 1) - 1)]
+    at, out = np.repeat(begin - first, count) + np.arange(count.sum()), None
+    for w in np.unique(width).tolist():
+        n = max(len(codes) - w + 1, 0)
+        every = range_hashes(codes, slice(0, n), slice(w, None), w) if n else np.zeros(1, _U)
+        some = every[np.minimum(at, max(n, 1) - 1)]
+        out = some if out is None else np.where(np.repeat(width == w, count), some, out)
+    out = np.zeros(0, _U) if out is None else out
     short = np.flatnonzero(end - begin < width)
     out[first[short]] = range_hashes(codes, begin[short], end[short])
     return out, first
@@ -83,13 +87,17 @@ def apart(a: np.ndarray, b: np.ndarray, odd) -> np.ndarray:
 
 
 def _met(key: np.ndarray, node: np.ndarray, sign: np.ndarray, more: np.ndarray, most: int) -> np.ndarray:
-    """The rows, in order of key and node, that are worth a closer look: of each key the nodes that some other is near, or all if there are many."""
+    """The rows, of rows in order of key, that are worth a closer look: of each key the nodes that some other is near, or all if there are many."""
     if not len(key):
         return np.zeros(0, np.int64)
-    at = np.flatnonzero(_new(key, node))
+    beside = key[1:] == key[:-1]
+    at = np.flatnonzero(np.concatenate((beside, [False])) | np.concatenate(([False], beside)))
+    at = at[np.lexsort((node[at], key[at]))]
+    at = at[_new(key[at], node[at])]
     key, sign, more = key[at], sign[at].astype(_U), more[at].astype(np.uint32)
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.repeat(np.diff(np.append(begin, len(key))), np.diff(np.append(begin, len(key))))
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else at
+    many = np.diff(np.append(begin, len(key)))
+    size = np.repeat(many, many)
     keep = size > GROUP
     rows = np.flatnonzero((size > 1) & ~keep)
     for step in range(1, GROUP):
@@ -105,69 +113,76 @@ def _met(key: np.ndarray, node: np.ndarray, sign: np.ndarray, more: np.ndarray,
 
 def _new(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Which rows differ from the one before."""
-    return np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+    return np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.zeros(0, bool)
 
 
 def met_keys(keyed: DataFrame, most: int) -> DataFrame:
-    """The rows (key, node) of keys (key, node, sign, more) that several nodes have, without those that meet by chance."""
+    """The rows (key, node) of keys (key, node, sign, more) that several nodes have, without those that meet by chance.
+
+    A key of very many nodes goes on as its rows come, perhaps some of them twice.
+    """
     names = ("key", "node", "sign", "more")
 
     def run(batches):
-        held, passing, last_node = None, None, None
+        held, passing = None, None
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in names]
             if held is not None:
                 rows, held = [np.concatenate(x) for x in zip(held, rows, strict=True)], None
-            key, node = rows[:2]
-            # a key of very many nodes goes on as it comes, others when they are complete
-            through = int(np.searchsorted(key, passing, "right")) if passing is not None else 0
+            through = int(np.searchsorted(rows[0], passing, "right")) if passing is not None else 0
             if through:
-                new = _new(key[:through], node[:through])
-                new[0] = node[0] != last_node
-                yield _rows(key[:through][new], node[:through][new])
-                last_node = node[through - 1]
+                yield _rows(*(x[:through] for x in rows[:2]))
                 rows = [x[through:] for x in rows]
-                key, node = rows[:2]
+            key = rows[0]
             if not len(key):
                 continue
             passing, last = None, int(np.searchsorted(key, key[-1], "left"))
             if len(key) - last > GROUP * GROUP:
-                passing, last_node = key[-1], node[-1]
-                new = _new(key[last:], node[last:])
-                yield _rows(key[last:][new], node[last:][new])
+                passing = key[-1]
+                yield _rows(*(x[last:] for x in rows[:2]))
             else:
                 held = [x[last:] for x in rows]
             some = _met(*[x[:last] for x in rows], most)
-            yield _rows(key[some], node[some])
+            yield _rows(rows[0][some], rows[1][some])
         if held is not None:
             some = _met(*held, most)
             yield _rows(held[0][some], held[1][some])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
 
 
 def _rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Rows of one batch, each once."""
+    order = np.lexsort((node, key))
+    order = order[_new(key[order], node[order])]
+    key, node = key[order], node[order]
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
 
 class Units:
-    """What a unit is: find gives row, begin, end, words and perhaps the first word's place of each; hashes gives their shingles."""
+    """What a unit is: find gives row, begin, end, words and perhaps the first word's place of each; hashes gives their shingles.
+
+    A unit of a length (in code points) that twins asks for has a second set of
+    shingles, which narrow gives from its bytes, in a node of its own (see twin).
+    """
 
-    def __init__(self, find: Callable, hashes: Callable, bands: int, rows: int):
-        self.find, self.hashes, self.bands, self.rows = find, hashes, bands, rows
+    def __init__(self, find: Callable, hashes: Callable, bands: int, rows: int, twins: Callable | None = None, narrow: Callable | None = None):
+        self.find, self.hashes, self.bands, self.rows, self.twins, self.narrow = find, hashes, bands, rows, twins, narrow
 
     def places(self):
-        """Every unit; the first of a node in its task carries the node's band keys, others none."""
-        find, hashes, bands, rows = self.find, self.hashes, self.bands, self.rows
+        """Every unit; the first of a node in its task carries the node's band keys, others none. Twins are rows with a negative no."""
+        find, hashes, bands, rows, twins, narrow = self.find, self.hashes, self.bands, self.rows, self.twins, self.narrow
 
         def run(batches):
             seen: set[int] = set()
             for batch in batches:
+                if len(seen) > SEEN:
+                    seen.clear()
                 data, offsets = string_buffers(batch.column("text"))
                 for i, j in blocks(offsets, SCAN):
                     part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                    row, begin, end, words, *more = find(part, local)
-                    word = more[0] if more else np.zeros(len(row), np.int64)
+                    row, begin, end, words, *more_ = find(part, local)
+                    word = more_[0] if more_ else np.zeros(len(row), np.int64)
                     points = counts((part & 0xC0) != 0x80)
                     base = points[local[row]]
                     new = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
@@ -178,49 +193,58 @@ class Units:
                         if x not in seen:
                             seen.add(x)
                             first[k] = True
-                    signs, mores, keys = np.zeros(len(node), np.int64), np.zeros(len(node), np.int32), np.zeros(0, np.int64)
-                    if first.any():
-                        keys, signs[first], mores[first] = signature_keys(*hashes(part, begin[first], end[first]), bands, rows)
-                    places = (pa.array(x.astype(np.int32)) for x in (no, points[begin] - base, points[end] - base, words, word))
-                    starts = pa.array(np.concatenate(([0], np.cumsum(first) * bands)).astype(np.int32))
-                    columns = [batch.column("doc_id").take(pa.array(row + i)), batch.column("text_hash").take(pa.array(row + i)), *places, pa.array(node), pa.array(signs), pa.array(mores), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "word", "node", "sign", "more", "keys"])
+                    every = {"row": row, "no": no, "begin": points[begin] - base, "end": points[end] - base, "n_words": words, "word": word, "node": node, "twin_of": np.zeros(len(node), np.int64)}
+                    yield _placed(batch, i, every, first, hashes(part, begin[first], end[first]) if first.any() else None, bands, rows)
+                    if twins is not None and (some := first & twins(points[end] - points[begin])).any():
+                        also = {c: x[some] for c, x in every.items()} | {"no": np.full(some.sum(), -1), "node": twin(node[some]), "twin_of": node[some]}
+                        yield _placed(batch, i, also, np.ones(some.sum(), bool), narrow(part, begin[some], end[some]), bands, rows)
 
         return run
 
     def bodies(self, wanted: np.ndarray):
-        """The bytes of each node that the filter of wanted ones lets pass, once a task."""
-        find = self.find
+        """The bytes of each node that the filter of wanted ones lets pass, once a task; those of a twin end with a line feed."""
+        find, twins = self.find, self.twins
 
         def run(batches):
             seen: set[int] = set()
             for batch in batches:
+                if len(seen) > SEEN:
+                    seen.clear()
                 data, offsets = string_buffers(batch.column("text"))
                 for i, j in blocks(offsets, SCAN):
                     part = data[offsets[i] : offsets[j]]
                     _, begin, end, *_ = find(part, offsets[i : j + 1] - offsets[i])
                     node = range_hashes(part, begin, end).astype(np.int64)
-                    new = []
-                    at = np.flatnonzero(passes(wanted, node))
-                    for k, x in zip(at.tolist(), node[at].tolist(), strict=True):
-                        if x not in seen:
-                            seen.add(x)
-                            new.append(k)
-                    if new:
-                        yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array([part[begin[k] : end[k]].tobytes() for k in new], pa.binary())], ["node", "body"])
+                    found = []
+                    points = counts((part & 0xC0) != 0x80)
+                    for own, tail in ((node, b""), (twin(node), b"\n")):
+                        if tail and twins is None:
+                            continue
+                        at = np.flatnonzero(passes(wanted, own) & (twins(points[end] - points[begin]) if tail else True))
+                        for k, x in zip(at.tolist(), own[at].tolist(), strict=True):
+                            if x not in seen:
+                                seen.add(x)
+                                found.append((x, part[begin[k] : end[k]].tobytes() + tail))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "body"])
 
         return run
 
     def expand(self):
-        """A function that makes the sorted sets of a column of unit bytes."""
-        hashes = self.hashes
+        """A function that makes the sorted sets of a column of unit bytes; those that end with a line feed are twins."""
+        hashes, narrow = self.hashes, self.narrow
 
         def run(bodies: pa.Array) -> list[np.ndarray]:
             data, offsets = string_buffers(bodies)
-            out = []
+            out: list = [None] * (len(offsets) - 1)
             for i, j in blocks(offsets):
-                found, first = hashes(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i])
-                out += [np.unique(x) for x in np.split(found, first[1:])]
+                part, begin, end = data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
+                tail = (part[np.maximum(end - 1, 0)] == 10) if narrow is not None and len(part) else np.zeros(j - i, bool)
+                for of, rows in ((hashes, np.flatnonzero(~tail)), (narrow, np.flatnonzero(tail))):
+                    if len(rows):
+                        found, first = of(part, begin[rows], end[rows] - (of is narrow))
+                        for k, x in zip(rows.tolist(), np.split(found, first[1:]), strict=True):
+                            out[i + k] = np.unique(x)
             return out
 
         return run
@@ -236,48 +260,22 @@ class Units:
         return run
 
 
-def places_of(nodes: np.ndarray, bits: int) -> np.ndarray:
-    """The filter's bits of each node, a row for each of its hash functions."""
-    return np.stack([mix(nodes.astype(_U) + _U(k * 0x9E3779B97F4A7C15 % (1 << 64))) & _U(bits - 1) for k in (1, 2, 3)]).astype(np.int64)
-
-
-def passes(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    at = places_of(nodes, 64 * len(words))
-    return ((words[at >> 6] >> (at & 63).astype(_U)) & _U(1)).all(axis=0)
-
-
-def filter_bits(n: int) -> int:
-    """About 8 bits a node, a power of two within FILTER_BITS."""
-    bits, most = FILTER_BITS
-    while bits < min(8 * n, most):
-        bits *= 2
-    return bits
-
-
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of a bounded number of bits, whatever the number of nodes; what it lets pass is joined exactly afterwards."""
-    bits = filter_bits(nodes.count())
-
-    def run(batches):
-        words = np.zeros(bits // 64, _U)
-        for batch in batches:
-            at = places_of(batch.column("node").to_numpy(), bits).ravel()
-            np.bitwise_or.at(words, at >> 6, _U(1) << (at & 63).astype(_U))
-        pieces = words.reshape(-1, FILTER_PIECE)
-        full = np.flatnonzero(pieces.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pieces[k].tobytes() for k in full], pa.binary())], ["piece", "bits"])
+def twin(node: np.ndarray) -> np.ndarray:
+    """The node of a unit's second set."""
+    return mix(node.astype(_U) ^ _U(0xA24BAED4963EE407)).astype(np.int64)
 
-    def either(t: pa.Table) -> pa.Table:
-        joined = np.zeros(FILTER_PIECE, _U)
-        for c in t.column("bits").chunks:
-            for x in c:
-                joined |= np.frombuffer(x.as_buffer(), _U)
-        return pa.table({"piece": pa.array([t.column("piece")[0].as_py()], pa.int32()), "bits": pa.array([joined.tobytes()], pa.binary())})
 
-    out = np.zeros((bits // 64 // FILTER_PIECE, FILTER_PIECE), _U)
-    for r in nodes.mapInArrow(run, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect():
-        out[r["piece"]] = np.frombuffer(bytes(r["bits"]), _U)
-    return out.ravel()
+def _placed(batch: pa.RecordBatch, i: int, columns: dict[str, np.ndarray], first: np.ndarray, found, bands: int, rows: int) -> pa.RecordBatch:
+    """Rows of PLACE; found has the shingles of the first ones."""
+    n = len(columns["row"])
+    sign, more, keys = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(0, np.int64)
+    if found is not None:
+        keys, sign[first], more[first] = signature_keys(*found, bands, rows)
+    at = pa.array(columns["row"] + i)
+    ints = [pa.array(columns[c].astype(np.int32)) for c in ("no", "begin", "end", "n_words", "word")]
+    starts = pa.array(np.concatenate(([0], np.cumsum(first) * bands)).astype(np.int32))
+    arrays = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *ints, pa.array(columns["node"]), pa.array(columns["twin_of"]), pa.array(sign), pa.array(more), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "word", "node", "twin_of", "sign", "more", "keys"])
 
 
 def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
@@ -291,7 +289,7 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     scratch = Scratch(spark, label)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     scanned = scratch.keep(docs.mapInArrow(units.places(), PLACE))
-    places = scanned.drop("sign", "more", "keys")
+    places = scanned.where("no >= 0").drop("twin_of", "sign", "more", "keys")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no", "begin", "end")
     per = scratch.keep(places.groupBy("node").agg(F.min(order).alias("keep"), F.count("*").alias("n_units")))
     most = most_apart(units.bands * units.rows, percent)
@@ -300,8 +298,10 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     chosen = scratch.keep(groups.select("node").distinct())
     bodies = docs.select("text").mapInArrow(units.bodies(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")
     known = scratch.keep(bodies.dropDuplicates(["node"]).mapInArrow(units.sketches(), SKETCH))
-    weight = per.select("node", F.col("n_units").alias("weight")).join(chosen, "node", "left_semi")
-    roots = linked(scratch, groups, known, percent, units.expand(), weight, inline=True)
+    weight = chosen.join(per.select("node", F.col("n_units").alias("weight")), "node", "left").select("node", F.coalesce("weight", F.lit(1)).alias("weight"))
+    twins = scanned.where("no < 0").select(F.col("node").alias("u"), F.col("twin_of").alias("v")).distinct()
+    same = twins.join(chosen.select(F.col("node").alias("u")), "u", "left_semi") if units.twins is not None else None
+    roots = linked(scratch, groups, known, percent, units.expand(), weight, inline=True, same=same)
     # only nodes with links meet by root; the others are their own class
     placed = scratch.keep(per.join(roots, "node"))
     best = placed.groupBy("root").agg(F.min("keep").alias("keep"), F.sum("n_units").alias("n_units"))

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, blocks, lower_ascii, mix, shingle_sets, string_buffers, table
+from .filters import node_filter, passes
+from .shared import SEEN, Scratch, blocks, lower_ascii, mix, shingle_sets, string_buffers, table
 
 _U = np.uint64
 #: Upper sizes of bands grow by this factor.
@@ -134,6 +135,8 @@ def _keys(width: int, percent: int):
         seen: set[int] = set()
         for batch in batches:
             keys, nodes = [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for _, s in _sets(batch, width):
                 if len(s) and (node := set_id(s)) not in seen:
                     seen.add(node)
@@ -145,17 +148,18 @@ def _keys(width: int, percent: int):
     return run
 
 
-def _sketches(width: int):
-    """Each set once a task."""
+def _sketches(width: int, wanted: np.ndarray):
+    """The sets that the filter of wanted ones lets pass, each once a task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            found = {}
-            for _, s in _sets(batch, width):
-                if (node := set_id(s)) not in seen:
-                    seen.add(node)
-                    found[node] = s
+            if len(seen) > SEEN:
+                seen.clear()
+            sets = {set_id(s): s for _, s in _sets(batch, width)}
+            names = np.fromiter(sets, np.int64, len(sets))
+            found = {node: sets[node] for node in names[passes(wanted, names)].tolist() if node not in seen}
+            seen.update(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int32()), pa.array([parity_sketch(s).tobytes() for s in found.values()], pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())],
                 ["node", "n", "sketch", "items"],
@@ -282,13 +286,14 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return beside.where("before < node OR after > node").select("key", "node").distinct()
 
 
-def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets, weight: DataFrame | None = None, inline: bool = False) -> DataFrame:
+def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets, weight: DataFrame | None = None, inline: bool = False, same: DataFrame | None = None) -> DataFrame:
     """node, root of all nodes that link over the keys they share.
 
     groups: key, node, from shared_keys. known: node, n, sketch, items of those nodes. Both are written tables.
     weight: node, weight; a key's nodes are first held against its heaviest one, or the smallest if there are no weights.
     expand turns a column of items into sorted arrays of hashes.
     inline: blocks verify their pairs themselves; for items that are small enough to go with every block.
+    same: u, v, nodes that belong together whatever their sets.
     """
     if weight is None:
         centre = groups.groupBy("key").agg(F.min("node").alias("u"))
@@ -296,7 +301,7 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
         centre = groups.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("u"))
     star = groups.join(centre, "key").where("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     links = _verified(star, known, scratch, percent, expand)
-    roots = components(scratch, links)
+    roots = components(scratch, links if same is None else links.unionByName(same))
 
     held = groups.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high AND g > 2").select("key")
@@ -322,7 +327,7 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
     guests = scratch.keep(open_rows.join(anchors, "key").where("root <> anchor").select("anchor", "node", "root", "salt").distinct())
     visited = guests.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     hosts = roots.select(F.col("root").alias("anchor"), "node", "root", salt).join(visited.select("anchor", salts), ["anchor", "salt"], "left_semi")
-    count = scratch.keep(hosts.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h")).join(visited, "anchor"))
+    count = hosts.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h")).join(visited, "anchor")
     counted = count.select("anchor", "h", "k", salts)
     slot = "CAST(pmod(xxhash64(node, 3), {0}) AS INT)"
     dealt_hosts = hosts.join(counted, ["anchor", "salt"]).selectExpr("anchor", "node", "root", f"{slot.format('h')} AS i", "explode(sequence(0, k - 1)) AS j", "1 AS side")
@@ -339,7 +344,7 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
         over = components(scratch, ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
         old = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         roots = scratch.keep(old.unionByName(over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))))
-    scratch.drop(groups, known, opened, open_rows, guests, count, more)
+    scratch.drop(groups, known, opened, open_rows, guests, more)
     return roots
 
 
@@ -350,26 +355,42 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     node have one set. roots: node, root for nodes with links.
     """
     scratch = Scratch(spark, "ngram")
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    docs = scratch.few(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
     names = scratch.keep(docs.mapInArrow(_names(width), "doc_id long, text_hash long, node long, n_shingles long"))
     groups = scratch.keep(shared_keys(docs.select("text").mapInArrow(_keys(width, percent), "key long, node long")))
-    # a text of each node that shares a key, whatever its ids
-    one = names.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
-    known = scratch.keep(docs.join(one, "text_hash", "left_semi").select("text").mapInArrow(_sketches(width), SKETCH).dropDuplicates(["node"]))
+    # the sets are made again where the texts are, so that only those that share a key are moved
+    chosen = scratch.keep(groups.select("node").distinct())
+    known = scratch.keep(docs.select("text").mapInArrow(_sketches(width, node_filter(chosen)), SKETCH).join(chosen, "node", "left_semi").dropDuplicates(["node"]))
     return names, linked(scratch, groups, known, percent)
 
 
-def ngram_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_copies (rows with the same set)."""
+def ngram_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, hashes: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_copies (rows with the same set), and with hashes text_hash (xxhash64 of the text)."""
     names, roots = jaccard_links(spark, docs, width, percent)
-    names = names.drop("text_hash")
+    names = names if hashes else names.drop("text_hash")
     least = names.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     placed = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = placed.join(lowest, "root").select("node", "component_id", "n_copies")
     full = names.join(of_node, "node", "left")
-    return full.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return full.select("doc_id", *(["text_hash"] if hashes else []), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark, table(spark, sf_dir, "documents"))
+
+
+#: The same by joining all sets on their shingles, and following all links.
+OP1_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS shingle FROM d),
+n AS (SELECT rid, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS content FROM s GROUP BY rid),
+c AS (SELECT rid, n, min(rid) OVER (PARTITION BY content) AS node, count(*) OVER (PARTITION BY content) AS n_copies FROM n),
+o AS (SELECT s.rid, shingle FROM s JOIN c USING (rid) WHERE rid = node),
+p AS (SELECT a.rid AS u, b.rid AS v, count(*) AS shared FROM o a JOIN o b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN c x ON x.rid = u JOIN c y ON y.rid = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r(a, z) AS (SELECT rid, rid FROM c WHERE rid = node UNION SELECT a, v FROM r JOIN l ON z = u),
+least AS (SELECT node, min(doc_id) AS least FROM c JOIN d USING (rid) GROUP BY node),
+m AS (SELECT a AS node, min(least) AS component_id FROM r JOIN least ON z = node GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END AS component_id, coalesce(n_copies, 1) AS n_copies FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (node)
+"""

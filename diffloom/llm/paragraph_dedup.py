@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_units import SCAN, Units, grams, node_filter, passes, unit_classes
+from .filters import node_filter, passes
+from .near_units import SCAN, Units, grams, unit_classes
 from .shared import _K, Scratch, blocks, counts, lower_ascii, mix, range_hashes, string_buffers, table, word_bounds
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 14, 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -36,8 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Written tables after which the driver lets go of the shuffle files of finished jobs.
-TIDY = 3
+#: Written tables after which the driver lets go of the shuffle files of finished jobs, and files that a table may have for each core of the cluster.
+TIDY, FILES = 3, 4
+#: Names that a task remembers at most, so as not to give a thing twice; beyond that it begins anew.
+SEEN = 1 << 20
+#: Bytes of a batch that goes to or comes from a Python worker, of which several are held at a time.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 class Scratch:
@@ -49,8 +54,27 @@ class Scratch:
     disk and driver hold what is in use.
     """
 
+    #: Where scratch folders are noted as they are made (see recorded).
+    _noted: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
+        if Scratch._noted is not None:
+            Scratch._noted.append(self)
+
+    @staticmethod
+    @contextlib.contextmanager
+    def recorded():
+        """Gives the list of scratch folders that are made meanwhile."""
+        before, Scratch._noted = Scratch._noted, []
+        try:
+            yield Scratch._noted
+        finally:
+            Scratch._noted = before
+
+    def few(self, df: DataFrame) -> DataFrame:
+        """df in a few tasks a core, for scans that combine what they find within a task."""
+        return df.coalesce(FILES * self.spark.sparkContext.defaultParallelism)
 
     def path(self) -> str:
         self.n += 1
@@ -60,20 +84,32 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def keep(self, df: DataFrame) -> DataFrame:
-        at = self.path()
-        df.write.parquet(at)
+        """df as a written table. Small partitions share a task, which takes them one after the other, so that a table has few files."""
+        at, (name, size) = self.path(), BATCH
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, size)
+        try:
+            self.few(df).write.parquet(at)
+        finally:
+            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
         if self.n % TIDY == 0:
             self.tidy()
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
         return out
 
+    def _delete(self, at: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def release(self) -> None:
+        """Deletes all tables of this folder; for when what was made of them is written."""
+        self._delete(self.base)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -100,11 +136,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("pw", ())) < n:
-        n = max(2 * n, 1 << 12)
-        _tables["pw"] = np.cumprod(np.full(n, _P), dtype=_U)
-        _tables["inv"] = np.cumprod(np.full(n, _U(pow(int(_P), -1, 1 << 64))), dtype=_U)
-    return _tables["pw"], _tables["inv"]
+    """Powers of a number and of its inverse; short tables are kept, those for a very long text aren't."""
+    if len(_tables.get("pw", ())) >= n:
+        return _tables["pw"], _tables["inv"]
+    short = n <= 1 << 19
+    n = max(2 * n, 1 << 12) if short else n
+    made = np.cumprod(np.full(n, _P), dtype=_U), np.cumprod(np.full(n, _U(pow(int(_P), -1, 1 << 64))), dtype=_U)
+    if short:
+        _tables["pw"], _tables["inv"] = made
+    return made
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +161,8 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 20):
-    """Ranges of rows of about so many bytes each."""
+def blocks(offsets: np.ndarray, most: int = 1 << 17):
+    """Ranges of rows of about so many bytes each, by default so few that arrays over them stay in the processor's cache."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
