@@ -76,9 +76,12 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, cap: int = CAP, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of docs (doc_id, text, source), with the carried columns."""
+    """doc_id, size, source_size, target, taken of docs (doc_id, text, source), with the carried columns, which must not have these names."""
+    if taken := {"doc_id", "size", "source_size", "target", "taken"} & {c.lower() for c in carry}:
+        raise ValueError(f"columns that the mix has itself: {sorted(taken)}")
     scratch = Scratch(spark, "mix")
-    sized = scratch.keep(docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    carried = [F.struct(*[docs[c].alias(c) for c in carry]).alias("carried")] if carry else []
+    sized = scratch.keep(docs.select("doc_id", "source", *carried, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     aimed = targets(per, cap)
     block = f"CAST(greatest(1, least({LARGEST_BLOCK}, floor(total / (count(*) OVER () * {BLOCKS_A_SOURCE}.0)))) AS LONG)"
@@ -98,8 +101,8 @@ def mix(spark: SparkSession, docs: DataFrame, cap: int = CAP, seed: str = SEED,
     parts = at.selectExpr("*", "explode_outer(IF(size > 0, sequence(begin div block, (begin + size - 1) div block), NULL)) AS b", "ceil(shard_size / block) AS blocks")
     ranked = parts.selectExpr("*", f"dense_rank() OVER (PARTITION BY source, shard ORDER BY b IS NULL, md5(concat('{seed}/', shard, '/', b)), b) AS turn", f"least(quota, {cap} * blocks) AS q")
     used = ranked.withColumn("words", F.expr("(least(begin + size, (b + 1) * block) - greatest(begin, b * block)) * (q div blocks + IF(turn <= q % blocks, 1, 0))"))
-    key_columns = ["source", "shard", "place", "doc_id", "size", "source_size", "target", *carry]
-    return used.groupBy(*key_columns).agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken", *carry)
+    key_columns = ["source", "shard", "place", "doc_id", "size", "source_size", "target", *(["carried"] if carry else [])]
+    return used.groupBy(*key_columns).agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken", *(["carried.*"] if carry else []))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
