@@ -137,3 +137,35 @@ def judged(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ()) ->
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def _sql_distance(mine: str, of_language: str, out: str) -> str:
+    """Jensen-Shannon distance of each document's histogram (rid, bin, n) and its language's (language, bin, m)."""
+    part = lambda p, q: f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
+    return f"""(SELECT rid, CASE WHEN max(n_all) > 0 AND max(m_all) > 0 THEN round(sqrt(greatest(0, sum({part('x', 'y')} + {part('y', 'x')}) / 2)), 6) ELSE 0 END AS {out}
+  FROM (SELECT a.rid, n_all, m_all, CASE WHEN n_all > 0 THEN n / n_all::DOUBLE ELSE 0 END AS x, CASE WHEN m_all > 0 THEN m / m_all ELSE 0 END AS y
+    FROM (SELECT *, sum(n) OVER (PARTITION BY rid) AS n_all FROM {mine}) a JOIN (SELECT *, sum(m) OVER (PARTITION BY language) AS m_all FROM {of_language}) b USING (language, bin)) GROUP BY rid)"""
+
+
+_words_sql = ", ".join("'" + w + "'" for w in WORDS)
+_class_sql = "".join(f", regexp_replace(r{k}, '{p.replace(chr(39), chr(39) * 2)}', '', 'g') AS r{k + 1}" for k, p in enumerate(CLASSES))
+_mean_sql = lambda rows: f"(SELECT h.language, bin, avg(CASE WHEN n_all > 0 THEN n / n_all::DOUBLE ELSE 0 END) AS m FROM (SELECT *, sum(n) OVER (PARTITION BY rid) AS n_all FROM {rows}) h JOIN base USING (rid) WHERE NOT base_failed GROUP BY ALL)"
+#: The same with a row for each bin of each histogram.
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS language, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words, regexp_replace(body, '{SEPARATORS}', '', 'g') AS r0, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS solid FROM d),
+g AS (SELECT rid, k, words[k + 1] AS a, words[k + 2] AS b, words[k + 3] AS c FROM (SELECT rid, words, unnest(range(0, len(words) - 2)) AS k FROM w WHERE len(words) > 2)),
+twice AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT k + i) AS n_repeat_words FROM twice, range(3) t(i) GROUP BY rid),
+base0 AS (SELECT w.rid, doc_id, language, len(words) AS n_words, length(r0) AS word_chars, length(regexp_replace(r0, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(solid) - len(list_distinct(solid)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
+base AS (SELECT * EXCLUDE (language), n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base0),
+cl0 AS (SELECT rid, language, r0{_class_sql} FROM w),
+cl AS (SELECT rid, language, unnest(range({len(CLASSES) + 1})) AS bin, unnest([{', '.join(f'length(r{k}) - length(r{k + 1})' for k in range(len(CLASSES)))}, length(r{len(CLASSES)})]) AS n FROM cl0),
+sp AS (SELECT rid, unnest(list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}]+'), lambda x: x <> '')) AS word FROM w),
+spn AS (SELECT rid, CASE WHEN word IN ({_words_sql}) THEN word ELSE '' END AS bin, count(*) AS n FROM sp GROUP BY ALL),
+co AS (SELECT rid, language, v.bin, coalesce(n, 0) AS n FROM w CROSS JOIN (SELECT unnest(['', {_words_sql}]) AS bin) v LEFT JOIN spn USING (rid, bin)),
+mcl AS {_mean_sql('cl')}, mco AS {_mean_sql('co')},
+dcl AS {_sql_distance('cl', 'mcl', 'class_distance')}, dco AS {_sql_distance('co', 'mco', 'word_distance')}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (cd > {CLASS_LIMIT} OR (wd > {WORD_LIMIT} + sqrt({BINS} / (8 * ln(2) * greatest(n_words, 1))) AND cd > {CLASS_DOUBT})) AS kept, cd AS class_distance, wd AS word_distance
+FROM (SELECT *, CAST(coalesce(class_distance, 0) AS DOUBLE) AS cd, CAST(coalesce(word_distance, 0) AS DOUBLE) AS wd FROM base LEFT JOIN dcl USING (rid) LEFT JOIN dco USING (rid))
+"""

@@ -5,13 +5,13 @@ from __future__ import annotations
 from .decontaminate import op8_decontamination
 from .line_dedup import op5_line_dedup
 from .mixing import OP2_SQL, op2_mixing
-from .ngram_join import op1_ngram_join
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .paragraph_dedup import op9_paragraph_dedup
-from .pii import op10_personal_data
-from .quality import op3_quality_rules
+from .pii import OP10_SQL, op10_personal_data
+from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op4_secret_scan
 from .token_counts import op6_token_counts
-from .warc import op7_warc
+from .warc import OP7_SQL, op7_warc
 
 
 def pipeline(spark, sf_dir):
@@ -34,4 +34,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-SQL = {"op2_mixing": OP2_SQL}
+SQL = {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op10_personal_data": OP10_SQL}
