@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Written tables after which the driver lets go of the shuffle files of finished jobs, and files that a table may have for each core of the cluster.
-TIDY, FILES = 3, 4
+TIDY, FILES = 1, 4
 #: Names that a task remembers at most, so as not to give a thing twice; beyond that it begins anew.
 SEEN = 1 << 20
 #: Bytes of a batch that goes to or comes from a Python worker, of which several are held at a time.
@@ -50,7 +50,7 @@ class Scratch:
 
     Spark removes the shuffle files and broadcasts of a finished job when the
     driver collects its garbage, by default as late as its heap is full. An
-    operator of many small jobs asks for that after every few tables, so that
+    operator of many small jobs asks for that after each table, so that
     disk and driver hold what is in use.
     """
 
