@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .code_compression import OP11_SQL, op11_code_compression
 from .decontaminate import op8_decontamination
+from .fill_middle import OP13_SQL, op13_fill_in_middle
+from .impact_index import OP12_SQL, op12_exact_top_k
 from .line_dedup import op5_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
@@ -31,7 +34,10 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_personal_data": op10_personal_data,
+    "op11_code_compression": op11_code_compression,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
 
-SQL = {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op10_personal_data": OP10_SQL}
+SQL = {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op10_personal_data": OP10_SQL, "op11_code_compression": OP11_SQL, "op12_exact_top_k": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
