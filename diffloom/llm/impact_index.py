@@ -20,7 +20,7 @@ those.
 Vectors that are null or hold null or non-finite components take no part, nor
 do they as queries. Missing components of shorter vectors count as 0; an empty
 vector scores 0. Components whose integer isn't a long are held at the nearest
-long, scores likewise (ordered by their true value within a group). A null id
+long; scores likewise, but ranked by their true value. A null id
 is no query and comes last in ties. Repeated ids are rows of their own: a row
 isn't its own candidate, another one of its id is, and rows that tie in id too
 come in an arbitrary order that doesn't show. Extra columns are ignored; an
@@ -46,6 +46,8 @@ BITS, PASSES = 5, (0.5, 0.75, 0.9, 1.0)
 FEW = 32
 #: Queries that are accumulated together.
 TOGETHER = 128
+#: Bytes that hold any score, and what is added so that it isn't negative.
+WIDTH, HALF = 20, 1 << 159
 
 
 def quantised(size: np.ndarray) -> np.ndarray:
@@ -164,7 +166,7 @@ def best(index: Index, ids: list, keys: np.ndarray, queries: np.ndarray, query_k
             score = exact_scores(index.forward[rows, :d], part[q, :d])
             first = np.lexsort((keys[rows], value[rows], none[rows], -score))[:k]
             for r, s in zip(rows[first].tolist(), score[first].tolist(), strict=True):
-                yield begin + q, r, max(-LONG - 1, min(LONG, s))
+                yield begin + q, r, s
 
 
 def _arrays(t: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
@@ -195,23 +197,23 @@ def pack_queries(rows: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, groups: int, blocks: int, k: int) -> DataFrame:
-    """query, query_id, key, vec_id, score: the k best rows that each group has for each query."""
+    """query, query_id, key, vec_id, score, exact: the k best rows that each group has for each query; exact has the scores' order."""
 
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
-                qdims, found = row["qdims"], ([], [], [], [], [])
+                qdims, found = row["qdims"], ([], [], [], [], [], [])
                 query_keys = np.frombuffer(row["qkeys"], np.int64)
                 queries, keys = np.frombuffer(row["qvectors"], np.int64).reshape(len(query_keys), qdims), np.frombuffer(row["keys"], np.int64)
                 for q, r, s in best(Index(row), row["ids"], keys, queries, query_keys, k):
-                    for column, x in zip(found, (query_keys[q], row["qids"][q], keys[r], row["ids"][r], s), strict=True):
+                    for column, x in zip(found, (query_keys[q], row["qids"][q], keys[r], row["ids"][r], max(-LONG - 1, min(LONG, s)), (s + HALF).to_bytes(WIDTH)), strict=True):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query", "query_id", "key", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if x is found[-1] else pa.int64()) for x in found], ["query", "query_id", "key", "vec_id", "score", "exact"])
 
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     right = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    return left.join(right, ["grp", "block"]).mapInArrow(run, "query long, query_id long, key long, vec_id long, score long")
+    return left.join(right, ["grp", "block"]).mapInArrow(run, "query long, query_id long, key long, vec_id long, score long, exact binary")
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, group: int = GROUP, block: int = BLOCK) -> DataFrame:
@@ -225,7 +227,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K,
     index = scratch.keep(build_index(rows.withColumn("grp", dealt(groups, 1))))
     queries = scratch.keep(pack_queries(rows.where("asks").withColumn("block", dealt(blocks, 2))))
     found = search(index, queries, groups, blocks, k)
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "key")
+    order = Window.partitionBy("query").orderBy(F.col("exact").desc(), F.col("vec_id").asc_nulls_last(), "key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
