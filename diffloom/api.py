@@ -20,8 +20,10 @@ from .operators import patch as P
 from .operators import report as R
 from .operators import scopes as O
 from .operators import validate as V
+from .operators.acquire import acquired
+from .sources.tables import written
 
-__all__ = ["Evidence", "Explanation", "analyze", "render_report", "resolve_comparison", "resolve_repository", "validate_explanation"]
+__all__ = ["Evidence", "Explanation", "analyze", "compare", "render_report", "resolve_comparison", "resolve_repository", "validate_explanation"]
 #: Errors that a message names; all of them count.
 NAMED = 20
 
@@ -131,6 +133,13 @@ class Evidence:
         return R.evidence_markdown(files, self.units, self.hunks, self.spans, self.lines, self.citations)
 
 
+def compare(before: DataFrame, after: DataFrame, context_lines: int = 3, similarity: int = 50, copies: bool = True, **options) -> Evidence:
+    """Checked evidence of two snapshots (path, mode, content as text): their patches are made here, with renames and copies by similarity. options: those of analyze."""
+    patches = written(before.sparkSession, acquired(before, after, context_lines, similarity, copies), "patches")
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "path", F.when(F.col("mode").eqNullSafe(L.SUBMODULE), F.concat(F.lit("Subproject commit "), "content", F.lit("\n"))).otherwise(F.coalesce("content", F.lit(""))).alias("content"))
+    return analyze(patches.select(F.col("path").alias("key"), "patch"), side(before, "before").unionByName(side(after, "after")), **options)
+
+
 def analyze(patches: DataFrame, snapshot: DataFrame, budget: int = 1_000_000, symbols: DataFrame | None = None, graph: str = "auto") -> Evidence:
     """Checked evidence; with symbols (doc_id, name, line, end_line, confidence, provenance) also its graph facts, by the mode of graph."""
     found = Evidence(patches, snapshot, budget).check()

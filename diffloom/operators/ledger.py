@@ -34,18 +34,18 @@ def of_range(start: Column, count: Column) -> Column:
     return F.concat(start.cast("string"), F.when(count == 1, "").otherwise(F.concat(F.lit(","), count.cast("string"))))
 
 
-def hunks(hunk_lines: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a hunk: ranges with context, rows (its lines in order), raw text, ids of the hunk and of its text unit."""
+def hunks(hunk_lines: DataFrame, files: DataFrame, heading: Column | None = None) -> DataFrame:
+    """One row a hunk: ranges with context, rows (its lines in order), raw text, ids of the hunk and of its text unit. heading: by default the hunk's number."""
     rows = hunk_lines.groupBy("doc_id", "path", "hunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "old_line", "new_line", "block", "content", "no_newline"))).alias("rows"))
     side = lambda other: F.filter("rows", lambda x: x["kind"] != other)
     start = lambda part, field: F.coalesce(F.get(part, F.lit(0))[field], F.col("rows")[0][field])
     sized = rows.select(
         "*", start(side("after"), "old_line").alias("old_start"), F.size(side("after")).cast("long").alias("old_count"), start(side("before"), "new_line").alias("new_start"), F.size(side("before")).cast("long").alias("new_count"),
-        F.size(F.array_distinct(F.transform(F.filter("rows", lambda x: x["kind"] != "keep"), lambda x: x["block"]))).cast("long").alias("n_blocks"), F.concat(F.lit("section "), "hunk_no").alias("heading"),
+        F.size(F.array_distinct(F.transform(F.filter("rows", lambda x: x["kind"] != "keep"), lambda x: x["block"]))).cast("long").alias("n_blocks"), (F.concat(F.lit("section "), "hunk_no") if heading is None else heading).alias("heading"),
     )
     mark = lambda x: F.when(x["kind"] == "keep", " ").when(x["kind"] == "before", "-").otherwise("+")
     text = F.transform("rows", lambda x: F.concat(mark(x), x["content"], F.lit("\n"), F.when(x["no_newline"], F.lit(MARKER + "\n")).otherwise("")))
-    head = F.concat(F.lit("@@ -"), of_range(F.col("old_start"), F.col("old_count")), F.lit(" +"), of_range(F.col("new_start"), F.col("new_count")), F.lit(" @@ "), "heading", F.lit("\n"))
+    head = F.concat(F.lit("@@ -"), of_range(F.col("old_start"), F.col("old_count")), F.lit(" +"), of_range(F.col("new_start"), F.col("new_count")), F.lit(" @@"), F.when(F.col("heading") == "", "").otherwise(F.concat(F.lit(" "), "heading")), F.lit("\n"))
     raw = sized.withColumn("raw", F.concat(head, F.array_join(text, "")))
     return with_ids(raw.withColumn("patch_hash", F.sha2("raw", 256)).withColumn("raw_patch_bytes", F.octet_length("raw").cast("long")), files)
 

@@ -28,18 +28,21 @@ PREFIXES = {
 BINARY = ("Binary files ", "GIT binary patch")
 
 
-def write_patch(files: DataFrame, hunks: DataFrame) -> DataFrame:
-    """doc_id, path, patch: the patch of each file, with context. Paths of every seventh id are quoted."""
+def write_patch(files: DataFrame, hunks: DataFrame, odd: Column | None = None) -> DataFrame:
+    """doc_id, path, patch: the patch of each file, with context. odd: whether paths are quoted, by default those of every seventh id.
+
+    Files may have a similarity in hundredths; it is 90 otherwise.
+    """
     body = hunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "raw"))), lambda x: x["raw"]), "").alias("body"))
     rows = files.join(body, "doc_id", "left")
     nested = F.coalesce(F.col("new_mode"), F.col("old_mode")) == SUBMODULE
-    body = F.when(nested, F.concat(F.lit("@@ -1 +1 @@\n-Subproject commit "), "old_blob", F.lit("\n+Subproject commit "), "new_blob", F.lit("\n"))).otherwise(F.col("body"))
-    odd = F.col("doc_id") % 7 == 3
+    body = F.when(nested & F.col("old_blob").isNotNull() & F.col("new_blob").isNotNull(), F.concat(F.lit("@@ -1 +1 @@\n-Subproject commit "), "old_blob", F.lit("\n+Subproject commit "), "new_blob", F.lit("\n"))).otherwise(F.col("body"))
+    odd = F.col("doc_id") % 7 == 3 if odd is None else odd
     name = lambda c, prefix="": F.when(odd, quoted(c, prefix)).otherwise(F.concat(F.lit(prefix), c))
     old, new = F.coalesce("old_path", "new_path"), F.coalesce("new_path", "old_path")
     zero = F.lit("0" * 40)
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n"))
-    moved = lambda word: F.concat(line("similarity index 90%"), line(f"{word} from ", name(F.col("old_path"))), line(f"{word} to ", name(F.col("new_path"))))
+    moved = lambda word: F.concat(line("similarity index ", F.col("similarity") if "similarity" in files.columns else "90", "%"), line(f"{word} from ", name(F.col("old_path"))), line(f"{word} to ", name(F.col("new_path"))))
     same = F.col("old_mode").eqNullSafe(F.col("new_mode"))
     parts = [
         line("diff --git ", name(old, "a/"), " ", name(new, "b/")),
