@@ -1,14 +1,14 @@
 """Line dedup: fuzzy lines by MinHash over character shingles, one line kept per component.
 
 Lines are cut at \\n; a line without a word is no unit and stays with its
-document. Shingles are windows of SHINGLE characters, and of WIDE characters in
-lines of LONG characters or more. Two lines link when the Jaccard similarity of
-their sets is PERCENT or more; a long line of less than one and a half times LONG has a
-second set, of SHINGLE characters, for pairs with short ones. A letter changed within a
-line of 39 or more characters leaves it linked, and so does a word of five
-letters within one of 75 or more, at either width. BANDS bands of ROWS rows find
-a pair at the least similarity with a chance of 0.9994, more similar ones more
-often. See near_units for ids, nulls and ties. A document that loses all its
+document. Shingles are windows of SHINGLE characters, in lines of any length. Two
+lines link when the Jaccard similarity of their sets is PERCENT or more. A
+letter changed within a line of 39 or more characters leaves it linked, and so
+does a word of five letters within one of 75 or more. BANDS bands of ROWS rows
+find a pair at the least similarity with a chance of 0.9992, more similar ones
+more often; five rows keep lines of one language, whose shingles are much
+alike, from meeting by chance. See near_units for ids, nulls, ties and very
+long lines. A document that loses all its
 lines is dropped: its lines stand elsewhere. One that had no line to begin with
 stays. Columns of any name are kept as they are.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .near_units import Units, grams, unit_classes
 from .shared import counts, fresh, table
 
-SHINGLE, WIDE, LONG, PERCENT, BANDS, ROWS = 4, 6, 100, 80, 14, 4
+SHINGLE, PERCENT, BANDS, ROWS = 4, 80, 18, 5
 
 
 def find_lines(data: np.ndarray, offsets: np.ndarray):
@@ -46,21 +46,11 @@ def _codes(data: np.ndarray) -> np.ndarray:
 
 
 def line_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    points = counts((data & 0xC0) != 0x80)
-    return grams(_codes(data), points[begin], points[end], np.where(points[end] - points[begin] < LONG, SHINGLE, WIDE))
-
-
-def narrow_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray):
     points = counts((data & 0xC0) != 0x80)
     return grams(_codes(data), points[begin], points[end], SHINGLE)
 
 
-def between(n: np.ndarray) -> np.ndarray:
-    """Whether a line of n characters is long, and yet may be as similar as needed to some short one; up to a sixth of its shingles may be repeats."""
-    return (n >= LONG) & (2 * n < 3 * LONG)
-
-
-LINES = Units(find_lines, line_hashes, BANDS, ROWS, between, narrow_hashes)
+LINES = Units(find_lines, line_hashes, BANDS, ROWS)
 
 
 def kept_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -95,8 +95,9 @@ def mix(spark: SparkSession, docs: DataFrame, cap: int = CAP, seed: str = SEED,
     dealt = apportion(shard, ["source"], "shard_size", "seats", ["shard"]).selectExpr("source AS s", "shard AS h", "shard_size", "quota")
     dealt = scratch.keep(dealt)
 
-    stream = "OVER (PARTITION BY source, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    at = placed.selectExpr("*", f"coalesce(sum(size) {stream}, 0) AS begin", "row_number() OVER (PARTITION BY source, shard ORDER BY key, doc_id, size) AS place")
+    more = ", carried" if carry else ""
+    stream = f"OVER (PARTITION BY source, shard ORDER BY key, doc_id, size{more} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    at = placed.selectExpr("*", f"coalesce(sum(size) {stream}, 0) AS begin", f"row_number() OVER (PARTITION BY source, shard ORDER BY key, doc_id, size{more}) AS place")
     at = at.join(dealt, at["source"].eqNullSafe(dealt["s"]) & (at["shard"] == dealt["h"])).drop("s", "h")
     parts = at.selectExpr("*", "explode_outer(IF(size > 0, sequence(begin div block, (begin + size - 1) div block), NULL)) AS b", "ceil(shard_size / block) AS blocks")
     ranked = parts.selectExpr("*", f"dense_rank() OVER (PARTITION BY source, shard ORDER BY b IS NULL, md5(concat('{seed}/', shard, '/', b)), b) AS turn", f"least(quota, {cap} * blocks) AS q")

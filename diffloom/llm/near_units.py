@@ -30,7 +30,7 @@ from .ngram_join import SKETCH, linked, parity_sketch
 from .shared import SEEN, Scratch, blocks, counts, mix, range_hashes, string_buffers
 
 _U = np.uint64
-PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, word int, node long, twin_of long, sign long, more int, keys array<long>"
+PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, word int, node long, sign long, more int, keys array<long>"
 #: Hash functions of a signature.
 SIGNED = 48
 #: Nodes of a key up to which each is held against each by signature; rows of a larger group all go on.
@@ -39,18 +39,13 @@ GROUP = 256
 SCAN = 1 << 17
 
 
-def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of each range, and where each range's hashes start; a shorter range is one window. Ranges may have widths of their own."""
-    width = np.broadcast_to(width, begin.shape)
+def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of each range, and where each range's hashes start; a shorter range is one window."""
     count = np.maximum(end - begin - width + 1, 1)
     first = np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count
-    at, out = np.repeat(begin - first, count) + np.arange(count.sum()), None
-    for w in np.unique(width).tolist():
-        n = max(len(codes) - w + 1, 0)
-        every = range_hashes(codes, slice(0, n), slice(w, None), w) if n else np.zeros(1, _U)
-        some = every[np.minimum(at, max(n, 1) - 1)]
-        out = some if out is None else np.where(np.repeat(width == w, count), some, out)
-    out = np.zeros(0, _U) if out is None else out
+    n = max(len(codes) - width + 1, 0)
+    every = range_hashes(codes, slice(0, n), slice(width, None), width) if n else np.zeros(1, _U)
+    out = every[np.minimum(np.repeat(begin - first, count) + np.arange(count.sum()), max(n, 1) - 1)]
     short = np.flatnonzero(end - begin < width)
     out[first[short]] = range_hashes(codes, begin[short], end[short])
     return out, first
@@ -160,18 +155,14 @@ def _rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
 
 
 class Units:
-    """What a unit is: find gives row, begin, end, words and perhaps the first word's place of each; hashes gives their shingles.
+    """What a unit is: find gives row, begin, end, words and perhaps the first word's place of each; hashes gives their shingles."""
 
-    A unit of a length (in code points) that twins asks for has a second set of
-    shingles, which narrow gives from its bytes, in a node of its own (see twin).
-    """
-
-    def __init__(self, find: Callable, hashes: Callable, bands: int, rows: int, twins: Callable | None = None, narrow: Callable | None = None):
-        self.find, self.hashes, self.bands, self.rows, self.twins, self.narrow = find, hashes, bands, rows, twins, narrow
+    def __init__(self, find: Callable, hashes: Callable, bands: int, rows: int):
+        self.find, self.hashes, self.bands, self.rows = find, hashes, bands, rows
 
     def places(self):
-        """Every unit; the first of a node in its task carries the node's band keys, others none. Twins are rows with a negative no."""
-        find, hashes, bands, rows, twins, narrow = self.find, self.hashes, self.bands, self.rows, self.twins, self.narrow
+        """Every unit; the first of a node in its task carries the node's band keys, others none."""
+        find, hashes, bands, rows = self.find, self.hashes, self.bands, self.rows
 
         def run(batches):
             seen: set[int] = set()
@@ -193,17 +184,14 @@ class Units:
                         if x not in seen:
                             seen.add(x)
                             first[k] = True
-                    every = {"row": row, "no": no, "begin": points[begin] - base, "end": points[end] - base, "n_words": words, "word": word, "node": node, "twin_of": np.zeros(len(node), np.int64)}
+                    every = {"row": row, "no": no, "begin": points[begin] - base, "end": points[end] - base, "n_words": words, "word": word, "node": node}
                     yield _placed(batch, i, every, first, hashes(part, begin[first], end[first]) if first.any() else None, bands, rows)
-                    if twins is not None and (some := first & twins(points[end] - points[begin])).any():
-                        also = {c: x[some] for c, x in every.items()} | {"no": np.full(some.sum(), -1), "node": twin(node[some]), "twin_of": node[some]}
-                        yield _placed(batch, i, also, np.ones(some.sum(), bool), narrow(part, begin[some], end[some]), bands, rows)
 
         return run
 
     def bodies(self, wanted: np.ndarray):
-        """The bytes of each node that the filter of wanted ones lets pass, once a task; those of a twin end with a line feed."""
-        find, twins = self.find, self.twins
+        """The bytes of each node that the filter of wanted ones lets pass, once a task."""
+        find = self.find
 
         def run(batches):
             seen: set[int] = set()
@@ -216,35 +204,26 @@ class Units:
                     _, begin, end, *_ = find(part, offsets[i : j + 1] - offsets[i])
                     node = range_hashes(part, begin, end).astype(np.int64)
                     found = []
-                    points = counts((part & 0xC0) != 0x80)
-                    for own, tail in ((node, b""), (twin(node), b"\n")):
-                        if tail and twins is None:
-                            continue
-                        at = np.flatnonzero(passes(wanted, own) & (twins(points[end] - points[begin]) if tail else True))
-                        for k, x in zip(at.tolist(), own[at].tolist(), strict=True):
-                            if x not in seen:
-                                seen.add(x)
-                                found.append((x, part[begin[k] : end[k]].tobytes() + tail))
+                    at = np.flatnonzero(passes(wanted, node))
+                    for k, x in zip(at.tolist(), node[at].tolist(), strict=True):
+                        if x not in seen:
+                            seen.add(x)
+                            found.append((x, part[begin[k] : end[k]].tobytes()))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "body"])
 
         return run
 
     def expand(self):
-        """A function that makes the sorted sets of a column of unit bytes; those that end with a line feed are twins."""
-        hashes, narrow = self.hashes, self.narrow
+        """A function that makes the sorted sets of a column of unit bytes."""
+        hashes = self.hashes
 
         def run(bodies: pa.Array) -> list[np.ndarray]:
             data, offsets = string_buffers(bodies)
-            out: list = [None] * (len(offsets) - 1)
+            out: list = []
             for i, j in blocks(offsets):
-                part, begin, end = data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]
-                tail = (part[np.maximum(end - 1, 0)] == 10) if narrow is not None and len(part) else np.zeros(j - i, bool)
-                for of, rows in ((hashes, np.flatnonzero(~tail)), (narrow, np.flatnonzero(tail))):
-                    if len(rows):
-                        found, first = of(part, begin[rows], end[rows] - (of is narrow))
-                        for k, x in zip(rows.tolist(), np.split(found, first[1:]), strict=True):
-                            out[i + k] = np.unique(x)
+                found, first = hashes(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i])
+                out += [np.unique(x) for x in np.split(found, first[1:])]
             return out
 
         return run
@@ -260,11 +239,6 @@ class Units:
         return run
 
 
-def twin(node: np.ndarray) -> np.ndarray:
-    """The node of a unit's second set."""
-    return mix(node.astype(_U) ^ _U(0xA24BAED4963EE407)).astype(np.int64)
-
-
 def _placed(batch: pa.RecordBatch, i: int, columns: dict[str, np.ndarray], first: np.ndarray, found, bands: int, rows: int) -> pa.RecordBatch:
     """Rows of PLACE; found has the shingles of the first ones."""
     n = len(columns["row"])
@@ -274,8 +248,8 @@ def _placed(batch: pa.RecordBatch, i: int, columns: dict[str, np.ndarray], first
     at = pa.array(columns["row"] + i)
     ints = [pa.array(columns[c].astype(np.int32)) for c in ("no", "begin", "end", "n_words", "word")]
     starts = pa.array(np.concatenate(([0], np.cumsum(first) * bands)).astype(np.int32))
-    arrays = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *ints, pa.array(columns["node"]), pa.array(columns["twin_of"]), pa.array(sign), pa.array(more), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "word", "node", "twin_of", "sign", "more", "keys"])
+    arrays = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), *ints, pa.array(columns["node"]), pa.array(sign), pa.array(more), pa.ListArray.from_arrays(starts, pa.array(keys.ravel()))]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "no", "begin", "end", "n_words", "word", "node", "sign", "more", "keys"])
 
 
 def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +263,7 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     scratch = Scratch(spark, label)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     scanned = scratch.keep(docs.mapInArrow(units.places(), PLACE))
-    places = scanned.where("no >= 0").drop("twin_of", "sign", "more", "keys")
+    places = scanned.drop("sign", "more", "keys")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no", "begin", "end")
     per = scratch.keep(places.groupBy("node").agg(F.min(order).alias("keep"), F.count("*").alias("n_units")))
     most = most_apart(units.bands * units.rows, percent)
@@ -299,9 +273,7 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     bodies = docs.select("text").mapInArrow(units.bodies(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")
     known = scratch.keep(bodies.dropDuplicates(["node"]).mapInArrow(units.sketches(), SKETCH))
     weight = chosen.join(per.select("node", F.col("n_units").alias("weight")), "node", "left").select("node", F.coalesce("weight", F.lit(1)).alias("weight"))
-    twins = scanned.where("no < 0").select(F.col("node").alias("u"), F.col("twin_of").alias("v")).distinct()
-    same = twins.join(chosen.select(F.col("node").alias("u")), "u", "left_semi") if units.twins is not None else None
-    roots = linked(scratch, groups, known, percent, units.expand(), weight, inline=True, same=same)
+    roots = linked(scratch, groups, known, percent, units.expand(), weight, inline=True)
     # only nodes with links meet by root; the others are their own class
     placed = scratch.keep(per.join(roots, "node"))
     best = placed.groupBy("root").agg(F.min("keep").alias("keep"), F.sum("n_units").alias("n_units"))

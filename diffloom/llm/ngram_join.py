@@ -148,7 +148,7 @@ def _keys(width: int, percent: int):
     return run
 
 
-def _sketches(width: int, wanted: np.ndarray):
+def _sketches(width: int, wanted: np.ndarray, pack=None):
     """The sets that the filter of wanted ones lets pass, each once a task."""
 
     def run(batches):
@@ -161,7 +161,7 @@ def _sketches(width: int, wanted: np.ndarray):
             found = {node: sets[node] for node in names[passes(wanted, names)].tolist() if node not in seen}
             seen.update(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int32()), pa.array([parity_sketch(s).tobytes() for s in found.values()], pa.binary()), pa.array([packed(s) for s in found.values()], pa.binary())],
+                [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int32()), pa.array([parity_sketch(s).tobytes() for s in found.values()], pa.binary()), pa.array([(pack or packed)(s) for s in found.values()], pa.binary())],
                 ["node", "n", "sketch", "items"],
             )
 
@@ -195,29 +195,44 @@ def _near(percent: int):
 
 
 def packed(items: np.ndarray) -> bytes:
-    """The first 48 bits of sorted hashes: two sets of 400 then share one by chance once in a billion pairs."""
+    """The first 48 bits of sorted hashes; see doubtful."""
     return (items >> _U(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
 def as_sets(items: pa.Array) -> list[np.ndarray]:
-    """Sets that are stored packed."""
+    """Sets that are stored packed, without merging elements that have become equal."""
     out = []
     for x in items:
         six = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6)
         eight = np.zeros((len(six), 8), np.uint8)
         eight[:, 2:] = six
-        out.append(np.unique(eight.view(">u8").ravel().astype(_U)))
+        out.append(eight.view(">u8").ravel().astype(_U))
     return out
 
 
-def _similar(percent: int, expand):
+def whole_sets(items: pa.Array) -> list[np.ndarray]:
+    """Sets that are stored with 64 bits an element."""
+    return [np.frombuffer(x.as_buffer(), _U) for x in items]
+
+
+def doubtful(a: np.ndarray, b: np.ndarray, both: int, percent: int) -> bool:
+    """Whether elements that are equal in 48 bits only could change what is decided: more than this many are so once in a billion pairs at most, of any size."""
+    many = 2 + 3 * (len(a) + len(b)) ** 2 // (1 << 48)
+    return abs(100 * both - percent * (len(a) + len(b) - both)) <= (100 + percent) * many
+
+
+def _similar(percent: int, expand, cut: bool):
+    """Pairs that link as sure ones; with cut hashes also those that are doubtful, as not sure."""
+
     def run(batches):
         for batch in batches:
-            keep = []
+            keep, sure = [], []
             for a, b in zip(expand(batch.column("ia")), expand(batch.column("ib")), strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                both = len(np.intersect1d(a, b))
+                doubt = cut and doubtful(a, b, both, percent)
+                keep.append(doubt or 100 * both >= percent * (len(a) + len(b) - both))
+                sure.append(not doubt)
+            yield batch.select(["u", "v"]).append_column("sure", pa.array(sure, pa.bool_())).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -277,16 +292,22 @@ def _dealt(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.withColumn("at", F.explode(pair)).drop("part", "of").select(*group, "at.i", "at.j", "at.side", *[c for c in ("node", "root", "n", "sketch", "items") if c in rows.columns])
 
 
-def _verified(pairs: DataFrame, known: DataFrame, scratch: Scratch, percent: int, expand) -> DataFrame:
-    """The pairs (u, v) that link: first by sketches, the rest by the full sets."""
+def _verified(pairs: DataFrame, known: DataFrame, scratch: Scratch, percent: int, expand, exact=None) -> DataFrame:
+    """The pairs (u, v) that link: first by sketches, the rest by the full sets, and those that cut hashes leave open by whole ones."""
 
-    def both(p: DataFrame, columns: dict[str, str]) -> DataFrame:
+    def both(p: DataFrame, columns: dict[str, str], sets: DataFrame = known) -> DataFrame:
         for end, tag in (("u", "a"), ("v", "b")):
-            p = p.join(known.select(F.col("node").alias(end), *[F.col(c).alias(s + tag) for c, s in columns.items()]), end)
+            p = p.join(sets.select(F.col("node").alias(end), *[F.col(c).alias(s + tag) for c, s in columns.items()]), end)
         return p
 
     near = scratch.keep(both(pairs, {"n": "n", "sketch": "s"}).mapInArrow(_near(percent), "u long, v long"))
-    return scratch.keep(both(near, {"items": "i"}).mapInArrow(_similar(percent, expand), "u long, v long"))
+    told = scratch.keep(both(near, {"items": "i"}).mapInArrow(_similar(percent, expand, exact is not None), "u long, v long, sure boolean"))
+    links, open_ = told.where("sure").select("u", "v"), told.where("NOT sure").select("u", "v")
+    if exact is None or open_.isEmpty():
+        return links
+    sets = scratch.keep(exact(scratch.keep(open_.select(F.explode(F.array("u", "v")).alias("node")).distinct())))
+    late = both(open_, {"items": "i"}, sets).mapInArrow(_similar(percent, whole_sets, False), "u long, v long, sure boolean")
+    return scratch.keep(links.unionByName(late.select("u", "v")))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -297,22 +318,22 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return beside.where("before < node OR after > node").select("key", "node").distinct()
 
 
-def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets, weight: DataFrame | None = None, inline: bool = False, same: DataFrame | None = None) -> DataFrame:
+def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int = 80, expand=as_sets, weight: DataFrame | None = None, inline: bool = False, exact=None) -> DataFrame:
     """node, root of all nodes that link over the keys they share.
 
     groups: key, node, from shared_keys. known: node, n, sketch, items of those nodes. Both are written tables.
     weight: node, weight; a key's nodes are first held against its heaviest one, or the smallest if there are no weights.
     expand turns a column of items into sorted arrays of hashes.
     inline: blocks verify their pairs themselves; for items that are small enough to go with every block.
-    same: u, v, nodes that belong together whatever their sets.
+    exact: gives node, items with whole hashes for nodes (node), if those of known are cut; pairs that cut hashes might decide wrongly are decided by these.
     """
     if weight is None:
         centre = groups.groupBy("key").agg(F.min("node").alias("u"))
     else:
         centre = groups.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("u"))
     star = groups.join(centre, "key").where("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-    links = _verified(star, known, scratch, percent, expand)
-    roots = components(scratch, links if same is None else links.unionByName(same))
+    links = _verified(star, known, scratch, percent, expand, exact)
+    roots = components(scratch, links)
 
     held = groups.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high AND g > 2").select("key")
@@ -347,7 +368,7 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
 
     found = inner.unionByName(outer).distinct()
     more = scratch.keep(found if inline else found.join(star, ["u", "v"], "left_anti"))
-    late = more if inline else _verified(more, known, scratch, percent, expand)
+    late = more if inline else _verified(more, known, scratch, percent, expand, exact)
     if late.agg(F.count("*")).first()[0]:
         # the late links join components: contract to their roots, then rename
         of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
@@ -372,7 +393,12 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, width: int = 5, percent:
     # the sets are made again where the texts are, so that only those that share a key are moved
     chosen = scratch.keep(groups.select("node").distinct())
     known = scratch.keep(docs.select("text").mapInArrow(_sketches(width, node_filter(chosen)), SKETCH).join(chosen, "node", "left_semi").dropDuplicates(["node"]))
-    return names, linked(scratch, groups, known, percent)
+
+    def exact(nodes: DataFrame) -> DataFrame:
+        made = docs.select("text").mapInArrow(_sketches(width, node_filter(nodes), np.ndarray.tobytes), SKETCH)
+        return made.join(nodes, "node", "left_semi").select("node", "items").dropDuplicates(["node"])
+
+    return names, linked(scratch, groups, known, percent, exact=exact)
 
 
 def ngram_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, hashes: bool = False) -> DataFrame:

@@ -259,5 +259,5 @@ OP7_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), h AS (SELECT *, sha1(payload) AS hash, min(page_id) OVER (PARTITION BY payload) AS response FROM p),
 b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hash, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM h)
 SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, list_aggregate(list_transform(parts, lambda n: substr('{BASE32}', (n // 32768) % 32 + 1, 1) || substr('{BASE32}', (n // 1024) % 32 + 1, 1) || substr('{BASE32}', (n // 32) % 32 + 1, 1) || substr('{BASE32}', n % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM b
+  CASE WHEN response IS NULL OR page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM b
 """

@@ -104,11 +104,7 @@ def grams(line, width):
 
 
 def line_links(a, b):
-    """Whether two lines link, by a width that both have."""
-    n, m = len(a), len(b)
-    short = lambda k: k < line_dedup.LONG or 2 * k < 3 * line_dedup.LONG
-    by_four = short(n) and short(m) and similar(grams(a, line_dedup.SHINGLE), grams(b, line_dedup.SHINGLE))
-    return by_four or min(n, m) >= line_dedup.LONG and similar(grams(a, line_dedup.WIDE), grams(b, line_dedup.WIDE))
+    return similar(grams(a, line_dedup.SHINGLE), grams(b, line_dedup.SHINGLE))
 
 
 def left_lines(rows):
