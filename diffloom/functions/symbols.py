@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import sys
 
 from pyspark import cloudpickle
@@ -27,7 +28,7 @@ class PythonSymbols:
     def eval(self, text: str):
         try:
             tree = ast.parse(text or "")
-        except (SyntaxError, ValueError, RecursionError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's own stack ends with the last one
             yield None, None, None, False
             return
         seen: dict[tuple[str, int], int] = {}
@@ -78,6 +79,91 @@ class BraceRanges:
             yield from sorted(found)
 
 
+#: Words of brace languages that stand before a parenthesis without being called, and words after which a name is declared.
+NOT_CALLED = frozenset("if for while switch catch return sizeof alignof typeof defined function func fn def class struct interface enum impl trait match new and or not in is do else elif with when using lock foreach synchronized throw await yield case assert".split())
+DECLARES = frozenset("function func fn class struct interface enum impl trait new".split())
+#: Comments and strings, which hold no code, and then names before a parenthesis, braces and imports.
+_TOKEN = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|(?P<open>\{)|(?P<close>\})|(?P<name>[A-Za-z_$][\w$]*)(?P<call>\s*\()?""", re.DOTALL)
+_IMPORT = re.compile(r"""^[ \t]*(?:import\s+(?P<es>[^;\n]*?\s+from\s+)?["'](?P<js>[^"'\n]+)["']|import\s+(?:static\s+)?(?P<java>[\w.]+)\s*;|(?:pub\s+)?use\s+(?P<rust>[\w:]+)|\#\s*include\s*[<"](?P<c>[^>"\n]+)[>"]|.*?\brequire\(\s*["'](?P<node>[^"'\n]+)["']\s*\))""", re.MULTILINE)
+
+
+def last_name(path: str) -> str:
+    """The last part of a module's or header's name, without a suffix."""
+    end = re.split(r"[/.:]+", re.sub(r"\.[A-Za-z]{1,4}$", "", path) if "/" in path or path.endswith((".h", ".js")) else path)
+    return next((x for x in reversed(end) if x), path)
+
+
+class PythonUses:
+    """kind (call or import), caller (the innermost function or class around, null at the top), name and line of what a Python text calls and imports; nothing if it doesn't parse."""
+
+    def eval(self, text: str):
+        try:
+            tree = ast.parse(text or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        todo = [(tree, None)]
+        while todo:
+            node, around = todo.pop()
+            if isinstance(node, ast.Call):
+                target = node.func
+                name = target.id if isinstance(target, ast.Name) else target.attr if isinstance(target, ast.Attribute) else None
+                if name:
+                    yield "call", around, name, node.lineno
+            elif isinstance(node, ast.Import):
+                for x in node.names:
+                    yield "import", around, x.name.rpartition(".")[2], node.lineno
+            elif isinstance(node, ast.ImportFrom):
+                for x in node.names:
+                    name = (node.module or "").rpartition(".")[2] if x.name == "*" else x.name
+                    if name:
+                        yield "import", around, name, node.lineno
+            inner = node.name if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else around
+            # decorators, defaults and bases are evaluated outside
+            body = set(map(id, node.body)) if inner is not around else None
+            todo += [(x, inner if body is None or id(x) in body else around) for x in ast.iter_child_nodes(node)]
+
+
+class BraceUses:
+    """The same of a text of a brace language, by its tokens: the innermost declaration whose braces are open is the caller. A text whose braces aren't balanced has none."""
+
+    def eval(self, text: str):
+        text, found, stack, declared, before, line, at = text or "", [], [], None, "", 1, 0
+        for m in _TOKEN.finditer(text):
+            line += text.count("\n", at, m.start())
+            at = m.start()
+            if m["skip"]:
+                continue
+            if m["open"]:
+                stack.append(declared)
+                declared, before = None, ""
+            elif m["close"]:
+                if not stack:
+                    return
+                stack.pop()
+                before = ""
+            else:
+                name = m["name"]
+                if before in DECLARES - {"new"}:
+                    declared = name
+                elif m["call"] and name not in NOT_CALLED:
+                    found.append(("call", next((x for x in reversed(stack) if x), None), name, line))
+                before = name
+        if stack:
+            return
+        for m in _IMPORT.finditer(text):
+            name = m["js"] or m["java"] or m["rust"] or m["c"] or m["node"]
+            found.append(("import", None, last_name(name), text.count("\n", 0, m.start(m.lastgroup)) + 1))
+        yield from found
+
+
+def code_uses(files: DataFrame) -> DataFrame:
+    """doc_id, kind, caller, name, line of calls and imports in files (doc_id, path, text), by suffix."""
+    end = suffix_of("path")
+    columns = "kind string, caller string, name string, line long"
+    of = lambda rows, kind: rows.select("doc_id", "text").lateralJoin(F.udtf(kind, returnType=columns)(F.col("text").outer())).drop("text")
+    return of(files.where(end == ".py"), PythonUses).unionByName(of(files.where(end.isin(BRACES)), BraceUses))
+
+
 def python_symbols(texts: DataFrame) -> DataFrame:
     """The columns of texts with name, line, end_line, parsed of each symbol in text."""
     table = F.udtf(PythonSymbols, returnType="name string, line long, end_line long, parsed boolean")

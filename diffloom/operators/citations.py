@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
 from ..functions.text import ascii_json
+from ..sources.tables import written
 from .ledger import digest, listed
+from .order import placed
 
 #: Values of ours: what a citation's text can be fetched by, and the messages of the budget.
 SOURCE_RANGE, SOURCE_CONTEXT = "source_range", "source_context"
@@ -85,24 +87,50 @@ def budget(cited: DataFrame, most: int, by: str = "doc_id") -> DataFrame:
     """
     if most < 0:
         raise ValueError("a budget must not be negative")
-    asked = F.lit(most)
     order = f"PARTITION BY {by} ORDER BY IF(saves > 0, saves, 0) DESC, citation_id"
     rows = measured(cited).selectExpr(
         "*", f"sum(full) OVER (PARTITION BY {by}) AS in_full", f"count(1) OVER (PARTITION BY {by}) AS n", f"count_if(saves > 0) OVER (PARTITION BY {by}) AS candidates", f"sum(IF(saves > 0, full - bare, 0)) OVER (PARTITION BY {by}) AS all_text",
         f"sum(IF(saves > 0, row, 0)) OVER (PARTITION BY {by}) AS all_rows", f"row_number() OVER ({order}) AS k", f"sum(saves) OVER ({order} ROWS UNBOUNDED PRECEDING) AS saved", f"sum(full - bare) OVER ({order} ROWS UNBOUNDED PRECEDING) AS text_gone", f"sum(row) OVER ({order} ROWS UNBOUNDED PRECEDING) AS rows_made",
     )
+    rows = _estimated(rows, most)
+    rows = rows.selectExpr("*", f"coalesce(min(IF(enough, k, NULL)) OVER (PARTITION BY {by}), candidates) AS chosen").selectExpr("*", f"max(IF(k = chosen, size, NULL)) OVER (PARTITION BY {by}) AS chosen_size")
+    return _told(rows, most).select(*cited.columns, "saves", "omitted", "outcome", "evidence_bytes")
+
+
+def _estimated(rows: DataFrame, most: int) -> DataFrame:
+    """Sizes of a document by its totals, and with the first k citations omitted by the running sums."""
+    asked = F.lit(most)
     frame = F.col("in_full") + F.col("n") - 1 + len(FRAME)
     with_omitted = lambda k, text, made, message: frame - text + made + F.greatest(k - 1, F.lit(0)) + digits(k) + diagnostic(message, k, asked)
     rows = rows.withColumn("whole", self_counting(frame + 1, 1))
     rows = rows.withColumn("floor", self_counting(with_omitted(F.col("candidates"), F.col("all_text"), F.col("all_rows"), EXCEEDED), 2)).withColumn("all_omitted", self_counting(with_omitted(F.col("candidates"), F.col("all_text"), F.col("all_rows"), OMITTED), 2))
     estimate = F.col("whole") - F.col("saved") - 1 + diagnostic(OMITTED, F.col("k"), asked) + digits(F.col("whole")) - 1 + digits(F.col("k")) - 1
-    rows = rows.withColumn("enough", (estimate <= asked) & (F.col("saves") > 0)).withColumn("size", self_counting(with_omitted(F.col("k"), F.col("text_gone"), F.col("rows_made"), OMITTED), 2))
-    rows = rows.selectExpr("*", f"coalesce(min(IF(enough, k, NULL)) OVER (PARTITION BY {by}), candidates) AS chosen").selectExpr("*", f"max(IF(k = chosen, size, NULL)) OVER (PARTITION BY {by}) AS chosen_size")
+    return rows.withColumn("enough", (estimate <= asked) & (F.col("saves") > 0)).withColumn("size", self_counting(with_omitted(F.col("k"), F.col("text_gone"), F.col("rows_made"), OMITTED), 2))
+
+
+def _told(rows: DataFrame, most: int) -> DataFrame:
+    """rows with outcome, omitted and evidence_bytes."""
     outcome = F.when(F.col("whole") <= most, "fits").when(F.col("floor") > most, "exceeded").when(F.col("chosen_size") <= most, "omitted").otherwise("omitted_all")
     told = rows.withColumn("outcome", outcome)
     omitted = F.when(F.col("outcome") == "fits", False).when(F.col("outcome") == "omitted", F.col("k") <= F.col("chosen")).otherwise(F.col("saves") > 0)
     final = F.when(F.col("outcome") == "fits", F.col("whole")).when(F.col("outcome") == "exceeded", F.col("floor")).when(F.col("outcome") == "omitted", F.col("chosen_size")).otherwise(F.col("all_omitted"))
-    return told.withColumn("omitted", omitted & (F.col("saves") > 0)).withColumn("evidence_bytes", final).select(*cited.columns, "saves", "omitted", "outcome", "evidence_bytes")
+    return told.withColumn("omitted", omitted & (F.col("saves") > 0)).withColumn("evidence_bytes", final)
+
+
+def whole_budget(cited: DataFrame, most: int) -> DataFrame:
+    """As budget, for one document of all citations: places and running sums are taken by ranges, totals as one row."""
+    if most < 0:
+        raise ValueError("a budget must not be negative")
+    some = F.when(F.col("saves") > 0, F.col("saves")).otherwise(0)
+    rows = written(cited.sparkSession, measured(cited).withColumn("text_saved", F.col("full") - F.col("bare")), "measured")
+    sum_if = lambda c: F.coalesce(F.sum(F.when(F.col("saves") > 0, F.col(c))), F.lit(0))
+    total = rows.agg(F.sum("full").alias("in_full"), F.count("*").alias("n"), F.count_if(F.col("saves") > 0).alias("candidates"), sum_if("text_saved").alias("all_text"), sum_if("row").alias("all_rows"))
+    at = placed(rows, [-some, F.col("citation_id")], {"saved": F.col("saves"), "text_gone": F.col("text_saved"), "rows_made": F.col("row")}, "k")
+    sized = _estimated(at.crossJoin(total), most)  # one row
+    sized = written(cited.sparkSession, sized, "sized")
+    found = sized.agg(F.min(F.when(F.col("enough"), F.struct("k", "size"))).alias("x"), F.max(F.when(F.col("k") == F.col("candidates"), F.struct("k", "size"))).alias("y"))
+    chosen = found.select(F.coalesce("x", "y").alias("z")).select(F.col("z.k").alias("chosen"), F.col("z.size").alias("chosen_size"))
+    return _told(sized.crossJoin(chosen), most).select(*cited.columns, "saves", "omitted", "outcome", "evidence_bytes")  # one row
 
 
 def omissions(budgeted: DataFrame) -> DataFrame:

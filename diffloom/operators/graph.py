@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import normal_path, stable_id, suffix_of
-from ..functions.symbols import SUPPORTED
+from ..functions.symbols import SUPPORTED, code_uses
 from ..sources.tables import written
+from .order import placed
 from .validate import CONFIDENCE
 
 #: Lines of a bucket in which ranges meet lines.
@@ -120,13 +121,24 @@ def impact_facts(names: DataFrame, definitions: DataFrame, parsed: DataFrame, ed
     return facts(first.unionByName(second).unionByName(third).unionByName(fourth))
 
 
-def call_edges(calls: DataFrame) -> DataFrame:
-    """Edges of calls (caller, callee, path): callers, callees, tests (calls from test files) and importers (paths that call a name)."""
+def call_edges(calls: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Edges of calls (caller, callee, path): callers, callees, tests (calls from test files) and importers.
+
+    Importers are the paths of imports (name, path); without those, paths that call a name.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     test = F.arrays_overlap(F.split("path", "/"), F.array(F.lit("test"), F.lit("tests"))) | name.startswith("test_")
     edge = lambda df, kind, symbol, target: df.select(F.lit(kind).alias("kind"), symbol.alias("symbol"), target.alias("target"), "path", F.lit("inferred").alias("confidence"))
     rows = edge(calls, "caller", F.col("callee"), F.col("caller")).unionByName(edge(calls, "callee", F.col("caller"), F.col("callee"))).unionByName(edge(calls.where(test), "static_test", F.col("callee"), F.col("caller")))
-    return rows.unionByName(edge(calls, "importer", F.col("callee"), F.lit(None).cast("string"))).distinct()
+    own = edge(calls, "importer", F.col("callee"), F.lit(None).cast("string")) if imports is None else edge(imports, "importer", F.col("name"), F.lit(None).cast("string"))
+    return rows.unionByName(own).distinct()
+
+
+def text_edges(files: DataFrame) -> DataFrame:
+    """The edges that the texts of files (doc_id, path, text) have: calls within a symbol, and imports."""
+    uses = written(files.sparkSession, code_uses(files).join(files.select("doc_id", "path"), "doc_id"), "uses")
+    calls = uses.where("kind = 'call' AND caller IS NOT NULL").select("caller", F.col("name").alias("callee"), "path").distinct()
+    return call_edges(calls, uses.where("kind = 'import'").select("name", "path").distinct())
 
 
 def enrich(found: DataFrame, impact: DataFrame, files: DataFrame, side: str) -> DataFrame:
@@ -153,6 +165,11 @@ def enriched(facts_: DataFrame, mode: str = "auto") -> tuple[str, DataFrame]:
     return "available", facts_
 
 
+def in_whole_order(facts_: DataFrame) -> DataFrame:
+    """Facts of a merged graph with n, their place among all: by side (before first), path, line, kind and id."""
+    return placed(facts_, [F.when(F.col("side") == "before", 0).otherwise(1), F.col("path"), F.coalesce("line", F.lit(0)), F.col("kind"), F.col("fact_id")], place="n")
+
+
 def in_order(facts_: DataFrame, merged: bool = True) -> DataFrame:
     """Facts with n, their place: by side (before first), path, line, kind and id in a merged graph; by path, line, kind, symbol, target and id in one side's result.
 
@@ -230,14 +247,91 @@ def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
         n = m
 
 
-def merge_base(up: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For pairs (left_node, right_node): common ancestors that no other common ancestor descends from, and their number; only a number of 1 is a merge base."""
-    left = pairs.join(up.withColumnsRenamed({"node": "left_node"}), "left_node")
-    right = pairs.join(up.withColumnsRenamed({"node": "right_node"}), "right_node")
-    both = left.join(right, ["left_node", "right_node", "ancestor"])
-    lower = both.alias("a").join(up.where("node <> ancestor").alias("u"), F.col("a.ancestor") == F.col("u.node")).select("left_node", "right_node", F.col("u.ancestor").alias("ancestor")).distinct()
-    best = both.join(lower, ["left_node", "right_node", "ancestor"], "left_anti")
-    return best.groupBy("left_node", "right_node").agg(F.count("*").alias("n_bases"), F.min("ancestor").alias("base"))
+def _followed(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """links (node, to), one for each node, followed as long as to has a link itself: lengths double in each round, and rows stay as many as there are links. Rings lead nowhere and go."""
+    links = written(spark, links, "links")
+    open_ = links.alias("a").join(links.alias("b"), F.col("a.to") == F.col("b.node"), "left")
+    rounds = links.count().bit_length() + 1
+    for _ in range(rounds):
+        links = written(spark, open_.select(F.col("a.node").alias("node"), F.coalesce("b.to", "a.to").alias("to"), F.col("b.to").isNotNull().alias("more")), "links")
+        if links.where("more").isEmpty():
+            break
+        links = links.drop("more")
+        open_ = links.alias("a").join(links.alias("b"), F.col("a.to") == F.col("b.node"), "left")
+    there = links.select(F.col("node").alias("to"))
+    return links.select("node", "to").join(there, "to", "left_anti").select("node", "to")
+
+
+def contracted(spark: SparkSession, edges: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, inner) of a graph (node, parent) around asked nodes (node).
+
+    Nodes that have one parent and one child, and aren't asked for, only lie on
+    the way: edges (node, parent) run between the others, and inner (node, head)
+    gives of each such node the first other node from which one comes to it.
+    """
+    links = written(spark, edges.where("node <> parent").select("node", "parent").distinct(), "edges")
+    one = links.groupBy("node").agg(F.count("*").alias("n"), F.first("parent").alias("up")).where("n = 1").select("node", "up")
+    child = links.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"), F.first("node").alias("down")).where("n = 1").select("node", "down")
+    way = written(spark, one.join(child, "node").join(asked.select("node"), "node", "left_anti"), "way")
+    ups, downs = _followed(spark, way.select("node", F.col("up").alias("to"))), _followed(spark, way.select("node", F.col("down").alias("to")))
+    outer = links.join(way.select("node"), "node", "left_anti")
+    short = outer.join(ups.select(F.col("node").alias("parent"), F.col("to").alias("end")), "parent", "left").select("node", F.coalesce("end", "parent").alias("parent")).where("node <> parent").distinct()
+    return written(spark, short, "edges"), downs.select("node", F.col("to").alias("head"))
+
+
+#: Steps of a search that one job takes.
+STEPS = 4
+
+
+def reached(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node: what each of starts (start) comes to over edges (node, parent), itself included; each pair once.
+
+    Only the frontier goes on in each round, so rows are as many as nodes
+    are visited; a round takes STEPS steps. Cycles are allowed. Rounds are
+    as many as the longest way has steps, divided by that: contract the graph first.
+    """
+    return _search(spark, edges, starts.select("start", F.col("start").alias("node")).distinct())
+
+
+def _search(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (node and others), and the same with every node that theirs comes to, each row once."""
+    step = lambda at: at.join(edges, "node").drop("node").withColumnRenamed("parent", "node").select(starts.columns).distinct()
+    seen = front = written(spark, starts, "front")
+    while True:
+        at, new = front, None
+        for _ in range(STEPS):
+            at = step(at)
+            new = at if new is None else new.unionByName(at)
+        front = written(spark, new.distinct().join(seen, starts.columns, "left_anti"), "front")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def merge_bases(spark: SparkSession, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For pairs (left_node, right_node): common ancestors over (node, parent) that no other common ancestor descends from, and their number; only a number of 1 is a merge base.
+
+    A node is its own ancestor. Such an ancestor is asked for itself or has
+    several children, so the search runs over the contracted graph, from the
+    asked nodes only. An ancestor of a common one is common as well, so those
+    go that have a common child.
+    """
+    pairs = pairs.select("left_node", "right_node").where("left_node IS NOT NULL AND right_node IS NOT NULL").distinct()
+    asked = pairs.select(F.explode(F.array("left_node", "right_node")).alias("node")).distinct()
+    short, _ = contracted(spark, edges, asked)
+    seen = reached(spark, short, asked.select(F.col("node").alias("start")))
+    of = lambda end: seen.select(F.col("start").alias(end), "node")
+    both = written(spark, pairs.join(of("left_node"), "left_node").join(of("right_node"), ["right_node", "node"]).select("left_node", "right_node", "node"), "common")
+    lower = both.join(short, "node").select("left_node", "right_node", F.col("parent").alias("node")).distinct()
+    best = both.join(lower, ["left_node", "right_node", "node"], "left_anti")
+    return best.groupBy("left_node", "right_node").agg(F.count("*").alias("n_bases"), F.min("node").alias("base"))
+
+
+def descended(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node: everything that some start (node) comes to over (node, parent), itself included."""
+    short, inner = contracted(spark, edges, starts)
+    found = _search(spark, short, starts.select("node").distinct())
+    return found.unionByName(inner.join(found.withColumnRenamed("node", "head"), "head").select("node"))
 
 
 def request_errors(requests: DataFrame) -> DataFrame:

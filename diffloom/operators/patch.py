@@ -167,7 +167,17 @@ class Patch:
     """What is read from patches (key, text): files, hunks, lines and errors."""
 
     def __init__(self, patches: DataFrame, key: str = "path", text: str = "patch"):
-        self.records = records(patches, key, text)
+        self._read(records(patches, key, text))
+
+    @classmethod
+    def of(cls, records_: DataFrame) -> Patch:
+        """What is read from records (key, rec, raw), such as those of sources.patch_files."""
+        out = cls.__new__(cls)
+        out._read(records_)
+        return out
+
+    def _read(self, records_: DataFrame) -> None:
+        self.records = records_
         self.files = headers(self.records)
         self.raw = raw_hunks(self.records)
         self.heads = hunk_heads(self.raw)

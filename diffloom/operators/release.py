@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from .graph import descended
+
 #: Phrases that tell a license, in order; all phrases of a row must occur.
 LICENSES = [
     ("Unlicense", ["free and unencumbered software released into the public domain"]),
@@ -20,8 +23,8 @@ PRIVATE = [("home", r"(?:^|[^A-Za-z0-9])/(?:home|Users)/[A-Za-z0-9._-]+"), ("dri
 CONCEPT = r"^conceptual-(hunk|unit):(.+)#([1-9][0-9]*)$"
 #: File names that hold license material.
 LICENSE_NAMES = r"(?i)^(?:licen[cs]es?|copying|notice|authors|copyright)(?:[._-].*)?$"
-#: Deepest nesting that is walked in JSON values.
-DEPTH = 6
+#: Levels of nested JSON values that a round opens.
+LEVELS = 4
 
 
 def detected_license(text: Column) -> Column:
@@ -46,19 +49,46 @@ def license_errors(expected: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def leaves(rows: DataFrame, key: str, value: str, keys: bool = False) -> DataFrame:
-    """key, path ($.a[0].b), names (the keys on the way), value of every string in JSON values, to a nesting of DEPTH; with keys, the keys of objects too, as path<key>."""
-    at = rows.select(key, F.lit("$").alias("path"), F.expr("CAST(array() AS array<string>)").alias("names"), F.parse_json(value).alias("v"))
+    """key, path ($.a[0].b), names (the keys on the way), value of every string in JSON values, of any nesting; with keys, the keys of objects too, as path<key>. See json_faults for values that are no JSON; they have no leaves.
+
+    A round takes LEVELS levels as one chain of generators: what is nested is
+    replaced by its parts, what isn't stays. Rounds go on with what is still
+    nested, so that a plan stays as long as it is.
+    """
+    spark = rows.sparkSession
+    names = "CAST(array() AS array<string>)"
+    at = rows.select(F.col(key).alias("_key"), F.lit("$").alias("path"), F.expr(names).alias("names"), F.try_parse_json(value).alias("v"), F.lit(False).alias("told")).where("v IS NOT NULL")
     out = None
-    for _ in range(DEPTH + 1):
-        kind = F.schema_of_variant("v")
-        here = at.where(kind == "STRING").select(key, "path", "names", F.variant_get("v", "$", "string").alias("value"))
-        out = here if out is None else out.unionByName(here)
-        fields = at.where(kind.startswith("OBJECT")).select(key, "path", "names", F.explode(F.variant_get("v", "$", "map<string, variant>")).alias("k", "w")).select(key, F.concat("path", F.lit("."), "k").alias("path"), F.array_append("names", F.col("k")).alias("names"), F.col("w").alias("v"))
-        if keys:
-            out = out.unionByName(fields.select(key, F.concat("path", F.lit("<key>")).alias("path"), "names", F.element_at("names", -1).alias("value")))
-        items = at.where(kind.startswith("ARRAY")).select(key, "path", "names", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("p", "w")).select(key, F.concat("path", F.lit("["), "p", F.lit("]")).alias("path"), "names", F.col("w").alias("v"))
-        at = fields.unionByName(items).where("v IS NOT NULL")
-    return out
+    while True:
+        for _ in range(LEVELS):
+            at = _opened(at, keys)
+        at = written(spark, at, "json")
+        text = at.where("told OR v IS NOT NULL AND NOT nested").select("_key", "path", "names", F.when(F.col("told"), F.element_at("names", -1)).otherwise(F.try_variant_get("v", "$", "string")).alias("value"), (F.col("told") | (F.schema_of_variant("v") == "STRING")).alias("is_text"))
+        found = text.where("is_text").drop("is_text").withColumnRenamed("_key", key)
+        out = found if out is None else out.unionByName(found)
+        at = at.where("NOT told AND nested").drop("nested")
+        if at.isEmpty():
+            return out
+
+
+def _opened(at: DataFrame, keys: bool) -> DataFrame:
+    """Rows (_key, path, names, v, told) with objects and arrays replaced by their parts, and nested: whether v is one still. A row that is told stands for a key."""
+    fields, items = F.try_variant_get("v", "$", "map<string, variant>"), F.try_variant_get("v", "$", "array<variant>")
+    row = lambda path, names, v, told: F.struct(path.alias("path"), names.alias("names"), v.alias("v"), told.alias("told"))
+    null = F.lit(None).cast("variant")
+    of_field = lambda e: row(F.concat("path", F.lit("."), e["key"]), F.array_append("names", e["key"]), e["value"], F.lit(False))
+    of_key = lambda e: row(F.concat("path", F.lit("."), e["key"], F.lit("<key>")), F.array_append("names", e["key"]), null, F.lit(True))
+    each = F.transform(F.map_entries("_f"), of_field)
+    parts = F.when(F.col("told"), F.array(row(F.col("path"), F.col("names"), null, F.lit(True)))).when(F.col("_f").isNotNull(), F.concat(each, F.transform(F.map_entries("_f"), of_key)) if keys else each)
+    parts = parts.when(F.col("_i").isNotNull(), F.transform("_i", lambda x, n: row(F.concat("path", F.lit("["), n.cast("string"), F.lit("]")), F.col("names"), x, F.lit(False))))
+    parts = parts.otherwise(F.array(row(F.col("path"), F.col("names"), F.col("v"), F.lit(False))))
+    opened = at.drop("nested").withColumns({"_f": fields, "_i": items}).select("_key", F.inline(parts))
+    return opened.withColumn("nested", F.coalesce(F.schema_of_variant("v").rlike("^(?:OBJECT|ARRAY)"), F.lit(False)))
+
+
+def json_faults(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, error of values that are no JSON, null ones included."""
+    return rows.where(F.try_parse_json(value).isNull()).select(key, F.lit("is no JSON").alias("error"))
 
 
 def private_strings(found: DataFrame) -> DataFrame:
@@ -105,17 +135,39 @@ def anchor(heading: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(heading)), r"(?U)[^\w\s-]", ""), r"(?U)\s+", "-")
 
 
+def resolved_path(path: Column) -> Column:
+    """A relative path without . and .. parts; null where it leads out of its root."""
+    step = lambda at, p: F.when(at.isNull() | ((p == "..") & (F.size(at) == 0)), F.lit(None)).when(p == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).when((p == "") | (p == "."), at).otherwise(F.array_append(at, p))
+    return F.aggregate(F.split(path, "/"), F.expr("CAST(array() AS array<string>)"), step, lambda at: F.array_join(at, "/"))
+
+
+#: Code in Markdown: fenced blocks and spans, in which nothing links.
+CODE = r"(?ms)^ {0,3}(```+|~~~+)[^\n]*\n.*?(?:^ {0,3}\1[`~]* *$|\z)|(`+)(?!`)[^\n]*?(?<!`)\2(?!`)"
+#: A link's target, bare or in angles, perhaps with a title.
+LINK = r"""\[[^\]]*\]\(\s*(?:<([^>\n]*)>|([^)\s]+))(?:\s+(?:"[^"]*"|'[^']*'|\([^)]*\)))?\s*\)"""
+
+
 def link_errors(documents: DataFrame) -> DataFrame:
-    """path, target, error of relative Markdown links in documents (path, text): the file must exist, and the heading that the anchor names."""
-    text = F.col("text")
-    links = documents.select("path", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)))).alias("target")).where(~F.col("target").rlike("^[a-z]+:"))
+    """path, target, error of relative Markdown links in documents (path, text): the file must exist, and the heading that the anchor names.
+
+    Targets are resolved against the document's folder, those that begin with /
+    against the root. Repeated headings of a document get -1, -2 and so on.
+    Links in code don't count.
+    """
+    plain = documents.select("path", F.regexp_replace("text", CODE, "").alias("text"), F.regexp_replace("text", CODE.split("|(`+)")[0], "").alias("headed"))
+    whole = F.regexp_extract_all("text", F.lit(LINK), F.lit(0))
+    part = lambda x: F.concat(F.regexp_extract(x, LINK, 1), F.regexp_extract(x, LINK, 2))
+    links = plain.select("path", F.explode(F.array_distinct(F.transform(whole, part))).alias("target")).where(~F.col("target").rlike("(?i)^(?:[a-z][a-z0-9+.-]*:|//)"))
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
     file = F.substring_index("target", "#", 1)
-    placed = links.select("path", "target", F.when(file == "", F.col("path")).otherwise(F.concat(folder, file)).alias("to"), F.when(F.col("target").contains("#"), F.substring_index("target", "#", -1)).alias("mark"))
-    heads = documents.select(F.col("path").alias("to"), F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6} +(.+?) *$"), F.lit(1))).alias("h")).select("to", anchor(F.col("h")).alias("mark")).distinct().withColumn("marked", F.lit(True))
+    to = F.when(file == "", F.col("path")).otherwise(resolved_path(F.when(file.startswith("/"), file).otherwise(F.concat(folder, file))))
+    placed = links.select("path", "target", to.alias("to"), F.when(F.col("target").contains("#"), F.substring_index("target", "#", -1)).alias("mark"))
+    heads = plain.select(F.col("path").alias("to"), F.posexplode(F.regexp_extract_all("headed", F.lit(r"(?m)^ {0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$"), F.lit(1))).alias("p", "h")).select("to", "p", anchor(F.col("h")).alias("mark"))
+    again = heads.selectExpr("to", "mark", "row_number() OVER (PARTITION BY to, mark ORDER BY p) - 1 AS n")
+    marks = again.select("to", F.when(F.col("n") > 0, F.concat_ws("-", "mark", "n")).otherwise(F.col("mark")).alias("mark")).distinct().withColumn("marked", F.lit(True))
     known = documents.select(F.col("path").alias("to")).distinct().withColumn("there", F.lit(True))
-    rows = placed.join(known, "to", "left").join(heads, ["to", "mark"], "left")
-    error = F.when(F.col("there").isNull(), "no such file").when(F.col("mark").isNotNull() & F.col("marked").isNull(), "no such heading")
+    rows = placed.join(known, "to", "left").join(marks, ["to", "mark"], "left")
+    error = F.when(F.col("to").isNull(), "leads out of the root").when(F.col("there").isNull(), "no such file").when((F.col("mark") != "") & F.col("marked").isNull(), "no such heading")
     return rows.select("path", "target", error.alias("error")).where("error IS NOT NULL")
 
 
@@ -164,9 +216,10 @@ def dependency_edges(requirements: DataFrame, artifacts: DataFrame) -> DataFrame
     return rows.join(named, "parent", "left").select("node", "parent", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def unreachable(reach: DataFrame, root: str, artifacts: DataFrame) -> DataFrame:
-    """Artifacts that the root doesn't require, directly or by others."""
-    found = reach.where(F.col("node") == root).select(F.col("ancestor").alias("name"))
+def unreachable(edges: DataFrame, root: str, artifacts: DataFrame) -> DataFrame:
+    """Artifacts that the root doesn't require, directly or by others, over edges (node, parent)."""
+    spark = artifacts.sparkSession
+    found = descended(spark, edges, spark.createDataFrame([(root,)], "node string")).select(F.col("node").alias("name"))
     return artifacts.select(canonical_name(F.col("name")).alias("name")).distinct().join(found, "name", "left_anti").where(F.col("name") != root)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import ancestors, merge_base
+from .graph import merge_bases
 
 #: The id of the empty tree, and the form of object ids.
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
@@ -69,10 +69,8 @@ def resolved(spark: SparkSession, scopes: DataFrame, refs: DataFrame, commits: D
     found = found.withColumn("lost", lost).join(commits.select(F.col("sha").alias("right_sha"), "parents"), "right_sha", "left")
     based = F.col("mode").isin("range-...", "branch", "pr")
     pairs = found.where(based & F.col("lost").isNull()).select(F.col("left_sha").alias("left_node"), F.col("right_sha").alias("right_node")).distinct()
-    up = ancestors(spark, commits.select(F.col("sha").alias("node"), F.explode("parents").alias("parent")))
-    # a commit without links is its own and only ancestor
-    up = up.unionByName(commits.select(F.col("sha").alias("node"), F.col("sha").alias("ancestor"))).distinct()
-    bases = merge_base(up, pairs).select(F.col("left_node").alias("left_sha"), F.col("right_node").alias("right_sha"), "n_bases", F.col("base").alias("common"))
+    edges = commits.select(F.col("sha").alias("node"), F.explode("parents").alias("parent"))
+    bases = merge_bases(spark, edges, pairs).select(F.col("left_node").alias("left_sha"), F.col("right_node").alias("right_sha"), "n_bases", F.col("base").alias("common"))
     rows = found.join(bases, ["left_sha", "right_sha"], "left")
     nth = F.coalesce("parent", F.lit(1)).cast("int")
     own = F.when(F.size("parents") == 0, F.lit(EMPTY_TREE)).otherwise(F.try_element_at("parents", nth))

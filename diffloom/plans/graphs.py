@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
-from ..functions.symbols import BRACES, SUPPORTED, brace_symbols, declared, python_symbols, symbol_table, unparsed
+from ..functions.symbols import BRACES, SUPPORTED, brace_symbols, code_uses, declared, python_symbols, symbol_table, unparsed
 from ..operators import graph as G
 from ..sources import code as S
 from ..sources import snapshot as N
@@ -19,10 +20,10 @@ FACT = ", ".join(G.FACT)
 
 
 class Graph:
-    """Symbols and facts of the after side."""
+    """Symbols and facts of one side."""
 
-    def __init__(self, ledger):
-        self.x = ledger
+    def __init__(self, ledger, side="after"):
+        self.x, self.side, self.own = ledger, side, "new_path" if side == "after" else "old_path"
 
     def store(self, *names):
         """Writes these relations once; from then on they are read."""
@@ -30,16 +31,24 @@ class Graph:
             self.__dict__[name] = written(self.x.spark, getattr(self, name), name)
         return self
 
-    sources = cached_property(lambda self: S.sources(self.x.files, self.x.lines))
+    @cached_property
+    def sources(self):
+        if self.side == "after":
+            return S.sources(self.x.files, self.x.lines)
+        there = self.x.files.where("old_path IS NOT NULL").select("doc_id", F.col("old_path").alias("path"), F.col("old_path").alias("new_path"))
+        lines = self.x.placed.where("kind <> 'after'").select("doc_id", F.col("old_line").alias("line_no"), "content").join(there.select("doc_id", "path"), "doc_id")
+        return S.sources(there, lines)
+
     symbols = cached_property(lambda self: symbol_table(self.sources))
     ranged = cached_property(lambda self: self.symbols.where("end_line IS NOT NULL"))
     broken = cached_property(lambda self: unparsed(self.sources))
-    #: Changed after lines; every 19th document has one more, far beyond its end.
-    changed = cached_property(lambda self: self.x.changed.where("side = 'after'").select("doc_id", "line").unionByName(self.x.files.where("doc_id % 19 = 8 AND new_path IS NOT NULL").select("doc_id", F.lit(1_000_000).cast("long").alias("line"))).distinct())
-    #: All files of the after side; those of other languages have no text here.
-    files = cached_property(lambda self: self.x.files.where("new_path IS NOT NULL").select("doc_id", "path").join(self.sources.select("doc_id", "n_lines"), "doc_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0))))
-    found = cached_property(lambda self: G.file_facts(self.files, self.changed, self.symbols, self.broken, "after"))
-    calls = cached_property(lambda self: S.functions(self.x.lines).join(self.files.where("n_lines > 0").select("doc_id"), "doc_id", "left_semi").select("caller", "callee", "path").distinct())
+    #: Changed lines; every 19th document has one more, far beyond its end.
+    changed = cached_property(lambda self: self.x.changed.where(F.col("side") == self.side).select("doc_id", "line").unionByName(self.x.files.where(f"doc_id % 19 = 8 AND {self.own} IS NOT NULL").select("doc_id", F.lit(1_000_000).cast("long").alias("line"))).distinct())
+    #: All files of the side; those of other languages have no text here.
+    files = cached_property(lambda self: self.x.files.where(f"{self.own} IS NOT NULL").select("doc_id", F.col(self.own).alias("path")).join(self.sources.select("doc_id", "n_lines"), "doc_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0))))
+    found = cached_property(lambda self: G.file_facts(self.files, self.changed, self.symbols, self.broken, self.side))
+    #: Calls as the texts have them.
+    calls = cached_property(lambda self: code_uses(self.sources).where("kind = 'call' AND caller IS NOT NULL").join(self.files.select("doc_id", "path"), "doc_id").select("caller", F.col("name").alias("callee"), "path").distinct())
     definitions = cached_property(lambda self: self.symbols.join(self.files.select("doc_id", "path"), "doc_id").select("name", "path", "line"))
     #: Names that are looked up: those of changed symbols, and one that there isn't.
     names = cached_property(lambda self: self.found.where("kind IN ('changed_symbol', 'enclosing_symbol')").select("symbol").distinct().unionByName(self.x.spark.sql("SELECT 'f_none' AS symbol")))
@@ -76,6 +85,17 @@ def _blast(x):
     return G.neighbours(e.selectExpr("dst AS symbol").unionByName(e.selectExpr("src AS symbol")).distinct(), e)
 
 
+def _sides(x):
+    """The facts of both sides merged, each built from its own texts and changed lines."""
+    before = Graph(x, "before").store("sources", "symbols", "changed")
+    return G.merged(before.found, stored(x).found)
+
+
+def _source_calls(x):
+    g = graph(x)
+    return code_uses(g.sources).where("kind = 'call'").join(g.files.select("doc_id", "path"), "doc_id").select("doc_id", "path", "caller", F.col("name").alias("callee"), "line")
+
+
 def _merged(x):
     """Both halves of the facts; every 13th line's facts have another target in the second one, under the same id."""
     f = stored(x).found
@@ -129,7 +149,7 @@ def _closure(x):
 
 def _merge_base(x):
     e = _parents(x)
-    return G.merge_base(G.ancestors(x.spark, e), e.selectExpr("node AS left_node", "node + 7 AS right_node").distinct())
+    return G.merge_bases(x.spark, e, e.selectExpr("node AS left_node", "node + 7 AS right_node").distinct())
 
 
 def _index(x):
@@ -156,6 +176,9 @@ BUILD = {
     "fact_faults": lambda x: G.order_faults(_received(x)).groupBy("result", "error").agg(F.count("*").alias("n")),
     "fact_fields": _invalid,
     "fact_merge": _merged,
+    "graph_both_sides": _sides,
+    "source_calls": _source_calls,
+    "fact_place": lambda x: G.in_whole_order(stored(x).found).select("fact_id", F.col("n").cast("long").alias("n")),
     "id_recompute": lambda x: _received(x).select("fact_id", (F.col("fact_id") == stable_id("fact", *G.FACT)).alias("same")).groupBy("same").agg(F.count("*").alias("n")),
     "graph_status_merge": _results,
     "graph_references": _references,
@@ -191,7 +214,7 @@ _impact = f"""
 nm AS (SELECT DISTINCT symbol FROM ff WHERE kind IN ('changed_symbol', 'enclosing_symbol') UNION SELECT 'f_none'),
 df AS (SELECT name AS symbol, s.path, s.line, g.n_lines, g.doc_id % 11 <> 6 AND g.n_lines > 0 AS there FROM sy s JOIN gf g USING (doc_id) WHERE name IN (SELECT symbol FROM nm)),
 mn AS (SELECT symbol, count(*) > 1 AS many FROM df GROUP BY symbol),
-ca AS (SELECT DISTINCT caller, callee, path FROM cs),
+ca AS (SELECT DISTINCT caller, callee, path FROM cs WHERE suffix <> '.rb' AND doc_id % 17 <> 4),
 ed AS (SELECT 'caller' AS kind, callee AS symbol, caller AS target, path, 'inferred' AS confidence FROM ca UNION SELECT 'callee', caller, callee, path, 'inferred' FROM ca UNION SELECT 'static_test', callee, caller, path, 'inferred' FROM ca WHERE list_has_any(string_split(path, '/'), ['test', 'tests']) OR starts_with(string_split(path, '/')[-1], 'test_') UNION SELECT 'importer', callee, NULL, path, 'unresolved' FROM ca),
 im0 AS (SELECT 'symbol' AS kind, '' AS path, NULL::BIGINT AS line, symbol, NULL::VARCHAR AS target, 'unresolved' AS confidence, 'graph' AS provenance FROM nm WHERE symbol NOT IN (SELECT symbol FROM df)
   UNION ALL SELECT 'definition', '', NULL, symbol, NULL, 'unresolved', 'graph:invalid-reference' FROM df WHERE NOT there
@@ -207,6 +230,10 @@ _received_sql = f"""
 re0 AS (SELECT *, path AS result, row_number() OVER (PARTITION BY path ORDER BY coalesce(line, 0), kind, coalesce(symbol, ''), coalesce(target, ''), fact_id) AS n FROM ff),
 re1 AS (SELECT {FACT}, fact_id, result, n, CASE WHEN n % 7 = 0 THEN n * 10 + 15 ELSE n * 10 END AS pos FROM re0),
 re AS (SELECT kind, side, path, line, CASE WHEN n % 31 = 0 THEN 'forged' ELSE symbol END AS symbol, target, confidence, provenance, fact_id, result, pos FROM re1 UNION ALL SELECT {FACT}, fact_id, result, pos + 1 FROM re1 WHERE n % 29 = 0)"""
+#: The relations of GRAPH for the before side, whose texts are made of the before lines.
+_relations = "co|cs|cf|sy|chl|en|gf|gs0|vl|se|pe|ff0|ff1|ff"
+BEFORE = re.sub(rf"\b({_relations})\b", r"\1_b", GRAPH).replace("FROM lines l JOIN files f ON f.doc_id = l.doc_id AND f.new_path IS NOT NULL", "FROM (SELECT s.doc_id, o.old_path AS path, s.line AS line_no FROM snap s JOIN files o ON o.doc_id = s.doc_id AND o.old_path IS NOT NULL WHERE s.side = 'before') l")
+BEFORE = BEFORE.replace("side = 'after'", "side = 'before'").replace("'after' AS side", "'before' AS side").replace("new_path IS NOT NULL", "old_path IS NOT NULL").replace("SELECT f.doc_id, f.path, coalesce(n_lines", "SELECT f.doc_id, f.old_path AS path, coalesce(n_lines").replace("(string_split(f.path,", "(string_split(f.old_path,")
 _key = "(path, coalesce(line, 0), kind, coalesce(symbol, ''), coalesce(target, ''), fact_id)"
 _edges = "edges AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS src, h AS dst FROM (SELECT url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages))"
 _up_edges = "e AS (SELECT p_partkey AS node, p_partkey // 2 AS parent FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey >= 10 AND p_partkey % 5 = 0)"
@@ -222,6 +249,9 @@ SQL = {
     "innermost_symbol": f"{BASE}, {GRAPH} SELECT c.doc_id, c.line, name AS symbol, CASE WHEN name IS NULL THEN 'unresolved' WHEN direct THEN 'direct' ELSE 'enclosing' END AS how FROM chl c LEFT JOIN (SELECT * FROM en WHERE stop IS NOT NULL) e USING (doc_id, line)",
     "unresolved_lines": f"{BASE}, {GRAPH} SELECT doc_id, count(*) AS n_unresolved FROM chl c WHERE NOT EXISTS (SELECT 1 FROM en e WHERE e.doc_id = c.doc_id AND e.line = c.line AND stop IS NOT NULL) GROUP BY doc_id",
     "graph_file_facts": f"{BASE}, {GRAPH} SELECT fact_id, {FACT} FROM ff",
+    "graph_both_sides": f"{BASE}, {GRAPH}, {BEFORE}, b AS (SELECT * FROM ff UNION ALL SELECT * FROM ff_b) SELECT fact_id, count(DISTINCT json_object('k', kind, 's', side, 'p', path, 'l', line, 'y', symbol, 't', target, 'c', confidence, 'v', provenance)) AS n_payloads, count(*) AS n_rows, min(kind) AS kind, min(path) AS path, min(symbol) AS symbol, min(target) AS target FROM b GROUP BY fact_id",
+    "source_calls": f"{BASE}, {GRAPH} SELECT doc_id, path, caller, callee, 3 * line_no - 1 AS line FROM cs WHERE suffix <> '.rb' AND doc_id % 17 <> 4",
+    "fact_place": f"{BASE}, {GRAPH} SELECT fact_id, row_number() OVER (ORDER BY CASE WHEN side = 'before' THEN 0 ELSE 1 END, path, coalesce(line, 0), kind, fact_id) AS n FROM ff",
     "graph_impact": f"{BASE}, {GRAPH}, {_impact} SELECT fact_id, {FACT} FROM im",
     "graph_enrich": f"{BASE}, {GRAPH}, {_enriched} SELECT kind, confidence, count(*) AS n_facts, count(DISTINCT fact_id) AS n_ids FROM ri GROUP BY ALL",
     "graph_incomplete": f"{BASE}, {GRAPH}, {_enriched} SELECT kind, confidence, count(*) AS n FROM ri WHERE kind = 'unsupported' OR confidence IN ('unresolved', 'unavailable') GROUP BY ALL",

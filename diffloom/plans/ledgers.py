@@ -153,6 +153,7 @@ BUILD = {
     "id_collisions": _collisions,
     "budget_omission": lambda x: x.budgeted.select("citation_id", "doc_id", "saves", "omitted", "outcome", "evidence_bytes"),
     "omissions": lambda x: C.omissions(x.budgeted),
+    "whole_budget": lambda x: C.whole_budget(x.cited, WHOLE).select("citation_id", "doc_id", "saves", "omitted", "outcome", "evidence_bytes"),
     "changed_paths": lambda x: x.files.select(F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("old_path").alias("path")), F.struct(F.lit("after").alias("side"), F.col("new_path").alias("path")))).alias("p")).select("p.*").where("path IS NOT NULL").distinct(),
     "changed_lines": lambda x: x.changed.groupBy("side", F.expr("IF(side = 'before', old_path, new_path) AS path")).agg(F.array_join(F.array_sort(F.collect_list("line")).cast("array<string>"), ",").alias("lines")),
     "snapshot_digest": lambda x: C.digests(_manifest(x)),
@@ -205,6 +206,9 @@ bu0 AS (SELECT *, max(size) FILTER (k = chosen) OVER (PARTITION BY doc_id) AS ch
 bu AS (SELECT *, CASE WHEN whole <= {BUDGET} THEN 'fits' WHEN floor_ > {BUDGET} THEN 'exceeded' WHEN chosen_size <= {BUDGET} THEN 'omitted' ELSE 'omitted_all' END AS outcome FROM bu0),
 bud AS (SELECT *, saves > 0 AND CASE outcome WHEN 'fits' THEN false WHEN 'omitted' THEN k <= chosen ELSE true END AS omitted, CAST(CASE outcome WHEN 'fits' THEN whole WHEN 'exceeded' THEN floor_ WHEN 'omitted' THEN chosen_size ELSE all_omitted END AS BIGINT) AS evidence_bytes FROM bu)"""
 BUDGETED = f"{BASE}, {_bud}"
+#: Bytes that the evidence of the whole comparison may have; the same as above without groups.
+WHOLE = 150_000
+_whole = f"{BASE}, " + _bud.replace("PARTITION BY doc_id", "").replace(f" {BUDGET}", f" {WHOLE}").replace(f", {BUDGET})", f", {WHOLE})")
 _own_hunks = "SELECT doc_id, path, hunk_no, old_start, old_count, new_start, new_count, heading, raw_patch_bytes, patch_hash FROM hunks"
 _nested_raw = "'@@ -1 +1 @@' || chr(10) || '-Subproject commit ' || old_blob || chr(10) || '+Subproject commit ' || new_blob || chr(10)"
 _all_hunks = f"ah AS ({_own_hunks} UNION ALL SELECT doc_id, path, 1, 1, 1, 1, 1, '', CAST(strlen({_nested_raw}) AS BIGINT), sha256({_nested_raw}) FROM files WHERE rule = 'submodule')"
@@ -257,6 +261,7 @@ SQL = {
     "orphan_references": f"{BASE} SELECT span_id FROM spans WHERE hunk_no % 2 <> 1",
     "id_collisions": f"{BASE} SELECT kind, count(*) AS n_ids, count(DISTINCT id) AS n_distinct FROM (SELECT 'line' AS kind, line_id AS id FROM li UNION ALL SELECT 'line', line_id FROM li WHERE doc_id % 53 = 1 UNION ALL SELECT 'span', span_id FROM spans UNION ALL SELECT 'span', span_id FROM spans WHERE doc_id % 53 = 2 UNION ALL SELECT 'hunk', hunk_id FROM hunks UNION ALL SELECT 'unit', unit_id FROM units) GROUP BY kind",
     "budget_omission": f"{BUDGETED} SELECT citation_id, doc_id, CAST(saves AS BIGINT) AS saves, omitted, outcome, evidence_bytes FROM bud",
+    "whole_budget": f"{_whole} SELECT citation_id, doc_id, CAST(saves AS BIGINT) AS saves, omitted, outcome, evidence_bytes FROM bud",
     "omissions": f"{BUDGETED} SELECT omission_id, citation_id, path, side, start_line, end_line, content_hash FROM bud WHERE omitted",
     "changed_paths": f"{BASE} SELECT DISTINCT side, path FROM (SELECT 'before' AS side, old_path AS path FROM files UNION ALL SELECT 'after', new_path FROM files) WHERE path IS NOT NULL",
     "changed_lines": f"{BASE} SELECT side, CASE WHEN side = 'before' THEN old_path ELSE new_path END AS path, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM li GROUP BY ALL",

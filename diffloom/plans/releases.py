@@ -106,19 +106,12 @@ def _licenses(x):
 
 
 def _markdown_files(x):
-    """A Markdown file of each page, with headings and links to other pages' files."""
+    """A Markdown file of each page in one of five folders, with repeated headings and links to other pages' files: up and down, with titles, to the root, out of it, and some in code."""
     return x.table("pages").selectExpr(
         "concat('d', page_id % 5, '/p', page_id, '.md') AS path",
-        "concat('# Page ', page_id, '\\n\\nSee [next](../d', (page_id + 1) % 5, '/p', page_id + 1, '.md#page-', IF(page_id % 3 = 0, 'none', CAST(page_id + 1 AS STRING)), ') and [own](#notes-', IF(page_id % 4 = 0, 'x', 'a'), ') and [web](https://x.example/a#b)\\n\\n## Notes: A\\n') AS text",
-    ).withColumn("path", F.expr("path"))
-
-
-def _links(x):
-    """Links are checked after '..' in them is resolved against the folder."""
-    docs = _markdown_files(x)
-    flat = docs.withColumn("text", F.regexp_replace("text", r"\]\(\.\./(d[0-9]+)/", "](/$1/"))
-    rooted = flat.withColumn("path", F.concat(F.lit("/"), "path"))
-    return X.link_errors(rooted.withColumn("text", F.regexp_replace("text", r"\]\(/", "](")).withColumn("path", F.regexp_replace("path", "^/d[0-9]+/", "")).withColumn("text", F.regexp_replace("text", r"\]\(d[0-9]+/", "](")))
+        """concat('# Page ', page_id, '\n\nSee [next](../d', (page_id + 1) % 5, '/p', page_id + 1, '.md#page-', IF(page_id % 3 = 0, 'none', CAST(page_id + 1 AS STRING)), ') and [own](#notes-', IF(page_id % 4 = 0, 'x', 'a'), ') and [web](https://x.example/a#b)\n',
+        '[same](./p', page_id + 5, '.md "the same folder") [root](/d', page_id % 5, '/p', page_id, '.md) [out](../', IF(page_id % 7 = 0, '../', ''), 'd0/p0.md) [second](#notes-a-', page_id % 3, ')\n`[code](none.md)`\n```\n[block](none.md)\n# Notes: A\n```\n## Notes: A\n\n## Notes: A\n') AS text""",
+    )
 
 
 def _artifacts(x):
@@ -181,7 +174,7 @@ def _unreachable(x):
     """Packages that the last one doesn't need, of the links that lead to known packages."""
     known = _edges(x).where("known").select("node", "parent")
     top = x.table("part").selectExpr("concat('pkg-', max(p_partkey)) AS root").first().root
-    return X.unreachable(G.ancestors(x.spark, known), top, _packages(x))
+    return X.unreachable(known, top, _packages(x))
 
 
 def _reports(x):
@@ -240,7 +233,7 @@ BUILD = {
     "source_lookup": _lookup,
     "materialise_snapshot": _materialised,
     "license_set_equality": _licenses,
-    "link_check": _links,
+    "link_check": lambda x: X.link_errors(_markdown_files(x)),
     "privacy_scan": lambda x: X.private_strings(_leaves(x)).select("page_id", "path", "kind"),
     "json_leaves": lambda x: X.leaves(_artifacts(x), "page_id", "body", True).select("page_id", "path", F.array_join("names", ".").alias("names"), "value"),
     "cold_warm_equal": _semantic,
@@ -306,7 +299,10 @@ SQL = {
     "source_lookup": f"{BASE}, {_snap}, o AS (SELECT path, any_value(content) AS content FROM sn WHERE mode <> '160000' GROUP BY path HAVING count(*) = 1) SELECT 'after' AS side, path, sha256(content) AS content_hash FROM (SELECT CASE WHEN doc_id % 7 = 1 THEN path || '.gone' ELSE path END AS path FROM files) LEFT JOIN o USING (path)",
     "materialise_snapshot": f"{BASE}, {_snap} SELECT path, mode, CASE WHEN mode NOT IN ('160000', '120000') THEN sha256(content) END AS content_hash, CASE WHEN mode NOT IN ('160000', '120000') THEN CAST(length(content) + 1 AS BIGINT) END AS n_chars FROM sn WHERE NOT path LIKE '%.csv' AND NOT path LIKE '%.bin'",
     "license_set_equality": f"WITH t AS (SELECT s_suppkey AS id, 'LICENSE' AS path, {_text('s_suppkey')} AS l FROM supplier UNION ALL SELECT s_suppkey, 'LICENSE-2', {_text('(s_suppkey // 2)')} FROM supplier WHERE s_suppkey % 2 = 0), f AS (SELECT DISTINCT id, l AS license FROM t WHERE l NOT IN ('', '?')), e AS (SELECT DISTINCT s_suppkey AS id, trim(unnest(regexp_split_to_array({choose('s_suppkey', ['MIT OR  Unlicense', 'MIT AND BSD-3-Clause', 'BSD-3-Clause', 'Unlicense', 'MIT', 'MIT OR Unlicense'])}, '\\s+(?:OR|AND)\\s+'))) AS license FROM supplier) SELECT id, license, 'not expected' AS error FROM (SELECT * FROM f EXCEPT SELECT * FROM e) UNION ALL SELECT id, license, 'not detected' FROM (SELECT * FROM e EXCEPT SELECT * FROM f) UNION ALL SELECT id, path, CASE WHEN l = '' THEN 'empty' ELSE 'unrecognized' END FROM t WHERE l IN ('', '?')",
-    "link_check": "SELECT 'p' || page_id || '.md' AS path, 'p' || (page_id + 1) || '.md#page-' || CASE WHEN page_id % 3 = 0 THEN 'none' ELSE CAST(page_id + 1 AS VARCHAR) END AS target, CASE WHEN page_id + 1 NOT IN (SELECT page_id FROM pages) THEN 'no such file' ELSE 'no such heading' END AS error FROM pages WHERE page_id + 1 NOT IN (SELECT page_id FROM pages) OR page_id % 3 = 0 UNION ALL SELECT 'p' || page_id || '.md', '#notes-x', 'no such heading' FROM pages WHERE page_id % 4 = 0",
+    "link_check": """WITH t AS (SELECT 'd' || page_id % 5 || '/p' || page_id || '.md' AS path, page_id,
+  unnest([{'target': '../d' || (page_id + 1) % 5 || '/p' || (page_id + 1) || '.md#page-' || CASE WHEN page_id % 3 = 0 THEN 'none' ELSE CAST(page_id + 1 AS VARCHAR) END, 'file': page_id + 1, 'up': false, 'head': page_id % 3 <> 0}, {'target': '#notes-' || CASE WHEN page_id % 4 = 0 THEN 'x' ELSE 'a' END, 'file': page_id, 'up': false, 'head': page_id % 4 <> 0},
+  {'target': './p' || (page_id + 5) || '.md', 'file': page_id + 5, 'up': false, 'head': true}, {'target': '/d' || page_id % 5 || '/p' || page_id || '.md', 'file': page_id, 'up': false, 'head': true}, {'target': '../' || CASE WHEN page_id % 7 = 0 THEN '../' ELSE '' END || 'd0/p0.md', 'file': 0, 'up': page_id % 7 = 0, 'head': true}, {'target': '#notes-a-' || page_id % 3, 'file': page_id, 'up': false, 'head': page_id % 3 = 1}]) AS l FROM pages)
+SELECT path, l.target AS target, CASE WHEN l.up THEN 'leads out of the root' WHEN l.file NOT IN (SELECT page_id FROM pages) THEN 'no such file' ELSE 'no such heading' END AS error FROM t WHERE l.up OR l.file NOT IN (SELECT page_id FROM pages) OR NOT l.head""",
     "privacy_scan": f"WITH {_leaf} SELECT page_id, path, CASE path WHEN '$.notes[0]' THEN 'home' WHEN '$.notes[1]' THEN 'drive' ELSE 'file' END AS kind FROM lf WHERE path IN ('$.notes[0]', '$.notes[1]', '$.list[0].at')",
     "json_leaves": f"WITH {_leaf}, k AS (SELECT page_id, unnest(['page', 'page.url', 'page.started_at_utc', 'page.run_seconds', 'notes', 'list', 'hostname', 'n']) AS k FROM pages) SELECT page_id, path, regexp_replace(regexp_replace(substr(path, 3), '\\[[0-9]+\\]', '', 'g'), '^', '') AS names, value FROM lf UNION ALL SELECT page_id, '$.' || k || '<key>', k, string_split(k, '.')[-1] FROM k UNION ALL SELECT page_id, '$.list[0].' || x || '<key>', 'list.' || x, x FROM (SELECT page_id, unnest(['at', 'pid_path']) AS x FROM pages)",
     "cold_warm_equal": "SELECT page_id, page_id % 9 <> 2 AS equal FROM pages",

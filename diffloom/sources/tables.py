@@ -49,34 +49,107 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 class Store:
-    """Tables by key under one folder, each with a manifest that is written last.
-
-    A table is used again only if its manifest has the same facts; one without
-    a manifest, or with another one, is written anew. There is one writer, so
-    no lock is needed; Spark's committer moves files into place at the end.
+    """Tables by key under one folder, in versions.
+
+    Every build goes to a folder of its own. When it is complete, a pointer
+    with the next number, its facts and that folder is moved into place, which
+    fails if another writer has taken the number; the loser looks again, and
+    uses the other's table if its facts are the same. The highest pointer
+    counts, so readers see a whole table at any time, and a writer that is
+    killed leaves a folder that nothing points at (see vacuum).
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.folder).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._keep_both = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+
+    @staticmethod
+    def _safe(key: str) -> str:
+        if not key or not all(c.isascii() and c.isalnum() or c in "-_" for c in key):
+            raise ValueError(f"unsafe key {key!r}")
+        return key
+
+    def _names(self, at: str) -> list[str]:
+        path = self._path(at)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
-    def _manifest(self, key: str) -> dict | None:
+    def _pointers(self, key: str) -> list[int]:
+        return sorted(int(n) for n in self._names(f"{self.folder}/{key}/pointers") if n.isdigit())
+
+    def _read(self, key: str, n: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/{key}/pointers/{n}"))
         try:
-            rows = self.spark.read.text(f"{self.folder}/{key}/manifest").collect()
-        except Exception as e:  # not there yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _point(self, key: str, n: int, told: dict) -> bool:
+        """Whether pointer n is now this one; False if there is one already."""
+        new = self._path(f"{self.folder}/{key}/tmp-{uuid.uuid4().hex}")
+        stream = self._fs.create(new, False)
+        stream.write(bytearray(json.dumps(told, sort_keys=True).encode()))
+        stream.close()
+        at = self._path(f"{self.folder}/{key}/pointers/{n}")
+        self._fs.mkdirs(at.getParent())
+        try:
+            self._context.rename(new, at, self._keep_both)
+        except Exception as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in str(e):
+                return False
             raise
-        return json.loads(rows[0].value) if len(rows) == 1 else None
+        return True
+
+    def current(self, key: str) -> dict | None:
+        """The facts and the folder of a key's table, None if there is none."""
+        found = self._pointers(self._safe(key))
+        return self._read(key, found[-1]) if found else None
 
     def keep(self, key: str, build, **facts) -> DataFrame:
         """The table of this key, built by build() unless it is there with these facts."""
-        if not all(c.isalnum() or c in "-_" for c in key):
-            raise ValueError(f"unsafe key {key!r}")
-        at, wanted = f"{self.folder}/{key}/data", {"key": key, **facts}
-        if self._manifest(key) != wanted:
-            build().write.mode("overwrite").parquet(at)
-            self.spark.createDataFrame([(json.dumps(wanted, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{key}/manifest")
-        return self.spark.read.parquet(at)
+        version, wanted = None, json.loads(json.dumps({"key": self._safe(key), **facts}))
+        while True:
+            known = self._pointers(key)
+            last = self._read(key, known[-1]) if known else None
+            if last and last["facts"] == wanted:
+                if version:
+                    self._fs.delete(self._path(version), True)
+                return self.spark.read.parquet(last["data"])
+            if version is None:
+                version = f"{self.folder}/{key}/versions/{uuid.uuid4().hex}"
+                build().write.parquet(version)
+            if self._point(key, (known[-1] if known else 0) + 1, {"facts": wanted, "data": version}):
+                return self.spark.read.parquet(version)
+
+    def status(self) -> list[dict]:
+        """key, facts, bytes and files of what counts, and versions, all that are there, of every key."""
+        out = []
+        for key in self._names(self.folder):
+            last = self.current(key)
+            size = self._fs.getContentSummary(self._path(last["data"])) if last else None
+            out.append({"key": key, "facts": last and last["facts"], "bytes": size.getLength() if size else 0, "files": size.getFileCount() if size else 0, "versions": len(self._names(f"{self.folder}/{key}/versions"))})
+        return out
+
+    def clear(self, key: str | None = None) -> int:
+        """Deletes a key's tables, or all; gives how many keys went."""
+        gone = self._names(self.folder) if key is None else [self._safe(key)]
+        return sum(bool(self._fs.delete(self._path(f"{self.folder}/{k}"), True)) for k in gone)
+
+    def vacuum(self, key: str) -> int:
+        """Deletes what no longer counts of a key: older pointers, and versions that the last one doesn't name. Not while others write or read old versions; gives how many versions went."""
+        known, gone = self._pointers(self._safe(key)), 0
+        data = self._read(key, known[-1])["data"].rpartition("/")[2] if known else None
+        for n in known[:-1]:
+            self._fs.delete(self._path(f"{self.folder}/{key}/pointers/{n}"), False)
+        for name in self._names(f"{self.folder}/{key}/versions"):
+            if name != data:
+                gone += self._fs.delete(self._path(f"{self.folder}/{key}/versions/{name}"), True)
+        return gone
 
 
 def cache_root(spark: SparkSession) -> str:
