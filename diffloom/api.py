@@ -54,11 +54,12 @@ class Evidence:
     """The ledger of patches (key, patch as text or bytes) over a snapshot (side, path, content as text or bytes).
 
     Every record of a patch is a file; its id is key#record. budget: bytes that
-    the evidence of a file may have, beyond which source text is omitted.
+    the evidence may have, beyond which source text is omitted: of each file,
+    or with whole of all files together.
     """
 
-    def __init__(self, patches: DataFrame, snapshot: DataFrame, budget: int = 1_000_000):
-        self.read, self.snapshot_files, self.most = P.Patch(patches, "key", "patch"), snapshot, budget
+    def __init__(self, patches: DataFrame, snapshot: DataFrame, budget: int = 1_000_000, whole: bool = False):
+        self.read, self.snapshot_files, self.most, self.whole = P.Patch(patches, "key", "patch"), snapshot, budget, whole
 
     files = cached_property(lambda self: self.read.files.withColumns({"doc_id": F.concat_ws("#", "key", "rec"), "path": F.coalesce("new_path", "old_path")}))
 
@@ -93,7 +94,7 @@ class Evidence:
         each = self.snapshot_files.select("side", "path", F.posexplode(whole).alias("p", "raw"))
         return wanted.join(each, ["side", "path"]).select("doc_id", "path", "side", (F.col("p") + 1).cast("long").alias("line"), display(F.col("raw")).alias("content"), F.sha2(F.encode("raw", "ISO-8859-1"), 256).alias("raw_hash"))
 
-    citations = cached_property(lambda self: C.budget(C.citations(self.spans, self.snapshot), self.most))
+    citations = cached_property(lambda self: (C.whole_budget if self.whole else C.budget)(C.citations(self.spans, self.snapshot), self.most))
     references = cached_property(lambda self: self._ids([(self.citations, "citation_id"), (self.spans, "span_id"), (self.lines, "line_id"), (self.hunks, "hunk_id"), (self.units, "unit_id")]))
 
     @staticmethod
@@ -119,13 +120,18 @@ class Evidence:
         none = spark.createDataFrame([], "confidence string, kind string")
         patches = self.read.records.select(F.encode("raw", "ISO-8859-1").alias("patch"))
         one = L.metrics(self.files, self.hunks, self.spans, self.units, self.citations, none if facts is None else facts, self.groups, patches)
-        size = self.citations.groupBy("doc_id").agg(F.first("evidence_bytes").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_bytes"))
+        each = self.citations.agg(F.max("evidence_bytes").alias("n")) if self.whole else self.citations.groupBy("doc_id").agg(F.first("evidence_bytes").alias("n"))
+        size = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_bytes"))
         return one.crossJoin(size)  # one row each
 
     def diagnostics(self) -> DataFrame:
-        """code, doc_id: files whose source text was omitted or didn't fit, or no_changes if there are none at all."""
-        told = self.citations.where("outcome <> 'fits'").select("doc_id", F.when(F.col("outcome") == "exceeded", C.EXCEEDED[0]).otherwise(C.OMITTED[0]).alias("code")).distinct()
-        empty = self.files.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("doc_id"), F.lit("no_changes").alias("code"))
+        """code, doc_id (null for the whole), message, requested_bytes, actual_bytes, omitted_contexts: where source text was omitted or didn't fit; or no_changes if there are none at all."""
+        by = [F.lit(None).cast("string").alias("doc_id") if self.whole else F.col("doc_id")]
+        code = lambda k: F.when(F.col("outcome") == "exceeded", C.EXCEEDED[k]).otherwise(C.OMITTED[k])
+        told = self.citations.where("outcome <> 'fits'").groupBy(*by).agg(F.max("outcome").alias("outcome"), F.max("evidence_bytes").alias("actual_bytes"), F.count_if("omitted").alias("omitted_contexts"))
+        told = told.select("doc_id", code(0).alias("code"), code(1).alias("message"), F.lit(self.most).cast("long").alias("requested_bytes"), "actual_bytes", "omitted_contexts")
+        null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        empty = self.files.agg(F.count("*").alias("n")).where("n = 0").select(null("string", "doc_id"), F.lit("no_changes").alias("code"), null("string", "message"), *[null("long", c) for c in ("requested_bytes", "actual_bytes", "omitted_contexts")])
         return told.unionByName(empty)
 
     def markdown(self) -> DataFrame:
@@ -140,9 +146,9 @@ def compare(before: DataFrame, after: DataFrame, context_lines: int = 3, similar
     return analyze(patches.select(F.col("path").alias("key"), "patch"), side(before, "before").unionByName(side(after, "after")), **options)
 
 
-def analyze(patches: DataFrame, snapshot: DataFrame, budget: int = 1_000_000, symbols: DataFrame | None = None, graph: str = "auto") -> Evidence:
+def analyze(patches: DataFrame, snapshot: DataFrame, budget: int = 1_000_000, symbols: DataFrame | None = None, graph: str = "auto", whole: bool = False) -> Evidence:
     """Checked evidence; with symbols (doc_id, name, line, end_line, confidence, provenance) also its graph facts, by the mode of graph."""
-    found = Evidence(patches, snapshot, budget).check()
+    found = Evidence(patches, snapshot, budget, whole).check()
     if symbols is not None:
         changed = found.lines.where("side = 'after'").select("doc_id", "line").distinct()
         sizes = found.snapshot.where("side = 'after'").groupBy("doc_id", "path").agg(F.max("line").alias("n_lines"))

@@ -123,8 +123,12 @@ def _coverage(x):
 
 
 def _empty(x):
-    e = explained(x)
-    return V.coverage(x.ids.where("false"), e.owners.where("false"), x.units.where("false"), e.cited.where("false"))
+    """Every file as a comparison: its changed lines and non-text units, and whether a summary and items fit that."""
+    n = x.changes.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    units = x.units.where("kind NOT IN ('text', 'unsupported')").groupBy("doc_id").agg(F.count("*").alias("n_units"))
+    rows = x.files.select("doc_id").join(n, "doc_id", "left").join(units, "doc_id", "left").na.fill(0)
+    told = rows.selectExpr("doc_id AS id", f"{pick('doc_id', SUMMARIES)} AS summary", "n_lines + n_units AS n_units", "doc_id % 2 AS n_items")
+    return told.join(V.summary_errors(told), "id", "left").selectExpr("id", "n_units AS n_changes", "error")
 
 
 def _documents(x):
@@ -167,7 +171,7 @@ def _reports(x):
 def _json(x):
     from ..functions.text import ascii_json
 
-    return x.files.select("doc_id", canonical_json(F.struct(F.col("doc_id"), F.lit(None).cast("string").alias("none"), "source", F.substring("text", 1, 200).alias("text"))).alias("json"))
+    return x.files.select("doc_id", canonical_json(F.struct(F.col("doc_id"), F.lit(None).cast("string").alias("none"), "source", "text")).alias("json"))
 
 
 BUILD = {
@@ -267,7 +271,9 @@ SQL = {
     "owned_lines": f"{BASE}, {_OWN} SELECT evidence_id, owner_id FROM own WHERE evidence_id IN (SELECT line_id FROM li)",
     "span_effective_owner": f"{BASE}, {_OWN}, p AS (SELECT li.span_id, count(*) AS n, count(owner_id) AS owned, count(DISTINCT owner_id) AS d, min(owner_id) AS o FROM li LEFT JOIN own ON line_id = evidence_id GROUP BY li.span_id), q AS (SELECT *, CASE WHEN d > 1 THEN 'cross' WHEN owned = 0 THEN 'none' WHEN owned < n THEN 'partial' ELSE 'owned' END AS state FROM p) SELECT span_id, state, CASE WHEN d = 1 AND owned = n THEN o END AS owner_id, CASE WHEN state = 'cross' THEN 'cross-owner coverage' WHEN s.owner_id IS NULL THEN NULL WHEN state <> 'owned' THEN 'baseless direct owner' WHEN s.owner_id <> o THEN 'direct owner mismatch' END AS error FROM q LEFT JOIN own s ON span_id = evidence_id",
     "coverage_summary": f"{BASE}, {_OWN}, x AS (SELECT li.*, owner_id FROM li LEFT JOIN own ON line_id = evidence_id), l AS (SELECT count(*) AS line_total, count(owner_id) AS line_owned FROM x), s AS (SELECT count(*) AS span_total, count(*) FILTER (ok) AS span_owned FROM (SELECT span_id, count(DISTINCT owner_id) = 1 AND count(owner_id) = count(*) AS ok FROM x GROUP BY span_id)), h AS (SELECT count(*) AS hunk_total, count(*) FILTER (ok) AS hunk_owned FROM (SELECT hunk_id, count(owner_id) = count(*) AS ok FROM x GROUP BY hunk_id)), ut AS (SELECT unit_id, count(owner_id) = count(*) AS ok FROM x GROUP BY unit_id), u AS (SELECT count(*) AS unit_total, count(*) FILTER (CASE WHEN kind = 'text' THEN coalesce(ok, false) ELSE unit_id IN (SELECT evidence_id FROM own) END) AS unit_owned FROM units LEFT JOIN ut USING (unit_id)), c AS (SELECT count(*) AS citation_count FROM spans) SELECT *, {_cov('line')}, {_cov('span')}, {_cov('hunk')}, {_cov('unit')} FROM l, s, h, u, c",
-    "empty_comparison": "SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {k}_{x}" for k in ("line", "span", "hunk", "unit") for x in ("total", "owned")) + ", CAST(0 AS BIGINT) AS citation_count, " + ", ".join(f"1.0::DOUBLE AS {k}_ratio" for k in ("line", "span", "hunk", "unit")),
+    "empty_comparison": f"""{BASE}, n AS (SELECT f.doc_id AS id, (SELECT count(*) FROM ch WHERE ch.doc_id = f.doc_id) + (SELECT count(*) FROM units u WHERE u.doc_id = f.doc_id AND u.kind NOT IN ('text', 'unsupported')) AS n_changes, {choose('f.doc_id', SUMMARIES)} AS summary FROM files f),
+e AS (SELECT id, 'summary is empty' AS error FROM n WHERE summary = '' UNION ALL SELECT id, 'nothing changed, but the summary doesn''t say so' FROM n WHERE n_changes = 0 AND NOT {_re('summary', V.UNCHANGED)} UNION ALL SELECT id, 'nothing changed, but there are items' FROM n WHERE n_changes = 0 AND id % 2 = 1)
+SELECT id, n_changes, error FROM n LEFT JOIN e USING (id)""",
     "citation_refs": f"{BASE}, {_CITED} SELECT item_id, error, count(*) AS n FROM ct WHERE error IS NOT NULL GROUP BY ALL",
     "item_rules": _errors(lambda t: not _about(t)),
     "confidence_rules": _errors(_about),
@@ -284,5 +290,5 @@ SQL = {
     "manifest_instantiate": f"{BASE}, {_TEMPLATE} SELECT line_id AS evidence_id, owner_id FROM li JOIN hc USING (hunk_id) WHERE owner_id IS NOT NULL UNION ALL SELECT unit_id, owner_id FROM uc WHERE owner_id IS NOT NULL",
     "manifest_errors": f"{BASE}, {_TEMPLATE} SELECT concept, 'named twice' AS error FROM t1 WHERE n > 1 UNION ALL SELECT concept, 'no such evidence' FROM t1 WHERE concept NOT IN (SELECT concept FROM hc UNION ALL SELECT 'conceptual-unit:' || path || '#' || unit_no FROM units) UNION ALL SELECT concept, 'hunk without owner' FROM hc WHERE owner_id IS NULL UNION ALL SELECT concept, 'unit without an only owner' FROM uc WHERE owner_id IS NULL",
 }
-SQL["canonical_json"] = f"{BASE}, j AS (SELECT doc_id, CAST(json_object('doc_id', doc_id, 'none', NULL, 'source', source, 'text', substr(text, 1, 200)) AS VARCHAR) AS j FROM files) SELECT doc_id, list_aggregate(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\\u%04x', unicode(c)) END), 'string_agg', '') || chr(10) AS json FROM j"
+SQL["canonical_json"] = f"{BASE}, j AS (SELECT doc_id, CAST(json_object('doc_id', doc_id, 'none', NULL, 'source', source, 'text', text) AS VARCHAR) AS j FROM files) SELECT doc_id, list_aggregate(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\\u%04x', unicode(c)) END), 'string_agg', '') || chr(10) AS json FROM j"
 SQL["assertion_counts"] = f"SELECT status, count(*) AS n FROM ({SQL['assertion_eval']}) GROUP BY status"

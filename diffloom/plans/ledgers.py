@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import citations as C
@@ -10,6 +12,8 @@ from ..operators import patch as P
 from ..operators import report as R
 from ..operators import validate as V
 from ..sources import snapshot as N
+from ..sources.patch_files import patch_records
+from ..sources.tables import shared_dir
 from .base import BASE, BUDGET, PATCH, Ledger, digest, quote, sid
 
 ID = "hunk_id, doc_id, hunk_no, old_start, old_count, new_start, new_count, n_blocks, heading, raw_patch_bytes, patch_hash"
@@ -58,6 +62,14 @@ def _manifest(x):
     return C.file_hashes(x.snapshot).join(x.files.select("path", "old_mode", "new_mode"), "path").withColumn("mode", F.expr("IF(side = 'before', old_mode, new_mode)"))
 
 
+def _patch_source(x):
+    """Changed lines of patches that are written to files, many to a file, and read from there in parts."""
+    at = f"{shared_dir(x.spark)}/patches-{uuid.uuid4().hex}"
+    x.patches.select(F.regexp_replace("patch", r"\n\z", "").alias("patch")).write.text(at)
+    read = P.Patch.of(patch_records(x.spark, at)).text_lines
+    return read.selectExpr("coalesce(new_path, old_path) AS path", "side", "line", "hunk_no", "ordinal", "content", "content_hash", "no_newline")
+
+
 def _facts(x):
     from .graphs import stored
 
@@ -122,7 +134,7 @@ def _bytes(x):
 def _quoting(x):
     from ..functions.text import byte_text, display, quoted, unquoted
 
-    odd = F.concat(F.substring("text", 1, 60), F.lit('\t"\\'))
+    odd = F.concat("text", F.lit('\t"\\'))
     rows = x.files.select("doc_id", odd.alias("p")).select("doc_id", "p", quoted(F.col("p")).alias("q"))
     return rows.select("doc_id", F.length("q").cast("long").alias("n_quoted"), (display(unquoted(byte_text(F.encode("q", "UTF-8")))) == F.col("p")).alias("same"))
 
@@ -168,6 +180,7 @@ BUILD = {
     "patch_decode": _bytes,
     "path_quoting": _quoting,
     "evidence_markdown": _evidence,
+    "patch_source": _patch_source,
     "untracked_files": lambda x: N.untracked(x.files.where("status <> 'added'").select("path"), x.files.select("path", F.coalesce("new_mode", F.lit("100644")).alias("mode"), F.when(F.col("doc_id") % 46 != 0, F.col("text")).otherwise("").alias("content"), F.coalesce("new_blob", F.lit("0" * 40)).alias("object"))),
 }
 
@@ -269,13 +282,14 @@ SQL = {
     "rename_candidates": f"{BASE}, a AS (SELECT sha256(text) AS h, min(path) AS new_path, count(*) AS n FROM files WHERE doc_id % 2 = 0 GROUP BY h), d AS (SELECT sha256(text) AS h, min(path) AS old_path, count(*) AS n FROM files WHERE doc_id % 2 = 1 GROUP BY h) SELECT old_path, new_path FROM a JOIN d USING (h) WHERE a.n = 1 AND d.n = 1",
     "patch_text": f"{BASE}{PATCH} SELECT doc_id, CAST(strlen(patch) AS BIGINT) AS n_bytes, sha256(patch) AS patch_hash FROM pt",
     "patch_parse": f"{BASE} SELECT path, side, line, hunk_no, ordinal, content, content_hash, no_newline FROM ch",
+    "patch_source": f"{BASE} SELECT path, side, line, hunk_no, ordinal, content, content_hash, no_newline FROM ch",
     "patch_files": f"{BASE} SELECT path, old_path, new_path, status, old_blob, new_blob, CASE WHEN rule IN ('renamed', 'copied') OR status <> 'added' THEN old_mode END AS old_mode, new_mode, CASE WHEN status IN ('renamed', 'copied') THEN '90%' END AS similarity, \"binary\" FROM files",
     "patch_hunks": f"{BASE}, {_all_hunks} SELECT path, hunk_no, old_start, old_count, new_start, new_count, heading, raw_patch_bytes, patch_hash FROM ah",
     "patch_ledger": f"{BASE} SELECT line_id, span_id, hunk_id, unit_id FROM li",
     "patch_totals": f"{BASE}, {_all_hunks} SELECT path, hunk_no, old_count AS old_declared, old_count AS old_found, new_count AS new_declared, new_count AS new_found FROM ah",
     "patch_errors": f"{BASE}, {_all_hunks} {_fault_rows()}",
     "patch_decode": f"{BASE} SELECT path, line, content || '\\xff' AS content, sha256(encode(content) || unhex('FF')) AS content_hash FROM ch WHERE side = 'after' AND starts_with(content, '+ ')",
-    "path_quoting": f"{BASE}, q AS (SELECT doc_id, substr(text, 1, 60) || chr(9) || '\"\\' AS p FROM files) SELECT doc_id, CAST(2 + strlen(p) + 3 * (strlen(p) - length(regexp_replace(p, '[^\\x20-\\x7E]', '', 'g'))) + length(regexp_replace(p, '[^\"\\\\]', '', 'g')) AS BIGINT) AS n_quoted, true AS same FROM q",
+    "path_quoting": f"{BASE}, q AS (SELECT doc_id, text || chr(9) || '\"\\' AS p FROM files) SELECT doc_id, CAST(2 + strlen(p) + 3 * (strlen(p) - length(regexp_replace(p, '[^\\x20-\\x7E]', '', 'g'))) + length(regexp_replace(p, '[^\"\\\\]', '', 'g')) AS BIGINT) AS n_quoted, true AS same FROM q",
     "evidence_markdown": f"{BUDGETED}, {_markdown}",
-    "untracked_files": f"{BASE} SELECT path, 'added' AS status, coalesce(new_mode, '100644') AS mode, coalesce(new_blob, repeat('0', 40)) AS object, CASE WHEN doc_id % 46 = 0 OR text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN eof THEN 0 ELSE 1 END END AS n_lines, 'diff --git \"a/' || path || '\" \"b/' || path || '\"' || chr(10) || 'new file mode ' || coalesce(new_mode, '100644') || chr(10) || 'index ' || repeat('0', 40) || '..' || coalesce(new_blob, repeat('0', 40)) || chr(10) AS header FROM files WHERE status = 'added'",
+    "untracked_files": f"{BASE}, ut AS (SELECT doc_id, CASE WHEN doc_id % 46 = 0 THEN '' ELSE text END AS t,  path, 'added' AS status, coalesce(new_mode, '100644') AS mode, coalesce(new_blob, repeat('0', 40)) AS object, CASE WHEN doc_id % 46 = 0 OR text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN eof THEN 0 ELSE 1 END END AS n_lines, 'diff --git \"a/' || path || '\" \"b/' || path || '\"' || chr(10) || 'new file mode ' || coalesce(new_mode, '100644') || chr(10) || 'index ' || repeat('0', 40) || '..' || coalesce(new_blob, repeat('0', 40)) || chr(10) AS header FROM files WHERE status = 'added') SELECT path, status, mode, object, n_lines, header, header || CASE WHEN t = '' THEN '' ELSE '--- /dev/null' || chr(10) || '+++ \"b/' || path || '\"' || chr(10) || '@@ -0,0 +1' || CASE WHEN n_lines = 1 THEN '' ELSE ',' || n_lines END || ' @@' || chr(10) || '+' || replace(rtrim_, chr(10), chr(10) || '+') || chr(10) || CASE WHEN ends_with(t, chr(10)) THEN '' ELSE {quote(L.MARKER)} || chr(10) END END AS patch FROM (SELECT *, CASE WHEN ends_with(t, chr(10)) THEN t[1:-2] ELSE t END AS rtrim_ FROM ut)",
 }

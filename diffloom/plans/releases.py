@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ids import normal_path
+from ..functions.markers import requirements
 from ..functions.text import canonical_json
 from ..operators import graph as G
 from ..operators import ledger as L
@@ -14,14 +15,6 @@ from ..sources import snapshot as N
 from .base import BASE, quote
 from .explains import choose, pick
 
-URLS = ["https://Forge.example/team/repo.git", "ssh://git@forge.example:22/team/repo", "git@forge.example:team/repo.git", "forge.example/team/repo/", "https://forge.example/repo", "https://forge.example/a/b/c", "no url", "git@forge.example:one"]
-REPOS = ["forge.example/team/repo", "forge.example/team/repo", "forge.example/team/repo", "forge.example/team/repo", None, None, None, None]
-PATHS = ["src/a.py", "./src//a.py", "/etc/passwd", "../up.py", "a/../../b", ".env", "keys/id_rsa", "x/server.PEM", "repo/.git/config", "a/credentials.json", "b/./c.txt", ""]
-#: The normal form of each path, and whether it may be read.
-NORMAL = ["src/a.py", "src/a.py", None, None, "a/../../b", ".env", "keys/id_rsa", "x/server.PEM", "repo/.git/config", "a/credentials.json", "b/c.txt", None]
-SAFE = [True, True, False, False, False, False, False, False, False, False, True, True]
-TIMES = ["2024-02-29T23:59:59Z", "2024-02-29T23:59:59+02:00", "2024-02-29 01:00:00-0130", "1700000000", "2024-02-29T23:59:59", "yesterday", "2024-02-30T00:00:00Z"]
-UTC = ["2024-02-29T23:59:59Z", "2024-02-29T21:59:59Z", "2024-02-29T02:30:00Z", "2023-11-14T22:13:20Z", None, None, None]
 LICENSE_TEXTS = {"MIT": "Permission is hereby granted, free of charge, to any person", "BSD-3-Clause": "Redistribution and use in source and binary forms. Neither the name nor the names of its\ncontributors may be used to endorse or promote products", "Unlicense": "This is free and unencumbered software released into the public domain.", "": "", "?": "All rights reserved."}
 NAMES = ["LICENSE", "COPYING.txt", "NOTICE", "licenses/apache.txt", "src/main.py", "docs/license_notes.md", "authors.rst", "Licence-MIT"]
 MATERIAL = ["license", "copying", "notice", "license", None, "license", "license", "license"]
@@ -32,12 +25,17 @@ def _files(x):
 
 
 def _remotes(x):
-    return _files(x).select("id", F.expr(pick("id", URLS)).alias("url")).select("id", O.remote_repository(F.col("url")).alias("repository"), O.canonical_remote(F.col("url")).alias("canonical"))
+    """Addresses of pages as remotes in four forms: as they are, scp-like, bare, and with an ending."""
+    parts = x.table("pages").selectExpr("page_id AS id", "url", "regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host", "regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1) AS rest")
+    form = F.expr("CASE CAST(id % 4 AS INT) WHEN 0 THEN url WHEN 1 THEN concat('git@', host, ':', rest, '.git') WHEN 2 THEN concat(host, '/', rest, '/') ELSE concat(url, '.git//') END")
+    return parts.select("id", O.remote_repository(form).alias("repository"), O.canonical_remote(form).alias("canonical"))
 
 
 def _paths(x):
-    p = _files(x).select("id", F.expr(pick("id", PATHS)).alias("path"))
-    return p.select("id", normal_path("path").alias("normal"), N.safe_path("path").alias("safe"))
+    """Paths of pages' addresses, some absolute, dotted, leading out, or of files that hold credentials."""
+    rest = "regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1)"
+    path = F.expr(f"CASE CAST(page_id % 9 AS INT) WHEN 0 THEN {rest} WHEN 1 THEN concat('./', {rest}, '//x.py') WHEN 2 THEN concat('/', {rest}) WHEN 3 THEN concat('../', {rest}) WHEN 4 THEN concat({rest}, '/.ENV') WHEN 5 THEN concat('a/../', {rest}) WHEN 6 THEN concat({rest}, '/.git/config') WHEN 7 THEN concat({rest}, '.PEM') ELSE concat('.', '/', '.') END")
+    return x.table("pages").select(F.col("page_id").alias("id"), path.alias("path")).select("id", normal_path("path").alias("normal"), N.safe_path("path").alias("safe"))
 
 
 def _commits(x):
@@ -50,7 +48,7 @@ def _commits(x):
 def _scopes(x):
     """Scopes by customer, some of which ask for two things or something that there isn't."""
     s = lambda k, e: f"IF(id % 13 = {k}, {e}, NULL)"
-    c = "concat('c', id % 200 + 1)"
+    c = "concat('c', id)"
     return _files(x).selectExpr("id", "id % 13 IN (0, 9) AS staged", "id % 13 IN (1, 9) AS unstaged", f"CASE WHEN id % 13 IN (2, 3, 10) THEN {c} WHEN id % 13 = 11 THEN 'c_none' END AS commit", f"CASE id % 13 WHEN 4 THEN concat({c}, '..c9') WHEN 5 THEN concat({c}, '...c9') WHEN 12 THEN 'c1..' END AS range", s(6, c) + " AS branch", "CASE id % 13 WHEN 7 THEN id % 5 END AS pr", "CASE id % 13 WHEN 3 THEN id % 3 WHEN 8 THEN 1 WHEN 10 THEN 9 END AS parent")
 
 
@@ -154,12 +152,23 @@ def _publish(x):
 
 
 def _times(x):
-    return _files(x).select("id", X.utc(F.expr(pick("id", TIMES))).alias("utc"))
+    """Dates of orders as texts: with zones, without one, as seconds, and none at all."""
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    text = f"CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN concat({day}, 'T23:59:59Z') WHEN 1 THEN concat({day}, 'T01:02:03+02:00') WHEN 2 THEN concat({day}, ' 22:00:00-0330') WHEN 3 THEN CAST(o_orderkey * 100003 AS STRING) WHEN 4 THEN concat({day}, 'T23:59:59') ELSE concat('on ', {day}) END"
+    return x.table("orders").select(F.col("o_orderkey").alias("id"), X.utc(F.expr(text)).alias("utc"))
+
+
+#: An environment, and markers by part, all but the last of which hold in it.
+ENVIRONMENT = {"python_version": "3.11", "sys_platform": "linux", "os_name": "posix", "platform_machine": "x86_64"}
+MARKERS = ["", "; python_version >= '3.9' and sys_platform != 'win32'", "; (os_name == 'nt' or platform_machine in 'x86_64 arm64') and python_version ~= '3.2'", "; python_version < '3.9' or extra == 'old'"]
 
 
 def _requirements(x):
+    """Requirements of parts as texts with bounds and markers: of half of its number, and now and then of a package that isn't known."""
     part = x.table("part").where("p_partkey >= 2")
-    return part.selectExpr("concat('Pkg_', p_partkey) AS name", "concat('pkg.', p_partkey div 2) AS requires", "p_partkey % 4 <> 3 AS active").unionByName(part.selectExpr("concat('pkg-', p_partkey) AS name", "concat('extern-', p_partkey) AS requires", "p_partkey % 50 = 7 AS active"))
+    own = part.selectExpr("concat('Pkg_', p_partkey) AS name", f"concat('pkg.', p_partkey div 2, ' (>=', p_partkey % 3, ',<', p_partkey, ')', {pick('p_partkey', MARKERS)}) AS requirement")
+    other = part.selectExpr("concat('pkg-', p_partkey) AS name", "concat('extern-', p_partkey, '[x] ', IF(p_partkey % 50 = 7, '', '; os_name == \\'nt\\' and python_version > \\'3\\'')) AS requirement")
+    return requirements(own.unionByName(other), ENVIRONMENT).select("name", "requires", "active")
 
 
 def _packages(x):
@@ -251,7 +260,7 @@ BUILD = {
 _f = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_nationkey AS nation FROM customer"
 _bools = lambda by, xs: f"CASE CAST(({by}) % {len(xs)} AS INTEGER) " + " ".join(f"WHEN {k} THEN {str(v).lower()}" for k, v in enumerate(xs)) + " END"
 _commits_sql = "cm0 AS (SELECT p_partkey AS p, 'c' || p_partkey AS sha FROM part WHERE p_partkey % 50 <> 0), cm AS (SELECT sha, list_filter([CASE WHEN p // 2 >= 1 AND (p // 2) % 50 <> 0 AND p > 1 THEN 'c' || p // 2 END, CASE WHEN p >= 10 AND p % 5 = 0 AND (p - 3) % 50 <> 0 THEN 'c' || (p - 3) END], lambda x: x IS NOT NULL) AS parents FROM cm0)"
-_c = "'c' || (id % 200 + 1)"
+_c = "'c' || id"
 _scopes_sql = f"sc AS (SELECT id, id % 13 AS r, CASE id % 13 WHEN 4 THEN {_c} WHEN 5 THEN {_c} WHEN 7 THEN CASE WHEN id % 5 BETWEEN 1 AND 3 THEN 'c9' END WHEN 6 THEN 'HEAD' END AS l0, {_c} AS c, CASE id % 13 WHEN 3 THEN id % 3 WHEN 8 THEN 1 WHEN 10 THEN 9 END AS parent, id % 5 AS pr FROM fi)"
 _scope_error = "CASE WHEN r = 9 THEN 'comparison modes exclude each other' WHEN r = 8 THEN 'a parent needs a commit' WHEN r = 3 AND parent < 1 THEN 'a parent is a positive number' WHEN r = 7 AND pr < 1 THEN 'a request is a positive number' WHEN r = 12 THEN 'a range has two ends' END"
 _resolve = f"""
@@ -289,8 +298,15 @@ SQL = {
     "request_errors": " UNION ALL ".join(f"SELECT id, {quote(e)} AS error FROM ({_f}) WHERE {c}" for e, c in _bad_requests),
     "implementation_files": f"{BASE} SELECT path, sha256(text) AS hash FROM files WHERE starts_with(path, 'src1/') OR starts_with(path, 'src2/src/')",
     "acquired_inputs": f"{BASE}, p AS (SELECT coalesce(source, 'none') AS id, max(doc_id) AS m FROM files GROUP BY source) SELECT id, CASE WHEN m % 9 = 2 THEN 'missing' WHEN m % 5 = 1 THEN 'other number of rows' ELSE 'other content' END AS error FROM p WHERE m % 9 = 2 OR m % 5 = 1 OR m % 7 = 3",
-    "remote_urls": f"SELECT id, {choose('id', REPOS)} AS repository, regexp_replace(regexp_replace({choose('id', URLS)}, '/+$', ''), '\\.git$', '') AS canonical FROM ({_f})",
-    "safe_paths": f"SELECT id, {choose('id', NORMAL)} AS normal, {_bools('id', SAFE)} AS safe FROM ({_f})",
+    "remote_urls": """WITH p AS (SELECT page_id AS id, url, string_split(url, '/')[3] AS host, array_to_string(string_split(url, '/')[4:], '/') AS rest FROM pages),
+t AS (SELECT *, rtrim(rest, '/') AS r FROM p), q AS (SELECT *, CASE WHEN id % 4 = 3 THEN rest WHEN ends_with(r, '.git') AND id % 4 <> 1 THEN r[1:-5] ELSE CASE WHEN id % 4 = 1 THEN rest ELSE r END END AS own FROM t)
+SELECT id, CASE WHEN len(string_split(own, '/')) = 2 AND NOT list_contains(string_split(own, '/'), '') AND host <> '' THEN CASE WHEN id % 4 = 1 THEN host ELSE lower(host) END || '/' || own END AS repository,
+  CASE id % 4 WHEN 1 THEN 'git@' || host || ':' || rest WHEN 2 THEN host || '/' || own WHEN 3 THEN url ELSE string_split(url, '/')[1] || '//' || host || CASE WHEN len(string_split(url, '/')) > 3 AND own <> '' THEN '/' || own ELSE '' END END AS canonical FROM q""",
+    "safe_paths": f"""WITH p AS (SELECT page_id AS id, regexp_replace(array_to_string(string_split(url, '/')[4:], '/'), '[?#].*$', '') AS rest FROM pages),
+q AS (SELECT id, CASE id % 9 WHEN 0 THEN rest WHEN 1 THEN './' || rest || '//x.py' WHEN 2 THEN '/' || rest WHEN 3 THEN '../' || rest WHEN 4 THEN rest || '/.ENV' WHEN 5 THEN 'a/../' || rest WHEN 6 THEN rest || '/.git/config' WHEN 7 THEN rest || '.PEM' ELSE './.' END AS path FROM p),
+r AS (SELECT *, string_split(path, '/') AS parts, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS full_ FROM q)
+SELECT id, CASE WHEN NOT starts_with(path, '/') AND len(full_) > 0 AND full_[1] <> '..' THEN array_to_string(full_, '/') END AS normal,
+  NOT starts_with(path, '/') AND NOT list_has_any(parts, ['..', '.git']) AND lower(parts[-1]) NOT IN ({', '.join(quote(n) for n in N.SENSITIVE_NAMES)}) AND NOT regexp_matches(lower(parts[-1]), '.({'|'.join(x.replace('.', '[.]') for x in N.SENSITIVE_SUFFIXES)})$') AS safe FROM r""",
     "scope_errors": f"WITH fi AS ({_f}), {_scopes_sql}, x AS (SELECT id, {_scope_error} AS error FROM sc) SELECT * FROM x WHERE error IS NOT NULL",
     "resolve_scopes": f"WITH RECURSIVE fi AS ({_f}), {_commits_sql}, {_scopes_sql}, {_resolve}",
     "changed_meanwhile": f"SELECT id, sha256(name) AS before, CASE WHEN id % 10 <> 3 THEN 'x' END AS after FROM ({_f}) WHERE id % 4 <> 3 AND (id % 10 = 3 OR id % 9 = 2)",
@@ -309,7 +325,7 @@ SELECT path, l.target AS target, CASE WHEN l.up THEN 'leads out of the root' WHE
     "package_inventory": f"WITH {_own}, b AS (SELECT *, p % 11 <> 3 OR p % 13 = 5 AS declared, p % 11 <> 3 AND p % 13 = 5 AS twice, p % 17 <> 2 AS found FROM ow) SELECT id, path, CASE WHEN starts_with(path, '../') THEN 'unsafe path' WHEN NOT declared THEN 'not declared' WHEN NOT found THEN 'missing' WHEN twice THEN 'declared twice' ELSE 'other content' END AS error FROM b WHERE (declared OR found) AND (starts_with(path, '../') OR NOT declared OR NOT found OR twice OR p % 19 = 6)",
     "code_manifest": "SELECT l_orderkey AS k, l_returnflag AS m, count(*) AS n_a, count(*) * ((CASE WHEN l_orderkey % 23 <> 4 THEN 1 ELSE 0 END) + (CASE WHEN l_orderkey % 29 = 3 THEN 1 ELSE 0 END)) AS n_b FROM lineitem WHERE l_orderkey % 23 = 4 AND l_orderkey % 29 <> 3 OR l_orderkey % 23 <> 4 AND l_orderkey % 29 = 3 GROUP BY l_orderkey, l_returnflag",
     "publish_gate": "SELECT id, error FROM (SELECT s_suppkey AS id, unnest(list_filter(CASE WHEN s_suppkey % 17 = 5 THEN ['missing'] ELSE [CASE WHEN s_suppkey % 10 = 3 THEN 'other runs than one cold and one warm' END, CASE WHEN s_suppkey % 7 = 1 THEN 'the cold run''s cache isn''t empty' END, CASE WHEN s_suppkey % 9 = 4 THEN 'graph unavailable' END, CASE WHEN s_suppkey % 8 = 6 OR s_suppkey % 11 = 7 THEN 'assertions failed or skipped' END, CASE WHEN s_suppkey % 12 = 5 AND s_suppkey % 10 <> 3 THEN 'runs of several identities' END, CASE WHEN s_suppkey % 13 = 8 AND s_suppkey % 10 <> 3 THEN 'cold and warm output differ' END] END, lambda x: x IS NOT NULL)) AS error FROM supplier) UNION ALL SELECT -1, 'not expected'",
-    "utc_times": f"SELECT id, {choose('id', UTC)} AS utc FROM ({_f})",
+    "utc_times": "SELECT o_orderkey AS id, strftime(CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 86399 SECOND WHEN 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 3723 SECOND - INTERVAL 2 HOUR WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1530 MINUTE WHEN 3 THEN make_timestamp(o_orderkey * 100003000000) END, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM orders",
     "sbom_edges": "SELECT 'pkg-' || p_partkey AS node, 'pkg-' || p_partkey // 2 AS parent, true AS known FROM part WHERE p_partkey >= 2 AND p_partkey % 4 <> 3 UNION ALL SELECT 'pkg-' || p_partkey, 'extern-' || p_partkey, false FROM part WHERE p_partkey >= 2 AND p_partkey % 50 = 7",
     "sbom_unreachable": "WITH RECURSIVE r(p) AS (SELECT max(p_partkey) FROM part UNION SELECT p // 2 FROM r WHERE p >= 2 AND p % 4 <> 3) SELECT 'pkg-' || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT p FROM r)",
     "sbom_components": "SELECT 'pkg:pypi/pkg-' || p_partkey || '@' || p_brand AS ref, CAST(json_object('hashes', [json_object('alg', 'SHA-256', 'content', sha256(p_name))], 'licenses', [json_object('license', json_object('id', p_type))], 'name', 'pkg-' || p_partkey, 'purl', 'pkg:pypi/pkg-' || p_partkey || '@' || p_brand, 'type', 'library', 'version', p_brand) AS VARCHAR) AS component FROM part",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import name_of, normal_path, parts_of, stable_id, suffix_of
 from ..functions.text import quoted
+from ..operators.ledger import MARKER, of_range
 
 #: Names and suffixes of files that hold credentials.
 SENSITIVE_NAMES = [".env", ".npmrc", ".pypirc", "credentials", "credentials.json", "id_rsa", "id_ed25519"]
@@ -49,9 +50,11 @@ def unmerged(index: DataFrame) -> DataFrame:
 
 
 def untracked(tracked: DataFrame, worktree: DataFrame) -> DataFrame:
-    """Files of the working tree (path, mode, content, object) that aren't tracked (path), as added files with their patch header.
+    """Files of the working tree (path, mode, content, object) that aren't tracked (path), as added files with their patch header and whole patch.
 
-    A link's content is its target; an empty file and a nested repository have no lines.
+    A link's content is its target; an empty file has no lines. A nested
+    repository has none either, and its patch names its commit (object). Files
+    with a NUL are binary.
     """
     rows = worktree.join(tracked.select("path"), "path", "left_anti")
     zero = F.lit("0" * 40)
@@ -59,7 +62,13 @@ def untracked(tracked: DataFrame, worktree: DataFrame) -> DataFrame:
     head = F.concat(F.lit("diff --git "), old, F.lit(" "), new, F.lit("\nnew file mode "), "mode", F.lit("\nindex "), zero, F.lit(".."), "object", F.lit("\n"))
     count = F.size(F.split("content", "\n")) - F.when(F.col("content").endswith("\n"), 1).otherwise(0)
     lines = F.when((F.col("mode") == NESTED) | (F.coalesce("content", F.lit("")) == ""), 0).otherwise(count).cast("long")
-    return rows.select("path", F.lit("added").alias("status"), "mode", "object", lines.alias("n_lines"), head.alias("header"))
+    text = F.when(F.col("mode") == NESTED, F.concat(F.lit("Subproject commit "), "object", F.lit("\n"))).otherwise(F.coalesce("content", F.lit("")))
+    shown = F.when(F.col("mode") == NESTED, 1).otherwise(F.col("n_lines"))
+    plain = F.when(F.col("_t").endswith("\n"), F.left("_t", F.length("_t") - 1)).otherwise(F.col("_t"))
+    hunk = F.concat(F.lit("--- /dev/null\n+++ "), new, F.lit("\n@@ -0,0 +"), of_range(F.lit(1), shown), F.lit(" @@\n+"), F.replace(plain, F.lit("\n"), F.lit("\n+")), F.lit("\n"), F.when(F.col("_t").endswith("\n"), "").otherwise(F.lit(MARKER + "\n")))
+    body = F.when(F.col("_t") == "", "").when(F.instr("_t", "\0") > 0, F.concat(F.lit("Binary files /dev/null and "), new, F.lit(" differ\n"))).otherwise(hunk)
+    told = rows.select("path", F.lit("added").alias("status"), "mode", "object", lines.alias("n_lines"), head.alias("header"), text.alias("_t"))
+    return told.withColumn("patch", F.concat("header", body)).drop("_t")
 
 
 def invalid_references(references: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -89,6 +98,3 @@ def usable_index(manifests: DataFrame, expected: DataFrame, payloads: DataFrame)
         same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
     return rows.select("key", F.coalesce(same & (F.col("payload_hash") == F.col("found")), F.lit(False)).alias("usable"))
 
-
-def object_id(kind: str, *fields) -> Column:
-    return stable_id(kind, *fields)
