@@ -3,12 +3,12 @@
 Lines are cut at \\n; a line without a word is no unit and stays with its
 document. Shingles are windows of SHINGLE characters, in lines of any length. Two
 lines link when the Jaccard similarity of their sets is PERCENT or more. A
-letter changed within a line of 39 or more characters leaves it linked, and so
-does a word of five letters within one of 75 or more. BANDS bands of ROWS rows
-find a pair at the least similarity with a chance of 0.9992, more similar ones
-more often; five rows keep lines of one language, whose shingles are much
-alike, from meeting by chance. See near_units for ids, nulls, ties and very
-long lines. A document that loses all its
+letter changed within a line of 59 or more characters leaves it linked, and so
+does a word of five letters within one of 95 or more. BANDS bands of ROWS rows
+find a pair at the least similarity with a chance of 0.9994, more similar ones
+more often. Shorter shingles, which bear edits in shorter lines, are so common
+in lines of one language that these meet by chance the more often the more
+there are. See near_units for ids, nulls, ties and very long lines. A document that loses all its
 lines is dropped: its lines stand elsewhere. One that had no line to begin with
 stays. Columns of any name are kept as they are.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .near_units import Units, grams, unit_classes
 from .shared import counts, fresh, table
 
-SHINGLE, PERCENT, BANDS, ROWS = 4, 80, 18, 5
+SHINGLE, PERCENT, BANDS, ROWS = 6, 80, 14, 4
 
 
 def find_lines(data: np.ndarray, offsets: np.ndarray):
