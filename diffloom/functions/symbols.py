@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 import sys
 
@@ -43,40 +44,45 @@ class PythonSymbols:
                 yield name, line, end, True
 
 
-class BraceRanges:
+#: Comments and strings of brace languages, braces, and what begins a string or comment that never ends.
+_BRACES = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[{}"'`]|/\*""", re.DOTALL)
+_DECLARED = re.compile(DECLARED, re.ASCII)
+
+
+def brace_pairs(text: str) -> list[tuple[int, int, int]]:
     """line and column (from 0) of each opening brace outside strings and comments, and the line of its closing one; an unbalanced text has none."""
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    opened, found = [], []
+    for m in _BRACES.finditer(text):
+        token = m[0]
+        if token == "{":
+            opened.append(m.start())
+        elif token == "}":
+            if not opened:
+                return []
+            at = opened.pop()
+            line = bisect.bisect_right(starts, at)
+            found.append((line, at - starts[line - 1], bisect.bisect_right(starts, m.start())))
+        elif len(token) == 1 or token == "/*":
+            return []
+    return [] if opened else sorted(found)
+
+
+class BraceRanges:
+    """The rows of brace_pairs."""
 
     def eval(self, text: str):
-        opened, found, line, begin, k, state = [], [], 1, 0, 0, ""
-        text = text or ""
-        while k < len(text):
-            c, two, at = text[k], text[k : k + 2], k
-            if state in ("'", '"', "`"):
-                if c == "\\":
-                    k += 1
-                elif c == state:
-                    state = ""
-            elif state == "//":
-                state = "" if c == "\n" else state
-            elif state == "/*":
-                if two == "*/":
-                    state, k = "", k + 1
-            elif two in ("//", "/*"):
-                state, k = two, k + 1
-            elif c in "'\"`":
-                state = c
-            elif c == "{":
-                opened.append((line, at - begin))
-            elif c == "}":
-                if not opened:
-                    return
-                found.append((*opened.pop(), line))
-            for x in range(at, min(k + 1, len(text))):
-                if text[x] == "\n":
-                    line, begin = line + 1, x + 1
-            k += 1
-        if not opened and state in ("", "//"):
-            yield from sorted(found)
+        yield from brace_pairs(text or "")
+
+
+class BraceSymbols:
+    """name, line, end_line of declarations in a text of a brace language; without an end where its brace isn't closed or the text is unbalanced."""
+
+    def eval(self, text: str):
+        declared = [(m[2], n, m.end(1) - 1) for n, source in enumerate((text or "").split("\n"), 1) if (m := _DECLARED.match(source))]
+        ends = {(line, column): end for line, column, end in brace_pairs(text or "")} if declared else {}
+        for name, line, column in declared:
+            yield name, line, ends.get((line, column)), True
 
 
 #: Words of brace languages that stand before a parenthesis without being called, and words after which a name is declared.
@@ -191,21 +197,25 @@ def brace_symbols(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     return closed.groupBy("doc_id", "name", "line").agg(F.count("*").alias("n"), F.min("end_line").alias("end_line")).where("n = 1").drop("n")
 
 
-def symbol_table(files: DataFrame) -> DataFrame:
+def symbol_scan(files: DataFrame) -> DataFrame:
+    """doc_id, python, name, line, end_line, parsed of files (doc_id, path, text): every symbol, found in one pass over each text, and a row without a name for a Python text that doesn't parse."""
+    end, columns = suffix_of("path"), "name string, line long, end_line long, parsed boolean"
+    of = lambda rows, kind, python: rows.select("doc_id", "text").lateralJoin(F.udtf(kind, returnType=columns)(F.col("text").outer())).select("doc_id", F.lit(python).alias("python"), "name", "line", "end_line", "parsed")
+    return of(files.where(end == ".py"), PythonSymbols, True).unionByName(of(files.where(end.isin(BRACES)), BraceSymbols, False))
+
+
+def symbol_table(files: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """doc_id, name, line, end_line (null without a verified range), confidence and provenance of the symbols of files (doc_id, path, text), by suffix.
 
     Python is parsed; declarations of brace languages are found by pattern, so
-    they are inferred. Other languages have no symbols.
+    they are inferred. Other languages have no symbols. scan: the written
+    symbol_scan of the files, if there is one.
     """
-    end = suffix_of("path")
-    python = python_symbols(files.where(end == ".py").select("doc_id", "text")).where("parsed").select("doc_id", "name", "line", "end_line", F.lit("extracted").alias("confidence"), F.lit("parser:ast").alias("provenance"))
-    braces = files.where(end.isin(BRACES)).select("doc_id", "text")
-    found = declared(braces)
-    ranges = brace_symbols(braces, found.select("doc_id", "name", "line", "signature"))
-    other = found.select("doc_id", "name", "line").join(ranges, ["doc_id", "name", "line"], "left").withColumns({"confidence": F.lit("inferred"), "provenance": F.lit("parser:regex")})
-    return python.unionByName(other.select(*python.columns))
+    rows = (symbol_scan(files) if scan is None else scan).where("parsed")
+    return rows.select("doc_id", "name", "line", "end_line", F.when(F.col("python"), "extracted").otherwise("inferred").alias("confidence"), F.when(F.col("python"), "parser:ast").otherwise("parser:regex").alias("provenance"))
 
 
-def unparsed(files: DataFrame) -> DataFrame:
+def unparsed(files: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """doc_id of Python files that don't parse."""
-    return python_symbols(files.where(suffix_of("path") == ".py").select("doc_id", "text")).where("NOT parsed").select("doc_id")
+    rows = python_symbols(files.where(suffix_of("path") == ".py").select("doc_id", "text")) if scan is None else scan
+    return rows.where("NOT parsed").select("doc_id")

@@ -83,15 +83,16 @@ def header_paths(value: Column) -> Column:
     return F.when(F.size(parts) > 1, let(pairs, told))
 
 
-def headers(records_: DataFrame) -> DataFrame:
-    """key, rec and what the header lines of each record say: paths, status, blobs, modes, similarity, binary, and malformed, the first line that breaks its form."""
+def headers(records_: DataFrame, *kept: str) -> DataFrame:
+    """key, rec, the kept columns and what the header lines of each record say: paths, status, blobs, modes, similarity, binary, and malformed, the first line that breaks its form."""
     top = F.split(_trimmed(F.split("raw", "(?<=\n)(?=@@ )", 2)[0]), "\n")
-    rows = records_.where("rec > 0").select("key", "rec", F.transform(top, lambda x: F.regexp_replace(x, r"\r\z", "")).alias("lines"))
+    own = ["key", "rec", *kept]
+    rows = records_.where("rec > 0").select(*own, F.transform(top, lambda x: F.regexp_replace(x, r"\r\z", "")).alias("lines"))
     # of a repeated header line the last one counts
     begins = lambda p: lambda x: x.startswith(p)
     last = {k: F.try_element_at(F.filter("lines", begins(p)), F.lit(-1)) for k, p in PREFIXES.items()}
     rest = lambda k: F.col(f"{k}_rest")
-    named = rows.select("key", "rec", "lines", *[last[k].alias(k) for k in PREFIXES], F.exists("lines", lambda x: x.startswith(BINARY[0]) | x.startswith(BINARY[1])).alias("binary"), header_paths(F.substring(F.col("lines")[0], F.lit(12), F.length(F.col("lines")[0]))).alias("both"))
+    named = rows.select(*own, "lines", *[last[k].alias(k) for k in PREFIXES], F.exists("lines", lambda x: x.startswith(BINARY[0]) | x.startswith(BINARY[1])).alias("binary"), header_paths(F.substring(F.col("lines")[0], F.lit(12), F.length(F.col("lines")[0]))).alias("both"))
     named = fenced(named.drop("lines"))
     paths = ("old", "new", "rename_from", "rename_to", "copy_from", "copy_to")
     after = lambda k: F.substring(F.col(k), F.lit(len(PREFIXES[k]) + 1), F.length(k))
@@ -103,7 +104,7 @@ def headers(records_: DataFrame) -> DataFrame:
     zero = lambda c: F.when(~c.rlike("^0+$"), c)
     made, gone = F.col("added").isNotNull(), F.col("deleted").isNotNull()
     told = named.select(
-        "key", "rec", made.alias("made"), gone.alias("gone"),
+        *own, made.alias("made"), gone.alias("gone"),
         F.when(~made, side("old", ("rename_from", "copy_from"), "old")).alias("old_raw"),
         F.when(made | ~gone, side("new", ("rename_to", "copy_to"), "new")).alias("new_raw"),
         F.when(made, "added").when(gone, "deleted").when(F.col("rename_from").isNotNull(), "renamed").when(F.col("copy_from").isNotNull(), "copied").otherwise("modified").alias("status"),
@@ -117,21 +118,21 @@ def headers(records_: DataFrame) -> DataFrame:
     told = fenced(told.withColumns({c: normal_path(display(F.col(f"{c}_raw"))) for c in ("old", "new")}))
     path = lambda c: F.col(c.removesuffix("_raw"))
     status = F.when(F.col("old_raw").isNull() & ~F.col("made"), "added").when(F.col("new_raw").isNull() & ~F.col("gone"), "deleted").otherwise(F.col("status"))
-    return told.select("key", "rec", path("old_raw").alias("old_path"), path("new_raw").alias("new_path"), status.alias("status"), "old_blob", "new_blob", "old_mode", "new_mode", "similarity", "binary", F.coalesce("malformed", F.when((F.col("old_raw").isNotNull() & path("old_raw").isNull()) | (F.col("new_raw").isNotNull() & path("new_raw").isNull()), F.lit("unsafe path"))).alias("malformed"))
+    return told.select(*own, path("old_raw").alias("old_path"), path("new_raw").alias("new_path"), status.alias("status"), "old_blob", "new_blob", "old_mode", "new_mode", "similarity", "binary", F.coalesce("malformed", F.when((F.col("old_raw").isNotNull() & path("old_raw").isNull()) | (F.col("new_raw").isNotNull() & path("new_raw").isNull()), F.lit("unsafe path"))).alias("malformed"))
 
 
-def raw_hunks(records_: DataFrame) -> DataFrame:
-    """key, rec, hunk_no, raw of each hunk, dealt by hunk."""
+def raw_hunks(records_: DataFrame, *kept: str) -> DataFrame:
+    """key, rec, the kept columns, hunk_no, raw of each hunk, dealt by hunk."""
     parts = F.split("raw", "(?<=\n)(?=@@ )")
-    return records_.where("rec > 0").select("key", "rec", F.posexplode(parts).alias("p", "raw")).select("key", "rec", F.col("p").cast("long").alias("hunk_no"), "raw").where("hunk_no > 0").repartition("key", "rec", "hunk_no")
+    return records_.where("rec > 0").select("key", "rec", *kept, F.posexplode(parts).alias("p", "raw")).select("key", "rec", *kept, F.col("p").cast("long").alias("hunk_no"), "raw").where("hunk_no > 0").repartition("key", "rec", "hunk_no")
 
 
-def hunk_heads(raw: DataFrame) -> DataFrame:
-    """Ranges and heading of hunks; a missing count is 1; ranges are null where the header breaks its form."""
+def hunk_heads(raw: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns, ranges and heading of hunks; a missing count is 1; ranges are null where the header breaks its form."""
     head = F.regexp_replace(F.split("raw", "\n", 2)[0], r"\r\z", "")
     part = lambda i: F.expr(f"try_cast(nullif(regexp_extract(head, '{HUNK.replace(chr(92), chr(92) * 2)}', {i}), '') AS LONG)")
     rows = raw.withColumn("head", head)
-    return rows.select("key", "rec", "hunk_no", part(1).alias("old_start"), F.coalesce(part(2), F.lit(1)).alias("old_count"), part(3).alias("new_start"), F.coalesce(part(4), F.lit(1)).alias("new_count"), F.trim(display(F.regexp_extract("head", HUNK, 5))).alias("heading"), F.length("raw").cast("long").alias("raw_patch_bytes"), F.sha2(raw_bytes(F.col("raw")), 256).alias("patch_hash"), display(F.col("head")).alias("head"))
+    return rows.select("key", "rec", *kept, "hunk_no", part(1).alias("old_start"), F.coalesce(part(2), F.lit(1)).alias("old_count"), part(3).alias("new_start"), F.coalesce(part(4), F.lit(1)).alias("new_count"), F.trim(display(F.regexp_extract("head", HUNK, 5))).alias("heading"), F.length("raw").cast("long").alias("raw_patch_bytes"), F.sha2(raw_bytes(F.col("raw")), 256).alias("patch_hash"), display(F.col("head")).alias("head"))
 
 
 def hunk_rows(raw: DataFrame) -> DataFrame:
@@ -156,6 +157,21 @@ def hunk_files(raw: DataFrame, heads: DataFrame) -> DataFrame:
     return heads.join(each, ["key", "rec", "hunk_no"])
 
 
+def parsed_lines(raw: DataFrame, *kept: str) -> DataFrame:
+    """Changed lines of raw_hunks with the kept columns, as parse_lines; the lines of a hunk are numbered in one pass over them."""
+    heads = hunk_heads(raw, *kept, "raw").select("key", "rec", *kept, "hunk_no", "old_start", "new_start", F.split(_trimmed(F.col("raw")), "\n").alias("text"))
+    rows = heads.select("key", "rec", *kept, "hunk_no", "old_start", "new_start", F.posexplode("text").alias("pos", "line")).where("pos > 0")
+    note = f"regexp_replace(line, '\\\\r\\\\z', '') = '{MARKER.replace(chr(92), chr(92) * 2)}'"
+    order = "OVER (PARTITION BY key, rec, hunk_no ORDER BY pos {0})"
+    before, upto = (order.format(f"ROWS BETWEEN UNBOUNDED PRECEDING AND {x}") for x in ("1 PRECEDING", "CURRENT ROW"))
+    count = lambda marks, at, name: f"coalesce(sum(IF(mark IN ({marks}) AND NOT is_note, 1L, 0L)) {at}, 0L) AS {name}"
+    marked = rows.selectExpr("*", f"{note} AS is_note", "substr(line, 1, 1) AS mark")
+    told = marked.selectExpr("*", f"coalesce(lead(is_note) {order.format('')}, false) AS no_newline", count("' '", upto, "block"), count("' ', '-'", before, "o"), count("' ', '+'", before, "n"), count("'-', '+'", before, "ordinal"))
+    content = F.substring("line", F.lit(2), F.length("line"))
+    changed = told.where("NOT is_note AND mark IN ('-', '+')")
+    return changed.select("key", "rec", *kept, "hunk_no", "ordinal", F.when(F.col("mark") == "-", "before").otherwise("after").alias("side"), F.when(F.col("mark") == "-", F.col("old_start") + F.col("o")).otherwise(F.col("new_start") + F.col("n")).alias("line"), "block", display(content).alias("content"), F.sha2(raw_bytes(content), 256).alias("content_hash"), "no_newline", (~well_formed(content)).alias("undecodable"))
+
+
 def parse_lines(hunks: DataFrame) -> DataFrame:
     """Changed lines of hunk_files: key, rec, hunk_no, side, line, block, ordinal, content, content_hash, no_newline, undecodable."""
     only = F.filter("rows", lambda x: x["kind"] != "keep")
@@ -186,9 +202,10 @@ class Patch:
 
     @property
     def text_lines(self) -> DataFrame:
-        """Changed lines with their file's paths; those of nested repositories are left out."""
+        """Changed lines with their file's paths; those of nested repositories are left out. Headers are read where their hunks are, so no join is needed."""
         nested = f"coalesce(old_mode, '') = '{SUBMODULE}' OR coalesce(new_mode, '') = '{SUBMODULE}'"
-        return self.lines.join(self.files.where(f"NOT ({nested})").select("key", "rec", "old_path", "new_path"), ["key", "rec"])
+        read = headers(self.records, "raw").where(f"NOT ({nested})").select("key", "rec", "old_path", "new_path", "raw")
+        return parsed_lines(raw_hunks(read, "old_path", "new_path"), "old_path", "new_path")
 
     @property
     def totals(self) -> DataFrame:

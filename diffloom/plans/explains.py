@@ -113,7 +113,7 @@ def _repeated(x):
 
 def _stored(x):
     """Spans and units are written once; owners come from them in many branches."""
-    x.store("spans", "units")
+    x.store("hunks", "spans", "units")
     return explained(x)
 
 

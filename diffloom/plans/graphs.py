@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
-from ..functions.symbols import BRACES, SUPPORTED, brace_symbols, code_uses, declared, python_symbols, symbol_table, unparsed
+from ..functions.symbols import BRACES, SUPPORTED, brace_symbols, code_uses, declared, python_symbols, symbol_scan, symbol_table, unparsed
 from ..operators import graph as G
 from ..sources import code as S
 from ..sources import snapshot as N
@@ -39,9 +39,10 @@ class Graph:
         lines = self.x.placed.where("kind <> 'after'").select("doc_id", F.col("old_line").alias("line_no"), "content").join(there.select("doc_id", "path"), "doc_id")
         return S.sources(there, lines)
 
-    symbols = cached_property(lambda self: symbol_table(self.sources))
+    scan = cached_property(lambda self: symbol_scan(self.sources))
+    symbols = cached_property(lambda self: symbol_table(self.sources, self.scan))
     ranged = cached_property(lambda self: self.symbols.where("end_line IS NOT NULL"))
-    broken = cached_property(lambda self: unparsed(self.sources))
+    broken = cached_property(lambda self: unparsed(self.sources, self.scan))
     #: Changed lines; every 19th document has one more, far beyond its end.
     changed = cached_property(lambda self: self.x.changed.where(F.col("side") == self.side).select("doc_id", "line").unionByName(self.x.files.where(f"doc_id % 19 = 8 AND {self.own} IS NOT NULL").select("doc_id", F.lit(1_000_000).cast("long").alias("line"))).distinct())
     #: All files of the side; those of other languages have no text here.
@@ -72,7 +73,7 @@ def graph(x) -> Graph:
 def stored(x) -> Graph:
     """The graph with its symbols, changed lines and facts written once, for queries that use them in many branches."""
     if not hasattr(x, "_graph"):
-        graph(x).store("sources", "symbols", "changed", "found")
+        graph(x).store("sources", "scan", "changed", "found")
     return x._graph
 
 
@@ -87,7 +88,7 @@ def _blast(x):
 
 def _sides(x):
     """The facts of both sides merged, each built from its own texts and changed lines."""
-    before = Graph(x, "before").store("sources", "symbols", "changed")
+    before = Graph(x, "before").store("sources", "scan", "changed")
     return G.merged(before.found, stored(x).found)
 
 

@@ -21,6 +21,7 @@ ID = "hunk_id, doc_id, hunk_no, old_start, old_count, new_start, new_count, n_bl
 
 def _metrics_by_source(x):
     """Counts by source and class, from one row a file: spans and links are counted where the lines are."""
+    x.store("hunks")
     side = lambda s: F.sum(F.when(F.col("side") == s, F.col("n_lines")).otherwise(0))
     per = x.linked.groupBy("doc_id").agg(F.count("*").alias("spans"), F.count("replacement_span_id").alias("replaced"), side("after").alias("added"), side("before").alias("deleted"))
     total = lambda c, name: F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(name)
@@ -83,7 +84,7 @@ def _evidence(x):
 
 
 def _metrics(x):
-    x.store("hunks", "units")
+    x.store("hunks", "spans", "units")
     return L.metrics(x.files, x.hunks, x.spans, x.units, x.budgeted, _facts(x), x.groups, x.patches)
 
 
@@ -171,7 +172,7 @@ BUILD = {
     "snapshot_digest": lambda x: C.digests(_manifest(x)),
     "rename_candidates": _renames,
     "patch_text": lambda x: x.patches.select("doc_id", F.octet_length("patch").cast("long").alias("n_bytes"), F.sha2("patch", 256).alias("patch_hash")),
-    "patch_parse": lambda x: P.parse_patch(x.patches).select("path", "side", "line", "hunk_no", "ordinal", "content", "content_hash", "no_newline"),
+    "patch_parse": lambda x: P.parse_patch(x.store("hunks").patches).select("path", "side", "line", "hunk_no", "ordinal", "content", "content_hash", "no_newline"),
     "patch_files": lambda x: _parsed(x).files.select(F.col("key").alias("path"), "old_path", "new_path", "status", "old_blob", "new_blob", "old_mode", "new_mode", "similarity", "binary"),
     "patch_hunks": lambda x: _parsed(x).heads.select(F.col("key").alias("path"), "hunk_no", "old_start", "old_count", "new_start", "new_count", "heading", "raw_patch_bytes", "patch_hash"),
     "patch_ledger": _patch_ledger,
