@@ -63,8 +63,8 @@ def test_budget_diagnostics(spark, whole):
     patches = spark.createDataFrame([("p", PATCH), ("q", PATCH.split("diff --git a/run")[0].replace("app.py", "b.py"))], "key string, patch string")
     texts = {"before": "def f():\n    return 1\n", "after": "def f():\n    return 2\n"}
     files = spark.createDataFrame([(side, p, t) for side, t in texts.items() for p in ("app.py", "b.py")] + [(s, "run.sh", "") for s in texts], "side string, path string, content string")
-    tight = api.analyze(patches, files, budget=600, whole=whole)
+    tight = api.analyze(patches, files, budget=300, whole=whole)
     told = [r.asDict() for r in tight.diagnostics().collect()]
-    assert len(told) == (1 if whole else 2) and all(r["requested_bytes"] == 600 and r["actual_bytes"] > 600 and r["code"] == "evidence_budget_exceeded" for r in told)
+    assert len(told) == (1 if whole else 2) and all(r["requested_bytes"] == 300 and r["actual_bytes"] > 300 and r["code"] == "evidence_budget_exceeded" for r in told)
     assert tight.metrics().first().evidence_bytes == sum(r["actual_bytes"] for r in told)
     assert (told[0]["doc_id"] is None) == whole and api.analyze(patches, files, whole=whole).diagnostics().count() == 0

@@ -109,9 +109,9 @@ def test_closure_of_a_long_chain_and_a_cycle(spark):
 
 
 def test_merge_base(spark):
-    up = graph.ancestors(spark, spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "a"), ("d", "b"), ("a", "r"), ("b", "r"), ("e", "a")], "node string, parent string"))
+    edges = spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "a"), ("d", "b"), ("a", "r"), ("b", "r"), ("e", "a")], "node string, parent string")
     pairs = spark.createDataFrame([("c", "d"), ("d", "e")], "left_node string, right_node string")
-    assert {(r.left_node, r.n_bases, r.base) for r in graph.merge_base(up, pairs).collect()} == {("c", 2, "a"), ("d", 1, "a")}
+    assert {(r.left_node, r.n_bases, r.base) for r in graph.merge_bases(spark, edges, pairs).collect()} == {("c", 2, "a"), ("d", 1, "a")}
 
 
 def test_required_enrichment(spark):
