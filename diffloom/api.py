@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.schema import schema_errors
 from .functions.text import byte_text, display
 from .operators import citations as C
 from .operators import graph as G
@@ -21,9 +22,10 @@ from .operators import report as R
 from .operators import scopes as O
 from .operators import validate as V
 from .operators.acquire import acquired
+from .schemas import load_schema
 from .sources.tables import written
 
-__all__ = ["Evidence", "Explanation", "analyze", "compare", "render_report", "resolve_comparison", "resolve_repository", "validate_explanation"]
+__all__ = ["Evidence", "Explanation", "analyze", "compare", "load_explanation", "load_schema", "render_report", "resolve_comparison", "resolve_repository", "validate_explanation"]
 #: Errors that a message names; all of them count.
 NAMED = 20
 
@@ -134,6 +136,18 @@ class Evidence:
         empty = self.files.agg(F.count("*").alias("n")).where("n = 0").select(null("string", "doc_id"), F.lit("no_changes").alias("code"), null("string", "message"), *[null("long", c) for c in ("requested_bytes", "actual_bytes", "omitted_contexts")])
         return told.unionByName(empty)
 
+    def documents(self) -> DataFrame:
+        """doc_id, document: the evidence of each file as JSON, by the schema of that name."""
+        rows = lambda df, name, order, **fields: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*[F.col(c).alias(k) for k, c in fields.items()]).alias("_x")))), lambda x: x["_x"]).alias(name))
+        units = rows(self.units, "units", ["unit_no"], id="unit_id", kind="kind")
+        spans = rows(self.spans, "spans", ["hunk_no", "span_no"], id="span_id", hunk="hunk_id", side="side", start_line="start_line", end_line="end_line", replaces="replacement_span_id", lines="line_ids")
+        cited = self.citations.withColumn("text", F.when(~F.col("omitted"), F.col("text")))
+        cites = rows(cited, "citations", ["side", "start_line", "citation_id"], id="citation_id", span="span_id", side="side", content_hash="content_hash", omitted="omitted", text="text")
+        files = self.files.select("doc_id", F.col("doc_id").alias("id"), "path", "old_path", "new_path", "status")
+        told = files.join(units, "doc_id", "left").join(spans, "doc_id", "left").join(cites, "doc_id", "left")
+        listed = [F.coalesce(F.col(c), F.array().cast(told.schema[c].dataType)).alias(c) for c in ("units", "spans", "citations")]
+        return told.select("doc_id", F.to_json(F.struct("id", "path", "old_path", "new_path", "status", *listed), {"ignoreNullFields": "false"}).alias("document"))
+
     def markdown(self) -> DataFrame:
         files = self.files.join(self.classes.select("doc_id", "classification", "confidence"), "doc_id")
         return R.evidence_markdown(files, self.units, self.hunks, self.spans, self.lines, self.citations)
@@ -166,6 +180,23 @@ class Explanation:
     owners: DataFrame
 
 
+def load_explanation(spark: SparkSession, path: str) -> Explanation:
+    """The explanation that a JSON file holds; ValueError with every rule of its schema that is broken."""
+    text = spark.read.text(path, wholetext=True).select(F.lit(0).alias("k"), F.col("value").alias("body"))
+    if text.count() != 1:
+        raise ValueError(f"not one document: {path}")
+    _fail(schema_errors(text, "k", "body", load_schema("explanation")).select("path", "error"), "no explanation")
+    item = "array<struct<id: string, kind: string, title: string, before: string, after: string, absence: string, statement: string, references: array<string>, confidence: string>>"
+    told = text.select(F.from_json("body", f"summary string, items {item}, owners array<struct<evidence: string, item: string>>").alias("x")).select("x.*")
+    # a key that stands there with null is there
+    there = lambda c: F.array_contains(F.json_object_keys("_raw"), c)
+    items = text.crossJoin(told.select(F.posexplode("items").alias("p", "i")))  # one document
+    items = items.withColumn("_raw", F.expr("get_json_object(body, concat('$.items[', p, ']'))"))
+    items = items.select(F.col("i.id").alias("item_id"), (F.col("p") + 1).cast("long").alias("ord"), "i.kind", "i.title", "i.before", "i.after", there("before").alias("has_before"), there("after").alias("has_after"), "i.absence", "i.statement", there("statement").alias("has_statement"), "i.references", "i.confidence")
+    owners = told.select(F.posexplode("owners").alias("pos", "o")).select(F.col("pos").cast("long").alias("pos"), F.col("o.evidence").alias("evidence_id"), F.col("o.item").alias("owner_id"))
+    return Explanation(told.first().summary, items, owners)
+
+
 def validate_explanation(evidence: Evidence, told: Explanation, references: DataFrame | None = None) -> DataFrame:
     """Coverage as one row; ValueError with every error that there is."""
     lines, spans, units = evidence.lines, evidence.spans, evidence.units

@@ -1,6 +1,9 @@
+import json
+
 import pytest
 
 from diffloom import api
+from diffloom.functions.schema import schema_errors
 
 PATCH = "diff --git a/app.py b/app.py\nindex aaaa..bbbb 100644\n--- a/app.py\n+++ b/app.py\n@@ -1,2 +1,2 @@\n def f():\n-    return 1\n+    return 2\ndiff --git a/run.sh b/run.sh\nold mode 100644\nnew mode 100755\n"
 ITEM = "item_id string, ord long, kind string, title string, before string, after string, has_before boolean, has_after boolean, absence string, statement string, has_statement boolean, references array<string>, confidence string"
@@ -68,3 +71,31 @@ def test_budget_diagnostics(spark, whole):
     assert len(told) == (1 if whole else 2) and all(r["requested_bytes"] == 300 and r["actual_bytes"] > 300 and r["code"] == "evidence_budget_exceeded" for r in told)
     assert tight.metrics().first().evidence_bytes == sum(r["actual_bytes"] for r in told)
     assert (told[0]["doc_id"] is None) == whole and api.analyze(patches, files, whole=whole).diagnostics().count() == 0
+
+
+def test_documents_follow_their_schema(spark, found):
+    docs = found.documents().cache()
+    read = {x["path"]: x for x in (json.loads(r.document) for r in docs.collect())}
+    assert [len(read["app.py"][k]) for k in ("units", "spans", "citations")] == [1, 2, 2] and read["run.sh"]["spans"] == [] and read["run.sh"]["units"][0]["kind"] == "mode"
+    schema = api.load_schema("evidence")
+    assert schema_errors(docs, "doc_id", "document", schema).count() == 0
+    body = read["app.py"]
+    body["spans"][0]["lines"].append("line_x")
+    body["citations"][0]["omitted"] = True
+    body["units"][0]["kind"] = "other"
+    bad = spark.createDataFrame([(1, json.dumps(body))], "doc_id long, document string")
+    assert {(r.path, r.error) for r in schema_errors(bad, "doc_id", "document", schema).collect()} == {("$.spans[0].lines[1]", "does not match its pattern"), ("$.citations[0].text", "is not of type null"), ("$.units[0].kind", "is none of the allowed values")}
+    with pytest.raises(ValueError, match="unknown schema"):
+        api.load_schema("other")
+
+
+def test_explanations_from_files(spark, found, tmp_path):
+    ids = [r.line_id for r in found.lines.collect()] + [r.unit_id for r in found.units.where("kind <> 'text'").collect()]
+    item = {"id": "i1", "kind": "behavioral", "title": "f returns two", "before": "one", "after": "two", "references": [found.spans.first().span_id], "confidence": "extracted"}
+    body = {"summary": "f returns another number.", "items": [item], "owners": [{"evidence": e, "item": "i1"} for e in ids]}
+    (tmp_path / "good.json").write_text(json.dumps(body))
+    assert api.validate_explanation(found, api.load_explanation(spark, str(tmp_path / "good.json"))).first().line_owned == 2
+    item["kind"], body["extra"] = "praise", 1
+    (tmp_path / "bad.json").write_text(json.dumps(body))
+    with pytest.raises(ValueError, match="extra.*is not allowed|is none of the allowed values"):
+        api.load_explanation(spark, str(tmp_path / "bad.json"))
