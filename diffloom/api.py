@@ -23,7 +23,7 @@ from .operators import scopes as O
 from .operators import validate as V
 from .operators.acquire import acquired
 from .schemas import load_schema
-from .sources.tables import written
+from .sources.tables import unwritten, written
 
 __all__ = ["Evidence", "Explanation", "analyze", "compare", "load_explanation", "load_schema", "render_report", "resolve_comparison", "resolve_repository", "validate_explanation"]
 #: Errors that a message names; all of them count.
@@ -60,8 +60,11 @@ class Evidence:
     or with whole of all files together.
     """
 
+    STORED = ("files", "hunks", "spans")
+
     def __init__(self, patches: DataFrame, snapshot: DataFrame, budget: int = 1_000_000, whole: bool = False):
         self.read, self.snapshot_files, self.most, self.whole = P.Patch(patches, "key", "patch"), snapshot, budget, whole
+        self.graph_status, self.facts = "disabled", patches.sparkSession.createDataFrame([], G.FACT_SCHEMA)
 
     files = cached_property(lambda self: self.read.files.withColumns({"doc_id": F.concat_ws("#", "key", "rec"), "path": F.coalesce("new_path", "old_path")}))
 
@@ -72,19 +75,38 @@ class Evidence:
         rows = self.read.hunks.join(self.files.where(f"NOT ({nested})").select("key", "rec", "doc_id", "path"), ["key", "rec"]).drop("key", "rec")
         return L.with_ids(rows, self.files)
 
-    @cached_property
-    def changed(self) -> DataFrame:
+    @staticmethod
+    def _changed(hunks: DataFrame) -> DataFrame:
         only = F.filter("rows", lambda r: r["kind"] != "keep")
         own = ["doc_id", "path", "old_path", "new_path", "hunk_no", "unit_id", "hunk_id"]
-        rows = self.hunks.select(*own, "old_start", "new_start", F.posexplode(only).alias("ordinal", "r"))
+        rows = hunks.select(*own, "old_start", "new_start", F.posexplode(only).alias("ordinal", "r"))
         return rows.selectExpr(*own, "CAST(ordinal AS LONG) AS ordinal", "r.kind AS side", "IF(r.kind = 'before', old_start + r.o, new_start + r.n) AS line", "r.block", "r.content", "r.content_hash", "r.no_newline")
 
+    changed = cached_property(lambda self: self._changed(self.hunks))
     spans = cached_property(lambda self: L.replacements(L.spans(self.changed)))
     lines = cached_property(lambda self: L.line_rows(self.spans))
-    units = cached_property(lambda self: L.units(self.files, self.hunks))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        """Units; ids of lines are made for hunks with undecodable ones only."""
+        odd = self.hunks.where(F.exists("rows", lambda r: (r["kind"] != "keep") & (r["content_hash"] != F.sha2(r["content"], 256))))
+        return L.units(self.files, self.hunks, L.line_rows(L.spans(self._changed(odd))))
+
     classes = cached_property(lambda self: L.classified(self.files, self.hunks, self.units))
     groups = cached_property(lambda self: L.groups(self.units, self.classes))
 
+    def store(self) -> Evidence:
+        """Writes files, hunks and spans once, which everything else is made of; see release."""
+        for name in self.STORED:
+            self.__dict__[name] = written(self.files.sparkSession, getattr(self, name), name)
+        return self
+
+    def release(self) -> None:
+        """Deletes what store has written; nothing of this evidence can be read afterwards."""
+        for name in self.STORED:
+            if hasattr(self.__dict__.get(name), "_written_at"):
+                unwritten(self.__dict__.pop(name))
+
     @cached_property
     def snapshot(self) -> DataFrame:
         """Lines of the changed files' sides, by file."""
@@ -152,6 +174,14 @@ class Evidence:
         files = self.files.join(self.classes.select("doc_id", "classification", "confidence"), "doc_id")
         return R.evidence_markdown(files, self.units, self.hunks, self.spans, self.lines, self.citations)
 
+    def appendix(self) -> DataFrame:
+        """path, markdown of graph facts and omitted source texts."""
+        return R.appendix_markdown(self.citations, self.facts)
+
+    def overview(self, comparison: str) -> str:
+        """The first page of the evidence: counts, classes, the graph's state, diagnostics."""
+        return R.overview_markdown(self.metrics(self.facts), self.groups, comparison, self.graph_status, self.diagnostics()).first().markdown
+
 
 def compare(before: DataFrame, after: DataFrame, context_lines: int = 3, similarity: int = 50, copies: bool = True, **options) -> Evidence:
     """Checked evidence of two snapshots (path, mode, content as text): their patches are made here, with renames and copies by similarity. options: those of analyze."""
@@ -162,10 +192,11 @@ def compare(before: DataFrame, after: DataFrame, context_lines: int = 3, similar
 
 def analyze(patches: DataFrame, snapshot: DataFrame, budget: int = 1_000_000, symbols: DataFrame | None = None, graph: str = "auto", whole: bool = False) -> Evidence:
     """Checked evidence; with symbols (doc_id, name, line, end_line, confidence, provenance) also its graph facts, by the mode of graph."""
-    found = Evidence(patches, snapshot, budget, whole).check()
+    found = Evidence(patches, snapshot, budget, whole).store().check()
     if symbols is not None:
         changed = found.lines.where("side = 'after'").select("doc_id", "line").distinct()
-        sizes = found.snapshot.where("side = 'after'").groupBy("doc_id", "path").agg(F.max("line").alias("n_lines"))
+        lengths = found.snapshot.where("side = 'after'").groupBy("doc_id").agg(F.max("line").alias("n_lines"))
+        sizes = found.files.where("new_path IS NOT NULL").select("doc_id", F.col("new_path").alias("path")).join(lengths, "doc_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
         facts = G.file_facts(sizes, changed, symbols, symbols.select("doc_id").where("false"), "after")
         found.graph_status, found.facts = G.enriched(facts, graph)
     return found

@@ -14,6 +14,7 @@ from .validate import CONFIDENCE
 #: Lines of a bucket in which ranges meet lines.
 BUCKET = 64
 FACT = ("kind", "side", "path", "line", "symbol", "target", "confidence", "provenance")
+FACT_SCHEMA = "kind string, side string, path string, line long, symbol string, target string, confidence string, provenance string, fact_id string"
 #: Kinds of facts, and modes of enrichment.
 FACT_KINDS = ["definition", "changed_symbol", "enclosing_symbol", "changed_file", "unsupported", "symbol", "caller", "callee", "static_test", "importer"]
 MODES = ("auto", "off", "required")

@@ -99,17 +99,26 @@ def asymmetric(spans_: DataFrame) -> DataFrame:
     return both.where("other_side IS NULL OR other_side = side OR NOT (back <=> span_id)").select("span_id", "replacement_span_id")
 
 
-def units(files: DataFrame, hunks_: DataFrame) -> DataFrame:
+def undecodable(lines: DataFrame) -> DataFrame:
+    """doc_id, undecodable_line_ids: lines whose bytes are no UTF-8, in order; what is shown of them differs from what is hashed."""
+    bad = lines.where(F.col("content_hash") != F.sha2("content", 256))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "ordinal", "line_id"))), lambda x: x["line_id"])
+    return bad.groupBy("doc_id").agg(ids.alias("undecodable_line_ids"))
+
+
+def units(files: DataFrame, hunks_: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Change units in order: text where there are hunks, then non-text ones by the file's facts; unsupported where nothing else is.
 
-    A nested repository has no text unit. metadata: the unit's facts as JSON.
+    A nested repository has no text unit. metadata: the unit's facts as JSON;
+    with lines (line_rows) of hunks from bytes also the ids of undecodable ones.
     """
     text = hunks_.groupBy("doc_id").agg(F.first("file_hash").alias("file_hash"), F.sort_array(F.collect_list(F.when(F.exists("rows", lambda x: x["no_newline"]), F.col("hunk_id"))), True).alias("open_hunks"))
     rows = files.select("doc_id", "path", "binary", "similarity" if "similarity" in files.columns else F.lit(None).cast("string").alias("similarity"), *IDENTITY).join(text, "doc_id", "left")
+    rows = rows.withColumn("undecodable_line_ids", F.lit(None).cast("array<string>")) if lines is None else rows.join(undecodable(lines), "doc_id", "left")
     nested = (F.coalesce("old_mode", F.lit("")) == SUBMODULE) | (F.coalesce("new_mode", F.lit("")) == SUBMODULE)
     fact = lambda kind, *names: F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("metadata"))
     kinds = [
-        F.when(F.col("file_hash").isNotNull() & ~nested, F.struct(F.lit("text").alias("kind"), F.when(F.size("open_hunks") > 0, F.to_json(F.struct(F.col("open_hunks").alias("no_newline")))).otherwise("{}").alias("metadata"))),
+        F.when(F.col("file_hash").isNotNull() & ~nested, F.struct(F.lit("text").alias("kind"), F.to_json(F.struct(F.when(F.size("open_hunks") > 0, F.col("open_hunks")).alias("no_newline"), "undecodable_line_ids")).alias("metadata"))),
         F.when(F.col("binary"), F.struct(F.lit("binary").alias("kind"), F.lit('{"binary":true}').alias("metadata"))),
         F.when(~F.col("old_mode").eqNullSafe(F.col("new_mode")), fact("mode", "new_mode", "old_mode")),
         F.when(F.col("status") == "renamed", fact("rename", "new_path", "old_path")),

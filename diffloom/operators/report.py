@@ -48,6 +48,44 @@ def evidence_markdown(files: DataFrame, units: DataFrame, hunks: DataFrame, span
     return rows.select("doc_id", lines(F.concat(F.lit("### `"), F.coalesce("new_path", "old_path"), F.lit("`")), "", status, "", F.col("unit_text"), F.when(F.col("cite_text").isNotNull(), lines("#### Source citations", "", F.col("cite_text"), ""))).alias("markdown"))
 
 
+def appendix_markdown(citations: DataFrame, facts: DataFrame) -> DataFrame:
+    """path, markdown of what stands behind the files: their graph facts by line, kind and id, and how omitted texts are found again. Facts of no path come under an empty one."""
+    tick = lambda c: F.concat(F.lit("`"), F.col(c), F.lit("`"))
+    at = F.when(F.col("line").isNotNull(), F.concat("path", F.lit(":"), "line")).when(F.col("path") != "", F.col("path")).otherwise("unresolved location")
+    fact = F.concat(F.lit("- "), tick("fact_id"), F.lit(" "), "kind", F.lit(" "), F.coalesce("symbol", F.lit("")), F.lit(" at `"), at, F.lit("` ("), "confidence", F.lit("; "), "provenance", F.lit(")"))
+    told = facts.withColumns({"path": F.coalesce("path", F.lit("")), "_at": F.coalesce("line", F.lit(0))})
+    known = told.groupBy("path").agg(ordered(told, ["side", "_at", "kind", "fact_id"], fact).alias("fact_text"))
+    gone = citations.where("omitted")
+    row = F.concat(F.lit("- "), tick("citation_id"), F.lit(" — retrieve "), tick("path"), F.lit(" "), "side", F.lit(":"), "start_line", F.lit("-"), "end_line", F.lit(" (sha256 "), tick("content_hash"), F.lit(")"))
+    omitted = gone.groupBy("path").agg(ordered(gone, ["side", "start_line", "citation_id"], row).alias("gone_text"))
+    part = lambda title, c: F.when(F.col(c).isNotNull(), lines(f"#### {title}", "", F.col(c), ""))
+    return known.join(omitted, "path", "full").select("path", lines(part("Structural enrichment", "fact_text"), part("Omitted source context", "gone_text")).alias("markdown"))
+
+
+def overview_markdown(metrics: DataFrame, groups: DataFrame, comparison: str, status: str = "disabled", diagnostics: DataFrame | None = None) -> DataFrame:
+    """markdown, one row: what is compared, the counts (of metrics), the groups by class, the state of the graph and diagnostics (code, doc_id, message).
+
+    Diagnostics are counted by code and message, so the page has as many lines as there are classes and codes.
+    """
+    counts = [("files", "files"), ("units", "units"), ("hunks", "hunks"), ("spans", "spans"), ("added_lines", "added lines"), ("deleted_lines", "deleted lines")]
+    told = F.concat_ws(" · ", *[F.concat(F.col(c).cast("string"), F.lit(f" {name}")) for c, name in counts])
+    each = F.concat(F.lit("- "), "group_class", F.lit(": "), "n_units", F.lit(" units (`"), "group_id", F.lit("`)"))
+    page = metrics.crossJoin(groups.agg(ordered(groups, ["group_class"], each).alias("group_text")))  # one row each
+    noted = F.lit(None).cast("string")
+    if diagnostics is not None:
+        by = diagnostics.groupBy("code", F.coalesce("message", F.lit("")).alias("message")).agg(F.count("doc_id").alias("n"))
+        row = F.concat(F.lit("- **"), "code", F.lit("**: "), "message", F.when(F.col("n") > 0, F.concat(F.lit(" ("), "n", F.lit(" files)"))).otherwise(""))
+        page, noted = page.crossJoin(by.agg(ordered(by, ["code", "message"], row).alias("noted"))), F.col("noted")  # one row
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return page.select(
+        lines(
+            "# Evidence", "", f"Comparison: `{comparison}`", "", "## Change ledger", "", told, "", F.when(F.col("files") == 0, "**No changes are present in this comparison.**\n"),
+            F.when(some(F.col("group_text")), lines("## Classes", "", F.col("group_text"), "")), "## Structural enrichment", "", F.concat(F.lit(f"Graph: **{status}**, "), F.col("graph_facts").cast("string"), F.lit(" facts\n")),
+            F.when(some(noted), lines("## Diagnostics", "", noted, "")),
+        ).alias("markdown")
+    )
+
+
 def sections(items: DataFrame) -> DataFrame:
     """Items (item_id, kind, group, ord) routed to report sections, numbered in input order within their group; unresolved ones go with ambiguities."""
     section = F.when(F.col("kind") == "unresolved", "ambiguity").otherwise(F.col("kind"))

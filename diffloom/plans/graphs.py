@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
 from ..functions.symbols import BRACES, SUPPORTED, brace_symbols, code_uses, declared, python_symbols, symbol_scan, symbol_table, unparsed
+from ..operators import citations as C
 from ..operators import graph as G
 from ..sources import code as S
 from ..sources import snapshot as N
 from ..sources.tables import written
-from .base import BASE, PATCH, sid
+from .base import BASE, PATCH, quote, sid
 from .ledgers import BUDGETED
 
 FACT = ", ".join(G.FACT)
@@ -271,4 +272,11 @@ SQL = {
     "ledger_metrics": f"""{BUDGETED}{PATCH}, {GRAPH} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE status = 'added') AS added_files, (SELECT count(*) FROM files WHERE status = 'deleted') AS deleted_files, (SELECT count(*) FROM files WHERE status = 'renamed') AS renamed_files,
   (SELECT count(*) FROM units) AS units, (SELECT count(*) FROM units WHERE kind = 'binary') AS binary_units, (SELECT count(*) FROM units WHERE kind = 'unsupported') AS unsupported_units, (SELECT count(*) FROM hunks) AS hunks, (SELECT count(*) FROM spans) AS spans, (SELECT count(*) FROM ch WHERE side = 'after') AS added_lines, (SELECT count(*) FROM ch WHERE side = 'before') AS deleted_lines, (SELECT count(*) FROM ch) AS changed_lines,
   (SELECT count(*) FROM bud) AS source_citations, (SELECT count(*) FROM bud WHERE omitted) AS omitted_source_contexts, (SELECT count(*) FROM ff) AS graph_facts, (SELECT count(*) FROM ff WHERE confidence IN ('unresolved', 'unavailable') OR kind = 'unsupported') AS unresolved_graph_facts, (SELECT count(DISTINCT group_class) FROM gr0) AS classification_groups, (SELECT CAST(sum(strlen(patch)) AS BIGINT) FROM pt) AS raw_patch_bytes, 1.0::DOUBLE AS line_coverage_ratio, 1.0::DOUBLE AS hunk_coverage_ratio, 1.0::DOUBLE AS unit_coverage_ratio""",
+    "evidence_appendix": f"""{BUDGETED}, {GRAPH}, fa AS (SELECT path, string_agg('- `' || fact_id || '` ' || kind || ' ' || coalesce(symbol, '') || ' at `' || CASE WHEN line IS NOT NULL THEN path || ':' || line WHEN path <> '' THEN path ELSE 'unresolved location' END || '` (' || confidence || '; ' || provenance || ')', chr(10) ORDER BY side, coalesce(line, 0), kind, fact_id) AS fact_text FROM ff GROUP BY path),
+om AS (SELECT path, string_agg('- `' || citation_id || '` — retrieve `' || path || '` ' || side || ':' || start_line || '-' || end_line || ' (sha256 `' || content_hash || '`)', chr(10) ORDER BY side, start_line, citation_id) AS gone_text FROM bud WHERE omitted GROUP BY path)
+SELECT path, concat_ws(chr(10), '#### Structural enrichment' || chr(10) || chr(10) || fact_text || chr(10), '#### Omitted source context' || chr(10) || chr(10) || gone_text || chr(10)) AS markdown FROM fa FULL JOIN om USING (path)""",
+    "evidence_overview": f"""{BUDGETED}, {GRAPH}, ga AS (SELECT string_agg('- ' || group_class || ': ' || n || ' units (`' || {sid('group', 'group_class')} || '`)', chr(10) ORDER BY group_class) AS group_text FROM (SELECT group_class, count(*) AS n FROM gr0 GROUP BY group_class)),
+dg AS (SELECT string_agg('- **' || code || '**: ' || message || ' (' || n || ' files)', chr(10) ORDER BY code, message) AS noted FROM (SELECT code, message, count(*) AS n FROM (SELECT DISTINCT doc_id, CASE WHEN outcome = 'exceeded' THEN {quote(C.EXCEEDED[0])} ELSE {quote(C.OMITTED[0])} END AS code, CASE WHEN outcome = 'exceeded' THEN {quote(C.EXCEEDED[1])} ELSE {quote(C.OMITTED[1])} END AS message FROM bud WHERE outcome <> 'fits') GROUP BY ALL))
+SELECT concat_ws(chr(10), '# Evidence', '', 'Comparison: `documents`', '', '## Change ledger', '', (SELECT count(*) FROM files) || ' files · ' || (SELECT count(*) FROM units) || ' units · ' || (SELECT count(*) FROM hunks) || ' hunks · ' || (SELECT count(*) FROM spans) || ' spans · ' || (SELECT count(*) FROM ch WHERE side = 'after') || ' added lines · ' || (SELECT count(*) FROM ch WHERE side = 'before') || ' deleted lines', '', CASE WHEN (SELECT count(*) FROM files) = 0 THEN '**No changes are present in this comparison.**' || chr(10) END,
+  '## Classes' || chr(10) || chr(10) || group_text || chr(10), '## Structural enrichment', '', 'Graph: **available**, ' || (SELECT count(*) FROM ff) || ' facts' || chr(10), '## Diagnostics' || chr(10) || chr(10) || noted || chr(10)) AS markdown FROM ga, dg""",
 }

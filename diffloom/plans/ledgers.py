@@ -83,6 +83,16 @@ def _evidence(x):
     return R.evidence_markdown(x.files.join(x.classes.select("doc_id", "classification", "confidence"), "doc_id"), x.units, x.hunks, x.linked, x.ids, x.budgeted)
 
 
+def _appendix(x):
+    return R.appendix_markdown(x.store("hunks", "spans").budgeted, _facts(x))
+
+
+def _overview(x):
+    told = x.budgeted.where("outcome <> 'fits'").groupBy("doc_id").agg(F.max("outcome").alias("outcome"))
+    pick = lambda k: F.when(F.col("outcome") == "exceeded", C.EXCEEDED[k]).otherwise(C.OMITTED[k])
+    return R.overview_markdown(_metrics(x), x.groups, "documents", "available", told.select("doc_id", pick(0).alias("code"), pick(1).alias("message")))
+
+
 def _metrics(x):
     x.store("hunks", "spans", "units")
     return L.metrics(x.files, x.hunks, x.spans, x.units, x.budgeted, _facts(x), x.groups, x.patches)
@@ -181,6 +191,8 @@ BUILD = {
     "patch_decode": _bytes,
     "path_quoting": _quoting,
     "evidence_markdown": _evidence,
+    "evidence_appendix": _appendix,
+    "evidence_overview": _overview,
     "patch_source": _patch_source,
     "untracked_files": lambda x: N.untracked(x.files.where("status <> 'added'").select("path"), x.files.select("path", F.coalesce("new_mode", F.lit("100644")).alias("mode"), F.when(F.col("doc_id") % 46 != 0, F.col("text")).otherwise("").alias("content"), F.coalesce("new_blob", F.lit("0" * 40)).alias("object"))),
 }

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .guard import stamp
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,7 +47,15 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage."""
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def unwritten(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Store:
@@ -165,37 +175,81 @@ def repository_store(spark: SparkSession, repository: str) -> Store:
 
 
 class Runs:
-    """A table of runs in two phases: begin() leaves one that awaits its explanation, finish() closes it if nothing about it has changed."""
+    """Runs in two phases: begin() keeps what was analysed and awaits an explanation, finish() adds the report if nothing has changed since.
+
+    A run's artifacts are tables in a folder of its own, written before the row
+    that names them; their files are stamped, and a run whose artifacts aren't
+    what they were can't be finished. A run is complete with its last row only,
+    so one that is killed on the way still awaits its explanation.
+    """
 
     SCHEMA = "run_id string, comparison string, budget long, status string, step int"
+    KEPT = "run_id string, name string, path string, files long, bytes long, stamp long"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.at = spark, f"{folder.rstrip('/')}/runs"
+        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def rows(self) -> DataFrame:
+    def _table(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(self.SCHEMA).parquet(self.at)
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], self.SCHEMA)
+                return self.spark.createDataFrame([], schema)
             raise
 
-    def _add(self, *row) -> None:
-        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.at)
+    def rows(self) -> DataFrame:
+        return self._table("runs", self.SCHEMA)
 
-    def begin(self, comparison: str, budget: int) -> str:
+    def artifacts(self, run: str) -> DataFrame:
+        """name, path, files, bytes, stamp of what a run has kept."""
+        return self._table("kept", self.KEPT).where(F.col("run_id") == run).drop("run_id")
+
+    def _add(self, *row) -> None:
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.folder}/runs")
+
+    def _keep(self, run: str, tables: dict[str, DataFrame]) -> None:
+        kept = []
+        for name, df in tables.items():
+            if not re.fullmatch("[a-z][a-z0-9_]*", name):
+                raise ValueError(f"no name of an artifact: {name!r}")
+            at = f"{self.folder}/artifacts/{run}/{name}"
+            df.write.parquet(at)
+            kept.append((run, name, at, *stamp(self.spark, at)))
+        if kept:
+            self.spark.createDataFrame(kept, self.KEPT).coalesce(1).write.mode("append").parquet(f"{self.folder}/kept")
+
+    def begin(self, comparison: str, budget: int, **tables: DataFrame) -> str:
         run = uuid.uuid4().hex
+        self._keep(run, tables)
         self._add(run, comparison, budget, "awaiting_explanation", 1)
         return run
 
+    def read(self, run: str, name: str) -> DataFrame:
+        """An artifact of a run; ValueError if it has none of that name."""
+        found = self.artifacts(run).where(F.col("name") == name).first()
+        if found is None:
+            raise ValueError(f"run {run} has no artifact {name!r}")
+        return self.spark.read.parquet(found.path)
+
     def state(self, run: str):
         """The run's latest row, None for an unknown run."""
         return self.rows().where(F.col("run_id") == run).orderBy(F.desc("step")).first()
 
-    def finish(self, run: str, comparison: str) -> None:
+    def changed(self, run: str) -> list[str]:
+        """Names of the artifacts whose files aren't where or what they were."""
+        return sorted(a.name for a in self.artifacts(run).collect() if not self._there(a.path) or stamp(self.spark, a.path) != (a.files, a.bytes, a.stamp))
+
+    def _there(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def finish(self, run: str, comparison: str, **tables: DataFrame) -> None:
         last = self.state(run)
         if last is None or last.status != "awaiting_explanation":
             raise ValueError(f"run {run} awaits no explanation")
         if last.comparison != comparison:
             raise ValueError(f"run {run} is of another comparison")
+        if gone := self.changed(run):
+            raise ValueError(f"artifacts of run {run} have changed: {', '.join(gone)}")
+        self._keep(run, tables)
         self._add(run, comparison, last.budget, "complete", last.step + 1)

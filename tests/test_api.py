@@ -32,6 +32,34 @@ def test_evidence(found):
     assert found.diagnostics().count() == 0 and "### `app.py`" in "\n".join(r.markdown for r in found.markdown().collect())
 
 
+def test_overview_and_appendix(spark, found):
+    page = found.overview("c1")
+    assert page.startswith("# Evidence\n\nComparison: `c1`\n\n## Change ledger\n\n2 files · 2 units · 1 hunks · 2 spans · 1 added lines · 1 deleted lines\n")
+    assert "- behavioral: 1 units" in page and "- mode: 1 units" in page and "Graph: **disabled**, 0 facts" in page and "Diagnostics" not in page
+    assert found.appendix().count() == 0
+    patches = spark.createDataFrame([("p", PATCH)], "key string, patch string")
+    symbols = spark.createDataFrame([("p#1", "f", 1, 2, "extracted", "python")], "doc_id string, name string, line long, end_line long, confidence string, provenance string")
+    graph = api.analyze(patches, found.snapshot_files, symbols=symbols, budget=10)
+    told = {r.path: r.markdown for r in graph.appendix().collect()}
+    assert "changed_symbol f at `app.py:1`" in told["app.py"] or "enclosing_symbol f at `app.py:1`" in told["app.py"]
+    page = graph.overview("c")
+    assert "no-changed-lines" in told["run.sh"] and "Graph: **available**" in page and "- **" in page and "(1 files)" in page
+    graph.release()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        graph.lines.count()
+
+
+def test_undecodable_lines(spark):
+    patch = PATCH.encode().replace(b"return 2", b"return \xff")
+    rows = spark.createDataFrame([("p", bytearray(patch))], "key string, patch binary")
+    side = lambda s, path, body: (s, path, bytearray(body))
+    files = spark.createDataFrame([side("before", "app.py", b"def f():\n    return 1\n"), side("after", "app.py", b"def f():\n    return \xff\n"), side("before", "run.sh", b""), side("after", "run.sh", b"")], "side string, path string, content binary")
+    found = api.analyze(rows, files)
+    bad = found.lines.where("side = 'after'").first()
+    assert bad.content == "    return \\xff"
+    assert json.loads(found.units.where("kind = 'text'").first().metadata) == {"undecodable_line_ids": [bad.line_id]}
+
+
 def test_valid_explanation(spark, found):
     row = api.validate_explanation(found, told(spark, found)).first()
     assert (row.line_owned, row.line_total, row.unit_owned, row.unit_total, row.span_ratio, row.citation_count) == (2, 2, 2, 2, 1.0, 1)

@@ -1,3 +1,4 @@
+import shutil
 import json
 
 import pytest
@@ -180,6 +181,26 @@ def test_store_and_runs(spark, tmp_path):
         runs.finish(run, "c")
 
 
+def test_run_artifacts(spark, tmp_path):
+    runs = tables.Runs(spark, str(tmp_path))
+    run = runs.begin("c", 10, lines=spark.range(5), units=spark.range(2))
+    assert runs.read(run, "lines").count() == 5 and sorted(r.name for r in runs.artifacts(run).collect()) == ["lines", "units"]
+    with pytest.raises(ValueError, match="no artifact"):
+        runs.read(run, "other")
+    with pytest.raises(ValueError, match="no name"):
+        runs.begin("c", 10, **{"../x": spark.range(1)})
+    runs.finish(run, "c", report=spark.range(1))
+    assert runs.read(run, "report").count() == 1 and runs.state(run).status == "complete"
+    run = runs.begin("c", 10, lines=spark.range(5))
+    spark.range(1).write.mode("append").parquet(f"{tmp_path}/artifacts/{run}/lines")
+    assert runs.changed(run) == ["lines"]
+    with pytest.raises(ValueError, match="have changed: lines"):
+        runs.finish(run, "c")
+    assert runs.state(run).status == "awaiting_explanation"
+    shutil.rmtree(f"{tmp_path}/artifacts/{run}/lines")
+    assert runs.changed(run) == ["lines"]
+
+
 def test_load_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1}')
     assert tables.load_json(spark, str(tmp_path / "a.json"), "a long").first().a == 1
