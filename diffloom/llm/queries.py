@@ -12,7 +12,7 @@ from .ngram_join import OP1_SQL, op1_ngram_join
 from .paragraph_dedup import op9_paragraph_dedup
 from .pii import OP10_SQL, op10_personal_data
 from .quality import OP3_SQL, op3_quality_rules
-from .secrets import op4_secret_scan
+from .secrets import OP4_SQL, op4_secret_scan
 from .token_counts import op6_token_counts
 from .warc import OP7_SQL, op7_warc
 
@@ -40,4 +40,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-SQL = {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op10_personal_data": OP10_SQL, "op11_code_compression": OP11_SQL, "op12_exact_top_k": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
+SQL = {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op4_secret_scan": OP4_SQL, "op7_warc": OP7_SQL, "op10_personal_data": OP10_SQL, "op11_code_compression": OP11_SQL, "op12_exact_top_k": OP12_SQL, "op13_fill_in_middle": OP13_SQL}

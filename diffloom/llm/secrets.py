@@ -119,3 +119,30 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ", ".join(f"'{k}'" for k in BASE)
     counts = [f"CAST(size(filter(spans, x -> x.kind = '{k}')) AS LONG) AS n_{k}" for k in BASE]
     return secret_spans(table(spark, sf_dir, "documents")).selectExpr("doc_id", *counts, f"sha2({text.format(f'filter(spans, x -> x.kind IN ({kinds}))')}, 256) AS base_sha256", f"{text.format('spans')} AS spans")
+
+
+_ASSIGN = """(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: As this engine's patterns look neither ahead nor behind, checked tokens are matched with the character behind them, jwt with the one before.
+_SQL_KINDS = {
+    "assign": _ASSIGN,
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]{32,}",
+    "checked": "(?:gh[pousr]_|npm_)[A-Za-z0-9]{36}(?:[^A-Za-z0-9]|$)",
+    "jwt": "(?:^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+",
+}
+_all = " UNION ALL ".join(f"SELECT rid, '{kind}' AS kind, {k} AS k, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS seps FROM d" for k, (kind, p) in enumerate(_SQL_KINDS.items()))
+_crc = "xor(list_reduce(list_prepend(4294967295, list_transform(range(5, 35), lambda i: CAST(ascii(substr(m, i, 1)) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+_digits = " || ".join(f"substr('{DIGITS}', CAST(n // {62**k} % 62 AS INTEGER) + 1, 1)" for k in range(5, -1, -1))
+#: The same with the rest of the method: checksums bit by bit, headers decoded.
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT rid, kind, k, unnest(ms) AS m, unnest(seps[:len(ms)]) AS sep, generate_subscripts(ms, 1) AS i FROM ({_all})),
+y AS (SELECT *, CAST(sum(length(sep) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) - length(m) AS BIGINT) AS begun FROM x),
+c AS (SELECT *, CASE WHEN kind = 'checked' THEN {_crc} END AS n, CASE WHEN kind = 'jwt' THEN translate(regexp_extract(m, 'eyJ[A-Za-z0-9_-]+'), '-_', '+/') END AS header FROM y),
+h AS (SELECT *, TRY(decode(from_base64(header || repeat('=', (4 - length(header) % 4) % 4)))) AS body FROM c),
+s AS (SELECT rid, kind, k, begun + CASE WHEN kind = 'jwt' AND NOT starts_with(m, 'eyJ') THEN 1 ELSE 0 END AS a, CASE WHEN kind = 'checked' THEN begun + 40 ELSE begun + length(m) END AS z FROM h
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, '{_ASSIGN}', 1)) >= 8 WHEN 'access' THEN length(m) >= 16 WHEN 'hex' THEN true
+    WHEN 'checked' THEN substr(m, 35, 6) = {_digits} ELSE coalesce(json_valid(body) AND json_type(TRY(body::JSON)) = 'OBJECT' AND list_contains(json_keys(TRY(body::JSON)), 'alg'), false) END),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < 3) AS base FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""

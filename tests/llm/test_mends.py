@@ -1,9 +1,13 @@
+import base64
+import json
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from diffloom.llm import line_dedup, ngram_join, shared
+from diffloom.llm import line_dedup, ngram_join, secrets, shared
 
 from . import brute
 
@@ -72,3 +76,22 @@ def test_pairs_at_the_limit_are_decided_by_whole_hashes(spark):
     both = {k: len(np.intersect1d(a, x)) for k, x in sets.items()}
     assert got == [k for k in range(2, 7) if 100 * both[k] >= 80 * (2 * len(a) - both[k])]
     assert sorted(set(asked)) == [1, 2, 3, 4]
+
+
+def test_secret_sql_on_random_texts():
+    """The SQL has the same spans as the operator, checksums and headers included."""
+    r = random.Random(4)
+    parts = ["password", "PassWd", "ſecret", "toKen", "api_key", "APIKEY", ":", "=", " ", '"', "AKIA", "0", "deadbeef" * 5, "abcDEF12", "ghp_", "eyJ", ".", "-", "\n", "é", "a" * 36]
+
+    def planted():
+        body = "".join(r.choice(secrets.DIGITS) for _ in range(30))
+        header = json.dumps(r.choice([{"alg": "x"}, {"a": 1}, [1], "alg", {"alg": {"k": "ÿ"}}]), ensure_ascii=r.random() < 0.5)
+        return r.choice(["ghp_" + body + secrets.checksum(body), base64.urlsafe_b64encode(header.encode()).decode().rstrip("=") + r.choice(["", "A"]) + ".ab-.q_1"])
+
+    texts = ["".join(planted() if r.random() < 0.2 else r.choice(parts) for _ in range(r.randrange(14))) for _ in range(4000)] + [None, ""]
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)}))
+    got = dict(c.sql(f"SELECT doc_id, spans FROM ({secrets.OP4_SQL})").fetchall())
+    keywords = secrets.automaton()
+    want = {k: secrets.joined(secrets.spans_of(t or "", keywords)) for k, t in enumerate(texts)}
+    assert got == want and any("checked" in x for x in want.values()) and any("jwt" in x for x in want.values())
