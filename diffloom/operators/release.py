@@ -197,11 +197,16 @@ def instantiated(template: DataFrame, hunks: DataFrame, units: DataFrame, lines:
     return own.unionByName(of_unit.where("owner_id IS NOT NULL").select("evidence_id", "owner_id")), twice.unionByName(lost).unionByName(bare).unionByName(unowned)
 
 
+#: Seconds since 1970 that a time of Spark's has at most, a day less, so that no zone's shift leaves its range.
+LAST_SECOND = (1 << 63) // 10**6 - 86_400
+
+
 def utc(value: Column) -> Column:
-    """An ISO-8601 time with a zone, or whole seconds since 1970, as UTC with Z; null for others, such as times without a zone."""
+    """An ISO-8601 time with a zone, or whole seconds since 1970, as UTC with Z; null for others, such as times without a zone and seconds beyond LAST_SECOND. Years after 9999 have their digits, without a sign."""
     zoned = value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})$")
-    at = F.when(value.rlike(r"^[0-9]{1,11}$"), F.timestamp_seconds(value.try_cast("long"))).when(zoned, F.try_to_timestamp(F.replace(value, F.lit(" "), F.lit("T"))))
-    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    number = F.when(value.rlike(r"^[0-9]+$"), value.try_cast("long"))
+    at = F.coalesce(F.timestamp_seconds(F.when(number <= LAST_SECOND, number)), F.when(zoned, F.try_to_timestamp(F.replace(value, F.lit(" "), F.lit("T")))))
+    return F.regexp_replace(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), r"^\+", "")
 
 
 def canonical_name(name: Column) -> Column:
