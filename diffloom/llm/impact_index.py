@@ -38,8 +38,9 @@ from .code_compression import LONG, integer_vectors, matrix
 from .shared import Scratch, table
 
 SCALE, K, EVERY = 64, 20, 20
-#: Components of a group's vectors and of a block's; a task holds one of each with its bounds.
-GROUP, BLOCK = 1 << 20, 1 << 16
+#: Components of a group's vectors and of a block's; a task holds one of each with its bounds. Each block takes a copy of
+#: the index, so blocks are only smaller, by SPLIT at most, where there would be fewer than TASKS pairs for a core.
+GROUP, BLOCK, SPLIT, TASKS = 1 << 20, 1 << 19, 8, 2
 #: Bits of an impact that are kept, and the shares of the postings after which a pass ends.
 BITS, PASSES = 5, (0.5, 0.75, 0.9, 1.0)
 #: A query stops where no more than one in so many rows of a group is a possible member.
@@ -187,13 +188,14 @@ def build_index(rows: DataFrame) -> DataFrame:
 
 
 def pack_queries(rows: DataFrame) -> DataFrame:
-    """A row for each block of rows (block, key, id, v): block, qkeys, qids, qvectors, qdims."""
+    """A row for each block of rows (block, key, id, v): block, qkeys, qids, qvectors, qkind, qdims."""
 
     def run(group, t):
         ids, keys, values = _arrays(t)
-        return pa.table({"block": pa.array([group[0].as_py()], pa.int64()), "qkeys": pa.array([keys.tobytes()], pa.binary()), "qids": pa.array([ids], pa.list_(pa.int64())), "qvectors": pa.array([values.tobytes()], pa.binary()), "qdims": pa.array([values.shape[1]], pa.int32())})
+        vectors, kind = packed(values)
+        return pa.table({"block": pa.array([group[0].as_py()], pa.int64()), "qkeys": pa.array([keys.tobytes()], pa.binary()), "qids": pa.array([ids], pa.list_(pa.int64())), "qvectors": pa.array([vectors], pa.binary()), "qkind": pa.array([kind]), "qdims": pa.array([values.shape[1]], pa.int32())})
 
-    return rows.groupBy("block").applyInArrow(run, "block long, qkeys binary, qids array<long>, qvectors binary, qdims int")
+    return rows.groupBy("block").applyInArrow(run, "block long, qkeys binary, qids array<long>, qvectors binary, qkind string, qdims int")
 
 
 def search(index: DataFrame, queries: DataFrame, groups: int, blocks: int, k: int) -> DataFrame:
@@ -205,7 +207,7 @@ def search(index: DataFrame, queries: DataFrame, groups: int, blocks: int, k: in
                 row = batch.slice(i, 1).to_pylist()[0]
                 qdims, found = row["qdims"], ([], [], [], [], [], [])
                 query_keys = np.frombuffer(row["qkeys"], np.int64)
-                queries, keys = np.frombuffer(row["qvectors"], np.int64).reshape(len(query_keys), qdims), np.frombuffer(row["keys"], np.int64)
+                queries, keys = np.frombuffer(row["qvectors"], row["qkind"]).astype(np.int64).reshape(len(query_keys), qdims), np.frombuffer(row["keys"], np.int64)
                 for q, r, s in best(Index(row), row["ids"], keys, queries, query_keys, k):
                     for column, x in zip(found, (query_keys[q], row["qids"][q], keys[r], row["ids"][r], max(-LONG - 1, min(LONG, s)), (s + HALF).to_bytes(WIDTH)), strict=True):
                         column.append(x)
@@ -213,7 +215,8 @@ def search(index: DataFrame, queries: DataFrame, groups: int, blocks: int, k: in
 
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     right = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    return left.join(right, ["grp", "block"]).mapInArrow(run, "query long, query_id long, key long, vec_id long, score long, exact binary")
+    # merged, as neither side may pass through the driver: Spark takes the queries' file for their size, of which there is a copy for each group
+    return left.hint("merge").join(right, ["grp", "block"]).mapInArrow(run, "query long, query_id long, key long, vec_id long, score long, exact binary")
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, group: int = GROUP, block: int = BLOCK) -> DataFrame:
@@ -223,6 +226,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K,
     rows = scratch.keep(integer_vectors(flagged, scale).select(F.monotonically_increasing_id().alias("key"), F.col("id").cast("long").alias("id"), "asks", "v"))
     n, asked, dims = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).head()
     groups, blocks = (max(1, -(-count * max(dims or 0, 1) // most)) for count, most in ((n, group), (asked, block)))
+    blocks = max(blocks, min(-(-asked * max(dims or 0, 1) * SPLIT // block), -(-TASKS * spark.sparkContext.defaultParallelism // groups)))
     dealt = lambda m, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(m)).cast("long")
     index = scratch.keep(build_index(rows.withColumn("grp", dealt(groups, 1))))
     queries = scratch.keep(pack_queries(rows.where("asks").withColumn("block", dealt(blocks, 2))))

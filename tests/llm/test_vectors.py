@@ -186,3 +186,10 @@ def test_kernel_over_slices(cut):
         columns = fill_middle.transformed(list(range(i, j)), array.slice(i, j - i))
         got += zip(range(i, j), *(c.to_pylist() for c in columns), strict=True)
     assert got == [plain_middle(k, t) for k, t in enumerate([*texts, None])]
+
+
+def test_no_side_of_a_search_is_broadcast(spark):
+    """The queries' file is small; with a copy for each group they are not."""
+    rows = vector_rows(spark, some_vectors(1, 400, 16)).withColumn("vec_id", F.col("vec_id").cast("long"))
+    plan = impact_index.top_k(spark, rows, F.col("vec_id") % 20 == 0, group=900, block=40)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
