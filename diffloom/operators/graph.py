@@ -230,22 +230,24 @@ def neighbours(chosen: DataFrame, edges: DataFrame) -> DataFrame:
 def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Reachability over (node, parent): node, ancestor, itself included, each pair once.
 
-    Each round joins what is known with itself, so paths double in length: a
-    chain of n links takes log2(n) rounds, and there is no limit to its length.
-    Cycles are allowed. Rounds are written tables.
+    Pairs have their distance. If all of up to L steps are known, one of L + 1 to
+    2 L is one of exactly L and a known one behind it, so lengths double in each
+    round, and a pair is made once for each node that lies L steps away and
+    between, not for each between. A chain of n links takes log2(n) rounds, and
+    there is no limit to its length. Cycles are allowed. Only new pairs are written.
     """
-    links = edges.select("node", F.col("parent").alias("ancestor")).where("node <> parent").distinct()
     ends = edges.select(F.explode(F.array("node", "parent")).alias("node")).distinct().select("node", F.col("node").alias("ancestor"))
-    reach = written(spark, links, "reach")
-    n = reach.count()
-    while True:
-        on = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
-        new = written(spark, reach.unionByName(reach.join(on, "ancestor").select("node", F.col("further").alias("ancestor"))).distinct(), "reach")
-        m = new.count()
-        reach = new
-        if m == n:
-            return reach.where("node <> ancestor").unionByName(ends)
-        n = m
+    reach = written(spark, edges.where("node <> parent").select("node", F.col("parent").alias("ancestor")).distinct().withColumn("steps", F.lit(1)), "reach")
+    length = 1
+    while not (far := reach.where(f"steps = {length}")).isEmpty():
+        # dealt by node alone: once, for what lies behind and for what is known already
+        by_node = reach.repartition("node")
+        behind = by_node.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("steps").alias("more"))
+        made = far.select("node", "ancestor").join(behind, "ancestor").where("node <> further").select("node", F.col("further").alias("ancestor"), (F.col("more") + length).alias("steps"))
+        nearest = by_node.unionByName(made.repartition("node")).groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
+        reach = reach.unionByName(written(spark, nearest.where(f"steps > {length}"), "reach"))
+        length *= 2
+    return reach.select("node", "ancestor").unionByName(ends)
 
 
 def _followed(spark: SparkSession, links: DataFrame) -> DataFrame:

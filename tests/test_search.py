@@ -72,3 +72,22 @@ def test_places_and_sums(spark, partitions):
         want[k] = n + 1, total
     assert got == want
     assert order.placed(df.where("false"), [F.col("id")]).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "n", "parents"), [(4, 70, 2), (5, 50, 3)])
+def test_closure_makes_few_pairs_twice(spark, monkeypatch, seed, n, parents):
+    """Pairs are those of brute force, cycles included, and are written once."""
+    r, sizes = random.Random(seed), []
+
+    def counting(s, df, label):
+        out = tables.written(s, df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counting)
+    edges = {k: {r.randint(max(0, k - 6), k - 1) for _ in range(r.randint(1, parents))} for k in range(1, n)} | {0: {3} if seed == 4 else {0}}
+    rows = spark.createDataFrame([(k, p) for k, ps in edges.items() for p in ps], "node long, parent long")
+    got = [(x.node, x.ancestor) for x in graph.ancestors(spark, rows).collect()]
+    want = {(k, a) for k in edges for a in up_of(edges, k)}
+    assert len(got) == len(want) and set(got) == want
+    assert sum(sizes) == len(want) - n
