@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import bytes_of, table
 
 #: Values of ours: status by doc_id % 23 (others are modified); directory and ending of the path by doc_id % 20.
 STATUS = {0: "added", 1: "deleted", 2: "renamed", 3: "copied", 4: "mode", 5: "binary", 6: "submodule"}
@@ -20,13 +20,18 @@ PLACES = [
     "misc|.bin", "src/ui|.go", "deps|/Cargo.lock", "etc|/.eslintrc", "etc|/Makefile", "src|/api.schema.graphql", "web|/page.test.tsx", "notes|.rst", "ci/.github|/run.sh", "src|.JSX",
 ]
 CONTEXT = 3
+#: Bytes of stored documents that a task takes, about; lines with their windows need many times that.
+SHARE = 8 << 20
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEHIND = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file: doc_id, source, text, path, old_path, new_path, status, modes, blobs, edit (rule for its lines), eof (no line feed at the end)."""
-    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", "text").repartition("doc_id")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", "text")
+    # where Spark's number of partitions would make large ones (or it would join small ones to large ones), there are as many as the input has shares
+    shares = -(-bytes_of(spark, f"{sf_dir}/documents.parquet") // SHARE)
+    docs = docs.repartition(shares, "doc_id") if shares > spark.sparkContext.defaultParallelism else docs.repartition("doc_id")
     rule = F.coalesce(*[F.when(F.col("doc_id") % 23 == k, F.lit(v)) for k, v in STATUS.items()], F.lit("modified"))
     place = F.split(F.element_at(F.array(*[F.lit(p) for p in PLACES]), (F.col("doc_id") % len(PLACES) + 1).cast("int")), r"\|")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), place[0], F.concat(F.lit("doc_"), F.col("doc_id"), place[1]))
