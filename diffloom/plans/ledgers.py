@@ -13,7 +13,7 @@ from ..operators import report as R
 from ..operators import validate as V
 from ..sources import snapshot as N
 from ..sources.patch_files import patch_records
-from ..sources.tables import shared_dir
+from ..sources.tables import shared_dir, written
 from .base import BASE, BUDGET, PATCH, Ledger, digest, quote, sid
 
 ID = "hunk_id, doc_id, hunk_no, old_start, old_count, new_start, new_count, n_blocks, heading, raw_patch_bytes, patch_hash"
@@ -117,7 +117,8 @@ def _fault_patches(x):
 
 
 def _patch_errors(x):
-    return P.Patch(_fault_patches(x), "doc_id").errors.selectExpr("key AS doc_id", "rec", "hunk_no", "error")
+    # a patch is read in six branches, so patches are written once
+    return P.Patch(written(x.spark, _fault_patches(x), "patches"), "doc_id").errors.selectExpr("key AS doc_id", "rec", "hunk_no", "error")
 
 
 def _parsed(x):
