@@ -126,8 +126,8 @@ def _parsed(x):
 
 
 def _patch_ledger(x):
-    """Ids of a ledger that is made from parsed patches alone."""
-    read = _parsed(x)
+    """Ids of a ledger that is made from parsed patches alone. They are read in several branches and so written once."""
+    read = P.Patch(written(x.spark, x.patches, "patches"), "path")
     files = read.files.where("coalesce(new_mode, old_mode, '') <> '160000'").withColumn("doc_id", F.col("key"))
     hunks = read.hunks.withColumnRenamed("key", "doc_id").join(files.select("doc_id", "rec"), ["doc_id", "rec"]).drop("rec")
     named = L.with_ids(hunks.withColumn("path", F.col("doc_id")), files)

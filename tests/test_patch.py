@@ -137,3 +137,20 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / name).write_text(text)
         ledger_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize("text", ["", "plain name", 'a"b\\c', "tab\there", "é\n\x7f~!", '"', "\\\\", "x\x00y \U0001f600 end", "#[]^"])
+def test_quoting_by_runs(spark, text):
+    """As each character on its own: bytes outside printable ASCII as three octal digits."""
+    rows = spark.createDataFrame([(text,)], "t string").select(T.quoted(F.col("t"), "a/").alias("q")).select("q", T.display(T.unquoted(T.byte_text(F.encode("q", "UTF-8")))).alias("back"))
+    want = "".join("\\" + chr(b) if chr(b) in '"\\' else chr(b) if 32 <= b <= 126 else f"\\{b:03o}" for b in f"a/{text}".encode())
+    assert tuple(rows.head()) == (f'"{want}"', f"a/{text}")
+
+
+@pytest.mark.parametrize("name", ["patch_errors", "patch_ledger"])
+def test_documents_are_read_once_for_patches(spark, name):
+    """What a query plans after the patches are written reads those, and documents no more."""
+    from diffloom.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan
