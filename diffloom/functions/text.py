@@ -56,15 +56,18 @@ def unquoted(value: Column) -> Column:
         letter = F.coalesce(*[F.when(rest == k, F.lit(chr(v))) for k, v in ESCAPES.items()], rest)
         return F.when(~p.startswith("\\"), p).when(rest.rlike("^[0-7]"), F.char(F.conv(rest, 8, 10).cast("long"))).otherwise(letter)
 
-    whole = value.endswith('"') & (F.length(value) > 1) & ~F.exists(pieces, lambda p: p == "\\")
-    return F.when(~value.startswith('"'), value).when(whole, F.array_join(F.transform(pieces, plain), ""))
+    read = lambda found: F.when(~F.exists(found, lambda p: p == "\\"), F.array_join(F.transform(found, plain), ""))
+    whole = value.endswith('"') & (F.length(value) > 1)
+    return F.when(~value.startswith('"'), value).when(whole, let(pieces, read))
 
 
 def quoted(path: Column, prefix: str = "") -> Column:
     """A path in C-style quotes, other than printable ASCII as three octal digits of each byte."""
-    chars = F.filter(F.split(byte_text(F.encode(F.concat(F.lit(prefix), path), "UTF-8")), ""), lambda c: c != "")
+    plain = r'[\x20\x21\x23-\x5B\x5D-\x7E]'
+    # runs of printable characters stay whole
+    pieces = F.regexp_extract_all(byte_text(F.encode(F.concat(F.lit(prefix), path), "UTF-8")), F.lit(f"(?s){plain}+|."), F.lit(0))
     octal = lambda c: F.concat(F.lit("\\"), F.lpad(F.conv(F.conv(F.hex(raw_bytes(c)), 16, 10), 10, 8), 3, "0"))
-    return F.concat(F.lit('"'), F.array_join(F.transform(chars, lambda c: F.when(c.isin('"', "\\"), F.concat(F.lit("\\"), c)).when(c.rlike(r"^[\x20-\x7E]$"), c).otherwise(octal(c))), ""), F.lit('"'))
+    return F.concat(F.lit('"'), F.array_join(F.transform(pieces, lambda c: F.when(c.rlike(f"^{plain}"), c).when(c.isin('"', "\\"), F.concat(F.lit("\\"), c)).otherwise(octal(c))), ""), F.lit('"'))
 
 
 def ascii_json(text: Column) -> Column:

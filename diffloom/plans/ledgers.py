@@ -144,11 +144,12 @@ def _bytes(x):
 
 
 def _quoting(x):
-    from ..functions.text import byte_text, display, quoted, unquoted
+    from ..functions.text import byte_text, display, fenced, quoted, unquoted
 
     odd = F.concat("text", F.lit('\t"\\'))
     rows = x.files.select("doc_id", odd.alias("p")).select("doc_id", "p", quoted(F.col("p")).alias("q"))
-    return rows.select("doc_id", F.length("q").cast("long").alias("n_quoted"), (display(unquoted(byte_text(F.encode("q", "UTF-8")))) == F.col("p")).alias("same"))
+    back = fenced(rows.select("doc_id", "p", F.length("q").cast("long").alias("n_quoted"), unquoted(byte_text(F.encode("q", "UTF-8"))).alias("u")))
+    return back.select("doc_id", "n_quoted", (display(F.col("u")) == F.col("p")).alias("same"))
 
 
 #: name: function of a Ledger.
