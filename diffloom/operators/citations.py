@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import stable_id
 from ..functions.text import ascii_json
 from ..sources.tables import written
-from .ledger import digest, listed
+from .ledger import digest, listed, together
 from .order import placed
 
 #: Values of ours: what a citation's text can be fetched by, and the messages of the budget.
@@ -24,12 +24,19 @@ def snapshot_lines(placed: DataFrame) -> DataFrame:
 
 
 def citations(spans: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """One per span: the lines of its range on its side, joined by line feeds. Every line of a range meets its snapshot line by number."""
+    """One per span: the lines of its range on its side, joined by line feeds. Every line of a range meets its snapshot line by number.
+
+    They meet in a window over both (see ledger.together).
+    """
     path = F.when(F.col("side") == "before", F.col("old_path")).otherwise(F.col("new_path"))
-    own = ["doc_id", "side", "path", "span_id", "start_line", "end_line", "cited"]
-    s = spans.select("doc_id", "side", path.alias("path"), "span_id", "start_line", "end_line", F.array_join("line_ids", ",").alias("cited"), F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    rows = s.join(snapshot.select("doc_id", "side", "line", "content"), ["doc_id", "side", "line"])
-    out = rows.groupBy(*own).agg(listed(F.array_sort(F.collect_list(F.struct("line", "content"))), "content", "\n").alias("text"), F.count("*").alias("n"))
+    s = spans.select("doc_id", "side", path.alias("path"), "span_id", "start_line", "end_line", F.array_join("line_ids", ",").alias("cited"))
+    # what a span has besides its lines goes with its first line
+    rest = ["path", "start_line", "end_line", "cited"]
+    lines = F.explode(F.when(F.col("span_id").isNotNull(), F.sequence("start_line", "end_line")).otherwise(F.array("line"))).alias("line")
+    both = together("doc_id", s, snapshot.select("doc_id", "side", "line", "content")).select("doc_id", "side", "span_id", "content", F.when(F.col("span_id").isNotNull(), F.struct(*rest)).alias("own"), lines)
+    at = "OVER (PARTITION BY doc_id, side, line)"
+    rows = both.selectExpr("doc_id", "side", "span_id", "line", "IF(line = own.start_line, own, NULL) AS own", f"max(content) {at} AS content", f"count(content) {at} AS n").where("span_id IS NOT NULL AND n > 0")
+    out = rows.groupBy("doc_id", "side", "span_id").agg(listed(F.array_sort(F.collect_list(F.struct("line", "content"))), "content", "\n").alias("text"), F.sum("n").alias("n"), F.max("own").alias("own")).select("doc_id", "side", "own.path", "span_id", "own.start_line", "own.end_line", "own.cited", "text", "n")
     return out.where("n = end_line - start_line + 1").withColumn("citation_id", stable_id("source", "path", "side", "start_line", "end_line", "cited")).withColumn("content_hash", F.sha2("text", 256)).drop("cited", "n")
 
 

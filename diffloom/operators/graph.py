@@ -44,7 +44,7 @@ def enclosing(changed: DataFrame, symbols: DataFrame) -> DataFrame:
     around it and not all of its file.
     """
     s = symbols.selectExpr("doc_id", "name", "line AS start", "end_line AS stop", f"explode(sequence(line div {BUCKET}, coalesce(end_line, line) div {BUCKET})) AS bucket")
-    return changed.withColumn("bucket", F.expr(f"line div {BUCKET}")).join(s, ["doc_id", "bucket"]).where("line = start OR (line > start AND line <= stop)").drop("bucket")
+    return changed.withColumn("bucket", F.expr(f"line div {BUCKET}")).join(s.hint("merge"), ["doc_id", "bucket"]).where("line = start OR (line > start AND line <= stop)").drop("bucket")
 
 
 def selected(changed: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def file_facts(files: DataFrame, changed: DataFrame, symbols: DataFrame, unparse
     enclosing symbol for each symbol selected, an unresolved row for each line
     without one, and one if a changed line lies beyond the file's end.
     """
-    has = files.join(changed.groupBy("doc_id").agg(F.max("line").alias("last")), "doc_id", "left").join(unparsed.withColumn("broken", F.lit(True)), "doc_id", "left")
+    has = files.join(changed.groupBy("doc_id").agg(F.max("line").alias("last")).hint("merge"), "doc_id", "left").join(unparsed.withColumn("broken", F.lit(True)).hint("merge"), "doc_id", "left")
     state = F.when(F.col("last").isNull(), "no-changed-lines").when(~F.coalesce(suffix_of("path").isin(SUPPORTED), F.lit(False)), "unsupported-language").when(F.col("broken"), "parse-unavailable")
     told = has.withColumn("state", state)
     null = F.lit(None).cast("string")
@@ -82,13 +82,13 @@ def file_facts(files: DataFrame, changed: DataFrame, symbols: DataFrame, unparse
     plain = told.where("state IS NOT NULL")
     first = row(plain, F.when(F.col("state") == "unsupported-language", "unsupported").otherwise("changed_file"), F.lit(None), null, F.when(F.col("state") == "no-changed-lines", "unresolved").otherwise("unavailable"), F.concat(F.lit("graph:"), "state"))
     read = told.where("state IS NULL").select("doc_id", "path", "n_lines")
-    lines = changed.join(read, "doc_id")
+    lines = changed.join(read.hint("merge"), "doc_id")
     valid = lines.where("line BETWEEN 1 AND n_lines").select("doc_id", "line").distinct()
     chosen = selected(valid, symbols)
-    per = chosen.groupBy("doc_id", "name", F.col("start").alias("line")).agg(F.max("direct").alias("direct")).join(symbols.select("doc_id", "name", "line", F.col("confidence").alias("sure"), "provenance"), ["doc_id", "name", "line"]).join(read.select("doc_id", "path"), "doc_id")
+    per = chosen.groupBy("doc_id", "name", F.col("start").alias("line")).agg(F.max("direct").alias("direct")).join(symbols.select("doc_id", "name", "line", F.col("confidence").alias("sure"), "provenance").hint("merge"), ["doc_id", "name", "line"]).join(read.select("doc_id", "path").hint("merge"), "doc_id")
     two = F.explode(F.array(F.struct(F.lit("definition").alias("k"), F.col("sure").alias("c")), F.struct(F.when(F.col("direct"), "changed_symbol").otherwise("enclosing_symbol").alias("k"), F.when(F.col("direct"), F.col("sure")).otherwise("inferred").alias("c"))))
     second = row(per.withColumn("x", two), F.col("x.k"), F.col("line"), F.col("name"), F.col("x.c"), F.col("provenance"))
-    lost = valid.join(chosen.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti").join(read.select("doc_id", "path"), "doc_id")
+    lost = valid.join(chosen.select("doc_id", "line").distinct().hint("merge"), ["doc_id", "line"], "left_anti").join(read.select("doc_id", "path").hint("merge"), "doc_id")
     third = row(lost, F.lit("changed_file"), F.col("line"), null, F.lit("unresolved"), F.lit("graph:no-verified-containment"))
     beyond = lines.where("line < 1 OR line > n_lines").select("doc_id", "path").distinct()
     fourth = row(beyond, F.lit("changed_file"), F.lit(None), null, F.lit("unresolved"), F.lit("graph:invalid-changed-line"))

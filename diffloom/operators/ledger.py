@@ -2,7 +2,8 @@
 
 A hunk row carries its lines as an array, a span row its members, so that the
 ids chain from file to hunk, span and line without a join: an id hashes the
-ids above it. All of it runs in the partitions that hold the files.
+ids above it. Tables that meet by file are merged, as they lie by file already,
+and never sent to the driver. All of it runs in the partitions that hold the files.
 """
 
 from __future__ import annotations
@@ -30,6 +31,22 @@ def listed(rows: Column, field: str, sep: str) -> Column:
     return F.array_join(F.transform(rows, lambda x: x[field]), sep)
 
 
+def together(by: str, first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The rows of several tables under one another, with null where a table lacks a column, of the keys that all of them have.
+
+    They are packed to a row for each key and unpacked behind a merge by the key
+    alone: tables that lie by it aren't shuffled, neither here nor where the
+    rows are then grouped by it and others. A join by it and others, or a union, would.
+    """
+    types = {f.name: f.dataType for t in (first, *others) for f in t.schema.fields if f.name != by}
+    column = lambda t, c: F.col(c).cast(types[c]) if c in t.columns else F.lit(None).cast(types[c])
+    packed = [t.groupBy(by).agg(F.collect_list(F.struct(*[column(t, c).alias(c) for c in types])).alias(f"_{k}")) for k, t in enumerate((first, *others))]
+    rows = packed[0]
+    for other in packed[1:]:
+        rows = rows.join(other.hint("merge"), by)
+    return rows.select(by, F.explode(F.concat(*[f"_{k}" for k in range(len(packed))])).alias("_x")).select(by, "_x.*")
+
+
 def of_range(start: Column, count: Column) -> Column:
     return F.concat(start.cast("string"), F.when(count == 1, "").otherwise(F.concat(F.lit(","), count.cast("string"))))
 
@@ -53,7 +70,7 @@ def hunks(hunk_lines: DataFrame, files: DataFrame, heading: Column | None = None
 def with_ids(hunks_: DataFrame, files: DataFrame) -> DataFrame:
     """Adds file_hash (of all hunks of the file), unit_id and hunk_id to hunks (doc_id, hunk_no, ranges, patch_hash)."""
     every = F.expr("transform(array_sort(collect_list(struct(hunk_no, patch_hash)) OVER (PARTITION BY doc_id)), x -> x.patch_hash)")
-    keyed = hunks_.withColumn("file_hash", F.sha2(F.array_join(every, ","), 256)).join(files.select("doc_id", *IDENTITY), "doc_id")
+    keyed = hunks_.withColumn("file_hash", F.sha2(F.array_join(every, ","), 256)).join(files.select("doc_id", *IDENTITY).hint("merge"), "doc_id")
     ids = keyed.withColumn("unit_id", stable_id("unit", *IDENTITY, F.lit("text"), "file_hash")).withColumn("hunk_id", stable_id("hunk", "old_path", "new_path", "old_blob", "new_blob", "status", "old_start", "old_count", "new_start", "new_count", "patch_hash"))
     return ids.drop("old_blob", "new_blob", "old_mode", "new_mode", "status")
 
@@ -113,8 +130,8 @@ def units(files: DataFrame, hunks_: DataFrame, lines: DataFrame | None = None) -
     with lines (line_rows) of hunks from bytes also the ids of undecodable ones.
     """
     text = hunks_.groupBy("doc_id").agg(F.first("file_hash").alias("file_hash"), F.sort_array(F.collect_list(F.when(F.exists("rows", lambda x: x["no_newline"]), F.col("hunk_id"))), True).alias("open_hunks"))
-    rows = files.select("doc_id", "path", "binary", "similarity" if "similarity" in files.columns else F.lit(None).cast("string").alias("similarity"), *IDENTITY).join(text, "doc_id", "left")
-    rows = rows.withColumn("undecodable_line_ids", F.lit(None).cast("array<string>")) if lines is None else rows.join(undecodable(lines), "doc_id", "left")
+    rows = files.select("doc_id", "path", "binary", "similarity" if "similarity" in files.columns else F.lit(None).cast("string").alias("similarity"), *IDENTITY).join(text.hint("merge"), "doc_id", "left")
+    rows = rows.withColumn("undecodable_line_ids", F.lit(None).cast("array<string>")) if lines is None else rows.join(undecodable(lines).hint("merge"), "doc_id", "left")
     nested = (F.coalesce("old_mode", F.lit("")) == SUBMODULE) | (F.coalesce("new_mode", F.lit("")) == SUBMODULE)
     fact = lambda kind, *names: F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("metadata"))
     kinds = [
@@ -164,7 +181,7 @@ def formatting_only(hunks_: DataFrame) -> DataFrame:
 
 def classified(files: DataFrame, hunks_: DataFrame, units_: DataFrame) -> DataFrame:
     kinds = units_.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
-    rows = files.select("doc_id", "path", *[c for c in ("source",) if c in files.columns], "old_path", "new_path", "status").join(kinds, "doc_id").join(formatting_only(hunks_), "doc_id", "left")
+    rows = files.select("doc_id", "path", *[c for c in ("source",) if c in files.columns], "old_path", "new_path", "status").join(kinds.hint("merge"), "doc_id").join(formatting_only(hunks_).hint("merge"), "doc_id", "left")
     text = F.array_contains("kinds", "text")
     kind, sure = classification(F.coalesce("new_path", "old_path", F.lit("")), F.col("status"), F.col("kinds"), text, F.coalesce("formatting", F.lit(False)))
     return rows.withColumn("classification", kind).withColumn("confidence", sure).drop("kinds", "formatting")
@@ -177,7 +194,7 @@ def groups(units_: DataFrame, classes: DataFrame, buckets: int = 256) -> DataFra
     hash buckets, then the buckets in order, so that no task lists a whole class.
     """
     kind = F.when(F.col("kind").isin("binary", "mode", "rename", "unsupported"), F.col("kind")).when(F.col("kind").isin("copy", "submodule"), "structural").otherwise(F.col("classification"))
-    rows = units_.join(classes.select("doc_id", "classification"), "doc_id").select(kind.alias("group_class"), "unit_id")
+    rows = units_.join(classes.select("doc_id", "classification").hint("merge"), "doc_id").select(kind.alias("group_class"), "unit_id")
     return digest(rows, ["group_class"], "unit_id", buckets).withColumnsRenamed({"n": "n_units", "digest": "units_hash"}).withColumn("group_id", stable_id("group", "group_class"))
 
 

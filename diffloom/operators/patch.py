@@ -34,7 +34,7 @@ def write_patch(files: DataFrame, hunks: DataFrame, odd: Column | None = None) -
     Files may have a similarity in hundredths; it is 90 otherwise.
     """
     body = hunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "raw"))), lambda x: x["raw"]), "").alias("body"))
-    rows = files.join(body, "doc_id", "left")
+    rows = files.join(body.hint("merge"), "doc_id", "left")
     nested = F.coalesce(F.col("new_mode"), F.col("old_mode")) == SUBMODULE
     body = F.when(nested & F.col("old_blob").isNotNull() & F.col("new_blob").isNotNull(), F.concat(F.lit("@@ -1 +1 @@\n-Subproject commit "), "old_blob", F.lit("\n+Subproject commit "), "new_blob", F.lit("\n"))).otherwise(F.col("body"))
     odd = F.col("doc_id") % 7 == 3 if odd is None else odd

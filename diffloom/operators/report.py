@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json
-from .ledger import listed
+from .ledger import listed, together
 
 #: Sections of a report in order, and their titles.
 SECTIONS = {"behavioral": "Behavioral before to after", "structural": "Structural and non-behavioral changes", "observer": "Who observes the changes", "ambiguity": "Ambiguity and unresolved notes"}
@@ -29,21 +29,21 @@ def evidence_markdown(files: DataFrame, units: DataFrame, hunks: DataFrame, span
     replaced = F.when(F.col("replacement_span_id").isNotNull(), F.concat(F.lit("; replaces "), tick("replacement_span_id"))).otherwise("")
     owned = F.array_join(F.transform("line_ids", lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
     span = F.concat(F.lit("- "), tick("span_id"), F.lit(" — "), "side", F.lit(" "), "start_line", F.lit("-"), "end_line", F.lit("; lines "), owned, replaced)
-    span_text = spans.groupBy("doc_id", "hunk_id").agg(ordered(spans, ["span_no"], span).alias("span_text"))
     diff = F.concat(F.when(F.col("side") == "before", "-").otherwise("+"), "content")
     told = F.concat(F.lit("- "), tick("line_id"), F.lit(" — "), "side", F.lit(" line "), "line", F.lit(" (ordinal "), "ordinal", F.lit(")"))
-    line_text = lines_.groupBy("doc_id", "hunk_id").agg(ordered(lines_, ["ordinal"], diff).alias("diff"), ordered(lines_, ["ordinal"], told).alias("line_text"))
     head = F.concat(F.lit("##### Hunk "), tick("hunk_id"), F.lit(" (-"), "old_start", F.lit(","), "old_count", F.lit(" +"), "new_start", F.lit(","), "new_count", F.lit(")"))
-    hunk = lines(head, "", "Spans:", F.col("span_text"), "", "```diff", F.col("diff"), "```", "", "Changed lines:", F.col("line_text"), "")
-    hunk_rows = hunks.select("doc_id", "hunk_id", "hunk_no", "old_start", "old_count", "new_start", "new_count").join(span_text, ["doc_id", "hunk_id"]).join(line_text, ["doc_id", "hunk_id"])
+    own = [hunks.select("doc_id", "hunk_id", "hunk_no", head.alias("head")), spans.select("doc_id", "hunk_id", F.struct("span_no", span.alias("text")).alias("span")), lines_.select("doc_id", "hunk_id", F.struct("ordinal", diff.alias("diff"), told.alias("text")).alias("line"))]
+    per = together("doc_id", *own).groupBy("doc_id", "hunk_id").agg(F.max("hunk_no").alias("hunk_no"), F.max("head").alias("head"), F.array_sort(F.collect_list("span")).alias("spans"), F.array_sort(F.collect_list("line")).alias("lines"))
+    hunk_rows = per.where("head IS NOT NULL AND size(spans) > 0 AND size(lines) > 0").select("doc_id", "hunk_no", "head", listed(F.col("spans"), "text", "\n").alias("span_text"), listed(F.col("lines"), "diff", "\n").alias("diff"), listed(F.col("lines"), "text", "\n").alias("line_text"))
+    hunk = lines(F.col("head"), "", "Spans:", F.col("span_text"), "", "```diff", F.col("diff"), "```", "", "Changed lines:", F.col("line_text"), "")
     hunk_text = hunk_rows.groupBy("doc_id").agg(ordered(hunk_rows, ["hunk_no"], hunk).alias("hunk_text"))
     unit = lines(F.concat(F.lit("#### Unit "), tick("unit_id"), F.lit(" ("), "kind", F.lit(")")), "", F.when(F.col("metadata") != "{}", F.concat(F.lit("Metadata: `"), "metadata", F.lit("`\n"))), F.when(F.col("kind") == "text", F.col("hunk_text")).otherwise("Textual hunks: none.\n"))
-    unit_rows = units.select("doc_id", "unit_no", "unit_id", "kind", "metadata").join(hunk_text, "doc_id", "left")
+    unit_rows = units.select("doc_id", "unit_no", "unit_id", "kind", "metadata").join(hunk_text.hint("merge"), "doc_id", "left")
     unit_text = unit_rows.groupBy("doc_id").agg(ordered(unit_rows, ["unit_no"], unit).alias("unit_text"))
     state = F.when(F.col("omitted"), "omitted; retrieval retained").otherwise("included")
     cite = F.concat(F.lit("- "), tick("citation_id"), F.lit(" — "), tick("path"), F.lit(" "), "side", F.lit(":"), "start_line", F.lit("-"), "end_line", F.lit(" ("), state, F.lit(", sha256 "), tick("content_hash"), F.lit(")"))
     cited = citations.groupBy("doc_id").agg(ordered(citations, ["side", "start_line", "citation_id"], cite).alias("cite_text"))
-    rows = files.join(unit_text, "doc_id").join(cited, "doc_id", "left")
+    rows = files.join(unit_text.hint("merge"), "doc_id").join(cited.hint("merge"), "doc_id", "left")
     status = F.concat(F.lit("Status: "), "status", F.lit(" · Classification: "), "classification", F.lit(" ("), "confidence", F.lit(")"))
     return rows.select("doc_id", lines(F.concat(F.lit("### `"), F.coalesce("new_path", "old_path"), F.lit("`")), "", status, "", F.col("unit_text"), F.when(F.col("cite_text").isNotNull(), lines("#### Source citations", "", F.col("cite_text"), ""))).alias("markdown"))
 
@@ -59,7 +59,7 @@ def appendix_markdown(citations: DataFrame, facts: DataFrame) -> DataFrame:
     row = F.concat(F.lit("- "), tick("citation_id"), F.lit(" — retrieve "), tick("path"), F.lit(" "), "side", F.lit(":"), "start_line", F.lit("-"), "end_line", F.lit(" (sha256 "), tick("content_hash"), F.lit(")"))
     omitted = gone.groupBy("path").agg(ordered(gone, ["side", "start_line", "citation_id"], row).alias("gone_text"))
     part = lambda title, c: F.when(F.col(c).isNotNull(), lines(f"#### {title}", "", F.col(c), ""))
-    return known.join(omitted, "path", "full").select("path", lines(part("Structural enrichment", "fact_text"), part("Omitted source context", "gone_text")).alias("markdown"))
+    return known.join(omitted.hint("merge"), "path", "full").select("path", lines(part("Structural enrichment", "fact_text"), part("Omitted source context", "gone_text")).alias("markdown"))
 
 
 def overview_markdown(metrics: DataFrame, groups: DataFrame, comparison: str, status: str = "disabled", diagnostics: DataFrame | None = None) -> DataFrame:

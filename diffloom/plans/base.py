@@ -11,7 +11,7 @@ from ..operators import citations as C
 from ..operators import ledger as L
 from ..operators import patch as P
 from ..sources import substrate as S
-from ..sources.tables import table, written
+from ..sources.tables import table, written_by
 
 BUDGET = 4000
 
@@ -26,17 +26,27 @@ class Ledger:
     def table(self, name):
         return table(self.spark, self.sf_dir, name)
 
+    def dealt(self, df, name):
+        """df written once, in buckets by doc_id that lie as the files do."""
+        return written_by(self.spark, df, name, "doc_id", S.shares(self.spark, self.sf_dir))
+
     def store(self, *names):
-        """Writes these relations once, for queries that use them in many branches; from then on they are read."""
+        """Writes the files and these relations once, for queries that use them in many branches; from then on they are read."""
+        if not self._stored:
+            self._stored.add("files")
+            self.files = self.dealt(self.files, "files")
+            self.lines, self.placed, self.hunk_lines = S.of_files(self.files)
         for name in names:
             if name not in self._stored:
-                self.__dict__[name] = written(self.spark, getattr(self, name), name)
+                self.__dict__[name] = self.dealt(getattr(self, name), name)
                 self._stored.add(name)
         return self
 
     changes = cached_property(lambda self: S.changes(self.hunk_lines))
     hunks = cached_property(lambda self: L.hunks(self.hunk_lines, self.files))
     changed = cached_property(lambda self: L.changed(self.hunks))
+    #: The same lines as changed, without their ids and texts, from hunks where these are written.
+    lines_changed = cached_property(lambda self: (self.changed if "hunks" in self._stored else self.changes).select("doc_id", "side", "line"))
     spans = cached_property(lambda self: L.spans(self.changed))
     linked = cached_property(lambda self: L.replacements(self.spans))
     ids = cached_property(lambda self: L.line_rows(self.spans))
@@ -46,6 +56,8 @@ class Ledger:
     snapshot = cached_property(lambda self: C.snapshot_lines(self.placed))
     cited = cached_property(lambda self: C.citations(self.spans, self.snapshot))
     budgeted = cached_property(lambda self: C.budget(self.cited, BUDGET))
+    #: Budgeted citations without their texts.
+    outcomes = cached_property(lambda self: self.budgeted.select("doc_id", "omitted", "outcome"))
     patches = cached_property(lambda self: P.write_patch(self.files, self.hunks))
     #: Texts of both sides, for files of any length.
     texts = cached_property(lambda self: self.snapshot.groupBy("doc_id", "side").agg(L.listed(F.array_sort(F.collect_list(F.struct("line", "content"))), "content", "\n").alias("text")))

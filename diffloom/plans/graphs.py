@@ -24,12 +24,15 @@ class Graph:
     """Symbols and facts of one side."""
 
     def __init__(self, ledger, side="after"):
-        self.x, self.side, self.own = ledger, side, "new_path" if side == "after" else "old_path"
+        self.x, self.side, self.own, self._stored = ledger, side, "new_path" if side == "after" else "old_path", set()
 
     def store(self, *names):
-        """Writes these relations once; from then on they are read."""
+        """Writes these relations once, by file, but for facts, which have paths only; from then on they are read."""
+        self.x.store()
         for name in names:
-            self.__dict__[name] = written(self.x.spark, getattr(self, name), name)
+            if name not in self._stored:
+                self.__dict__[name] = written(self.x.spark, self.found, name) if name == "found" else self.x.dealt(getattr(self, name), name)
+                self._stored.add(name)
         return self
 
     @cached_property
@@ -37,7 +40,7 @@ class Graph:
         if self.side == "after":
             return S.sources(self.x.files, self.x.lines)
         there = self.x.files.where("old_path IS NOT NULL").select("doc_id", F.col("old_path").alias("path"), F.col("old_path").alias("new_path"))
-        lines = self.x.placed.where("kind <> 'after'").select("doc_id", F.col("old_line").alias("line_no"), "content").join(there.select("doc_id", "path"), "doc_id")
+        lines = self.x.placed.where("kind <> 'after'").select("doc_id", F.col("old_line").alias("line_no"), "content").join(there.select("doc_id", "path").hint("merge"), "doc_id")
         return S.sources(there, lines)
 
     scan = cached_property(lambda self: symbol_scan(self.sources))
@@ -45,13 +48,13 @@ class Graph:
     ranged = cached_property(lambda self: self.symbols.where("end_line IS NOT NULL"))
     broken = cached_property(lambda self: unparsed(self.sources, self.scan))
     #: Changed lines; every 19th document has one more, far beyond its end.
-    changed = cached_property(lambda self: self.x.changed.where(F.col("side") == self.side).select("doc_id", "line").unionByName(self.x.files.where(f"doc_id % 19 = 8 AND {self.own} IS NOT NULL").select("doc_id", F.lit(1_000_000).cast("long").alias("line"))).distinct())
+    changed = cached_property(lambda self: self.x.lines_changed.where(F.col("side") == self.side).select("doc_id", "line").unionByName(self.x.files.where(f"doc_id % 19 = 8 AND {self.own} IS NOT NULL").select("doc_id", F.lit(1_000_000).cast("long").alias("line"))).distinct())
     #: All files of the side; those of other languages have no text here.
-    files = cached_property(lambda self: self.x.files.where(f"{self.own} IS NOT NULL").select("doc_id", F.col(self.own).alias("path")).join(self.sources.select("doc_id", "n_lines"), "doc_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0))))
+    files = cached_property(lambda self: self.x.files.where(f"{self.own} IS NOT NULL").select("doc_id", F.col(self.own).alias("path")).join(self.sources.select("doc_id", "n_lines").hint("merge"), "doc_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0))))
     found = cached_property(lambda self: G.file_facts(self.files, self.changed, self.symbols, self.broken, self.side))
     #: Calls as the texts have them.
-    calls = cached_property(lambda self: code_uses(self.sources).where("kind = 'call' AND caller IS NOT NULL").join(self.files.select("doc_id", "path"), "doc_id").select("caller", F.col("name").alias("callee"), "path").distinct())
-    definitions = cached_property(lambda self: self.symbols.join(self.files.select("doc_id", "path"), "doc_id").select("name", "path", "line"))
+    calls = cached_property(lambda self: code_uses(self.sources).where("kind = 'call' AND caller IS NOT NULL").join(self.files.select("doc_id", "path").hint("merge"), "doc_id").select("caller", F.col("name").alias("callee"), "path").distinct())
+    definitions = cached_property(lambda self: self.symbols.join(self.files.select("doc_id", "path").hint("merge"), "doc_id").select("name", "path", "line"))
     #: Names that are looked up: those of changed symbols, and one that there isn't.
     names = cached_property(lambda self: self.found.where("kind IN ('changed_symbol', 'enclosing_symbol')").select("symbol").distinct().unionByName(self.x.spark.sql("SELECT 'f_none' AS symbol")))
     parsed = cached_property(lambda self: self.found.where("kind = 'definition'").select(F.col("symbol").alias("name"), "path", "line"))
@@ -73,9 +76,12 @@ def graph(x) -> Graph:
 
 def stored(x) -> Graph:
     """The graph with its symbols, changed lines and facts written once, for queries that use them in many branches."""
-    if not hasattr(x, "_graph"):
-        graph(x).store("sources", "scan", "changed", "found")
-    return x._graph
+    return read(x).store("found")
+
+
+def read(x) -> Graph:
+    """The graph with its symbols and changed lines written once."""
+    return graph(x).store("sources", "scan", "changed")
 
 
 def _pages(x):
@@ -170,7 +176,7 @@ BUILD = {
     "range_containment": lambda x: G.enclosing(graph(x).changed, graph(x).ranged).select("doc_id", "line", "name", "start", "stop"),
     "innermost_symbol": lambda x: G.innermost(graph(x).changed, graph(x).ranged),
     "unresolved_lines": lambda x: G.innermost(graph(x).changed, graph(x).ranged).where("symbol IS NULL").groupBy("doc_id").agg(F.count("*").alias("n_unresolved")),
-    "graph_file_facts": lambda x: graph(x).found.select("fact_id", *G.FACT),
+    "graph_file_facts": lambda x: read(x).found.select("fact_id", *G.FACT),
     "graph_impact": lambda x: stored(x).impact.select("fact_id", *G.FACT),
     "graph_enrich": lambda x: stored(x).enriched.groupBy("kind", "confidence").agg(F.count("*").alias("n_facts"), F.count_distinct("fact_id").alias("n_ids")),
     "graph_incomplete": lambda x: G.incomplete(stored(x).enriched).groupBy("kind", "confidence").agg(F.count("*").alias("n")),

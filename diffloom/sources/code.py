@@ -25,7 +25,7 @@ def functions(lines: DataFrame) -> DataFrame:
 def sources(files: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, path, text, n_lines of files that have an after side and are of a supported language."""
     end, python = suffix_of("path"), suffix_of("path") == ".py"
-    made = functions(lines).join(files.where("new_path IS NOT NULL").select("doc_id"), "doc_id", "left_semi").where(end.isin(SUPPORTED))
+    made = functions(lines).join(files.where("new_path IS NOT NULL").select("doc_id").hint("merge"), "doc_id", "left_semi").where(end.isin(SUPPORTED))
     body = F.when(python, F.concat(F.lit("def "), "caller", F.lit("(x):  # "), "content", F.lit("\n    y = "), "callee", F.lit("(x)\n    return y"))).otherwise(F.concat(F.lit("function "), "caller", F.lit("(x) { // "), "content", F.lit("\n  return "), "callee", F.lit('(x) + "}";\n}')))
     rows = made.withColumn("body", body).groupBy("doc_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]), "\n").alias("text"), (3 * F.count("*")).alias("n"))
     broken = F.col("doc_id") % 17 == 4

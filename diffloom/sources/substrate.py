@@ -26,12 +26,16 @@ UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEHIND = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
+def shares(spark: SparkSession, sf_dir: str) -> int:
+    """The tasks that documents are dealt to: as many as the input has shares, and one for each core at least."""
+    return max(-(-bytes_of(spark, f"{sf_dir}/documents.parquet") // SHARE), spark.sparkContext.defaultParallelism)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file: doc_id, source, text, path, old_path, new_path, status, modes, blobs, edit (rule for its lines), eof (no line feed at the end)."""
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", "text")
-    # where Spark's number of partitions would make large ones (or it would join small ones to large ones), there are as many as the input has shares
-    shares = -(-bytes_of(spark, f"{sf_dir}/documents.parquet") // SHARE)
-    docs = docs.repartition(shares, "doc_id") if shares > spark.sparkContext.defaultParallelism else docs.repartition("doc_id")
+    # a stated number, so that tables written in as many buckets lie as the files do
+    docs = docs.repartition(shares(spark, sf_dir), "doc_id")
     rule = F.coalesce(*[F.when(F.col("doc_id") % 23 == k, F.lit(v)) for k, v in STATUS.items()], F.lit("modified"))
     place = F.split(F.element_at(F.array(*[F.lit(p) for p in PLACES]), (F.col("doc_id") % len(PLACES) + 1).cast("int")), r"\|")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), place[0], F.concat(F.lit("doc_"), F.col("doc_id"), place[1]))
@@ -119,6 +123,11 @@ def changes(hunk_lines_: DataFrame) -> DataFrame:
 def substrate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(files, lines, placed events, lines of hunks)."""
     f = files(spark, sf_dir)
-    ln = lines(f)
+    return f, *of_files(f)
+
+
+def of_files(files_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, placed events, lines of hunks)."""
+    ln = lines(files_)
     at = placed(events(ln))
-    return f, ln, at, hunk_lines(at)
+    return ln, at, hunk_lines(at)

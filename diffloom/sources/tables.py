@@ -58,6 +58,15 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def written_by(spark: SparkSession, df: DataFrame, label: str, by: str, buckets: int) -> DataFrame:
+    """As written, in so many buckets by a column: what is then grouped or joined by it, or by it and others, isn't shuffled again."""
+    at, name = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", f"diffloom_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, by).option("path", at).saveAsTable(name)
+    out = spark.table(name)
+    out._written_at = at
+    return out
+
+
 def unwritten(df: DataFrame) -> None:
     """Deletes a written table that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
