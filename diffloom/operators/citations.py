@@ -129,15 +129,18 @@ def whole_budget(cited: DataFrame, most: int) -> DataFrame:
     if most < 0:
         raise ValueError("a budget must not be negative")
     some = F.when(F.col("saves") > 0, F.col("saves")).otherwise(0)
-    rows = written(cited.sparkSession, measured(cited).withColumn("text_saved", F.col("full") - F.col("bare")), "measured")
+    # texts stay where they are: what is ordered are sizes and the number of the row
+    rows = written(cited.sparkSession, measured(cited).withColumns({"text_saved": F.col("full") - F.col("bare"), "_row": F.monotonically_increasing_id()}), "measured")
+    sizes = rows.select("_row", "citation_id", "full", "row", "saves", "text_saved")
     sum_if = lambda c: F.coalesce(F.sum(F.when(F.col("saves") > 0, F.col(c))), F.lit(0))
     total = rows.agg(F.sum("full").alias("in_full"), F.count("*").alias("n"), F.count_if(F.col("saves") > 0).alias("candidates"), sum_if("text_saved").alias("all_text"), sum_if("row").alias("all_rows"))
-    at = placed(rows, [-some, F.col("citation_id")], {"saved": F.col("saves"), "text_gone": F.col("text_saved"), "rows_made": F.col("row")}, "k")
+    at = placed(sizes, [-some, F.col("citation_id")], {"saved": F.col("saves"), "text_gone": F.col("text_saved"), "rows_made": F.col("row")}, "k")
     sized = _estimated(at.crossJoin(total), most)  # one row
     sized = written(cited.sparkSession, sized, "sized")
     found = sized.agg(F.min(F.when(F.col("enough"), F.struct("k", "size"))).alias("x"), F.max(F.when(F.col("k") == F.col("candidates"), F.struct("k", "size"))).alias("y"))
     chosen = found.select(F.coalesce("x", "y").alias("z")).select(F.col("z.k").alias("chosen"), F.col("z.size").alias("chosen_size"))
-    return _told(sized.crossJoin(chosen), most).select(*cited.columns, "saves", "omitted", "outcome", "evidence_bytes")  # one row
+    told = _told(sized.crossJoin(chosen), most).select("_row", "saves", "omitted", "outcome", "evidence_bytes")  # one row
+    return rows.select("_row", *cited.columns).join(told.hint("merge"), "_row").drop("_row")
 
 
 def omissions(budgeted: DataFrame) -> DataFrame:

@@ -33,3 +33,16 @@ def test_lines_of_spans_meet_the_snapshot(spark):
     snapshot = spark.createDataFrame([(1, "p", side, n, f"{side}{n}") for side in ("after", "before") for n in (1, 2, 3, 5, 7)], "doc_id long, path string, side string, line long, content string")
     found = {r.span_id: r.text for r in citations.citations(spans, snapshot).collect()}
     assert found == {"s1-2": "after1\nafter2", "s2-3": "after2\nafter3", "s7-7": "after7"}
+
+
+def test_whole_budget_orders_sizes_and_no_texts(spark, monkeypatch):
+    from diffloom.operators import order
+
+    seen, real = [], order.written
+    monkeypatch.setattr(order, "written", lambda s, df, label: (seen.append(df.columns), real(s, df, label))[1])
+    rows = [(k, "after", "p", f"s{k}", 1, 1, "x" * 50 * k, f"c{k}", "h") for k in range(1, 9)]
+    cited = spark.createDataFrame(rows, "doc_id long, side string, path string, span_id string, start_line long, end_line long, text string, citation_id string, content_hash string")
+    whole = citations.whole_budget(cited, 4000)
+    both = cited.selectExpr("*", "1 AS one")
+    assert sorted(whole.collect()) == sorted(citations.budget(both, 4000, "one").drop("one").collect())
+    assert seen and not any("text" in columns for columns in seen)
