@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import normal_path, stable_id, suffix_of
@@ -311,23 +311,95 @@ def _search(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFra
         seen = seen.unionByName(front)
 
 
+def depths(spark: SparkSession, edges: DataFrame) -> DataFrame | None:
+    """node, depth of every node of edges (node, parent), each once: the steps of its longest way to a node without parents. None if some node comes to a ring.
+
+    A node is done in the round after the last of its parents, so each edge is
+    met once and rounds are as many as the longest way has steps.
+    """
+    links = written(spark, edges.join(edges.groupBy("node").agg(F.count("*").alias("parents")), "node"), "links")
+    front = written(spark, links.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti").withColumn("depth", F.lit(0)), "front")
+    found, waiting, step = front, None, 0
+    while not front.isEmpty():
+        step += 1
+        told = links.join(front.select(F.col("node").alias("parent")), "parent").select("node", "parents", F.lit(1).cast("long").alias("done"))
+        told = told if waiting is None else told.unionByName(waiting)
+        told = written(spark, told.groupBy("node").agg(F.first("parents").alias("parents"), F.sum("done").alias("done")), "told")
+        front, waiting = told.where("done = parents").select("node", F.lit(step).alias("depth")), told.where("done < parents")
+        found = found.unionByName(front)
+        if step % JOINED == 0:
+            found = written(spark, found, "depths")
+    found = written(spark, found, "depths")
+    nodes = links.select(F.explode(F.array("node", "parent")).alias("node")).distinct()
+    return found if found.count() == nodes.count() else None
+
+
+#: Tables of a search that are read one by one before they are written as one.
+JOINED = 32
+#: Who comes to a node: the left one, the right one, both; then whether a common ancestor comes to it as well.
+LEFT, RIGHT, BOTH, BELOW = 1, 2, 3, 4
+
+
 def merge_bases(spark: SparkSession, edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """For pairs (left_node, right_node): common ancestors over (node, parent) that no other common ancestor descends from, and their number; only a number of 1 is a merge base.
 
     A node is its own ancestor. Such an ancestor is asked for itself or has
-    several children, so the search runs over the contracted graph, from the
-    asked nodes only. An ancestor of a common one is common as well, so those
-    go that have a common child.
+    several children, so the search runs over the contracted graph. Each pair
+    goes down from its own ends, deepest nodes first (see depths), so that a node's
+    turn comes when all that descends to it is known. It ends where nothing
+    new can be common: rows are as many as nodes lie above and beside a pair's
+    bases, however much lies below. If there are rings, all ancestors are searched.
     """
     pairs = pairs.select("left_node", "right_node").where("left_node IS NOT NULL AND right_node IS NOT NULL").distinct()
     asked = pairs.select(F.explode(F.array("left_node", "right_node")).alias("node")).distinct()
     short, _ = contracted(spark, edges, asked)
-    seen = reached(spark, short, asked.select(F.col("node").alias("start")))
+    deep = depths(spark, short)
+    best = _nearest(spark, short, deep, pairs) if deep is not None else _uncovered(spark, short, pairs, asked)
+    return best.groupBy("left_node", "right_node").agg(F.count("*").alias("n_bases"), F.min("node").alias("base"))
+
+
+def _uncovered(spark: SparkSession, edges: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """left_node, right_node, node: the common ancestors without those that have a common child, as an ancestor of a common one is common as well."""
+    seen = reached(spark, edges, asked.select(F.col("node").alias("start")))
     of = lambda end: seen.select(F.col("start").alias(end), "node")
     both = written(spark, pairs.join(of("left_node"), "left_node").join(of("right_node"), ["right_node", "node"]).select("left_node", "right_node", "node"), "common")
-    lower = both.join(short, "node").select("left_node", "right_node", F.col("parent").alias("node")).distinct()
-    best = both.join(lower, ["left_node", "right_node", "node"], "left_anti")
-    return best.groupBy("left_node", "right_node").agg(F.count("*").alias("n_bases"), F.min("node").alias("base"))
+    lower = both.join(edges, "node").select("left_node", "right_node", F.col("parent").alias("node")).distinct()
+    return both.join(lower, ["left_node", "right_node", "node"], "left_anti")
+
+
+def _nearest(spark: SparkSession, edges: DataFrame, deep: DataFrame, pairs: DataFrame) -> DataFrame:
+    """left_node, right_node, node: the common ancestors that no other one comes to, in a graph (node, parent) without rings whose nodes have a depth.
+
+    A row of a pair is a node that it has come to, with who comes to it (told).
+    Those of the pair's greatest depth go on to their parents. A node that both
+    come to, and nothing common does, is one of the answer; what lies behind it is BELOW.
+    A pair goes on while a node that both come to waits for its turn, or both
+    have nodes of their own, which may still meet.
+    """
+    links = written(spark, edges.join(deep.withColumnsRenamed({"node": "parent"}), "parent").select("node", "parent", F.col("depth").alias("further")), "links")
+    at = ["left_node", "right_node"]
+    ends = pairs.select(*at, F.explode(F.array(F.struct(F.col("left_node").alias("node"), F.lit(LEFT).alias("told")), F.struct(F.col("right_node").alias("node"), F.lit(RIGHT).alias("told")))).alias("x")).select(*at, "x.*")
+    rows = ends.join(deep, "node", "left").select(*at, "node", F.coalesce("depth", F.lit(0)).alias("depth"), "told")
+    per = Window.partitionBy(*at)
+    found, step = None, 0
+    while True:
+        # dealt by pair alone, which serves the grouping by node as well
+        met = rows.repartition(*at).groupBy(*at, "node").agg(F.first("depth").alias("depth"), F.bit_or("told").alias("told"))
+        met = met.withColumn("top", F.col("depth") == F.max("depth").over(per))
+        base = F.col("top") & (F.col("told") == BOTH)
+        apart = F.max(F.col("told") == LEFT).over(per) & F.max(F.col("told") == RIGHT).over(per)
+        later = F.max(~F.col("top") & (F.col("told") == BOTH)).over(per)
+        met = met.select("*", base.alias("base"), (apart | later).alias("more"))
+        state = written(spark, met.where("base OR more"), "state")
+        answer, more = state.where("base").select(*at, "node"), state.where("more")
+        found, step = answer if found is None else found.unionByName(answer), step + 1
+        if more.isEmpty():
+            return found
+        if step % JOINED == 0:
+            found = written(spark, found, "bases")
+        told = F.when(F.col("told") == BOTH, BOTH | BELOW).otherwise(F.col("told"))
+        up = more.where("top").join(links, "node").select(*at, F.col("parent").alias("node"), F.col("further").alias("depth"), told.alias("told"))
+        rows = more.where("NOT top").select(*at, "node", "depth", "told").unionByName(up)
 
 
 def descended(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -91,3 +91,41 @@ def test_closure_makes_few_pairs_twice(spark, monkeypatch, seed, n, parents):
     want = {(k, a) for k in edges for a in up_of(edges, k)}
     assert len(got) == len(want) and set(got) == want
     assert sum(sizes) == len(want) - n
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_merge_bases_of_all_pairs(spark, seed):
+    """Several bases, shortcuts past a common ancestor, ends that are ancestors of one another, two roots, and with seed 4 a ring."""
+    r = random.Random(seed)
+    edges = {k: {r.randint(max(0, k - r.choice((3, 12))), k - 1) for _ in range(r.randint(1, 3))} for k in range(2, 26)} | ({0: {5}} if seed == 4 else {})
+    rows = spark.createDataFrame([(k, p) for k, ps in edges.items() for p in ps], "node long, parent long")
+    asked = [(a, b) for a in range(27) for b in range(a % 3, 27, 3)]
+    up, want = {k: up_of(edges, k) for k in range(27)}, {}
+    for a, b in asked:
+        both = up[a] & up[b]
+        if best := [c for c in both if not any(c != d and c in up[d] for d in both)]:
+            want[a, b] = (len(best), min(best))
+    got = graph.merge_bases(spark, rows, spark.createDataFrame(asked, "left_node long, right_node long"))
+    assert {(x.left_node, x.right_node): (x.n_bases, x.base) for x in got.collect()} == want
+    assert seed == 4 or any(n > 1 for n, _ in want.values())
+
+
+@pytest.mark.parametrize("depth", [6, 20])
+def test_search_of_bases_ends_above_the_rest(spark, monkeypatch, depth):
+    """Merges upon merges, which no chain shortens: what a pair at the top writes is the same whatever lies below."""
+    sizes = []
+
+    def counting(s, df, label):
+        out = tables.written(s, df, label)
+        sizes.append(out.count())
+        return out
+
+    edges = [(2 * k + x, 2 * k - 2 + y) for k in range(1, depth) for x in (0, 1) for y in (0, 1)]
+    top, n = 2 * depth - 2, 60
+    edges += [(1000 + k, top + k % 2) for k in range(n)]
+    asked = [(1000 + a, 1000 + b) for a in range(n) for b in range(a + 1, n)]
+    monkeypatch.setattr(graph, "written", counting)
+    got = graph.merge_bases(spark, spark.createDataFrame(edges, "node long, parent long"), spark.createDataFrame(asked, "left_node long, right_node long")).collect()
+    want = {(1000 + a, 1000 + b): (1, top + a % 2) if a % 2 == b % 2 else (2, top - 2) for a in range(n) for b in range(a + 1, n)}
+    assert {(x.left_node, x.right_node): (x.n_bases, x.base) for x in got} == want
+    assert sum(sizes) < 12 * len(asked) + 40 * depth
