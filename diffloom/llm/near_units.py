@@ -35,6 +35,8 @@ PLACE = "doc_id long, text_hash long, no int, begin int, end int, n_words int, w
 SIGNED = 48
 #: Nodes of a key up to which each is held against each by signature; rows of a larger group all go on.
 GROUP = 256
+#: Keys of a bucket at most, those that a task packs at once, those of a bucket after which the very common ones go on, and bytes of one.
+BUCKET, PACK, HOLD, ROW = 1 << 19, 1 << 20, 1 << 21, 28
 #: Bytes of text that are scanned at once, so that the arrays stay in the processor's cache.
 SCAN = 1 << 17
 
@@ -111,39 +113,90 @@ def _new(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.zeros(0, bool)
 
 
-def met_keys(keyed: DataFrame, most: int) -> DataFrame:
-    """The rows (key, node) of keys (key, node, sign, more) that several nodes have, without those that meet by chance.
+def packed_keys(scanned: DataFrame, buckets: int) -> DataFrame:
+    """bucket, rows: the keys of scanned (node, sign, more, keys), many in one value, dealt to so many ranges of keys; for each its key, node, sign and more, column by column."""
 
-    A key of very many nodes goes on as its rows come, perhaps some of them twice.
-    """
-    names = ("key", "node", "sign", "more")
+    def split(parts: list) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        at = (((columns[0].view(_U) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.min_scalar_type(buckets))
+        order = np.argsort(at, kind="stable")
+        columns, at = [x[order] for x in columns], at[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        rows = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "rows"])
 
     def run(batches):
-        held, passing = None, None
+        held, n = [], 0
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in names]
-            if held is not None:
-                rows, held = [np.concatenate(x) for x in zip(held, rows, strict=True)], None
-            through = int(np.searchsorted(rows[0], passing, "right")) if passing is not None else 0
-            if through:
-                yield _rows(*(x[:through] for x in rows[:2]))
-                rows = [x[through:] for x in rows]
-            key = rows[0]
+            lists = batch.column("keys")
+            key, many = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
             if not len(key):
                 continue
-            passing, last = None, int(np.searchsorted(key, key[-1], "left"))
-            if len(key) - last > GROUP * GROUP:
-                passing = key[-1]
-                yield _rows(*(x[last:] for x in rows[:2]))
-            else:
-                held = [x[last:] for x in rows]
-            some = _met(*[x[:last] for x in rows], most)
-            yield _rows(rows[0][some], rows[1][some])
-        if held is not None:
-            some = _met(*held, most)
-            yield _rows(held[0][some], held[1][some])
+            held.append([key, *(np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "sign", "more"))])
+            n += len(key)
+            if n >= PACK:
+                yield split(held)
+                held, n = [], 0
+        if held:
+            yield split(held)
+
+    return scanned.where("size(keys) > 0").select("node", "sign", "more", "keys").mapInArrow(run, "bucket int, rows binary")
+
+
+def _unpacked(rows: pa.Buffer) -> list[np.ndarray]:
+    n = rows.size // ROW
+    return [np.frombuffer(rows, kind, n, at * n) for kind, at in ((np.int64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24))]
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
+
+def met_keys(packed: DataFrame, most: int) -> DataFrame:
+    """The rows (key, node) of packed keys that several nodes have, without those that meet by chance.
+
+    A task holds one bucket at a time. A key of very many nodes goes on as its
+    rows come, perhaps some of them twice.
+    """
+
+    def joined(parts: list) -> list[np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.argsort(columns[0])
+        return [x[order] for x in columns]
+
+    def run(batches):
+        bucket, held, n, limit, passing = None, [], 0, HOLD, np.zeros(0, np.int64)
+
+        def met():
+            columns = joined(held)
+            some = _met(*columns, most)
+            return _rows(columns[0][some], columns[1][some])
+
+        for batch in batches:
+            for at, x in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+                if at != bucket:
+                    if held:
+                        yield met()
+                    bucket, held, n, limit, passing = at, [], 0, HOLD, passing[:0]
+                columns = _unpacked(x.as_buffer())
+                if len(passing) and (through := np.isin(columns[0], passing)).any():
+                    yield _rows(columns[0][through], columns[1][through])
+                    columns = [c[~through] for c in columns]
+                # the batch's memory may go meanwhile
+                held.append([c.copy() for c in columns])
+                n += len(columns[0])
+                if n > limit:
+                    columns = joined(held)
+                    key = columns[0]
+                    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    many = np.diff(np.append(begin, len(key)))
+                    through = np.repeat(many > GROUP * GROUP, many)
+                    if through.any():
+                        passing = np.append(passing, key[begin[many > GROUP * GROUP]])
+                        yield _rows(key[through], columns[1][through])
+                    held = [[c[~through] for c in columns]]
+                    n = len(held[0][0])
+                    limit = max(HOLD, 2 * n)
+        if held:
+            yield met()
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, node long")
 
 
 def _rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -267,7 +320,8 @@ def unit_classes(spark: SparkSession, docs: DataFrame, units: Units, percent: in
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_key"), "doc_id", "text_hash", "no", "begin", "end")
     per = scratch.keep(places.groupBy("node").agg(F.min(order).alias("keep"), F.count("*").alias("n_units")))
     most = most_apart(units.bands * units.rows, percent)
-    groups = scratch.keep(met_keys(scanned.select(F.explode("keys").alias("key"), "node", "sign", "more"), most))
+    buckets = 1 + scanned.count() * units.bands // BUCKET
+    groups = scratch.keep(met_keys(packed_keys(scanned, buckets), most))
     scratch.tidy()
     chosen = scratch.keep(groups.select("node").distinct())
     bodies = docs.select("text").mapInArrow(units.bodies(node_filter(chosen)), "node long, body binary").join(chosen, "node", "left_semi")

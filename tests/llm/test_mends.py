@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from diffloom.llm import line_dedup, ngram_join, secrets, shared
+from diffloom.llm import line_dedup, near_units, ngram_join, secrets, shared
 
 from . import brute
 
@@ -95,3 +95,34 @@ def test_secret_sql_on_random_texts():
     keywords = secrets.automaton()
     want = {k: secrets.joined(secrets.spans_of(t or "", keywords)) for k, t in enumerate(texts)}
     assert got == want and any("checked" in x for x in want.values()) and any("jwt" in x for x in want.values())
+
+
+def test_keys_travel_packed(spark, monkeypatch):
+    """Keys of one node, of two near or unlike ones, of many, and one of so many that it goes on as it comes; moved as few rows, found whatever the buckets."""
+    for name, value in (("GROUP", 8), ("PACK", 100), ("HOLD", 150)):
+        monkeypatch.setattr(near_units, name, value)
+    r = np.random.default_rng(5)
+    common, several, near, unlike = r.integers(-(1 << 63), 1 << 63, 4).tolist()
+    rows, want = [], set()
+    for node in range(300):
+        keys = [int(x) for x in r.integers(-(1 << 63), 1 << 63, 3)] + [common]
+        sign = int(r.integers(-(1 << 63), 1 << 63))
+        want.add((common, node))
+        if node % 20 == 0:
+            keys.append(several)
+            want.add((several, node))
+        if node in (3, 4):
+            keys.append(near)
+            sign = 77
+            want.add((near, node))
+        if node in (5, 6):
+            keys.append(unlike)
+            sign = [0, -1][node - 5]
+        rows.append((node, sign, 0, keys))
+    rows += [(300, 0, 0, []), rows[7]]
+    df = spark.createDataFrame(rows, "node long, sign long, more int, keys array<long>").repartition(3)
+    for buckets in (1, 7):
+        packed = near_units.packed_keys(df, buckets)
+        assert packed.count() < 200 and packed.select("bucket").distinct().count() == buckets
+        assert {(x.key, x.node) for x in near_units.met_keys(packed, 5).collect()} == want
+    assert near_units.met_keys(near_units.packed_keys(df.where("false"), 2), 5).count() == 0
