@@ -26,6 +26,7 @@ separate rows. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -340,34 +341,51 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
     salt = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALT)).cast("int").alias("salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
     opened = scratch.keep(held.join(mixed, "key").select("key", "node", "root", salt))
+    if opened.isEmpty():
+        scratch.drop(groups, known, opened)
+        return roots
     size = roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") >= LARGE)
     large = size.join(opened.groupBy("root").agg(F.lit(True).alias("large")), "root").select("root", "large", salts)
     open_rows = scratch.keep(opened.join(large, ["root", "salt"], "left").select("key", "node", "root", "salt", F.coalesce("large", F.lit(False)).alias("large")))
     sketch = known if inline else known.select("node", "n", "sketch")
     in_block = _block_pairs(percent, expand if inline else None)
+    # the two halves are jobs of their own, and none where there is nothing to compare: the driver holds one's plan at a time
+    found, done = [], [groups, known, opened, open_rows]
 
     # nodes of small components: compared per key, once for each distinct set of nodes
     small = open_rows.where("NOT large")
-    sign = small.groupBy("key").agg(F.count("*").alias("g"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    once = sign.groupBy("g", "x", "y").agg(F.min("key").alias("key"))
-    parts = F.ceil(F.col("g") / BLOCK).cast("int")
-    rows = small.join(once.select("key", "g"), "key").join(sketch, "node").withColumn("of", parts).withColumn("part", F.expr("CAST(pmod(xxhash64(node, 3), of) AS INT)"))
-    inner = _dealt(rows, ["key"]).groupBy("key", "i", "j").applyInArrow(in_block, "u long, v long")
+    if not small.isEmpty():
+        sign = small.groupBy("key").agg(F.count("*").alias("g"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        once = sign.groupBy("g", "x", "y").agg(F.min("key").alias("key"))
+        parts = F.ceil(F.col("g") / BLOCK).cast("int")
+        rows = small.join(once.select("key", "g"), "key").join(sketch, "node").withColumn("of", parts).withColumn("part", F.expr("CAST(pmod(xxhash64(node, 3), of) AS INT)"))
+        found.append(scratch.keep(_dealt(rows, ["key"]).groupBy("key", "i", "j").applyInArrow(in_block, "u long, v long")))
 
     # members of a large component against every node that shares a key with one of them
     anchors = open_rows.where("large").select("key", F.col("root").alias("anchor")).distinct()
-    guests = scratch.keep(open_rows.join(anchors, "key").where("root <> anchor").select("anchor", "node", "root", "salt").distinct())
-    visited = guests.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    hosts = roots.select(F.col("root").alias("anchor"), "node", "root", salt).join(visited.select("anchor", salts), ["anchor", "salt"], "left_semi")
-    count = hosts.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h")).join(visited, "anchor")
-    counted = count.select("anchor", "h", "k", salts)
-    slot = "CAST(pmod(xxhash64(node, 3), {0}) AS INT)"
-    dealt_hosts = hosts.join(counted, ["anchor", "salt"]).selectExpr("anchor", "node", "root", f"{slot.format('h')} AS i", "explode(sequence(0, k - 1)) AS j", "1 AS side")
-    dealt_guests = guests.join(counted, ["anchor", "salt"]).selectExpr("anchor", "node", "root", "explode(sequence(0, h - 1)) AS i", f"{slot.format('k')} AS j", "2 AS side")
-    outer = dealt_hosts.unionByName(dealt_guests).join(sketch, "node").groupBy("anchor", "i", "j").applyInArrow(in_block, "u long, v long")
-
-    found = inner.unionByName(outer).distinct()
-    more = scratch.keep(found if inline else found.join(star, ["u", "v"], "left_anti"))
+    if not open_rows.where("large").isEmpty():
+        guests = scratch.keep(open_rows.join(anchors, "key").where("root <> anchor").select("anchor", "node", "root", "salt").distinct())
+        done.append(guests)
+        if not guests.isEmpty():
+            visited = guests.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+            hosts = roots.select(F.col("root").alias("anchor"), "node", "root", salt).join(visited.select("anchor", salts), ["anchor", "salt"], "left_semi")
+            count = hosts.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h")).join(visited, "anchor")
+            counted = scratch.keep(count.select("anchor", "h", "k", salts))
+            slot = "CAST(pmod(xxhash64(node, 3), {0}) AS INT)"
+            dealt_hosts = hosts.join(counted, ["anchor", "salt"]).selectExpr("anchor", "node", "root", f"{slot.format('h')} AS i", "explode(sequence(0, k - 1)) AS j", "1 AS side")
+            dealt_guests = guests.join(counted, ["anchor", "salt"]).selectExpr("anchor", "node", "root", "explode(sequence(0, h - 1)) AS i", f"{slot.format('k')} AS j", "2 AS side")
+            outer = dealt_hosts.unionByName(dealt_guests).join(sketch, "node").groupBy("anchor", "i", "j").applyInArrow(in_block, "u long, v long")
+            found.append(scratch.keep(outer))
+            done.append(counted)
+
+    done += found
+    found = [x for x in found if not x.isEmpty()]
+    if not found:
+        scratch.drop(*done)
+        return roots
+    either = functools.reduce(DataFrame.unionByName, found).distinct()
+    more = scratch.keep(either if inline else either.join(star, ["u", "v"], "left_anti"))
+    done.append(more)
     late = more if inline else _verified(more, known, scratch, percent, expand, exact)
     if late.agg(F.count("*")).first()[0]:
         # the late links join components: contract to their roots, then rename
@@ -376,7 +394,7 @@ def linked(scratch: Scratch, groups: DataFrame, known: DataFrame, percent: int =
         over = components(scratch, ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
         old = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         roots = scratch.keep(old.unionByName(over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))))
-    scratch.drop(groups, known, opened, open_rows, guests, more)
+    scratch.drop(*done)
     return roots
 
 

@@ -126,3 +126,16 @@ def test_keys_travel_packed(spark, monkeypatch):
         assert packed.count() < 200 and packed.select("bucket").distinct().count() == buckets
         assert {(x.key, x.node) for x in near_units.met_keys(packed, 5).collect()} == want
     assert near_units.met_keys(near_units.packed_keys(df.where("false"), 2), 5).count() == 0
+
+
+def test_keys_that_join_nothing_more_are_not_planned(spark, monkeypatch):
+    """Keys of two nodes each are settled by their links alone, so the search within keys isn't planned at all."""
+
+    def no(*_):
+        raise AssertionError("planned")
+
+    monkeypatch.setattr(ngram_join, "_dealt", no)
+    base = [f"word{k}" for k in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:100], "other", *base[101:]])), (3, "something else " * 30)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark, spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], DOCS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
