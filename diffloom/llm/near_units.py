@@ -37,6 +37,8 @@ SIGNED = 48
 GROUP = 256
 #: Keys of a bucket at most, those that a task packs at once, those of a bucket after which the very common ones go on, and bytes of one.
 BUCKET, PACK, HOLD, ROW = 1 << 19, 1 << 20, 1 << 21, 28
+#: Units whose least hashes are mixed at once.
+MIXED = 512
 #: Bytes of text that are scanned at once, so that the arrays stay in the processor's cache.
 SCAN = 1 << 17
 
@@ -53,22 +55,41 @@ def grams(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) ->
     return out, first
 
 
+def sorted_sets(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashes of each unit in order; those given are sorted in place."""
+    ends = [*first[1:].tolist(), len(hashes)]
+    for i, j in zip(first.tolist(), ends, strict=True):
+        hashes[i:j].sort()
+    new = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    new[first] = True
+    at = counts(new)
+    hashes = hashes[new]
+    return [hashes[i:j] for i, j in zip(at[first].tolist(), at[ends].tolist(), strict=True)]
+
+
 def signature_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Band keys, a row for each unit, and a signature with two bits of each hash function, of 32 in a long and of SIGNED - 32 in an int."""
     low = (hashes >> _U(32)).astype(np.uint32)
-    factors = mix(np.arange(1, bands * rows + 1, dtype=_U))
+    value, least = np.empty_like(low), np.empty((bands * rows, len(first)), np.uint32)
+    for f, row in zip(mix(np.arange(1, bands * rows + 1, dtype=_U)).tolist(), least, strict=True):
+        np.multiply(low, np.uint32(f & 0xFFFFFFFF | 1), out=value)
+        np.bitwise_xor(value, np.uint32(f >> 32), out=value)
+        np.minimum.reduceat(value, first, out=row)
     out, sign, more = np.empty((len(first), bands), _U), np.zeros(len(first), _U), np.zeros(len(first), np.uint32)
-    for band in range(bands):
-        key = np.full(len(first), band + 1, _U)
-        for k, f in enumerate(factors[band * rows : (band + 1) * rows], band * rows):
-            least = mix(np.minimum.reduceat(low * np.uint32(int(f) & 0xFFFFFFFF | 1) ^ np.uint32(int(f) >> 32), first).astype(_U))
-            key = mix(key * _U(0x9E3779B97F4A7C15) + least)
-            if k < 32:
-                sign |= (least & _U(3)) << _U(2 * k)
-            elif k < SIGNED:
-                more |= (least & _U(3)).astype(np.uint32) << np.uint32(2 * (k - 32))
-        out[:, band] = key
-    return out.astype(np.int64), sign.astype(np.int64), more.astype(np.int32)
+    places = _U(2) * np.arange(SIGNED, dtype=_U)[:, None]
+    for i in range(0, len(first), MIXED):
+        some = slice(i, i + MIXED)
+        mixed = mix(least[:, some])
+        bits = mixed[:SIGNED] & _U(3)
+        sign[some] = np.bitwise_or.reduce(bits[:32] << places[: len(bits[:32])], axis=0)
+        more[some] = np.bitwise_or.reduce(bits[32:] << places[: len(bits[32:])], axis=0)
+        by_band = mixed.reshape(bands, rows, -1)
+        key = np.arange(1, bands + 1, dtype=_U)[:, None]
+        for k in range(rows):
+            key = mix(key * _U(0x9E3779B97F4A7C15) + by_band[:, k])
+        out[some] = key.T
+    return out.view(np.int64), sign.view(np.int64), more.view(np.int32)
 
 
 def most_apart(functions: int, percent: int) -> int:
@@ -275,8 +296,7 @@ class Units:
             data, offsets = string_buffers(bodies)
             out: list = []
             for i, j in blocks(offsets):
-                found, first = hashes(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i])
-                out += [np.unique(x) for x in np.split(found, first[1:])]
+                out += sorted_sets(*hashes(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]))
             return out
 
         return run

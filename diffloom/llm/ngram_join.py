@@ -222,14 +222,34 @@ def doubtful(a: np.ndarray, b: np.ndarray, both: int, percent: int) -> bool:
     return abs(100 * both - percent * (len(a) + len(b) - both)) <= (100 + percent) * many
 
 
+def _each(expand, items: pa.Array) -> list[np.ndarray]:
+    """The set of each row; equal items are expanded once."""
+    known = items.dictionary_encode()
+    sets = expand(known.dictionary)
+    return [sets[k] for k in known.indices.to_pylist()]
+
+
+def _once(a: np.ndarray) -> np.ndarray:
+    """A sorted array without its repeats."""
+    new = a[1:] != a[:-1]
+    return a if new.all() else a[np.concatenate(([True], new))]
+
+
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted arrays share, repeats counted once."""
+    every = np.concatenate((_once(a), _once(b)))
+    every.sort()
+    return int(np.count_nonzero(every[1:] == every[:-1]))
+
+
 def _similar(percent: int, expand, cut: bool):
     """Pairs that link as sure ones; with cut hashes also those that are doubtful, as not sure."""
 
     def run(batches):
         for batch in batches:
             keep, sure = [], []
-            for a, b in zip(expand(batch.column("ia")), expand(batch.column("ib")), strict=True):
-                both = len(np.intersect1d(a, b))
+            for a, b in zip(_each(expand, batch.column("ia")), _each(expand, batch.column("ib")), strict=True):
+                both = in_both(a, b)
                 doubt = cut and doubtful(a, b, both, percent)
                 keep.append(doubt or 100 * both >= percent * (len(a) + len(b) - both))
                 sure.append(not doubt)
@@ -239,20 +259,23 @@ def _similar(percent: int, expand, cut: bool):
 
 
 def _hits(n: np.ndarray, root: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of left and right rows of different roots whose sizes and sketches don't exclude a link; unequal sketches are folded."""
-    width = np.array([len(x) for x in sketches])
+    """Pairs of left and right rows of different roots whose sizes and sketches don't exclude a link; unequal sketches are folded. Where both sides are the same rows, each pair comes once."""
+    width, same = np.array([len(x) for x in sketches]), np.array_equal(left, right)
     of = {w: (left[width[left] == w], right[width[right] == w]) for w in np.unique(width).tolist()}
     for w, (some, _) in of.items():
         # similar sets have sketches of equal widths or of neighbouring ones
-        for v in (w // 2, w, 2 * w):
-            rows = of[v][1] if v in of else ()
-            if not len(some) or not len(rows):
+        for v in (w, 2 * w) if same else (w // 2, w, 2 * w):
+            rows, within = of[v][1] if v in of else (), same and v == w
+            if not len(some) or len(rows) <= within:
                 continue
             other = np.stack([fold(sketches[x], min(v, w)) for x in rows])
-            for part in np.array_split(some, 1 + len(some) * other.size // (1 << 20)):
-                own = np.stack([fold(sketches[x], min(v, w)) for x in part]) if len(part) else other[:0]
+            step = max(1, (1 << 20) // other.size)
+            for i in range(0, len(some), step):
+                part = some[i : i + step]
+                own = other[i : i + step] if within else np.stack([fold(sketches[x], min(v, w)) for x in part])
                 far = np.bitwise_count(own[:, None] ^ other).sum(axis=2, dtype=np.int64)
-                k, j = np.nonzero(may_link(n[part][:, None], n[rows], far, percent) & (root[part][:, None] != root[rows]))
+                near = may_link(n[part][:, None], n[rows], far, percent) & (root[part][:, None] != root[rows])
+                k, j = np.nonzero(near & (part[:, None] < rows) if within else near)
                 yield part[k], rows[j]
 
 
@@ -277,7 +300,7 @@ def _block_pairs(percent: int, expand=None):
                 if top[j] == top[k]:
                     continue
                 sets = expand(t.column("items").combine_chunks()) if sets is None else sets
-                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                both = in_both(sets[k], sets[j])
                 if 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
                     us.append([min(root[k], root[j])])
                     vs.append([max(root[k], root[j])])

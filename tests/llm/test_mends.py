@@ -139,3 +139,53 @@ def test_keys_that_join_nothing_more_are_not_planned(spark, monkeypatch):
     rows = [(1, " ".join(base)), (2, " ".join([*base[:100], "other", *base[101:]])), (3, "something else " * 30)]
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark, spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], DOCS)).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_pairs_are_compared_once_and_equal_items_expanded_once():
+    """Neither the order of a pair nor the repeats of an item make more work; what links is what sets say."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 70, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[k:], r.integers(0, 1 << 63, k % 7, dtype=np.uint64)))) for k in range(20)]
+    sketches = [ngram_join.parity_sketch(x) for x in sets]
+    n, rows = np.array([len(x) for x in sets]), np.arange(len(sets))
+    assert len({len(x) for x in sketches}) > 1
+    linked = {(i, j) for j in rows.tolist() for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    found = [tuple(sorted(x)) for k, j in ngram_join._hits(n, rows, sketches, rows, rows, 80) for x in zip(k.tolist(), j.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and linked and linked <= set(found)
+    across = [x for k, j in ngram_join._hits(n, rows, sketches, rows[:10], rows[10:], 80) for x in zip(k.tolist(), j.tolist(), strict=True)]
+    assert len(across) == len(set(across)) and {x for x in linked if x[0] < 10 <= x[1]} <= set(across)
+
+    asked = []
+
+    def expand(items):
+        asked.extend(items.to_pylist())
+        return ngram_join.whole_sets(items)
+
+    pairs = [(0, j) for j in range(1, 20)]
+    left, right = ([sets[p[at]].tobytes() for p in pairs] for at in (0, 1))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 19), pa.array(range(1, 20)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["u", "v", "ia", "ib"])
+    got = {(0, v) for out in ngram_join._similar(80, expand, False)([batch]) for v in out.column("v").to_pylist()}
+    assert got == {x for x in linked if x[0] == 0} and len(asked) == 20
+
+
+def test_sets_and_keys_against_plain_ones():
+    r = np.random.default_rng(7)
+    hashes = r.choice(r.integers(0, 1 << 63, 900, dtype=np.uint64) << np.uint64(1), 3000)
+    first = np.concatenate(([0], np.sort(r.choice(np.arange(1, 3000), 699, replace=False))))
+    parts = np.split(hashes, first[1:])
+    keys, sign, more = near_units.signature_keys(hashes, first, 14, 4)
+    factors = [int(x) for x in shared.mix(np.arange(1, 57, dtype=np.uint64))]
+    for k in (0, 1, 511, 512, 699):
+        low = parts[k] >> np.uint64(32)
+        least = [int(shared.mix(np.array([min((int(x) * (f & 0xFFFFFFFF | 1) & 0xFFFFFFFF) ^ (f >> 32) for x in low)], np.uint64))[0]) for f in factors]
+        want = []
+        for band in range(14):
+            key = band + 1
+            for x in least[4 * band : 4 * band + 4]:
+                key = int(shared.mix(np.array([(key * 0x9E3779B97F4A7C15 + x) % (1 << 64)], np.uint64))[0])
+            want.append(key)
+        assert keys[k].view(np.uint64).tolist() == want
+        assert int(sign.view(np.uint64)[k]) == sum((x & 3) << 2 * i for i, x in enumerate(least[:32])) and int(more.view(np.uint32)[k]) == sum((x & 3) << 2 * i for i, x in enumerate(least[32:48]))
+    assert all((a == np.unique(b)).all() for a, b in zip(near_units.sorted_sets(hashes.copy(), first), parts, strict=True))
+    a, b = (np.sort(r.integers(0, 50, 40).astype(np.uint64)) for _ in range(2))
+    assert ngram_join.in_both(a, b) == len(np.intersect1d(a, b)) and ngram_join.in_both(a, a[:0]) == 0
